@@ -41,8 +41,8 @@ def feature_combinations(spark: SparkSession, features: Iterable[str] = B.FEATUR
     names = sorted(features)
     n = len(names)
     hi = (1 << n) - (1 if proper else 0)
-    arr = F.array(*[F.lit(x) for x in names])
-    bits = F.filter(arr, lambda x, i: (F.shiftright(F.col("id"), i) % 2) == 1)
+    arr = F.array(*[F.when(F.shiftright(F.col("id"), k) % 2 == 1, F.lit(x)) for k, x in enumerate(names)])
+    bits = F.filter(arr, lambda x: x.isNotNull())
     return (spark.range(1, hi)
             .select(F.col("id").alias("combo_id"), bits.alias("features"))
             .withColumn("feature_set", F.array_join("features", "_"))
@@ -66,10 +66,11 @@ def ablation_corpus(lines: DataFrame, combos: list[list[str]] | None = None, col
                  F.array(*[F.lit(B.TOKEN_NAMES[f]) for f in sorted(c)]).alias("names"))
         for c in combos])
     parsed = parsed_corpus(lines, col)
+    parsed = parsed.drop("feature_set") if "feature_set" in parsed.columns else parsed
     j = parsed.select("*", F.inline(lit_combos))
-    kept = F.filter("names", lambda n: F.col("controls").getItem(n).isNotNull())
-    prefix = F.aggregate(kept, F.lit(""), lambda acc, n: F.concat(acc, F.lit("<"), n, F.lit("_"),
-                                                                  F.col("controls").getItem(n).cast("string"), F.lit("> ")))
+    kept = F.filter("names", lambda n: F.try_element_at(F.col("controls"), n).isNotNull())
+    prefix = F.aggregate(kept, F.lit(""), lambda acc, n: F.concat(
+        acc, F.lit("<"), n, F.lit("_"), F.try_element_at(F.col("controls"), n).cast("string"), F.lit("> ")))
     return j.withColumn("ablated_line", F.concat(F.coalesce(prefix, F.lit("")), F.col("sentence"))).drop("names")
 
 

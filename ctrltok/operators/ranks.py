@@ -17,14 +17,16 @@ from ctrltok.functions import text as T
 from ctrltok.operators.numbering import global_index
 
 
-def ranks_from_vectors(lines: DataFrame, lang: str | None = None) -> DataFrame:
-    """``lines``: ``(line_no, value[, lang])`` as produced by the line scan."""
-    df = lines if "lang" in lines.columns else lines.withColumn("lang", F.lit(lang or "en"))
+def ranks_from_vectors(lines: DataFrame, keys: tuple[str, ...] = ("lang",), lang: str = "en") -> DataFrame:
+    """``lines``: ``(*keys, line_no, value)`` as produced by the line scan (one
+    vector file per key; a missing ``lang`` column defaults to ``lang``)."""
+    df = lines if "lang" in lines.columns or "lang" not in keys else lines.withColumn("lang", F.lit(lang))
+    ks = list(keys)
     words = (df.where(F.col("line_no") > 0)
-               .select("lang", F.split(T.strip(F.col("value")), rf"[{T.WHITESPACE_CLASS}]+", 2)[0].alias("word"),
+               .select(*ks, F.split(T.strip(F.col("value")), rf"[{T.WHITESPACE_CLASS}]+", 2)[0].alias("word"),
                        "line_no")
                .where(F.col("word").isNotNull() & (F.col("word") != "")))
-    return words.groupBy("lang", "word").agg(F.max("line_no").alias("rank"))
+    return words.groupBy(*ks, "word").agg(F.max("line_no").alias("rank"))
 
 
 def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -61,3 +61,455 @@ def q_control_corpus_length(spark, sf_dir):
     cc = C.control_corpus(pairs, ["length"])
     return cc.select("pair_id", "split", r6("exact_length").alias("exact_length"),
                      "bin_idx_length", "prefix", "source_line", "target_line")
+
+
+# ---------------------------------------------------------------------------
+# Scans, pairing, shards
+# ---------------------------------------------------------------------------
+
+from ctrltok.operators import audit as AU  # noqa: E402
+from ctrltok.operators import experiments as EX  # noqa: E402
+from ctrltok.operators import hypotheses as HY  # noqa: E402
+from ctrltok.operators import match as MA  # noqa: E402
+from ctrltok.operators import metrics as ME  # noqa: E402
+from ctrltok.operators import profile as PR  # noqa: E402
+from ctrltok.operators import shards as SH  # noqa: E402
+from ctrltok.functions import depth as D  # noqa: E402
+from ctrltok.functions import tokens as K  # noqa: E402
+from ctrltok.sources import lines as L  # noqa: E402
+
+HEAD_N = 5
+SHARD_LINES = 4
+SHARD_SKIP = 1
+
+
+def _doc_files(spark, sf_dir):
+    """Documents paired as source/target line files: doc 2u is the source file and
+    doc 2u+1 the target file of unit u."""
+    dl = TB.document_lines(spark, sf_dir)
+    src = dl.where(F.col("doc_id") % 2 == 0).select((F.col("doc_id") / 2).cast("long").alias("unit"), "line_no", "line")
+    tgt = dl.where(F.col("doc_id") % 2 == 1).select(((F.col("doc_id") - 1) / 2).cast("long").alias("unit"), "line_no", "line")
+    return src, tgt
+
+
+@query("pairs_scan")
+def q_pairs_scan(spark, sf_dir):
+    src, tgt = _doc_files(spark, sf_dir)
+    return L.pair_lines(src, tgt, keys=["unit"], how="full").select("unit", "line_no", "source", "target")
+
+
+@query("pair_tsv")
+def q_pair_tsv(spark, sf_dir):
+    src, tgt = _doc_files(spark, sf_dir)
+    p = L.pair_lines(src, tgt, keys=["unit"], how="inner")
+    return L.pair_tsv(p, sort_by_length=True).select("unit", "line_no", "n_words", "tsv")
+
+
+@query("lines_head")
+def q_lines_head(spark, sf_dir):
+    return L.head(TB.document_lines(spark, sf_dir), HEAD_N).select("doc_id", "line_no", "line")
+
+
+@query("shard_assign")
+def q_shard_assign(spark, sf_dir):
+    sh = SH.assign_shards(TB.document_lines(spark, sf_dir), SHARD_LINES, skip=SHARD_SKIP)
+    return sh.select("doc_id", "line_no", "shard", "shard_name")
+
+
+@query("shard_merge")
+def q_shard_merge(spark, sf_dir):
+    """Shards of every document merged back in descending shard order."""
+    sh = SH.assign_shards(TB.document_lines(spark, sf_dir), SHARD_LINES, skip=SHARD_SKIP)
+    order = sh.select("doc_id", "shard").distinct().withColumn("pos", -F.col("shard"))
+    m = SH.merge_shards(sh, order, keys=("doc_id",))
+    return m.select("doc_id", "merged_line_no", "shard", "line_no", "line")
+
+
+# ---------------------------------------------------------------------------
+# Tokens, predicates, ranks
+# ---------------------------------------------------------------------------
+
+def _pair_tokens(spark, sf_dir):
+    return FE.side_tokens(TB.conversation_pairs(spark, sf_dir))
+
+
+@query("tokenize")
+def q_tokenize(spark, sf_dir):
+    pairs = TB.conversation_pairs(spark, sf_dir)
+    per = pairs.select("pair_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), T.tokenize("source").alias("toks")),
+        F.struct(F.lit(1).alias("side"), T.tokenize("target").alias("toks")))))
+    return per.select("pair_id", "side", F.size("toks").cast("long").alias("n_tokens"),
+                      F.array_join("toks", " ").alias("tokens"))
+
+
+@query("token_filter")
+def q_token_filter(spark, sf_dir):
+    t = _pair_tokens(spark, sf_dir)
+    return t.select("pair_id", "side", F.col("token_no").cast("long").alias("token_no"), "word",
+                    T.is_punct("word").alias("is_punct"), T.is_number("word").alias("is_number"),
+                    T.is_stop("word", "lang").alias("is_stop"), T.admitted("word", "lang").alias("admitted"))
+
+
+@query("detokenize")
+def q_detokenize(spark, sf_dir):
+    pairs = TB.conversation_pairs(spark, sf_dir)
+    pieces = T.to_pieces("source")
+    return pairs.select("pair_id", F.size(pieces).cast("long").alias("n_pieces"),
+                        F.array_join(pieces, " ").alias("pieces"), T.detokenize(pieces).alias("detokenized"))
+
+
+@query("rank_table")
+def q_rank_table(spark, sf_dir):
+    """Every document read as a word-vector file: header line, then the first
+    whitespace field of each line is a word ranked by its line index."""
+    dl = TB.document_lines(spark, sf_dir).select("doc_id", "line_no", F.col("line").alias("value"))
+    r = R.ranks_from_vectors(dl, keys=("doc_id",))
+    return r.select("doc_id", "word", F.col("rank").cast("long").alias("rank"))
+
+
+@query("corpus_ranks")
+def q_corpus_ranks(spark, sf_dir):
+    return doc_ranks(spark, sf_dir).select("lang", "word", "cnt", "rank")
+
+
+@query("rank_summary")
+def q_rank_summary(spark, sf_dir):
+    return R.rank_summary(doc_ranks(spark, sf_dir))
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    return R.vocabulary(TB.conversation_pairs(spark, sf_dir)).select("side", "token", "cnt", "freq_rank")
+
+
+@query("rank_lookup")
+def q_rank_lookup(spark, sf_dir):
+    t = _pair_tokens(spark, sf_dir).where(T.admitted(F.col("word"), F.col("lang")))
+    lk = R.rank_lookup(t, doc_ranks(spark, sf_dir))
+    return lk.select("pair_id", "side", F.col("token_no").cast("long").alias("token_no"), "word",
+                     "raw_rank", r6("log_rank").alias("log_rank"))
+
+
+@query("freq_stat")
+def q_freq_stat(spark, sf_dir):
+    st = FE.frequency_stats(FE.by_pair(TB.conversation_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir))
+    return st.select("pair_id", r6("freq_source").alias("freq_source"), r6("freq_target").alias("freq_target"))
+
+
+@query("freq_ratio")
+def q_freq_ratio(spark, sf_dir):
+    f = FE.with_frequency(FE.by_pair(TB.conversation_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir))
+    return f.select("pair_id", r6("exact_frequency").alias("freq_ratio"))
+
+
+@query("freq_abs")
+def q_freq_abs(spark, sf_dir):
+    f = FE.with_frequency(FE.by_pair(TB.conversation_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir), absolute=True)
+    return f.select("pair_id", r6("exact_frequency").alias("freq_abs"))
+
+
+@query("rank_profile")
+def q_rank_profile(spark, sf_dir):
+    lr = FE.log_ranks(_pair_tokens(spark, sf_dir), doc_ranks(spark, sf_dir))
+    p = PR.rank_profile(lr)
+    return p.select("pair_id", "side", *[r6(c).alias(c) for c in ("mean", "max", "sd", "median", "q1", "q3", "iqr")])
+
+
+# ---------------------------------------------------------------------------
+# Row-local features and bins
+# ---------------------------------------------------------------------------
+
+@query("length_ratio")
+def q_length_ratio(spark, sf_dir):
+    p = TB.conversation_pairs(spark, sf_dir)
+    return p.select("pair_id", r6(FE.length_ratio()).alias("length_ratio"))
+
+
+@query("length_abs")
+def q_length_abs(spark, sf_dir):
+    p = TB.conversation_pairs(spark, sf_dir)
+    return p.select("pair_id", FE.length_abs().alias("length_abs"))
+
+
+@query("edit_ratio")
+def q_edit_ratio(spark, sf_dir):
+    p = TB.conversation_pairs(spark, sf_dir)
+    return p.select("pair_id", r6(FE.edit_ratio()).alias("edit_ratio"))
+
+
+@query("tree_depth")
+def q_tree_depth(spark, sf_dir):
+    p = TB.conversation_pairs(spark, sf_dir)
+    return p.select("pair_id", FE.text_depth("source").alias("depth_source"), FE.text_depth("target").alias("depth_target"))
+
+
+@query("depth_ratio")
+def q_depth_ratio(spark, sf_dir):
+    p = FE.with_depth(TB.conversation_pairs(spark, sf_dir))
+    return p.select("pair_id", r6("exact_dependency").alias("depth_ratio"))
+
+
+@query("depth_abs")
+def q_depth_abs(spark, sf_dir):
+    p = FE.with_depth(TB.conversation_pairs(spark, sf_dir), absolute=True)
+    return p.select("pair_id", r6("exact_dependency").alias("depth_abs"))
+
+
+def _bundle(spark, sf_dir):
+    pairs = TB.conversation_pairs(spark, sf_dir)
+    return FE.feature_bundle(pairs, CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir))
+
+
+@query("bin_values")
+def q_bin_values(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    return b.select("pair_id", *[F.col(f"bin_idx_{f}").alias(f"bin_idx_{f}") for f in CONTROL_FEATURES],
+                    *[F.round(F.col(f"bin_{f}"), 2).alias(f"bin_{f}") for f in CONTROL_FEATURES])
+
+
+@query("feature_bundle")
+def q_feature_bundle(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    return b.select("pair_id", *[r6(f"exact_{f}").alias(f"exact_{f}") for f in CONTROL_FEATURES],
+                    *[F.round(F.col(f"bin_{f}"), 2).alias(f"bin_{f}") for f in CONTROL_FEATURES])
+
+
+@query("feature_summary")
+def q_feature_summary(spark, sf_dir):
+    long = PR.long_features(_bundle(spark, sf_dir), CONTROL_FEATURES)
+    s = PR.feature_summary(long)
+    return s.select("feature", "n", *[r6(c).alias(c) for c in ("min", "max", "mean", "std")])
+
+
+@query("control_prefix")
+def q_control_prefix(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    return b.select("pair_id", K.render_prefix({f: F.col(f"bin_{f}") for f in CONTROL_FEATURES}).alias("prefix"))
+
+
+# Fixed example request of the inference corpus (any values work).
+INFER_REQUEST = {"dependency": 0.8, "frequency": 0.95, "length": 0.78, "levenshtein": 0.22}
+
+
+@query("infer_prefix")
+def q_infer_prefix(spark, sf_dir):
+    dl = TB.document_lines(spark, sf_dir).where(F.col("line") != "")
+    out = C.inference_corpus(dl, INFER_REQUEST, col="line")
+    return out.select("doc_id", "line_no", "model_input")
+
+
+# ---------------------------------------------------------------------------
+# Parsing control tokens, ablation, profiles
+# ---------------------------------------------------------------------------
+
+def _control_lines(spark, sf_dir):
+    """The control corpus with glued tokens (``<A_1><B_2>``) on odd pairs, so the
+    parser sees both spellings."""
+    cc = C.control_corpus(TB.conversation_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir))
+    glued = F.regexp_replace("source_line", "> (?=<)", ">")
+    return cc.withColumn("source_line", F.when(F.col("pair_id") % 2 == 1, glued).otherwise(F.col("source_line")))
+
+
+@query("parse_tokens")
+def q_parse_tokens(spark, sf_dir):
+    p = C.parsed_corpus(_control_lines(spark, sf_dir))
+    return p.select("pair_id", F.size("controls").cast("long").alias("n_controls"),
+                    *[F.col("controls").getItem(B.TOKEN_NAMES[f]).alias(B.TOKEN_NAMES[f]) for f in CONTROL_FEATURES],
+                    "sentence")
+
+
+@query("feature_ablation")
+def q_feature_ablation(spark, sf_dir):
+    a = C.ablation_corpus(_control_lines(spark, sf_dir))
+    return a.select("pair_id", "feature_set", "ablated_line")
+
+
+@query("value_counts")
+def q_value_counts(spark, sf_dir):
+    v = PR.control_values(_control_lines(spark, sf_dir))
+    return PR.value_counts(v).select("name", "value", "split", "cnt")
+
+
+@query("hist_equal_width")
+def q_hist_equal_width(spark, sf_dir):
+    long = PR.long_features(_bundle(spark, sf_dir), CONTROL_FEATURES)
+    h = PR.hist_equal_width(long)
+    return h.select("feature", "bin", "cnt", "n_bins", r6("bin_lo").alias("bin_lo"))
+
+
+@query("hist_fixed")
+def q_hist_fixed(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    long = PR.long_features(b, CONTROL_FEATURES, prefix="bin_", keep=["split"]).withColumnRenamed("x", "value")
+    return PR.hist_fixed(long.withColumn("value", F.round("value", 2))).select("feature", "bin", "split", "cnt")
+
+
+# ---------------------------------------------------------------------------
+# Model outputs and evaluation
+# ---------------------------------------------------------------------------
+
+@query("hyp_parse")
+def q_hyp_parse(spark, sf_dir):
+    return HY.parse_hypotheses(TB.hypothesis_log(spark, sf_dir)).select("sample_id", "log_no", "score", "text")
+
+
+@query("best_hypothesis")
+def q_best_hypothesis(spark, sf_dir):
+    h = HY.parse_hypotheses(TB.hypothesis_log(spark, sf_dir))
+    return HY.best_hypotheses(h).select("sample_id", "score", "text")
+
+
+def _match_rows(spark, sf_dir):
+    """Requested bins = the features of (turn t -> turn t+2) rendered on turn t;
+    system output = turn t+1."""
+    tri = TB.conversation_triples(spark, sf_dir)
+    ranks = doc_ranks(spark, sf_dir)
+    req = FE.feature_bundle(tri.select("pair_id", "lang", "source", F.col("output").alias("target"), F.col("target").alias("output")),
+                            CONTROL_FEATURES, ranks=ranks)
+    prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in CONTROL_FEATURES})
+    rows = req.select("pair_id", "lang", F.concat(prefix, T.tokenized_text("source")).alias("source_line"), "output")
+    return rows, ranks
+
+
+@query("feature_match")
+def q_feature_match(spark, sf_dir):
+    rows, ranks = _match_rows(spark, sf_dir)
+    cmp = MA.realised_vs_requested(rows, CONTROL_FEATURES, ranks=ranks)
+    s = MA.match_summary(cmp)
+    return s.select(F.coalesce("name", F.lit("ALL")).alias("name"), "n_match", "n_mismatch",
+                    r6("avg_delta").alias("avg_delta"))
+
+
+@query("feature_match_totals")
+def q_feature_match_totals(spark, sf_dir):
+    rows, ranks = _match_rows(spark, sf_dir)
+    cmp = MA.realised_vs_requested(rows, CONTROL_FEATURES, ranks=ranks)
+    return MA.match_totals(rows, cmp, len(CONTROL_FEATURES)).select("n_pairs", "n_prefixed", "n_features_total", "n_matches")
+
+
+def _metric_rows(spark, sf_dir):
+    pairs = TB.conversation_pairs(spark, sf_dir)
+    return pairs.select("pair_id", ME.metric_tokens("source").alias("src_tokens"),
+                        ME.metric_tokens("target").alias("ref_tokens")) \
+                .withColumn("hyp_tokens", ME.drop_every("src_tokens", 4))
+
+
+@query("bleu")
+def q_bleu(spark, sf_dir):
+    b = ME.bleu(_metric_rows(spark, sf_dir))
+    return b.select(*[r6(c).alias(c) for c in ("bleu", "bp", "p1", "p2", "p3", "p4")], "hyp_len", "ref_len")
+
+
+@query("sari")
+def q_sari(spark, sf_dir):
+    s = ME.sari(_metric_rows(spark, sf_dir))
+    return s.select("pair_id", *[r6(c).alias(c) for c in ("keep", "deletion", "addition", "sari")])
+
+
+@query("sari_corpus")
+def q_sari_corpus(spark, sf_dir):
+    s = ME.corpus_sari(ME.sari(_metric_rows(spark, sf_dir)))
+    return s.select("n_sentences", *[r6(c).alias(c) for c in ("sari", "keep", "deletion", "addition")])
+
+
+@query("fkgl")
+def q_fkgl(spark, sf_dir):
+    hyp = _metric_rows(spark, sf_dir).select(F.array_join("hyp_tokens", " ").alias("text"))
+    f = ME.fkgl(hyp)
+    return f.select("n_sentences", "n_words", "n_syllables", r6("fkgl").alias("fkgl"))
+
+
+@query("embed_match")
+def q_embed_match(spark, sf_dir):
+    """Sentences are labels, tokens are vectors; label l is matched against l+1."""
+    v = TB.table(spark, sf_dir, "embeddings").select(F.col("label").alias("sent"), "vec_id", "embedding")
+    labels = v.select("sent").distinct()
+    pairs = labels.select(F.col("sent").alias("cand")).join(
+        labels.select(F.col("sent").alias("ref")), F.col("ref") == F.col("cand") + 1)
+    m = ME.embedding_match(v, pairs, block=16)
+    return m.select(F.col("cand").cast("long").alias("cand"), F.col("ref").cast("long").alias("ref"),
+                    *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# ---------------------------------------------------------------------------
+# Audits
+# ---------------------------------------------------------------------------
+
+@query("bad_split_counts")
+def q_bad_split_counts(spark, sf_dir):
+    dl = TB.document_lines(spark, sf_dir)
+    expected = TB.table(spark, sf_dir, "documents").select(F.col("source").alias("file"))
+    return AU.bad_split_counts(dl, expected).select(F.coalesce("file", F.lit("total")).alias("file"), "zb", "ca")
+
+
+def _roundtrip(spark, sf_dir):
+    cc = C.control_corpus(TB.conversation_pairs(spark, sf_dir, strip=False), ["length"])
+    return AU.roundtrip(cc, "source", "source_line", has_prefix=True)
+
+
+@query("roundtrip_counts")
+def q_roundtrip_counts(spark, sf_dir):
+    return AU.roundtrip_counts(_roundtrip(spark, sf_dir))
+
+
+@query("roundtrip_diff")
+def q_roundtrip_diff(spark, sf_dir):
+    r = _roundtrip(spark, sf_dir).where(~F.col("same_raw") | ~F.col("same_cleaned"))
+    return r.select("pair_id", "same_raw", "same_cleaned", T.strip("source").alias("original"), "decoded")
+
+
+# ---------------------------------------------------------------------------
+# Experiments
+# ---------------------------------------------------------------------------
+
+def _metric_lines(spark, sf_dir):
+    """One metric file per part: ``experiments/<partkey>/checkpoints/evaluation.txt``
+    holding a single-quoted dict (fkgl missing for every third experiment)."""
+    p = TB.table(spark, sf_dir, "part")
+    bleu = F.col("p_retailprice") / 100.0
+    sari = F.col("p_size") + F.col("p_retailprice") / 1000.0
+    fk = F.col("p_size") / 7.0
+    bp = (F.col("p_partkey") % 97) / 100.0
+    br = (F.col("p_partkey") % 89) / 100.0
+    bf = (F.col("p_partkey") % 83) / 100.0
+    body = F.when(F.col("p_partkey") % 3 == 0,
+                  F.format_string("{'bleu': %s, 'sari': %s, 'bertscore_precision': %s, 'bertscore_recall': %s, 'bertscore_f1': %s}",
+                                  bleu, sari, bp, br, bf)) \
+            .otherwise(F.format_string("{'bleu': %s, 'sari': %s, 'fkgl': %s, 'bertscore_precision': %s, 'bertscore_recall': %s, 'bertscore_f1': %s}",
+                                       bleu, sari, fk, bp, br, bf))
+    return p.select(F.format_string("experiments/%d/checkpoints/evaluation.txt", "p_partkey").alias("file_path"),
+                    body.alias("value"))
+
+
+def _configs(spark, sf_dir):
+    """One config per part: id, language, requested features (a subset by the
+    bits of partkey mod 15 + 1), batch size, update frequency (absent for every
+    fourth), test batch size, epochs, beam and learning rate."""
+    p = TB.table(spark, sf_dir, "part")
+    bits = (F.col("p_partkey") % 15) + 1
+    feats = F.filter(F.array(*[F.when(F.shiftright(bits, k) % 2 == 1, F.lit(f)) for k, f in enumerate(B.FEATURES)]),
+                     lambda f: f.isNotNull())
+    return p.select(
+        F.format_string("tuning_config_%d.yaml", "p_partkey").alias("config_name"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("en")).otherwise(F.lit("de")).alias("language"),
+        feats.alias("features_requested"),
+        F.col("p_size").cast("long").alias("batch_size"),
+        F.when(F.col("p_partkey") % 4 == 0, F.lit(None).cast("long")).otherwise(F.col("p_partkey") % 4 + 1).alias("update_freq"),
+        (F.col("p_size") * 2).cast("long").alias("test_batch_size"),
+        (F.col("p_size") + 10).cast("long").alias("max_epochs"),
+        (F.col("p_partkey") % 8 + 1).cast("long").alias("beam_size"),
+        (F.col("p_retailprice") / 1.0e7).alias("lr"))
+
+
+@query("metric_parse")
+def q_metric_parse(spark, sf_dir):
+    return EX.parse_metric_lines(_metric_lines(spark, sf_dir))
+
+
+@query("experiment_overview")
+def q_experiment_overview(spark, sf_dir):
+    allow = TB.table(spark, sf_dir, "part").where(F.col("p_size") <= 25) \
+              .select(F.col("p_partkey").cast("string").alias("exp_id"))
+    ov = EX.overview(_configs(spark, sf_dir), EX.parse_metric_lines(_metric_lines(spark, sf_dir)), allow)
+    return ov

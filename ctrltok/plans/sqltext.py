@@ -85,25 +85,84 @@ def ranks_cte() -> str:
 )"""
 
 
-def freq_cte(pairs: str = "pairs") -> str:
-    """Per pair 0.75-quantile of admitted log ranks per side, OOV default."""
-    return f"""side_tok AS (
+def freq_cte(pairs: str = "pairs", sfx: str = "") -> str:
+    """Per pair 0.75-quantile of admitted log ranks per side, OOV default.
+    Defines ``freq{sfx}(pair_id, freq_source, freq_target)``."""
+    return f"""side_tok{sfx} AS (
   SELECT pair_id, lang, side, unnest({tokens('txt')}) AS word
   FROM (SELECT pair_id, lang, 0 AS side, source AS txt FROM {pairs}
         UNION ALL SELECT pair_id, lang, 1 AS side, target AS txt FROM {pairs})
-), side_lr AS (
+), side_lr{sfx} AS (
   SELECT t.pair_id, t.side, ln(coalesce(r.rank, v.vocab)::DOUBLE + 1.0) AS lr
-  FROM side_tok t LEFT JOIN ranks r ON r.lang = t.lang AND r.word = t.word
+  FROM side_tok{sfx} t LEFT JOIN ranks r ON r.lang = t.lang AND r.word = t.word
   LEFT JOIN vocab v ON v.lang = t.lang
   WHERE {admitted('t.word', 't.lang')}
-), side_q AS (
+), side_q{sfx} AS (
   SELECT pair_id,
          quantile_cont(lr, 0.75) FILTER (WHERE side = 0) AS q_source,
          quantile_cont(lr, 0.75) FILTER (WHERE side = 1) AS q_target
-  FROM side_lr GROUP BY pair_id
-), freq AS (
+  FROM side_lr{sfx} GROUP BY pair_id
+), freq{sfx} AS (
   SELECT p.pair_id,
          coalesce(q.q_source, ln(v.vocab::DOUBLE + 1.0)) AS freq_source,
          coalesce(q.q_target, ln(v.vocab::DOUBLE + 1.0)) AS freq_target
-  FROM {pairs} p LEFT JOIN side_q q ON q.pair_id = p.pair_id LEFT JOIN vocab v ON v.lang = p.lang
+  FROM {pairs} p LEFT JOIN side_q{sfx} q ON q.pair_id = p.pair_id LEFT JOIN vocab v ON v.lang = p.lang
 )"""
+
+
+def depth_cte(src: str = "pairs", sfx: str = "") -> str:
+    """Max depth of the synthetic parse per pair and side, by recursion from the
+    root (needs WITH RECURSIVE).  Defines ``depth{sfx}(pair_id, depth_source,
+    depth_target)``."""
+    return f"""dep_tok{sfx} AS (
+  SELECT pair_id, side, unnest(toks) AS tok, unnest(range(len(toks))) AS i
+  FROM (SELECT pair_id, 0 AS side, {tokens('source')} AS toks FROM {src}
+        UNION ALL SELECT pair_id, 1 AS side, {tokens('target')} AS toks FROM {src})
+), dep_head{sfx} AS (
+  SELECT pair_id, side, i, CASE WHEN i = 0 THEN -1 ELSE i - 1 - (length(tok) % i) END AS head FROM dep_tok{sfx}
+), dep_rec{sfx}(pair_id, side, i, d) AS (
+  SELECT pair_id, side, i, 0 FROM dep_head{sfx} WHERE head = -1
+  UNION ALL
+  SELECT h.pair_id, h.side, h.i, r.d + 1
+  FROM dep_head{sfx} h JOIN dep_rec{sfx} r ON h.pair_id = r.pair_id AND h.side = r.side AND h.head = r.i
+), depth{sfx} AS (
+  SELECT p.pair_id,
+         coalesce(max(r.d) FILTER (WHERE r.side = 0), 0) AS depth_source,
+         coalesce(max(r.d) FILTER (WHERE r.side = 1), 0) AS depth_target
+  FROM {src} p LEFT JOIN dep_rec{sfx} r ON r.pair_id = p.pair_id GROUP BY p.pair_id
+)"""
+
+
+def features_cte(src: str = "pairs", sfx: str = "") -> str:
+    """dependency, frequency and length ratios and bins for ``src`` (needs the
+    freq{sfx} and depth{sfx} CTEs).  Defines ``binned{sfx}``."""
+    return f"""feat{sfx} AS (
+  SELECT p.*,
+         greatest(d.depth_target::DOUBLE, 0.5) / greatest(d.depth_source::DOUBLE, 0.5) AS exact_dependency,
+         f.freq_target / f.freq_source AS exact_frequency,
+         CASE WHEN length(p.source) = 0 THEN NULL ELSE length(p.target)::DOUBLE / length(p.source)::DOUBLE END AS exact_length
+  FROM {src} p JOIN depth{sfx} d USING (pair_id) JOIN freq{sfx} f USING (pair_id)
+), binned{sfx} AS (
+  SELECT *, {bin_value('exact_dependency', 'dependency')} AS bin_dependency,
+            {bin_value('exact_frequency', 'frequency')} AS bin_frequency,
+            {bin_value('exact_length', 'length')} AS bin_length
+  FROM feat{sfx}
+)"""
+
+
+def prefix3(sfx: str = "") -> str:
+    """The rendered dependency/frequency/length prefix of binned{sfx} rows."""
+    return f"({token('dependency', 'bin_dependency')} || {token('frequency', 'bin_frequency')} || {token('length', 'bin_length')})"
+
+
+def doc_lines_cte() -> str:
+    """Documents as line files: (doc_id, lang, file, line_no, line)."""
+    return """doc_parts AS (
+  SELECT doc_id, lang, source AS file, string_split(text, chr(10)) AS parts FROM documents
+), doc_lines AS (
+  SELECT doc_id, lang, file, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM doc_parts
+)"""
+
+
+def ngrams(toks: str, n: int) -> str:
+    return f"list_transform(range(len({toks}) - {n} + 1), lambda i: array_to_string({toks}[i + 1:i + {n}], ' '))"
