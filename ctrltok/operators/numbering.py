@@ -7,10 +7,11 @@ few counts gives every partition's starting offset, and each row adds its
 position inside the partition.  Only the per-partition counts (one row per
 partition and group) are aggregated centrally.
 
-The sorted data is checkpointed (reliably, into the shared checkpoint folder)
-before it is tagged: both the count branch and the row branch then read the
-very same partitions, whatever AQE would otherwise coalesce differently, and a
-lost executor recomputes nothing upstream of the sort.
+Right after the sort each row is stamped with its sort partition and its
+position id, and the stamped rows are written once to the shared checkpoint
+folder: the count branch and the row branch then read identical stored values
+(whatever AQE would coalesce differently on a recomputation), and a lost
+executor re-reads instead of re-sorting.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctrltok.session import checkpoint_dir
+from ctrltok.session import materialize
 
 
 def global_index(df: DataFrame, order_by: Sequence[Column | str], group_by: Sequence[str] = (),
@@ -30,9 +31,9 @@ def global_index(df: DataFrame, order_by: Sequence[Column | str], group_by: Sequ
     broken by a unique key) for the numbering to be deterministic."""
     keys = [F.col(g) for g in group_by] + [F.col(c) if isinstance(c, str) else c for c in order_by]
     # one range-partitioned sort; partitions are ordered, rows sorted within them
-    checkpoint_dir(df.sparkSession)
-    ranged = df.orderBy(*keys).checkpoint(eager=True)
-    tagged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    ranged = df.orderBy(*keys)
+    stamped = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    tagged = materialize(stamped, "numbered")
     gcols = list(group_by)
     counts = tagged.groupBy(*gcols, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     w = Window.partitionBy(*gcols).orderBy("_part") if gcols else Window.orderBy("_part")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ctrltok.functions import text as T
 from ctrltok.operators.numbering import global_index
+from ctrltok.session import materialize as materialize_table
 
 
 def ranks_from_vectors(lines: DataFrame, keys: tuple[str, ...] = ("lang",), lang: str = "en") -> DataFrame:
@@ -36,10 +37,17 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return toks.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def ranks_from_corpus(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(lang, word, cnt, rank)``, rank 1 = most frequent word of the language."""
+def ranks_from_corpus(texts: DataFrame, text_col: str = "text", materialize: bool = True) -> DataFrame:
+    """``(lang, word, cnt, rank)``, rank 1 = most frequent word of the language.
+
+    The rank table is a product that every frequency feature looks up (the
+    reference keeps it as a file per language), so by default it is
+    written into the shared checkpoint folder once; later lookups, the
+    vocabulary-size aggregate and the out-of-vocabulary default all scan that
+    table instead of re-running the numbering."""
     counts = token_counts(texts, text_col)
-    return global_index(counts, [F.col("cnt").desc(), F.col("word")], group_by=["lang"], out="rank", start=1)
+    ranked = global_index(counts, [F.col("cnt").desc(), F.col("word")], group_by=["lang"], out="rank", start=1)
+    return materialize_table(ranked, "ranks") if materialize else ranked
 
 
 def rank_summary(ranks: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def r6(c) -> F.Column:
 
 def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank table derived from the documents' token counts."""
-    return R.ranks_from_corpus(TB.table(spark, sf_dir, "documents").select("lang", "text"))
+    return R.ranks_from_corpus(TB.text_table(spark, sf_dir, "documents").select("lang", "text"))
 
 
 # ---------------------------------------------------------------------------

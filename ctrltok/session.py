@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: adaptive execution (runtime join selection,
 # partition coalescing, skew-join splitting), Arrow for pandas UDFs, and a UTC
@@ -60,3 +61,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="ctrltok-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet into the shared checkpoint folder and read
+    it back: lineage is cut, the data is computed exactly once, a lost executor
+    re-reads instead of recomputing, and the read-back scan carries file-size
+    statistics for AQE's join planning."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

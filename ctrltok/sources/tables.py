@@ -25,6 +25,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
+        return None
+
+
+def _bytes(v: str) -> int:
+    """Parse a Spark byte-size setting ("134217728b", "128m", "1g")."""
+    v = v.strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for u in sorted(units, key=len, reverse=True):
+        if v.endswith(u) and v[: -len(u)].isdigit():
+            return int(v[: -len(u)]) * units[u]
+    return int(v)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a *small* input over all cores.
+
+    A file with a single row group is read by one task however many splits it
+    has, which serialises CPU-heavy per-row work (tokenising) on small inputs.
+    When the whole input is smaller than one file split per core, redistribute
+    it round-robin; a large input (anything that already fills the cluster)
+    keeps its scan partitioning and is never shuffled here."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    size = estimated_bytes(df)
+    if size is not None and size < split * cores:
+        return df.repartition(cores)
+    return df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry long texts, balanced for per-row CPU work."""
+    return balanced(table(spark, sf_dir, name))
+
+
 def split_of(conv_id) -> F.Column:
     """Deterministic split assignment by conversation (every row kept)."""
     k = F.pmod(F.col(conv_id) if isinstance(conv_id, str) else conv_id, F.lit(10))
@@ -33,7 +73,7 @@ def split_of(conv_id) -> F.Column:
 
 def conversation_pairs(spark: SparkSession, sf_dir: str, strip: bool = True) -> DataFrame:
     """``(pair_id, conv_id, turn, lang, split, source, target)``; ``pair_id = conv_id*1000 + turn``."""
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    conv = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     nxt = conv.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     pairs = conv.withColumnRenamed("text", "source").join(nxt, ["conv_id", "turn"], "inner")
     src, tgt = (T.strip("source"), T.strip("target")) if strip else (F.col("source"), F.col("target"))
@@ -49,7 +89,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, strip: bool = True) ->
 def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pair_id, lang, source, target, output)``: turn t, t+1 and t+2 of a
     conversation (used as source, reference and system output)."""
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip("text").alias("text"))
+    conv = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip("text").alias("text"))
     t1 = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     t2 = conv.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("output"))
     j = conv.withColumnRenamed("text", "source").join(t1, ["conv_id", "turn"]).join(t2, ["conv_id", "turn"])
@@ -59,7 +99,7 @@ def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, file, line_no, line)``: every document as a line file."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file"), "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file"), "text")
     return docs.select("doc_id", "lang", "file",
                        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line")) \
                .withColumn("line_no", F.col("line_no").cast("long"))
