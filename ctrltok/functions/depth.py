@@ -38,9 +38,9 @@ def max_depths(heads_lists) -> np.ndarray:
             break
         dist = dist + dist[parent]
         parent = grand
-    else:
-        if not np.array_equal(parent[parent], parent):
-            raise ValueError("heads contain a cycle")
+    # converged pointers must end at real roots; a cycle collapses onto itself
+    if not np.array_equal(parent[parent], parent) or not np.all(is_root[parent]):
+        raise ValueError("heads contain a cycle")
     nonempty = lens > 0
     out[nonempty] = np.maximum.reduceat(dist, starts[nonempty])
     return out

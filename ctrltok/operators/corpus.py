@@ -23,10 +23,9 @@ def control_corpus(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     fs = key.split("_")
     df = feature_bundle(pairs, fs, ranks=ranks, binned=True)
     prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in fs})
-    return (df.withColumn("feature_set", F.lit(key))
-              .withColumn("prefix", prefix)
-              .withColumn("source_line", F.concat(F.col("prefix"), T.tokenized_text("source")))
-              .withColumn("target_line", T.tokenized_text("target")))
+    df = df.withColumns({"feature_set": F.lit(key), "prefix": prefix})
+    return df.withColumns({"source_line": F.concat(F.col("prefix"), T.tokenized_text("source")),
+                           "target_line": T.tokenized_text("target")})
 
 
 def parsed_corpus(lines: DataFrame, col: str = "source_line") -> DataFrame:

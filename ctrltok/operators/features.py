@@ -105,9 +105,8 @@ def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75,
     oov = F.ln(F.col("vocab").cast("double") + 1.0)
     out = (pairs.join(stats, "pair_id", "left")
            .join(F.broadcast(vocab_sizes(ranks)), "lang", "left"))
-    for s in sides:
-        out = out.withColumn(f"freq_{s}", F.coalesce(F.col(f"q_{s}"), oov)).drop(f"q_{s}")
-    return out.drop("vocab")
+    out = out.withColumns({f"freq_{s}": F.coalesce(F.col(f"q_{s}"), oov) for s in sides})
+    return out.drop("vocab", *[f"q_{s}" for s in sides])
 
 
 def by_pair(pairs: DataFrame) -> DataFrame:
@@ -142,14 +141,17 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
         if ranks is None:
             raise ValueError("the frequency feature needs a rank table")
         df = with_frequency(by_pair(df), ranks)
+    local = {}
     if "length" in fs:
-        df = df.withColumn("exact_length", length_ratio())
+        local["exact_length"] = length_ratio()
     if "dependency" in fs:
-        df = with_depth(df)
+        local["exact_dependency"] = depth_ratio_from(text_depth("source"), text_depth("target"))
     if "levenshtein" in fs:
-        df = df.withColumn("exact_levenshtein", edit_ratio())
+        local["exact_levenshtein"] = edit_ratio()
+    if local:
+        df = df.withColumns(local)
     if binned:
-        for f in fs:
-            df = (df.withColumn(f"bin_idx_{f}", B.bin_index(F.col(f"exact_{f}"), f))
-                    .withColumn(f"bin_{f}", B.bin_value(F.col(f"exact_{f}"), f)))
+        df = df.withColumns({k: v for f in fs for k, v in (
+            (f"bin_idx_{f}", B.bin_index(F.col(f"exact_{f}"), f)),
+            (f"bin_{f}", B.bin_value(F.col(f"exact_{f}"), f)))})
     return df
