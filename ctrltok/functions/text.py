@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's behaviour.
+# Fixed values (they define the semantics and must not change).
 #
 # * PUNCTUATION: the 32 ASCII punctuation characters, in code-point order.  A
 #   token is rejected when it is a substring of this string (so "()" is

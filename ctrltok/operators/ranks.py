@@ -41,7 +41,7 @@ def ranks_from_corpus(texts: DataFrame, text_col: str = "text", materialize: boo
     """``(lang, word, cnt, rank)``, rank 1 = most frequent word of the language.
 
     The rank table is a product that every frequency feature looks up (the
-    reference keeps it as a file per language), so by default it is
+    table is kept as a file per language), so by default it is
     written into the shared checkpoint folder once; later lookups, the
     vocabulary-size aggregate and the out-of-vocabulary default all scan that
     table instead of re-running the numbering."""
@@ -78,3 +78,22 @@ def vocabulary(pairs: DataFrame) -> DataFrame:
     counts = toks.select("side", F.explode("toks").alias("token")).groupBy("side", "token") \
                  .agg(F.count(F.lit(1)).alias("cnt"))
     return global_index(counts, [F.col("cnt").desc(), F.col("token")], group_by=["side"], out="freq_rank", start=1)
+
+
+def save_ranks(ranks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rank tables per language (``lang=<x>`` folders; partition pruning on load)."""
+    ranks.select("lang", "word", "rank").write.mode(mode).partitionBy("lang").parquet(path)
+
+
+def load_ranks(spark, path: str, lang: str | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.where(F.col("lang") == lang) if lang else df
+
+
+def ranks_from_json(spark, path: str, lang: str) -> DataFrame:
+    """Import a ``{"word": rank, ...}`` JSON object file: one object per file is
+    parsed as a map and exploded into rows (the object is read whole by one
+    task, as a JSON object cannot be split; keep such files per language)."""
+    raw = spark.read.text(path, wholetext=True)
+    m = F.from_json(F.col("value"), "MAP<STRING,BIGINT>")
+    return raw.select(F.explode(m).alias("word", "rank")).select(F.lit(lang).alias("lang"), "word", "rank")

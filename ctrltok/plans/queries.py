@@ -55,6 +55,17 @@ def q_control_corpus(spark, sf_dir):
                      "prefix", "source_line", "target_line")
 
 
+@query("control_corpus_all")
+def q_control_corpus_all(spark, sf_dir):
+    """All four features (the usual preprocessing configuration).  No SQL oracle:
+    the edit similarity needs an LCS; checked against brute force in tests."""
+    feats = B.FEATURES
+    pairs = TB.conversation_pairs(spark, sf_dir)
+    cc = C.control_corpus(pairs, feats, ranks=doc_ranks(spark, sf_dir))
+    return cc.select("pair_id", "split", "feature_set", *[r6(f"exact_{f}").alias(f"exact_{f}") for f in feats],
+                     "prefix", "source_line", "target_line")
+
+
 @query("control_corpus_length")
 def q_control_corpus_length(spark, sf_dir):
     pairs = TB.conversation_pairs(spark, sf_dir)

@@ -1,7 +1,7 @@
 """Writers for corpora and reports.
 
 Partitioned parquet is the primary format (partition pruning by language,
-feature set and split replaces the reference's directory layout).  Plain-text
+feature set and split replaces a directory-per-corpus layout).  Plain-text
 exports keep line order without funnelling rows through one task: rows are
 range-partitioned by their line number and sorted inside each partition, so
 the part files, read in name order, are the corpus in order.

@@ -394,3 +394,26 @@ def test_repartition_invariance(pairs, ranks):
     b = C.control_corpus(pairs.repartition(8), ["length", "frequency", "dependency"], ranks=ranks)
     cols = ["pair_id", "prefix", "source_line", "target_line"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_rank_save_load_json(spark, tmpdir_path):
+    ranks = spark.createDataFrame([("en", "a", 1), ("de", "b", 1)], "lang string, word string, rank long")
+    p = os.path.join(tmpdir_path, "ranks")
+    R.save_ranks(ranks, p)
+    assert [r["word"] for r in R.load_ranks(spark, p, "de").collect()] == ["b"]
+    jp = os.path.join(tmpdir_path, "ranks.json")
+    with open(jp, "w") as fh:
+        fh.write('{"the": 1, "cat": 2}')
+    assert {r["word"]: r["rank"] for r in R.ranks_from_json(spark, jp, "en").collect()} == {"the": 1, "cat": 2}
+
+
+def test_depth_from_heads_table(spark):
+    from ctrltok.operators import tree
+
+    rows = [(1, 0, 0, 0, -1), (1, 0, 0, 1, 0), (1, 0, 0, 2, 1),       # source sentence 0: depth 2
+            (1, 0, 1, 0, -1), (1, 0, 1, 1, 0),                          # source sentence 1: depth 1
+            (1, 1, 0, 0, -1)]                                           # target: single node
+    h = spark.createDataFrame(rows, "pair_id long, side int, sent_no int, token_no int, head_no int")
+    r = tree.depth_ratio_from_heads(h).first()
+    assert (r["depth_source"], r["depth_target"]) == (2, 0)
+    assert r["depth_ratio"] == pytest.approx(0.5 / 2)

@@ -31,7 +31,7 @@ def duck():
 
 def test_every_query_has_oracle_or_brute_force():
     no_sql = set(E.queries()) - set(E.oracle_sql())
-    assert no_sql == {"edit_ratio"}
+    assert no_sql == {"edit_ratio", "control_corpus_all"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
@@ -64,3 +64,20 @@ def test_edit_ratio_against_dp_on_whole_texts(spark, duck):
     for k, (a, b) in texts.items():
         want = 1.0 if not a and not b else 2 * dp_lcs(a, b) / (len(a) + len(b))
         assert math.isclose(got[k], round(want, 6), abs_tol=1e-9), k
+
+
+def test_control_corpus_all_against_parts(spark):
+    """The four-feature corpus = the three-feature oracle-checked corpus plus the
+    brute-force-checked edit similarity, rendered in alphabetical order."""
+    from ctrltok.functions.bins import edge_values
+
+    allq = {r["pair_id"]: r for r in E.queries()["control_corpus_all"](spark, SF).collect()}
+    three = {r["pair_id"]: r for r in E.queries()["control_corpus"](spark, SF).collect()}
+    lev = {r["pair_id"]: r["edit_ratio"] for r in E.queries()["edit_ratio"](spark, SF).collect()}
+    edges = edge_values("levenshtein")
+    assert set(allq) == set(three)
+    for k, r in allq.items():
+        v = next((e for e in edges if e >= r["exact_levenshtein"]), edges[-1])
+        assert r["exact_levenshtein"] == lev[k]
+        assert r["prefix"] == three[k]["prefix"] + f"<Leven_{round(v, 2)}> "
+        assert r["target_line"] == three[k]["target_line"]
