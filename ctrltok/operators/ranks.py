@@ -97,3 +97,12 @@ def ranks_from_json(spark, path: str, lang: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), "MAP<STRING,BIGINT>")
     return raw.select(F.explode(m).alias("word", "rank")).select(F.lit(lang).alias("lang"), "word", "rank")
+
+
+def read_rank_vectors(spark, path: str, lang: str) -> DataFrame:
+    """A word-vector text file (header, then ``word v1 v2 ...`` by descending
+    frequency) -> ``(lang, word, rank)``."""
+    from ctrltok.sources.lines import read_lines
+
+    lines = read_lines(spark, path).select(F.lit(lang).alias("lang"), "line_no", "value")
+    return ranks_from_vectors(lines, keys=("lang",))

@@ -278,7 +278,7 @@ def _snapped_prefix() -> str:
 
 oracle("infer_prefix", f"""
 WITH {S.doc_lines_cte()}
-SELECT doc_id, line_no, {_snapped_prefix()} || {S.tokenized('line')} AS model_input FROM doc_lines WHERE line <> ''
+SELECT doc_id, line_no, {_snapped_prefix()} || {S.tokenized('line')} AS model_input FROM doc_lines
 """)
 
 # ---------------------------------------------------------------------------
@@ -361,8 +361,8 @@ SELECT feature, bin, split, count(*) AS cnt FROM k GROUP BY GROUPING SETS ((feat
 
 _HYPS = """hyps AS (
   SELECT conv_id AS sample_id, conv_id * 2000 + turn * 2 + 1 AS log_no,
-         CAST('-0.' || CAST(turn AS VARCHAR) AS DOUBLE) AS score, text
-  FROM conversations WHERE NOT contains(text, chr(10))
+         CAST('-0.' || CAST(turn AS VARCHAR) AS DOUBLE) AS score, replace(text, chr(10), ' ') AS text
+  FROM conversations
 )"""
 
 oracle("hyp_parse", f"""

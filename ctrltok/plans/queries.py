@@ -18,6 +18,7 @@ from ctrltok.functions import text as T
 from ctrltok.operators import corpus as C
 from ctrltok.operators import features as FE
 from ctrltok.operators import ranks as R
+from ctrltok.session import materialize
 from ctrltok.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,7 +306,7 @@ INFER_REQUEST = {"dependency": 0.8, "frequency": 0.95, "length": 0.78, "levensht
 
 @query("infer_prefix")
 def q_infer_prefix(spark, sf_dir):
-    dl = TB.document_lines(spark, sf_dir).where(F.col("line") != "")
+    dl = TB.document_lines(spark, sf_dir)
     out = C.inference_corpus(dl, INFER_REQUEST, col="line")
     return out.select("doc_id", "line_no", "model_input")
 
@@ -344,7 +345,8 @@ def q_value_counts(spark, sf_dir):
 
 @query("hist_equal_width")
 def q_hist_equal_width(spark, sf_dir):
-    long = PR.long_features(_bundle(spark, sf_dir), CONTROL_FEATURES)
+    # two passes over the values (bounds, then bins): the values are written once
+    long = materialize(PR.long_features(_bundle(spark, sf_dir), CONTROL_FEATURES), "feature_values")
     h = PR.hist_equal_width(long)
     return h.select("feature", "bin", "cnt", "n_bins", r6("bin_lo").alias("bin_lo"))
 
@@ -380,7 +382,9 @@ def _match_rows(spark, sf_dir):
                             CONTROL_FEATURES, ranks=ranks)
     prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in CONTROL_FEATURES})
     rows = req.select("pair_id", "lang", F.concat(prefix, T.tokenized_text("source")).alias("source_line"), "output")
-    return rows, ranks
+    # the prefixed corpus is a stored product (evaluation reads it back); writing it
+    # once also keeps the match and the totals from re-deriving it per branch
+    return materialize(rows, "requested_corpus"), ranks
 
 
 @query("feature_match")

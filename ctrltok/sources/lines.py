@@ -70,3 +70,13 @@ def pair_tsv(pairs: DataFrame, sort_by_length: bool = True) -> DataFrame:
     out = pairs.withColumn("n_words", F.size(T.split_words("source")).cast("long")) \
                .withColumn("tsv", F.concat_ws("\t", "source", "target"))
     return out.orderBy("n_words", "line_no") if sort_by_length else out.orderBy("line_no")
+
+
+def read_pairs(spark: SparkSession, src_path: str, tgt_path: str, strip: bool = True, strict: bool = True,
+               n_lines: int | None = None) -> DataFrame:
+    """Read a source and a target line file in lock-step by line number:
+    ``(line_no, source, target)``.  ``strict`` fails the job when the files have
+    different lengths; otherwise the longer file's extra lines pair with NULL."""
+    s = read_lines(spark, src_path, n_lines).select(F.lit(0).alias("unit"), "line_no", F.col("value").alias("line"))
+    t = read_lines(spark, tgt_path, n_lines).select(F.lit(0).alias("unit"), "line_no", F.col("value").alias("line"))
+    return pair_lines(s, t, keys=["unit"], how="full", strip=strip, strict=strict).drop("unit")

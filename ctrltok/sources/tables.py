@@ -106,10 +106,11 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hypothesis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model-output log lines rendered from single-line conversation texts:
+    """Model-output log lines rendered from every conversation turn:
     ``S-<conv>\\t<text>`` and ``H-<conv>\\t-0.<turn>\\t<text>`` (one column ``value``,
-    plus the log position ``log_no``)."""
-    conv = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n"))
+    plus the log position ``log_no``).  A log line holds one line of text, so
+    newlines inside a turn are written as spaces (as a decoder prints them)."""
+    conv = text_table(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
     h = conv.select((F.col("conv_id") * 2000 + F.col("turn") * 2 + 1).alias("log_no"),
                     F.format_string("H-%d\t-0.%d\t%s", "conv_id", "turn", "text").alias("value"))
     s = conv.select((F.col("conv_id") * 2000 + F.col("turn") * 2).alias("log_no"),

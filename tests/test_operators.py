@@ -417,3 +417,15 @@ def test_depth_from_heads_table(spark):
     r = tree.depth_ratio_from_heads(h).first()
     assert (r["depth_source"], r["depth_target"]) == (2, 0)
     assert r["depth_ratio"] == pytest.approx(0.5 / 2)
+
+
+def test_read_pairs_and_vector_file(spark, tmpdir_path):
+    src, tgt, vec = (os.path.join(tmpdir_path, n) for n in ("a.src", "a.tgt", "cc.vec"))
+    open(src, "w").write(" one\ntwo \nthree\n")
+    open(tgt, "w").write("uno\ndos\n")
+    with pytest.raises(Exception):
+        L.read_pairs(spark, src, tgt).collect()                   # strict: unequal lengths
+    got = sorted(tuple(r) for r in L.read_pairs(spark, src, tgt, strict=False).collect())
+    assert got == [(0, "one", "uno"), (1, "two", "dos"), (2, "three", None)]
+    open(vec, "w").write("3 2\nthe 0.1 0.2\ncat 0.3 0.4\n")
+    assert {r["word"]: r["rank"] for r in R.read_rank_vectors(spark, vec, "en").collect()} == {"the": 1, "cat": 2}
