@@ -2,10 +2,9 @@
 
 The tables of the input folder are pre-registered as views.  Every statement
 computes the same thing as its Spark twin from scratch, in plain SQL, over the
-whole tables.  Queries that need an LCS (edit similarity) have no oracle here:
-SQL has no edit-similarity function with substitution cost 2 and a recursive
-formulation over whole texts is impractical; they are checked against a
-dynamic-programming brute force in ``tests/``.
+whole tables.  The edit similarity (an LCS, for which SQL has no function)
+is a recursive anti-diagonal dynamic program over whole texts; the tests also
+check it against a plain dynamic-programming brute force.
 """
 
 from __future__ import annotations
@@ -48,6 +47,19 @@ SELECT pair_id, split, 'dependency_frequency_length' AS feature_set,
 FROM binned
 """)
 
+oracle("control_corpus_all", f"""
+WITH RECURSIVE {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}, {S.depth_cte()}, {S.features_cte()}, {S.lcs_cte()},
+all4 AS (SELECT b.*, l.lev AS exact_levenshtein, {S.bin_value('l.lev', 'levenshtein')} AS bin_levenshtein
+         FROM binned b JOIN lev l USING (pair_id))
+SELECT pair_id, split, 'dependency_frequency_length_levenshtein' AS feature_set,
+       round(exact_dependency, 6) AS exact_dependency, round(exact_frequency, 6) AS exact_frequency,
+       round(exact_length, 6) AS exact_length, round(exact_levenshtein, 6) AS exact_levenshtein,
+       {S.prefix3()} || {S.token('levenshtein', 'bin_levenshtein')} AS prefix,
+       {S.prefix3()} || {S.token('levenshtein', 'bin_levenshtein')} || {S.tokenized('source')} AS source_line,
+       {S.tokenized('target')} AS target_line
+FROM all4
+""")
+
 oracle("control_corpus_length", f"""
 WITH {S.pairs_cte()},
 feat AS (
@@ -219,6 +231,11 @@ WITH {S.pairs_cte()}
 SELECT pair_id, length(target)::DOUBLE AS length_abs FROM pairs
 """)
 
+oracle("edit_ratio", f"""
+WITH RECURSIVE {S.pairs_cte()}, {S.lcs_cte()}
+SELECT pair_id, round(lev, 6) AS edit_ratio FROM lev
+""")
+
 oracle("tree_depth", f"""
 WITH RECURSIVE {S.pairs_cte()}, {S.depth_cte()}
 SELECT pair_id, depth_source, depth_target FROM depth

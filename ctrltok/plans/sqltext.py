@@ -166,3 +166,36 @@ def doc_lines_cte() -> str:
 
 def ngrams(toks: str, n: int) -> str:
     return f"list_transform(range(len({toks}) - {n} + 1), lambda i: array_to_string({toks}[i + 1:i + {n}], ' '))"
+
+
+def lcs_cte(pairs: str = "pairs", sfx: str = "") -> str:
+    """Edit similarity ``2 * LCS / (|a| + |b|)`` on whole texts, by anti-diagonals
+    (needs WITH RECURSIVE).  Cells on one anti-diagonal depend only on the two
+    previous diagonals, so each recursion step is one ``list_transform`` over
+    the valid cells of the next diagonal (stored with their first row index
+    ``lo``); ``USING KEY`` keeps only the latest two diagonals per pair.  The
+    shorter text indexes the diagonal.  Defines ``lev{sfx}(pair_id, lev)``."""
+    diag = """list_transform(range(greatest(0, dp.d + 1 - pr.m), least(pr.n, dp.d + 1) + 1), lambda i:
+           CASE WHEN i = 0 OR dp.d + 1 - i = 0 THEN 0
+                WHEN pr.a[i] = pr.b[dp.d + 1 - i] THEN coalesce(dp.p2[i - dp.lo2], 0) + 1
+                ELSE greatest(coalesce(dp.p1[i - dp.lo1], 0), coalesce(dp.p1[i - dp.lo1 + 1], 0)) END)"""
+    return f"""lcs_in{sfx} AS (
+  SELECT pair_id, CASE WHEN length(source) <= length(target) THEN source ELSE target END AS x,
+                  CASE WHEN length(source) <= length(target) THEN target ELSE source END AS y
+  FROM {pairs}
+), lcs_pr{sfx} AS (
+  SELECT pair_id, length(x) AS n, length(y) AS m,
+         list_transform(range(1, length(x) + 1), lambda k: substring(x, k, 1)) AS a,
+         list_transform(range(1, length(y) + 1), lambda k: substring(y, k, 1)) AS b
+  FROM lcs_in{sfx}
+), lcs_dp{sfx}(pair_id, d, lo2, p2, lo1, p1) USING KEY (pair_id) AS (
+  SELECT pair_id, 1, 0, [0], greatest(0, 1 - m), list_transform(range(greatest(0, 1 - m), least(n, 1) + 1), lambda i: 0)
+  FROM lcs_pr{sfx}
+  UNION
+  SELECT dp.pair_id, dp.d + 1, dp.lo1, dp.p1, greatest(0, dp.d + 1 - pr.m), {diag}
+  FROM lcs_dp{sfx} dp JOIN lcs_pr{sfx} pr USING (pair_id) WHERE dp.d < pr.n + pr.m
+), lev{sfx} AS (
+  SELECT dp.pair_id, CASE WHEN pr.n + pr.m = 0 THEN 1.0
+                          ELSE 2.0 * coalesce(dp.p1[pr.n - dp.lo1 + 1], 0) / (pr.n + pr.m) END AS lev
+  FROM lcs_dp{sfx} dp JOIN lcs_pr{sfx} pr USING (pair_id)
+)"""
