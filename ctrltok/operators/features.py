@@ -109,10 +109,17 @@ def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75,
     return out.drop("vocab", *[f"q_{s}" for s in sides])
 
 
-def by_pair(pairs: DataFrame) -> DataFrame:
+def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """Hash-partition pairs by ``pair_id`` once so downstream per-pair
-    aggregations and joins do not shuffle again."""
-    return pairs.repartition("pair_id")
+    aggregations and joins do not shuffle again.
+
+    The partition count is the session's ``spark.sql.shuffle.partitions`` (sized
+    by the cluster for its data), given explicitly: the stages after this
+    exchange are CPU-bound per pair (tokenising, exploding, percentiles, UDFs),
+    and a byte-size-driven AQE coalesce would squeeze small-but-expensive pair
+    data into a few tasks."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return pairs.repartition(n, key)
 
 
 def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, out: str = "exact_frequency") -> DataFrame:

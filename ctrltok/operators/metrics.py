@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ctrltok.functions import text as T
+from ctrltok.operators.features import by_pair
 from ctrltok.operators.numbering import global_index
 
 MAX_N = 4
@@ -118,7 +119,7 @@ def _ratio(num: Column, den: Column) -> Column:
 def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: str = "ref_tokens",
          key: str = "pair_id") -> DataFrame:
     """Per sentence ``(key, keep, deletion, addition, sari)`` on a 0-100 scale."""
-    keyed = df.select(key, src, hyp, ref).repartition(key)
+    keyed = by_pair(df.select(key, src, hyp, ref), key)
     rows = ngram_rows(keyed, {"s": src, "c": hyp, "r": ref}, key)
     g = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == "s").alias("s"),
                                            F.count_if(F.col("role") == "c").alias("c"),

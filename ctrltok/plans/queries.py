@@ -44,9 +44,19 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+_RANK_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank table derived from the documents' token counts."""
-    return R.ranks_from_corpus(TB.text_table(spark, sf_dir, "documents").select("lang", "text"))
+    """Rank table derived from the documents' token counts.
+
+    Like a saved rank file, it is built once per input folder and session
+    (written to the checkpoint folder) and then read by every query that looks
+    words up; a new session rebuilds it."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _RANK_TABLES:
+        _RANK_TABLES[key] = R.ranks_from_corpus(TB.text_table(spark, sf_dir, "documents").select("lang", "text"))
+    return _RANK_TABLES[key]
 
 
 # ---------------------------------------------------------------------------
