@@ -48,6 +48,18 @@ def feature_combinations(spark: SparkSession, features: Iterable[str] = B.FEATUR
             .withColumn("n_features", F.size("features")))
 
 
+def subsets_of(df: DataFrame, features: str = "features_requested", proper: bool = True) -> DataFrame:
+    """Per row, every (proper) non-empty subset of its feature list, in list
+    order: adds ``combo`` (bit mask over list positions) and ``subset``.  A row
+    with k features yields 2^k - 2 (or 2^k - 1) rows; k is at most 4."""
+    k = F.size(features)
+    hi = F.pow(F.lit(2), k).cast("int") - (2 if proper else 1)
+    masks = F.when(hi >= 1, F.sequence(F.lit(1), hi)).otherwise(F.array().cast("array<int>"))
+    out = df.withColumn("combo", F.explode(masks))
+    bit_set = lambda f, i: F.floor(F.col("combo") / F.pow(F.lit(2), i)) % 2 == 1
+    return out.withColumn("subset", F.filter(features, bit_set))
+
+
 def combination_list(features: Iterable[str] = B.FEATURES, proper: bool = True) -> list[list[str]]:
     """Driver-side twin of :func:`feature_combinations` (at most 15 subsets)."""
     names = sorted(features)

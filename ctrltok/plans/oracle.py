@@ -345,6 +345,22 @@ oracle("feature_ablation", f"""
 {_ablation_sql()}
 """)
 
+def _features_list(bits: str) -> str:
+    names = ", ".join(f"CASE WHEN ({bits} >> {i}) & 1 = 1 THEN '{f}' END" for i, f in enumerate(B.FEATURES))
+    return f"list_filter([{names}], lambda f: f IS NOT NULL)"
+
+
+oracle("feature_combinations", f"""
+WITH cfg AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS exp_id, {_features_list('((p_partkey % 15) + 1)')} AS feats FROM part
+), c AS (
+  SELECT exp_id, feats, unnest(generate_series(1, (1 << len(feats)) - 2)) AS combo FROM cfg
+), s AS (
+  SELECT exp_id, combo, list_filter(feats, lambda f, i: (combo >> (i - 1)) & 1 = 1) AS subset FROM c
+)
+SELECT exp_id, combo::BIGINT AS combo, array_to_string(subset, '_') AS feature_set, len(subset)::BIGINT AS n_features FROM s
+""")
+
 oracle("value_counts", f"""
 {_CONTROL_LINES},
 nv AS (SELECT split, regexp_extract_all(prefix, {S.NAME}, 1) AS names, regexp_extract_all(prefix, {S.VALUE}, 1) AS vals FROM parsed),

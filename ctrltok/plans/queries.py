@@ -346,6 +346,17 @@ def q_feature_ablation(spark, sf_dir):
     return a.select("pair_id", "feature_set", "ablated_line")
 
 
+@query("feature_combinations")
+def q_feature_combinations(spark, sf_dir):
+    """Ablation feature sets per experiment: every proper non-empty subset of the
+    features each experiment config requests."""
+    cfg = _configs(spark, sf_dir).select(EX.config_id("config_name").alias("exp_id"), "features_requested")
+    out = C.subsets_of(cfg)
+    return out.select("exp_id", F.col("combo").cast("long").alias("combo"),
+                      F.array_join("subset", "_").alias("feature_set"),
+                      F.size("subset").cast("long").alias("n_features"))
+
+
 @query("value_counts")
 def q_value_counts(spark, sf_dir):
     v = PR.control_values(_control_lines(spark, sf_dir))
