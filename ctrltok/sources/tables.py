@@ -33,6 +33,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+SMALL_SPLITS = 4
+
+
 def _bytes(v: str) -> int:
     """Parse a Spark byte-size setting ("134217728b", "128m", "1g")."""
     v = v.strip().lower()
@@ -48,14 +51,15 @@ def balanced(df: DataFrame) -> DataFrame:
 
     A file with a single row group is read by one task however many splits it
     has, which serialises CPU-heavy per-row work (tokenising) on small inputs.
-    When the whole input is smaller than one file split per core, redistribute
-    it round-robin; a large input (anything that already fills the cluster)
-    keeps its scan partitioning and is never shuffled here."""
+    An input of at most a few file splits (and fewer splits than cores) is
+    redistributed round-robin -- a shuffle of at most ``SMALL_SPLITS`` splits'
+    worth of bytes.  Anything larger keeps its scan partitioning and is never
+    shuffled here, however many cores the cluster has."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     size = estimated_bytes(df)
-    if size is not None and size < split * cores:
+    if size is not None and size < split * min(cores, SMALL_SPLITS):
         return df.repartition(cores)
     return df
 
