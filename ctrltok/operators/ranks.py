@@ -69,15 +69,32 @@ def rank_lookup(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
     return j.withColumn("raw_rank", raw.cast("long")).withColumn("log_rank", F.ln(raw.cast("double")))
 
 
-def vocabulary(pairs: DataFrame) -> DataFrame:
+# The special symbols a sequence-model dictionary starts with, in order.
+SPECIAL_SYMBOLS = ("<s>", "<pad>", "</s>", "<unk>")
+
+
+def vocabulary(pairs: DataFrame, specials: tuple[str, ...] = ()) -> DataFrame:
     """Per side, token counts in frequency order: ``(side, token, cnt, freq_rank)``
-    (the dictionary a sequence model is trained with)."""
+    (the dictionary a sequence model is trained with).  With ``specials`` (e.g.
+    :data:`SPECIAL_SYMBOLS`) those symbols take ranks 1..k with a NULL count and
+    the corpus tokens follow from k+1."""
     toks = pairs.select(F.inline(F.array(
         F.struct(F.lit("src").alias("side"), T.tokenize("source").alias("toks")),
         F.struct(F.lit("tgt").alias("side"), T.tokenize("target").alias("toks")))))
     counts = toks.select("side", F.explode("toks").alias("token")).groupBy("side", "token") \
                  .agg(F.count(F.lit(1)).alias("cnt"))
-    return global_index(counts, [F.col("cnt").desc(), F.col("token")], group_by=["side"], out="freq_rank", start=1)
+    if specials:
+        counts = counts.where(~F.col("token").isin(list(specials)))
+    ranked = global_index(counts, [F.col("cnt").desc(), F.col("token")], group_by=["side"], out="freq_rank",
+                          start=1 + len(specials))
+    if not specials:
+        return ranked
+    sides = F.array(F.lit("src"), F.lit("tgt"))
+    head = pairs.sparkSession.range(len(specials)).select(
+        F.explode(sides).alias("side"),
+        F.element_at(F.array(*[F.lit(x) for x in specials]), (F.col("id") + 1).cast("int")).alias("token"),
+        F.lit(None).cast("long").alias("cnt"), (F.col("id") + 1).alias("freq_rank"))
+    return ranked.select("side", "token", "cnt", "freq_rank").unionByName(head)
 
 
 def save_ranks(ranks: DataFrame, path: str, mode: str = "overwrite") -> None:

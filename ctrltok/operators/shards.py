@@ -27,11 +27,13 @@ def assign_shards(lines: DataFrame, lines_per_shard: int, skip: int = 0, split:
                  .withColumn("shard_name", F.concat(F.lit(f"{split}_"), F.col("shard").cast("string"))))
 
 
-def merge_shards(sharded: DataFrame, order: DataFrame, keys: tuple[str, ...] = (), line: str = "line") -> DataFrame:
+def merge_shards(sharded: DataFrame, order: DataFrame | None, keys: tuple[str, ...] = (), line: str = "line") -> DataFrame:
     """Concatenate shards in the order given by ``order`` (``(*keys, shard, pos)``),
     dropping empty lines, and renumber ``merged_line_no`` from 0 per key.  Shards
-    not listed are not part of the output.  (An unsharded split is simply not
-    passed through this operator: it is copied as it is.)"""
+    not listed are not part of the output.  ``order=None`` (an empty id list)
+    copies the split as it is, empty lines included."""
+    if order is None:
+        return sharded.withColumn("merged_line_no", F.col("line_no"))
     ks = list(keys)
     listed = sharded.join(order.select(*ks, "shard", "pos"), [*ks, "shard"], "inner")
     listed = listed.where(F.col(line) != "")

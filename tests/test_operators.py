@@ -429,3 +429,12 @@ def test_read_pairs_and_vector_file(spark, tmpdir_path):
     assert got == [(0, "one", "uno"), (1, "two", "dos"), (2, "three", None)]
     open(vec, "w").write("3 2\nthe 0.1 0.2\ncat 0.3 0.4\n")
     assert {r["word"]: r["rank"] for r in R.read_rank_vectors(spark, vec, "en").collect()} == {"the": 1, "cat": 2}
+
+
+def test_merge_copy_and_vocabulary_specials(spark):
+    lines = spark.createDataFrame([(0, "a"), (1, ""), (2, "b")], "line_no long, line string")
+    assert [r["merged_line_no"] for r in SH.merge_shards(lines, None).orderBy("line_no").collect()] == [0, 1, 2]
+    pairs = spark.createDataFrame([(1, "x y y", "z")], "pair_id long, source string, target string")
+    v = {(r["side"], r["token"]): (r["cnt"], r["freq_rank"]) for r in R.vocabulary(pairs, R.SPECIAL_SYMBOLS).collect()}
+    assert v[("src", "<s>")] == (None, 1) and v[("tgt", "<unk>")] == (None, 4)
+    assert v[("src", "y")] == (2, 5) and v[("src", "x")] == (1, 6) and v[("tgt", "z")] == (1, 5)
