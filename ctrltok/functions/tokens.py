@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ctrltok.functions.bins import FEATURES, TOKEN_NAMES
 
+# A control token is "<", a name, "_", a decimal number, ">"; the
+# prefix is a run of such tokens separated by zero or more spaces.
 CONTROL_TOKEN = r"<[A-Za-z][A-Za-z0-9]*_[0-9]+(?:\.[0-9]+)?>"
 PREFIX_PATTERN = rf"\A((?:{CONTROL_TOKEN} *)+)"
 NAME_PATTERN = r"<([A-Za-z][A-Za-z0-9]*)_"

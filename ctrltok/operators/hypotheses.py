@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: a hypothesis line is "H-", the sample id, a tab, a signed decimal
+# score, a tab, then the text (everything else in the log is ignored).
 HYP_PATTERN = r"(?s)\AH-([0-9]+)\t(-?[0-9]+\.[0-9]+)\t(.*)\z"
 
 

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from ctrltok.functions import bins as B
 from ctrltok.functions import tokens as K
 
+# Fixed values of the two histograms: equal-width bins between min and max
+# (80 per feature, 50 for levenshtein); fixed-edge bins of width 0.05 starting
+# at 0.01 (40 per feature, 20 for levenshtein).
+EQUAL_WIDTH_BINS = {"dependency": 80, "frequency": 80, "length": 80, "levenshtein": 50}
+FIXED_START, FIXED_WIDTH = 0.01, 0.05
+FIXED_BINS = {"dependency": 40, "frequency": 40, "length": 40, "levenshtein": 20}
+
 
 def control_values(lines: DataFrame, col: str = "source_line", keep: Iterable[str] = ("split",)) -> DataFrame:
     """Leading control tokens as rows ``(*keep, pos, name, value)`` (stops at the
@@ -42,7 +49,7 @@ def hist_equal_width(values: DataFrame, bins: dict[str, int] | None = None) -> D
     """Equal-width histogram per feature between its min and max (80 bins, 50 for
     levenshtein by default); the last bin is right-closed.  Empty bins are
     omitted.  ``values``: ``(feature, x)``."""
-    bins = bins or {"dependency": 80, "frequency": 80, "length": 80, "levenshtein": 50}
+    bins = bins or EQUAL_WIDTH_BINS
     nb = F.lit(None).cast("int")
     for f, n in bins.items():
         nb = F.when(F.col("feature") == f, F.lit(n)).otherwise(nb)
@@ -62,8 +69,10 @@ def hist_fixed(values: DataFrame, split: str | None = "split") -> DataFrame:
     """Histogram of binned values on fixed edges 0.01 + 0.05 i (40 bins; 20 for
     levenshtein), values outside dropped; per split and overall.
     ``values``: ``(feature, value[, split])``."""
-    nb = F.when(F.col("feature") == "levenshtein", F.lit(20)).otherwise(F.lit(40))
-    k = F.floor((F.col("value") - F.lit(0.01)) / F.lit(0.05)).cast("int")
+    nb = F.lit(None).cast("int")
+    for f, n in FIXED_BINS.items():
+        nb = F.when(F.col("feature") == f, F.lit(n)).otherwise(nb)
+    k = F.floor((F.col("value") - F.lit(FIXED_START)) / F.lit(FIXED_WIDTH)).cast("int")
     v = values.withColumn("bin", k).where((F.col("bin") >= 0) & (F.col("bin") < nb))
     if split:
         g = v.groupingSets([["feature", "bin", split], ["feature", "bin"]], "feature", "bin", split)

@@ -26,8 +26,8 @@ from ctrltok.operators import metrics as ME
 from ctrltok.operators import profile as PR
 from ctrltok.operators import ranks as R
 from ctrltok.operators import shards as SH
-from ctrltok.sources import lines as L
 from ctrltok.session import materialize
+from ctrltok.sources import lines as L
 from ctrltok.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,8 +77,8 @@ def q_control_corpus(spark, sf_dir):
 
 @query("control_corpus_all")
 def q_control_corpus_all(spark, sf_dir):
-    """All four features (the usual preprocessing configuration).  No SQL oracle:
-    the edit similarity needs an LCS; checked against brute force in tests."""
+    """All four features (the usual preprocessing configuration); the edit
+    similarity runs as the Arrow UDF over whole texts."""
     feats = B.FEATURES
     pairs = TB.conversation_pairs(spark, sf_dir)
     cc = C.control_corpus(pairs, feats, ranks=doc_ranks(spark, sf_dir))
@@ -106,7 +106,8 @@ SHARD_SKIP = 1
 
 def _doc_files(spark, sf_dir):
     """Documents paired as source/target line files: doc 2u is the source file and
-    doc 2u+1 the target file of unit u."""
+    doc 2u+1 the target file of unit u.  Every document is used (the parity
+    only says which side of its unit it is on)."""
     dl = TB.document_lines(spark, sf_dir)
     src = dl.where(F.col("doc_id") % 2 == 0).select((F.col("doc_id") / 2).cast("long").alias("unit"), "line_no", "line")
     tgt = dl.where(F.col("doc_id") % 2 == 1).select(((F.col("doc_id") - 1) / 2).cast("long").alias("unit"), "line_no", "line")
@@ -232,8 +233,9 @@ def q_freq_abs(spark, sf_dir):
 
 @query("rank_profile")
 def q_rank_profile(spark, sf_dir):
-    lr = FE.log_ranks(_pair_tokens(spark, sf_dir), doc_ranks(spark, sf_dir))
-    p = PR.rank_profile(lr)
+    # tokens stay on their pair's partition, so the per-(pair, side) aggregate needs no second shuffle
+    tokens = FE.side_tokens(FE.by_pair(TB.conversation_pairs(spark, sf_dir)))
+    p = PR.rank_profile(FE.log_ranks(tokens, doc_ranks(spark, sf_dir)))
     return p.select("pair_id", "side", *[r6(c).alias(c) for c in ("mean", "max", "sd", "median", "q1", "q3", "iqr")])
 
 
