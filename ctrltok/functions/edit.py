@@ -16,10 +16,19 @@ from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
+    # a common prefix and suffix are always part of some LCS: peel them off first
+    head = 0
+    limit = min(len(a), len(b))
+    while head < limit and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < limit - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
     if len(a) < len(b):
         a, b = b, a
     if not b:
-        return 0
+        return head + tail
     masks: dict[str, int] = {}
     for i, ch in enumerate(b):
         masks[ch] = masks.get(ch, 0) | (1 << i)
@@ -31,7 +40,7 @@ def lcs_length(a: str, b: str) -> int:
             continue
         u = s & m
         s = ((s + u) | (s - u)) & full
-    return len(b) - bin(s).count("1")
+    return head + tail + len(b) - s.bit_count()
 
 
 def similarity(a: str | None, b: str | None) -> float | None:

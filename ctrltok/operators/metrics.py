@@ -46,17 +46,21 @@ def metric_tokens(c) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Contiguous n-grams of a token array, tokens joined by one space."""
+    """Contiguous n-grams of a token array, tokens joined by one space (built
+    from element lookups; unigrams are the tokens themselves)."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    if n == 1:
+        return tokens
     idx = F.sequence(F.lit(0), F.size(tokens) - F.lit(n))
-    grams = F.transform(idx, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+    grams = F.transform(idx, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def ngram_rows(df: DataFrame, roles: dict[str, str], key: str = "pair_id", max_n: int = MAX_N) -> DataFrame:
-    """``(key, role, n, gram)`` for every n-gram of every role's token array."""
-    structs = [F.struct(F.lit(r).alias("role"), F.lit(n).alias("n"), ngrams(c, n).alias("grams"))
-               for r, c in roles.items() for n in range(1, max_n + 1)]
+    """``(key, role, n, gram)`` for every n-gram of every role's token array;
+    ``role`` is the position of the role in ``roles`` (a small int)."""
+    structs = [F.struct(F.lit(k).alias("role"), F.lit(n).alias("n"), ngrams(c, n).alias("grams"))
+               for k, c in enumerate(roles.values()) for n in range(1, max_n + 1)]
     per = df.select(key, F.inline(F.array(*structs)))
     return per.select(key, "role", "n", F.explode("grams").alias("gram"))
 
@@ -75,8 +79,8 @@ def drop_every(tokens, k: int = 4) -> Column:
 def bleu(df: DataFrame, hyp: str = "hyp_tokens", ref: str = "ref_tokens", key: str = "pair_id") -> DataFrame:
     """One row: ``bleu``, ``bp``, ``p1..p4``, ``hyp_len``, ``ref_len``."""
     rows = ngram_rows(df, {"h": hyp, "r": ref}, key)
-    counts = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == "h").alias("h"),
-                                               F.count_if(F.col("role") == "r").alias("r"))
+    counts = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == 0).alias("h"),
+                                               F.count_if(F.col("role") == 1).alias("r"))
     aggs = []
     for n in range(1, MAX_N + 1):
         on = F.col("n") == n
@@ -121,9 +125,9 @@ def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: s
     """Per sentence ``(key, keep, deletion, addition, sari)`` on a 0-100 scale."""
     keyed = by_pair(df.select(key, src, hyp, ref), key)
     rows = ngram_rows(keyed, {"s": src, "c": hyp, "r": ref}, key)
-    g = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == "s").alias("s"),
-                                           F.count_if(F.col("role") == "c").alias("c"),
-                                           F.count_if(F.col("role") == "r").alias("r"))
+    g = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == 0).alias("s"),
+                                           F.count_if(F.col("role") == 1).alias("c"),
+                                           F.count_if(F.col("role") == 2).alias("r"))
     s, c, r = F.col("s"), F.col("c"), F.col("r")
     g = (g.withColumn("k", F.least(s, c)).withColumn("kg", F.least(s, c, r)).withColumn("ka", F.least(s, r))
           .withColumn("d", F.greatest(s - c, F.lit(0))).withColumn("dg", F.greatest(s - c - r, F.lit(0)))
