@@ -90,9 +90,10 @@ def stop_words(language: str) -> tuple[str, ...]:
     that the JVM predicate and SQL oracles share one source of truth."""
     import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:  # pragma: no cover - only without a local pyspark distribution
-        raise RuntimeError("spark-mllib jar not found")
+    homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
+    jars = [j for h in homes if h for j in glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar"))]
+    if not jars:  # pragma: no cover - neither a pip pyspark nor SPARK_HOME
+        raise RuntimeError("spark-mllib jar not found (pyspark/jars or $SPARK_HOME/jars)")
     with zipfile.ZipFile(jars[0]) as z:
         words = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split()
     return tuple(words)

@@ -72,3 +72,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Make ``ctrltok`` importable on executors (the pandas UDFs are pickled by
+    reference): zip the package once and add it with ``addPyFile`` -- the
+    programmatic form of ``spark-submit --py-files``.  Not needed when the
+    package is installed on the executors' image."""
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="ctrltok-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "ctrltok"), "zip", root_dir=os.path.dirname(pkg), base_dir="ctrltok")
+    spark.sparkContext.addPyFile(archive)
+    return archive

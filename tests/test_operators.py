@@ -438,3 +438,13 @@ def test_merge_copy_and_vocabulary_specials(spark):
     v = {(r["side"], r["token"]): (r["cnt"], r["freq_rank"]) for r in R.vocabulary(pairs, R.SPECIAL_SYMBOLS).collect()}
     assert v[("src", "<s>")] == (None, 1) and v[("tgt", "<unk>")] == (None, 4)
     assert v[("src", "y")] == (2, 5) and v[("src", "x")] == (1, 6) and v[("tgt", "z")] == (1, 5)
+
+
+def test_ship_package(spark):
+    from ctrltok.session import ship_package
+
+    path = ship_package(spark)
+    import zipfile
+    assert "ctrltok/functions/edit.py" in zipfile.ZipFile(path).namelist()
+    df = spark.createDataFrame([("abc", "abd")], "a string, b string")
+    assert df.select(E.edit_ratio("a", "b")).first()[0] == pytest.approx(2 * 2 / 6)
