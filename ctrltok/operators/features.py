@@ -143,7 +143,8 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     unknown = set(fs) - set(B.FEATURES)
     if unknown:
         raise ValueError(f"unknown features {sorted(unknown)}")
-    df = pairs
+    # a corpus without a language column is English (the stop-list default)
+    df = pairs if "lang" in pairs.columns else pairs.withColumn("lang", F.lit("en"))
     if "frequency" in fs:
         if ranks is None:
             raise ValueError("the frequency feature needs a rank table")

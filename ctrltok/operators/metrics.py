@@ -209,24 +209,35 @@ def _block_max(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
 def embedding_match(vectors: DataFrame, sentence_pairs: DataFrame, block: int = 256) -> DataFrame:
     """Greedy cosine match between the token vectors of candidate and reference
     sentences.  ``vectors``: ``(sent, vec_id, embedding)``; ``sentence_pairs``:
-    ``(cand, ref)``.  Each sentence is cut into blocks of at most ``block``
-    vectors; every candidate block meets every reference block of its pair in
-    one vectorised matrix product, and only per-vector maxima leave the UDF, so
-    no row is ever emitted per token pair and no group exceeds one block."""
+    ``(cand, ref)``.
+
+    Each sentence is cut into blocks of at most ``block`` vectors.  The block
+    pairs are formed from block ids alone (three integers per row), and each
+    side's vectors are then joined in on its own ``(sentence, block)`` key, so
+    no shuffle carrying vectors is keyed by a (possibly huge) sentence.  Every
+    block pair is one vectorised matrix product in the UDF, and only per-vector
+    maxima leave it: no row is ever emitted per token pair, and no group
+    exceeds one block."""
     numbered = global_index(vectors, ["vec_id"], group_by=["sent"], out="pos")
     blocks = (numbered.withColumn("blk", F.floor(F.col("pos") / F.lit(block)))
               .groupBy("sent", "blk")
               .agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("vecs")))
+    ids = blocks.select("sent", "blk")
+    block_pairs = (sentence_pairs.select("cand", "ref")
+                   .join(ids.select(F.col("sent").alias("cand"), F.col("blk").alias("cblk")), "cand")
+                   .join(ids.select(F.col("sent").alias("ref"), F.col("blk").alias("rblk")), "ref"))
     c = blocks.select(F.col("sent").alias("cand"), F.col("blk").alias("cblk"), F.col("vecs").alias("cvecs"))
     r = blocks.select(F.col("sent").alias("ref"), F.col("blk").alias("rblk"), F.col("vecs").alias("rvecs"))
-    j = sentence_pairs.select("cand", "ref").join(c, "cand").join(r, "ref")
+    j = block_pairs.join(c, ["cand", "cblk"]).join(r, ["ref", "rblk"])
     mx = j.select("cand", "ref", F.col("cvecs.vec_id").alias("cids"), F.col("rvecs.vec_id").alias("rids"),
                   _block_max(F.col("cvecs.embedding"), F.col("rvecs.embedding")).alias("m"))
-    cbest = (mx.select("cand", "ref", F.inline(F.arrays_zip(F.col("cids").alias("vec_id"), F.col("m.cand_max").alias("s"))))
-             .groupBy("cand", "ref", "vec_id").agg(F.max("s").alias("s"))
-             .groupBy("cand", "ref").agg(F.avg("s").alias("precision")))
-    rbest = (mx.select("cand", "ref", F.inline(F.arrays_zip(F.col("rids").alias("vec_id"), F.col("m.ref_max").alias("s"))))
-             .groupBy("cand", "ref", "vec_id").agg(F.max("s").alias("s"))
-             .groupBy("cand", "ref").agg(F.avg("s").alias("recall")))
-    out = cbest.join(rbest, ["cand", "ref"])
+    # both directions leave the same rows (side 0: candidate vectors, side 1:
+    # reference vectors), so the matrix products run once
+    side = lambda k, ids, best: F.transform(
+        F.arrays_zip(F.col(ids).alias("vec_id"), F.col(best).alias("s")),
+        lambda x: F.struct(F.lit(k).alias("side"), x["vec_id"].alias("vec_id"), x["s"].alias("s")))
+    best = (mx.select("cand", "ref", F.inline(F.concat(side(0, "cids", "m.cand_max"), side(1, "rids", "m.ref_max"))))
+            .groupBy("cand", "ref", "side", "vec_id").agg(F.max("s").alias("s")))
+    out = best.groupBy("cand", "ref").agg(F.avg(F.when(F.col("side") == 0, F.col("s"))).alias("precision"),
+                                          F.avg(F.when(F.col("side") == 1, F.col("s"))).alias("recall"))
     return out.withColumn("f1", _f1(F.col("precision"), F.col("recall")))

@@ -448,3 +448,9 @@ def test_ship_package(spark):
     assert "ctrltok/functions/edit.py" in zipfile.ZipFile(path).namelist()
     df = spark.createDataFrame([("abc", "abd")], "a string, b string")
     assert df.select(E.edit_ratio("a", "b")).first()[0] == pytest.approx(2 * 2 / 6)
+
+
+def test_bundle_without_lang_column(spark, ranks):
+    df = spark.createDataFrame([(1, "the cat", "a cat")], "pair_id long, source string, target string")
+    out = FE.feature_bundle(df, ["frequency", "length"], ranks=ranks).first()
+    assert out["exact_length"] == pytest.approx(5 / 7) and out["exact_frequency"] > 0
