@@ -24,7 +24,7 @@ def rows(df):
 # ---------------------------------------------------------------- text
 
 def test_strip_unicode_whitespace(spark):
-    texts = ["  a b  ", " x　", "\t\n y  ", "", "​z"]
+    texts = ["  a b  ", " x\u3000", "\t\n y  ", "", "\u200bz", "\xa0nbsp\xa0", "\u2028line\u2029", "\x1cfs\x85"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(T.strip("t")).collect()]
     # zero-width space is not whitespace for Python either
