@@ -454,3 +454,19 @@ def test_bundle_without_lang_column(spark, ranks):
     df = spark.createDataFrame([(1, "the cat", "a cat")], "pair_id long, source string, target string")
     out = FE.feature_bundle(df, ["frequency", "length"], ranks=ranks).first()
     assert out["exact_length"] == pytest.approx(5 / 7) and out["exact_frequency"] > 0
+
+
+def test_balanced_only_touches_small_inputs(spark, tmpdir_path):
+    from ctrltok.sources.tables import balanced
+
+    p = os.path.join(tmpdir_path, "t.parquet")
+    spark.range(20000).selectExpr("id", "repeat('x', 50) AS s").coalesce(1).write.parquet(p)
+    small = balanced(spark.read.parquet(p))
+    assert "RoundRobinPartitioning" in small._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")      # now the file spans many splits
+    try:
+        big = balanced(spark.read.parquet(p))
+        assert "RoundRobinPartitioning" not in big._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
