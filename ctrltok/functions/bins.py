@@ -47,6 +47,11 @@ def bin_index(x, feature: str) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("int")).otherwise(fixed)
 
 
+def edge_of(k: Column) -> Column:
+    """The float64 edge with index ``k``."""
+    return _edge(k)
+
+
 def bin_value(x, feature: str) -> Column:
     """The edge value (float64) that ``x`` snaps to."""
     return _edge(bin_index(x, feature))

@@ -104,8 +104,23 @@ def stop_language(lang) -> Column:
     return F.when(F.lower(_col(lang)) == "de", F.lit("german")).otherwise(F.lit("english"))
 
 
+def _sql_string(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@functools.lru_cache(maxsize=None)
+def _stop_list_sql(language: str) -> str:
+    return ", ".join(_sql_string(w) for w in stop_words(language))
+
+
 def is_stop(token, lang) -> Column:
-    """Case-sensitive membership in the language's stop list (an InSet, no join)."""
+    """Case-sensitive membership in the language's stop list (an InSet, no join).
+    With column names the list is handed to the parser as one SQL expression
+    (one call to the JVM instead of one per word)."""
+    if isinstance(token, str) and isinstance(lang, str):
+        t, g = f"`{token}`", f"`{lang}`"
+        return F.expr(f"CASE WHEN lower({g}) = 'de' THEN {t} IN ({_stop_list_sql('german')}) "
+                      f"ELSE {t} IN ({_stop_list_sql('english')}) END")
     german = _col(token).isin(list(stop_words("german")))
     english = _col(token).isin(list(stop_words("english")))
     return F.when(F.lower(_col(lang)) == "de", german).otherwise(english)

@@ -84,7 +84,7 @@ def side_tokens(pairs: DataFrame, sides: Iterable[str] = SIDES) -> DataFrame:
 def log_ranks(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
     """Admitted tokens with ``lr = ln(rank + 1)``, or ``ln(vocab + 1)`` when
     the word is not in the rank table (case-sensitive lookup)."""
-    admitted = tokens.where(T.admitted(F.col("word"), F.col("lang")))
+    admitted = tokens.where(T.admitted("word", "lang"))
     # the rank table is joined without a hint: AQE broadcasts it from its measured
     # size when small and falls back to a (skew-split) sort-merge join otherwise
     looked = admitted.join(ranks.select("lang", "word", "rank"), ["lang", "word"], "left")
@@ -159,7 +159,6 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     if local:
         df = df.withColumns(local)
     if binned:
-        df = df.withColumns({k: v for f in fs for k, v in (
-            (f"bin_idx_{f}", B.bin_index(F.col(f"exact_{f}"), f)),
-            (f"bin_{f}", B.bin_value(F.col(f"exact_{f}"), f)))})
+        df = df.withColumns({f"bin_idx_{f}": B.bin_index(F.col(f"exact_{f}"), f) for f in fs})
+        df = df.withColumns({f"bin_{f}": B.edge_of(F.col(f"bin_idx_{f}")) for f in fs})
     return df

@@ -207,7 +207,7 @@ def q_vocabulary(spark, sf_dir):
 
 @query("rank_lookup")
 def q_rank_lookup(spark, sf_dir):
-    t = _pair_tokens(spark, sf_dir).where(T.admitted(F.col("word"), F.col("lang")))
+    t = _pair_tokens(spark, sf_dir).where(T.admitted("word", "lang"))
     lk = R.rank_lookup(t, doc_ranks(spark, sf_dir))
     return lk.select("pair_id", "side", F.col("token_no").cast("long").alias("token_no"), "word",
                      "raw_rank", r6("log_rank").alias("log_rank"))
