@@ -56,11 +56,16 @@ def ngrams(tokens, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_rows(df: DataFrame, roles: dict[str, str], key: str = "pair_id", max_n: int = MAX_N) -> DataFrame:
+def ngram_rows(df: DataFrame, roles: dict[str, str], key: str = "pair_id", max_n: int = MAX_N,
+               sentinel: bool = False) -> DataFrame:
     """``(key, role, n, gram)`` for every n-gram of every role's token array;
-    ``role`` is the position of the role in ``roles`` (a small int)."""
+    ``role`` is the position of the role in ``roles`` (a small int).  With
+    ``sentinel`` every row also emits one ``(role -1, n 0, '')`` row, so a key
+    with no n-grams at all still reaches a per-key aggregation."""
     structs = [F.struct(F.lit(k).alias("role"), F.lit(n).alias("n"), ngrams(c, n).alias("grams"))
                for k, c in enumerate(roles.values()) for n in range(1, max_n + 1)]
+    if sentinel:
+        structs.append(F.struct(F.lit(-1).alias("role"), F.lit(0).alias("n"), F.array(F.lit("")).alias("grams")))
     per = df.select(key, F.inline(F.array(*structs)))
     return per.select(key, "role", "n", F.explode("grams").alias("gram"))
 
@@ -124,7 +129,9 @@ def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: s
          key: str = "pair_id") -> DataFrame:
     """Per sentence ``(key, keep, deletion, addition, sari)`` on a 0-100 scale."""
     keyed = by_pair(df.select(key, src, hyp, ref), key)
-    rows = ngram_rows(keyed, {"s": src, "c": hyp, "r": ref}, key)
+    # the sentinel row keeps sentences without any n-gram in the output (score 0)
+    # without joining the scores back to the sentence list
+    rows = ngram_rows(keyed, {"s": src, "c": hyp, "r": ref}, key, sentinel=True)
     g = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == 0).alias("s"),
                                            F.count_if(F.col("role") == 1).alias("c"),
                                            F.count_if(F.col("role") == 2).alias("r"))
@@ -141,13 +148,12 @@ def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: s
         _ratio(F.count_if("ag"), F.count_if("aall")).alias("add_r"))
     per_n = per_n.withColumn("keep", _f1(F.col("keep_p"), F.col("keep_r"))) \
                  .withColumn("add", _f1(F.col("add_p"), F.col("add_r")))
+    real = F.col("n") > 0
     per_s = per_n.groupBy(key).agg(
-        (F.sum("keep") / F.lit(float(MAX_N))).alias("keep"),
-        (F.sum("del_p") / F.lit(float(MAX_N))).alias("deletion"),
-        (F.sum("add") / F.lit(float(MAX_N))).alias("addition"))
-    out = keyed.select(key).join(per_s, key, "left")
-    out = out.select(key, *[F.coalesce(c_, F.lit(0.0)).alias(c_) for c_ in ("keep", "deletion", "addition")])
-    return out.withColumn("sari", F.lit(100.0) * (F.col("keep") + F.col("deletion") + F.col("addition")) / F.lit(3.0))
+        (F.sum(F.when(real, F.col("keep")).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias("keep"),
+        (F.sum(F.when(real, F.col("del_p")).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias("deletion"),
+        (F.sum(F.when(real, F.col("add")).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias("addition"))
+    return per_s.withColumn("sari", F.lit(100.0) * (F.col("keep") + F.col("deletion") + F.col("addition")) / F.lit(3.0))
 
 
 def corpus_sari(per_sentence: DataFrame) -> DataFrame:
