@@ -20,6 +20,7 @@ from ctrltok.functions import bins as B
 from ctrltok.functions import depth as D
 from ctrltok.functions import edit as E
 from ctrltok.functions import text as T
+from ctrltok.sources.tables import estimated_bytes
 
 SIDES = ("source", "target")
 
@@ -109,17 +110,31 @@ def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75,
     return out.drop("vocab", *[f"q_{s}" for s in sides])
 
 
+# Text bytes per task for the CPU-bound per-pair stages.
+PAIR_BYTES_PER_TASK = 4 * 1024 * 1024
+
+
+def pair_partitions(pairs: DataFrame) -> int:
+    """Partition count for per-pair work: about ``PAIR_BYTES_PER_TASK`` of input
+    per task (Catalyst's size estimate), at least one per core and at most
+    ``spark.sql.shuffle.partitions``."""
+    spark = pairs.sparkSession
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    cores = spark.sparkContext.defaultParallelism
+    size = estimated_bytes(pairs)
+    want = cap if size is None else -(-size // PAIR_BYTES_PER_TASK)
+    return max(1, min(cap, max(cores, want)))
+
+
 def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """Hash-partition pairs by ``pair_id`` once so downstream per-pair
     aggregations and joins do not shuffle again.
 
-    The partition count is the session's ``spark.sql.shuffle.partitions`` (sized
-    by the cluster for its data), given explicitly: the stages after this
-    exchange are CPU-bound per pair (tokenising, exploding, percentiles, UDFs),
-    and a byte-size-driven AQE coalesce would squeeze small-but-expensive pair
-    data into a few tasks."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return pairs.repartition(n, key)
+    The partition count is given explicitly (:func:`pair_partitions`): the
+    stages after this exchange are CPU-bound per pair (tokenising, exploding,
+    percentiles, UDFs), and a byte-size-driven AQE coalesce would squeeze
+    small-but-expensive pair data into a few tasks."""
+    return pairs.repartition(pair_partitions(pairs), key)
 
 
 def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, out: str = "exact_frequency") -> DataFrame:
