@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from ctrltok.udfs import by_value
 from pyspark.sql.types import IntegerType
 
 
@@ -61,3 +63,8 @@ def synthetic_heads(tokens) -> Column:
     ``i - 1 - (length(token_i) % i)``; token 0 is the root."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     return F.transform(tokens, lambda t, i: F.when(i == 0, F.lit(-1)).otherwise(i - 1 - F.length(t) % i))
+
+
+# Ship this module's UDF code with the UDF itself (pickle by value), so Python
+# workers need only numpy/pandas, not an installed copy of this package.
+by_value(__name__)

@@ -12,6 +12,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from ctrltok.udfs import by_value
 from pyspark.sql.types import DoubleType
 
 
@@ -62,3 +64,8 @@ def edit_ratio(a, b) -> Column:
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     return _edit_ratio_udf(a, b)
+
+
+# Ship this module's UDF code with the UDF itself (pickle by value), so Python
+# workers need only numpy/pandas, not an installed copy of this package.
+by_value(__name__)

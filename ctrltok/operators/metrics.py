@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ctrltok.udfs import by_value
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ctrltok.functions import text as T
@@ -247,3 +249,8 @@ def embedding_match(vectors: DataFrame, sentence_pairs: DataFrame, block: int =
     out = best.groupBy("cand", "ref").agg(F.avg(F.when(F.col("side") == 0, F.col("s"))).alias("precision"),
                                           F.avg(F.when(F.col("side") == 1, F.col("s"))).alias("recall"))
     return out.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
+
+
+# Ship this module's UDF code with the UDF itself (pickle by value), so Python
+# workers need only numpy/pandas, not an installed copy of this package.
+by_value(__name__)
