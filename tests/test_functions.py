@@ -212,3 +212,12 @@ def test_synthetic_heads_and_udf(spark):
     assert h0[0] == -1 and all(0 <= h < i for i, h in enumerate(h0) if i > 0)
     assert got[0][1] == brute_depth(h0)
     assert got[1] == ([-1], 0) and got[2] == ([], 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60), st.text(max_size=60))
+def test_similarity_symmetric_and_bounded(a, b):
+    s = E.similarity(a, b)
+    assert s == E.similarity(b, a)
+    assert 0.0 <= s <= 1.0
+    assert (s == 1.0) == (a == b)
