@@ -84,8 +84,10 @@ def drop_every(tokens, k: int = 4) -> Column:
 # ---------------------------------------------------------------------------
 
 def bleu(df: DataFrame, hyp: str = "hyp_tokens", ref: str = "ref_tokens", key: str = "pair_id") -> DataFrame:
-    """One row: ``bleu``, ``bp``, ``p1..p4``, ``hyp_len``, ``ref_len``."""
-    rows = ngram_rows(df, {"h": hyp, "r": ref}, key)
+    """One row: ``bleu``, ``bp``, ``p1..p4``, ``hyp_len``, ``ref_len``.  Sentences
+    are partitioned by key first, so n-grams are counted where they are made and
+    only the per-order sums reach the final (single-row) aggregate."""
+    rows = ngram_rows(by_pair(df.select(key, hyp, ref), key), {"h": hyp, "r": ref}, key)
     counts = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == 0).alias("h"),
                                                F.count_if(F.col("role") == 1).alias("r"))
     aggs = []
