@@ -80,3 +80,31 @@ def read_pairs(spark: SparkSession, src_path: str, tgt_path: str, strip: bool =
     s = read_lines(spark, src_path, n_lines).select(F.lit(0).alias("unit"), "line_no", F.col("value").alias("line"))
     t = read_lines(spark, tgt_path, n_lines).select(F.lit(0).alias("unit"), "line_no", F.col("value").alias("line"))
     return pair_lines(s, t, keys=["unit"], how="full", strip=strip, strict=strict).drop("unit")
+
+
+# Split names, and the spelling accepted for the validation split.
+SPLITS = ("train", "valid", "test")
+SPLIT_ALIASES = {"val": "valid"}
+
+
+def split_name(file_col) -> F.Column:
+    """Split of a ``<split>.src`` / ``<split>.tgt`` (or ``<split>_<shard>.*``) file name."""
+    raw = F.regexp_extract(file_col, r"([^/_.]+)(?:_[0-9]+)?\.(?:src|tgt)$", 1)
+    out = raw
+    for alias, name in SPLIT_ALIASES.items():
+        out = F.when(raw == alias, F.lit(name)).otherwise(out)
+    return out
+
+
+def read_corpus(spark: SparkSession, folder: str, lang: str = "en", strip: bool = True,
+                strict: bool = True) -> DataFrame:
+    """Every ``<split>.src`` / ``<split>.tgt`` pair of a corpus folder as one pair
+    table ``(lang, split, line_no, source, target)``; the split comes from the
+    file name (``val`` is read as ``valid``) and lines pair up per split."""
+    base = folder.rstrip("/")
+    s = read_lines(spark, f"{base}/*.src").select(split_name(F.col("file")).alias("split"), "line_no",
+                                                  F.col("value").alias("line"))
+    t = read_lines(spark, f"{base}/*.tgt").select(split_name(F.col("file")).alias("split"), "line_no",
+                                                  F.col("value").alias("line"))
+    pairs = pair_lines(s, t, keys=["split"], how="full", strip=strip, strict=strict)
+    return pairs.select(F.lit(lang).alias("lang"), "split", "line_no", "source", "target")

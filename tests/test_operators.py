@@ -470,3 +470,14 @@ def test_balanced_only_touches_small_inputs(spark, tmpdir_path):
         assert "RoundRobinPartitioning" not in big._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_read_corpus_folder_with_val_alias(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "corpus")
+    os.makedirs(d)
+    for split, n in (("train", 3), ("val", 1), ("test", 2)):
+        open(os.path.join(d, f"{split}.src"), "w").write("".join(f"s{split}{i}\n" for i in range(n)))
+        open(os.path.join(d, f"{split}.tgt"), "w").write("".join(f"t{split}{i}\n" for i in range(n)))
+    got = sorted(tuple(r) for r in L.read_corpus(spark, d).collect())
+    assert ("en", "valid", 0, "sval0", "tval0") in got
+    assert sorted({r[1] for r in got}) == ["test", "train", "valid"] and len(got) == 6
