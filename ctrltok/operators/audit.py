@@ -22,12 +22,13 @@ def split_flags(lines: DataFrame, line: str = "line") -> DataFrame:
 def bad_split_counts(lines: DataFrame, expected: DataFrame, file: str = "file") -> DataFrame:
     """Per file: ``zb`` = lines starting with ``B.`` + lines ending with ``z.``
     (each counted separately) and ``ca`` = lines ending with ``ca.``; files of
-    ``expected`` with no such line appear with 0; ``file`` = NULL is the total."""
+    ``expected`` with no line at all appear with 0, files found but not expected
+    are counted too; ``file`` = NULL is the total."""
     flagged = split_flags(lines)
     per = flagged.groupBy(file).agg(
         (F.count_if("starts_b") + F.count_if("ends_z")).alias("zb"),
         F.count_if("ends_ca").alias("ca"))
-    filled = expected.select(file).distinct().join(per, file, "left") \
+    filled = expected.select(file).distinct().join(per, file, "full") \
                      .select(file, F.coalesce("zb", F.lit(0)).alias("zb"), F.coalesce("ca", F.lit(0)).alias("ca"))
     return filled.rollup(file).agg(F.sum("zb").cast("long").alias("zb"), F.sum("ca").cast("long").alias("ca"))
 

@@ -24,7 +24,8 @@ def realised_vs_requested(rows: DataFrame, features: Iterable[str], ranks: DataF
     """Rows ``(pair_id, name, requested, realised, match, delta)``, one per
     requested control token of a requested feature."""
     fs = sorted(set(features))
-    parsed = rows.select("pair_id", "lang", K.parse_tokens(line).alias("requested_map"),
+    lang = F.col("lang") if "lang" in rows.columns else F.lit("en")
+    parsed = rows.select("pair_id", lang.alias("lang"), K.parse_tokens(line).alias("requested_map"),
                          K.strip_prefix(line).alias("source"), F.col(output).alias("target"))
     feats = feature_bundle(parsed, fs, ranks=ranks, binned=True)
     realised_of = F.lit(None).cast("double")

@@ -564,7 +564,7 @@ fl AS (SELECT file, {S.strip('line')} AS s FROM doc_lines),
 per AS (SELECT file, count(*) FILTER (WHERE starts_with(s, 'B.')) + count(*) FILTER (WHERE ends_with(s, 'z.')) AS zb,
                count(*) FILTER (WHERE ends_with(s, 'ca.')) AS ca FROM fl GROUP BY file),
 ex AS (SELECT DISTINCT source AS file FROM documents),
-filled AS (SELECT ex.file, coalesce(per.zb, 0) AS zb, coalesce(per.ca, 0) AS ca FROM ex LEFT JOIN per USING (file))
+filled AS (SELECT file, coalesce(per.zb, 0) AS zb, coalesce(per.ca, 0) AS ca FROM ex FULL OUTER JOIN per USING (file))
 SELECT coalesce(file, 'total') AS file, sum(zb)::BIGINT AS zb, sum(ca)::BIGINT AS ca FROM filled GROUP BY ROLLUP (file)
 """)
 

@@ -222,10 +222,11 @@ def test_profiles(spark):
 
 
 def test_bad_splits(spark):
-    lines = spark.createDataFrame([("a", "B. rest"), ("a", "z."), ("a", "ca. "), ("b", "ok")], "file string, line string")
+    lines = spark.createDataFrame([("a", "B. rest"), ("a", "z."), ("a", "ca. "), ("b", "ok"), ("d", "etwa ca.")],
+                                  "file string, line string")
     expected = spark.createDataFrame([("a",), ("b",), ("c",)], "file string")
     got = {r["file"]: (r["zb"], r["ca"]) for r in AU.bad_split_counts(lines, expected).collect()}
-    assert got == {"a": (2, 1), "b": (0, 0), "c": (0, 0), None: (2, 1)}
+    assert got == {"a": (2, 1), "b": (0, 0), "c": (0, 0), "d": (0, 1), None: (2, 2)}
 
 
 def test_roundtrip(spark):
