@@ -30,9 +30,12 @@ def parse_metric_lines(lines: DataFrame, path: str = "file_path", value: str = "
 
 
 def read_metric_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Metric files (first line of each) -> parsed metrics."""
-    raw = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    return parse_metric_lines(raw.where(F.col("value") != ""))
+    """Metric files (the first line of each, stripped) -> parsed metrics."""
+    from ctrltok.functions.text import strip
+    from ctrltok.sources.lines import read_lines
+
+    first = read_lines(spark, pattern).where(F.col("line_no") == 0)
+    return parse_metric_lines(first.select(F.col("file").alias("file_path"), strip("value").alias("value")))
 
 
 def config_id(name) -> F.Column:
@@ -52,7 +55,7 @@ def overview(configs: DataFrame, metrics: DataFrame, allow: DataFrame | None = N
     """Experiment table: config parameters joined with metrics on the id."""
     c = configs.withColumn("exp_id", config_id("config_name"))
     if allow is not None:
-        c = c.join(allow.select("exp_id").distinct(), "exp_id", "left_semi")
+        c = c.join(allow.select("exp_id"), "exp_id", "left_semi")
     j = c.join(metrics, "exp_id", "inner")
     eff = F.coalesce(F.col("batch_size") * F.col("update_freq"), F.col("batch_size"))
     return j.select(

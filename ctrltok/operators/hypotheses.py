@@ -46,3 +46,12 @@ def missing_samples(hyps: DataFrame) -> DataFrame:
         return hyps.sparkSession.range(0).withColumnRenamed("id", "sample_id")
     ids = hyps.sparkSession.range(0, int(hi) + 1).withColumnRenamed("id", "sample_id")
     return ids.join(hyps.select("sample_id"), "sample_id", "left_anti")
+
+
+def read_hypotheses(spark, path: str) -> DataFrame:
+    """Parse a decoder log file: hypothesis lines in file order (``log_no`` is the
+    line number, so arrival order survives any partitioning)."""
+    from ctrltok.sources.lines import read_lines
+
+    lines = read_lines(spark, path).select(F.col("line_no").alias("log_no"), "value")
+    return parse_hypotheses(lines)

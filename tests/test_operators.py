@@ -482,3 +482,21 @@ def test_read_corpus_folder_with_val_alias(spark, tmpdir_path):
     got = sorted(tuple(r) for r in L.read_corpus(spark, d).collect())
     assert ("en", "valid", 0, "sval0", "tval0") in got
     assert sorted({r[1] for r in got}) == ["test", "train", "valid"] and len(got) == 6
+
+
+def test_read_metric_files(spark, tmpdir_path):
+    for e, body in (("5", "{'bleu': 9.5, 'sari': 37.35}\nsecond line ignored\n"), ("3", "{'bleu': 0.0, 'fkgl': 1.5}\n")):
+        d = os.path.join(tmpdir_path, "experiments", e, "checkpoints")
+        os.makedirs(d)
+        open(os.path.join(d, "evaluation.txt"), "w").write(body)
+    got = {r["exp_id"]: (r["bleu"], r["sari"], r["fkgl"])
+           for r in EX.read_metric_files(spark, os.path.join(tmpdir_path, "experiments", "*", "checkpoints", "evaluation.txt")).collect()}
+    assert got == {"5": (9.5, 37.35, None), "3": (0.0, None, 1.5)}
+
+
+def test_read_hypotheses_file(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "gen.out")
+    open(p, "w").write("S-1\tsource\nH-1\t-0.25\tbest one\nH-0\t-0.5\tzero\nH-1\t-0.75\tworse one\nP-1\t-0.1 -0.2\n")
+    h = HY.read_hypotheses(spark, p)
+    assert {r["sample_id"]: r["text"] for r in HY.best_hypotheses(h).collect()} == {0: "zero", 1: "best one"}
+    assert [r["texts"] for r in HY.group_hypotheses(h).where("sample_id = 1").collect()] == [["best one", "worse one"]]
