@@ -500,3 +500,13 @@ def test_read_hypotheses_file(spark, tmpdir_path):
     h = HY.read_hypotheses(spark, p)
     assert {r["sample_id"]: r["text"] for r in HY.best_hypotheses(h).collect()} == {0: "zero", 1: "best one"}
     assert [r["texts"] for r in HY.group_hypotheses(h).where("sample_id = 1").collect()] == [["best one", "worse one"]]
+
+
+def test_control_corpus_sink_partition_pruning(spark, pairs, ranks, tmpdir_path):
+    out = os.path.join(tmpdir_path, "cc")
+    cc = C.control_corpus(pairs.withColumn("split", F.when(F.col("pair_id") % 2 == 0, "train").otherwise("valid")),
+                          ["length"]).withColumnRenamed("pair_id", "line_no")
+    SK.write_control_corpus(cc.select("lang", "feature_set", "split", "line_no", "source_line", "target_line"), out)
+    back = spark.read.parquet(out).where("lang = 'en' AND feature_set = 'length' AND split = 'valid'")
+    assert "PartitionFilters" in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["line_no"] for r in back.collect()) == [1, 3, 5]
