@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 from ctrltok.functions import bins as B
 from ctrltok.functions import text as T
 from ctrltok.functions import tokens as K
-from ctrltok.operators.features import feature_bundle
+from ctrltok.operators.features import Tokenizer, feature_bundle
 
 
-def control_corpus(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None) -> DataFrame:
+def control_corpus(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
+                   tokenizer: Tokenizer | None = None) -> DataFrame:
     """Featurise, bin, render the prefix and tokenise: adds ``feature_set``,
     ``prefix``, ``source_line`` (prefix + tokenised source) and ``target_line``
-    (tokenised target), keeping the exact and binned feature columns."""
+    (tokenised target), keeping the exact and binned feature columns.
+    ``tokenizer`` (text Column -> ARRAY<STRING> Column, e.g. a pandas UDF)
+    replaces the built-in tokeniser everywhere: lines, frequency and depth."""
     key = K.feature_set_key(features)
     fs = key.split("_")
-    df = feature_bundle(pairs, fs, ranks=ranks, binned=True)
+    df = feature_bundle(pairs, fs, ranks=ranks, binned=True, tokenizer=tokenizer)
+    tok = tokenizer or T.tokenize
     prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in fs})
     df = df.withColumns({"feature_set": F.lit(key), "prefix": prefix})
-    return df.withColumns({"source_line": F.concat(F.col("prefix"), T.tokenized_text("source")),
-                           "target_line": T.tokenized_text("target")})
+    return df.withColumns({"source_line": F.concat(F.col("prefix"), F.array_join(tok(F.col("source")), " ")),
+                           "target_line": F.array_join(tok(F.col("target")), " ")})
 
 
 def parsed_corpus(lines: DataFrame, col: str = "source_line") -> DataFrame:

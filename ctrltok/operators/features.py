@@ -11,7 +11,7 @@ the per-pair aggregation and the join back all reuse that one partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +41,19 @@ def edit_ratio(src="source", tgt="target") -> Column:
     return E.edit_ratio(src, tgt)
 
 
-def text_depth(text) -> Column:
+# A tokenizer maps a text Column to an ARRAY<STRING> Column: a built-in
+# expression (the default) or a user pandas UDF (Arrow-batched).
+Tokenizer = Callable[[Column], Column]
+
+
+def _tok(tokenizer: Tokenizer | None, c) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return (tokenizer or T.tokenize)(col)
+
+
+def text_depth(text, tokenizer: Tokenizer | None = None) -> Column:
     """Max depth of the synthetic parse of the text's tokens."""
-    return D.max_depth(D.synthetic_heads(T.tokenize(text)))
+    return D.max_depth(D.synthetic_heads(_tok(tokenizer, text)))
 
 
 def depth_ratio_from(ds: Column, dt: Column) -> Column:
@@ -74,10 +84,10 @@ def vocab_sizes(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"))
 
 
-def side_tokens(pairs: DataFrame, sides: Iterable[str] = SIDES) -> DataFrame:
+def side_tokens(pairs: DataFrame, sides: Iterable[str] = SIDES, tokenizer: Tokenizer | None = None) -> DataFrame:
     """``(pair_id, lang, side, token_no, word)`` for every token of the given sides
     (side 0 = source, 1 = target)."""
-    structs = [F.struct(F.lit(SIDES.index(s)).alias("side"), T.tokenize(s).alias("toks")) for s in sides]
+    structs = [F.struct(F.lit(SIDES.index(s)).alias("side"), _tok(tokenizer, s).alias("toks")) for s in sides]
     per_side = pairs.select("pair_id", "lang", F.inline(F.array(*structs)))
     return per_side.select("pair_id", "lang", "side", F.posexplode("toks").alias("token_no", "word"))
 
@@ -94,13 +104,14 @@ def log_ranks(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
     return looked.withColumn("lr", F.ln(F.coalesce(F.col("rank"), F.col("vocab")).cast("double") + 1.0))
 
 
-def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75, sides: Iterable[str] = SIDES) -> DataFrame:
+def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75, sides: Iterable[str] = SIDES,
+                    tokenizer: Tokenizer | None = None) -> DataFrame:
     """Per pair, the ``quantile`` (linear interpolation) of the admitted tokens'
     log ranks on each side: columns ``freq_source`` / ``freq_target``; a side
     with no admitted token gets the out-of-vocabulary value ``ln(vocab + 1)``.
     Expects ``pairs`` hash-partitioned by pair_id (see :func:`by_pair`)."""
     sides = list(sides)
-    lr = log_ranks(side_tokens(pairs, sides), ranks)
+    lr = log_ranks(side_tokens(pairs, sides, tokenizer), ranks)
     aggs = [F.percentile(F.when(F.col("side") == SIDES.index(s), F.col("lr")), quantile).alias(f"q_{s}") for s in sides]
     stats = lr.groupBy("pair_id").agg(*aggs)
     oov = F.ln(F.col("vocab").cast("double") + 1.0)
@@ -137,11 +148,12 @@ def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     return pairs.repartition(pair_partitions(pairs), key)
 
 
-def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, out: str = "exact_frequency") -> DataFrame:
+def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, out: str = "exact_frequency",
+                   tokenizer: Tokenizer | None = None) -> DataFrame:
     if absolute:
-        st = frequency_stats(pairs, ranks, sides=["target"])
+        st = frequency_stats(pairs, ranks, sides=["target"], tokenizer=tokenizer)
         return st.withColumn(out, F.col("freq_target")).drop("freq_target")
-    st = frequency_stats(pairs, ranks)
+    st = frequency_stats(pairs, ranks, tokenizer=tokenizer)
     return (st.withColumn(out, F.try_divide(F.col("freq_target"), F.col("freq_source")))
               .drop("freq_source", "freq_target"))
 
@@ -151,7 +163,7 @@ def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, o
 # ---------------------------------------------------------------------------
 
 def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
-                   binned: bool = True) -> DataFrame:
+                   binned: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Add ``exact_<feature>`` (and ``bin_<feature>``, ``bin_idx_<feature>``) for the
     requested features only; unrequested branches never enter the plan."""
     fs = sorted(set(features))
@@ -163,12 +175,12 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     if "frequency" in fs:
         if ranks is None:
             raise ValueError("the frequency feature needs a rank table")
-        df = with_frequency(by_pair(df), ranks)
+        df = with_frequency(by_pair(df), ranks, tokenizer=tokenizer)
     local = {}
     if "length" in fs:
         local["exact_length"] = length_ratio()
     if "dependency" in fs:
-        local["exact_dependency"] = depth_ratio_from(text_depth("source"), text_depth("target"))
+        local["exact_dependency"] = depth_ratio_from(text_depth("source", tokenizer), text_depth("target", tokenizer))
     if "levenshtein" in fs:
         local["exact_levenshtein"] = edit_ratio()
     if local:
