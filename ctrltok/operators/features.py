@@ -20,7 +20,7 @@ from ctrltok.functions import bins as B
 from ctrltok.functions import depth as D
 from ctrltok.functions import edit as E
 from ctrltok.functions import text as T
-from ctrltok.sources.tables import estimated_bytes
+from ctrltok.sources.tables import estimated_bytes, hash_partitioned_by
 
 SIDES = ("source", "target")
 
@@ -144,7 +144,11 @@ def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     The partition count is given explicitly (:func:`pair_partitions`): the
     stages after this exchange are CPU-bound per pair (tokenising, exploding,
     percentiles, UDFs), and a byte-size-driven AQE coalesce would squeeze
-    small-but-expensive pair data into a few tasks."""
+    small-but-expensive pair data into a few tasks.  Input that is already
+    hash-partitioned by the key (a bucketed pair table, see
+    :func:`ctrltok.sources.tables.save_pairs_bucketed`) is used as it is."""
+    if hash_partitioned_by(pairs, key):
+        return pairs
     return pairs.repartition(pair_partitions(pairs), key)
 
 

@@ -120,3 +120,24 @@ def hypothesis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = conv.select((F.col("conv_id") * 2000 + F.col("turn") * 2).alias("log_no"),
                     F.format_string("S-%d\t%s", "conv_id", "text").alias("value"))
     return h.unionByName(s)
+
+
+def save_pairs_bucketed(pairs: DataFrame, table_name: str, buckets: int, key: str = "pair_id") -> None:
+    """Store a pair table bucketed (and sorted) by ``pair_id``: every later read
+    is already hash-partitioned by the key, so per-pair aggregations and the
+    join back of per-pair statistics run without any shuffle of the pairs."""
+    (pairs.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+          .format("parquet").saveAsTable(table_name))
+
+
+def hash_partitioned_by(df: DataFrame, key: str) -> bool:
+    """True when Spark can aggregate ``df`` by ``key`` without an exchange, i.e.
+    the input is already hash-partitioned by the key (a bucketed pair table read
+    through the catalog).  Only a plan is built for the probe; no job runs."""
+    try:
+        plan = str(df.groupBy(key).count()._jdf.queryExecution().executedPlan().toString())
+    except Exception:  # noqa: BLE001 - plan not inspectable (e.g. Spark Connect)
+        return False
+    # a single partition also needs no exchange, but is not a usable layout:
+    # require the bucketed scan that provides the hash partitioning
+    return "Exchange" not in plan and "Bucketed: true" in plan

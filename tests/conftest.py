@@ -19,6 +19,7 @@ def spark():
         b = b.config(k, v)
     s = (b.config("spark.sql.shuffle.partitions", "8")
           .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ctrltok-test-ckpt-", dir="/tmp"))
+          .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ctrltok-test-wh-", dir="/tmp"))
           .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(s)

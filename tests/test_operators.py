@@ -524,3 +524,28 @@ def test_custom_pandas_udf_tokenizer(spark, pairs, ranks):
     r = {x["pair_id"]: x for x in cc.collect()}
     assert r[1]["target_line"] == "A cat sat."                       # punctuation stays glued
     assert r[1]["source_line"].endswith("The cat sat on the mat.")
+
+
+def test_bucketed_pairs_need_no_pair_shuffle(spark, pairs, ranks):
+    from ctrltok.sources.tables import hash_partitioned_by, save_pairs_bucketed
+
+    from ctrltok.session import materialize
+
+    save_pairs_bucketed(pairs, "pairs_bucketed", 4)
+    stored = spark.table("pairs_bucketed")
+    assert hash_partitioned_by(stored, "pair_id")
+    assert not hash_partitioned_by(pairs, "pair_id")
+    stored_ranks = materialize(ranks, "ranks")                # a stored rank table has size statistics
+    out = FE.with_frequency(FE.by_pair(stored), stored_ranks)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pair_id" not in plan            # no exchange of the pairs at all
+    want = {r["pair_id"]: r["exact_frequency"] for r in FE.with_frequency(FE.by_pair(pairs), ranks).collect()}
+    got = {r["pair_id"]: r["exact_frequency"] for r in out.collect()}
+    assert got == pytest.approx(want)
+
+
+def test_single_partition_is_not_taken_as_partitioned(spark, pairs):
+    from ctrltok.sources.tables import hash_partitioned_by
+
+    assert not hash_partitioned_by(pairs.coalesce(1), "pair_id")
+    assert FE.by_pair(pairs.coalesce(1)).rdd.getNumPartitions() > 1
