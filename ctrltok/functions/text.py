@@ -28,6 +28,23 @@ from pyspark.sql import functions as F
 #   separators U+001C..U+001F and NEXT LINE U+0085.
 # ---------------------------------------------------------------------------
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# * ENGLISH_STOP_WORDS: the 179-word English stop list of the NLTK stopwords
+#   corpus (the list the original preprocessing filters with), in its order.
+#   It contains the contraction fragments ("didn", "ll", "t") that a
+#   tokeniser splitting at apostrophes produces.  German uses the German list
+#   of the same corpus as bundled with Spark ML (see ``stop_words``).
+ENGLISH_STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves
+he him his himself she she's her hers herself it it's its itself they them their theirs themselves
+what which who whom this that that'll these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about
+against between into through during before after above below to from up down in out on off over
+under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don don't should should've
+now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
+hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn
+shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split())
 NUMBER_PATTERN = r"\A[+-]?(\p{Nd}+(\.\p{Nd}+)?|\.\p{Nd}+)\z"
 WHITESPACE_CLASS = r"\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85"
 
@@ -86,8 +103,11 @@ def is_number(token) -> Column:
 
 @functools.lru_cache(maxsize=None)
 def stop_words(language: str) -> tuple[str, ...]:
-    """Spark ML's built-in stop-word list, read from the bundled resource file so
-    that the JVM predicate and SQL oracles share one source of truth."""
+    """The stop list of ``language``: the fixed English list above, otherwise the
+    list bundled with Spark ML (read from its resource file), so the JVM
+    predicate and the SQL oracle share one source of truth."""
+    if language == "english":
+        return ENGLISH_STOP_WORDS
     import pyspark
 
     homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
