@@ -135,6 +135,10 @@ def hash_partitioned_by(df: DataFrame, key: str) -> bool:
     the input is already hash-partitioned by the key (a bucketed pair table read
     through the catalog).  Only a plan is built for the probe; no job runs."""
     try:
+        # bucketed relations come from the session catalog: skip the probe for
+        # path-based reads (the optimized plan is cached with the DataFrame)
+        if "spark_catalog" not in str(df._jdf.queryExecution().optimizedPlan().toString()):
+            return False
         plan = str(df.groupBy(key).count()._jdf.queryExecution().executedPlan().toString())
     except Exception:  # noqa: BLE001 - plan not inspectable (e.g. Spark Connect)
         return False
