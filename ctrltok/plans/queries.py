@@ -337,7 +337,9 @@ def _control_lines(spark, sf_dir):
 @query("parse_tokens")
 def q_parse_tokens(spark, sf_dir):
     p = C.parsed_corpus(_control_lines(spark, sf_dir))
-    return p.select("pair_id", F.size("controls").cast("long").alias("n_controls"),
+    # NULL (not -1) for a line without control tokens, whatever the ANSI setting
+    n = F.when(F.col("controls").isNotNull(), F.size("controls")).cast("long")
+    return p.select("pair_id", n.alias("n_controls"),
                     *[F.col("controls").getItem(B.TOKEN_NAMES[f]).alias(B.TOKEN_NAMES[f]) for f in CONTROL_FEATURES],
                     "sentence")
 
