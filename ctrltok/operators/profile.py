@@ -47,22 +47,37 @@ def long_features(df: DataFrame, features: Iterable[str], prefix: str = "exact_"
 
 def hist_equal_width(values: DataFrame, bins: dict[str, int] | None = None) -> DataFrame:
     """Equal-width histogram per feature between its min and max (80 bins, 50 for
-    levenshtein by default); the last bin is right-closed.  Empty bins are
+    levenshtein by default), binned as numpy does for uniform bins: index
+    ``floor((x - lo) * n / (hi - lo))``, then a one-step correction against the
+    edges ``lo + i * (hi - lo) / n`` (last edge = hi, last bin right-closed); a
+    zero-width range is widened to ``lo - 0.5 .. hi + 0.5``.  Empty bins are
     omitted.  ``values``: ``(feature, x)``."""
     bins = bins or EQUAL_WIDTH_BINS
     nb = F.lit(None).cast("int")
     for f, n in bins.items():
         nb = F.when(F.col("feature") == f, F.lit(n)).otherwise(nb)
     v = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    bounds = v.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    bounds = v.groupBy("feature").agg(F.min("x").alias("lo0"), F.max("x").alias("hi0"))
+    same = F.col("lo0") == F.col("hi0")
+    bounds = bounds.select("feature",
+                           F.when(same, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
+                           F.when(same, F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
+    # one row per feature: a proven size bound
     j = v.join(F.broadcast(bounds), "feature").withColumn("n_bins", nb)
-    width = (F.col("hi") - F.col("lo")) / F.col("n_bins")
-    k = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width), F.col("n_bins") - 1)).cast("int")
-    out = j.withColumn("bin", k).groupBy("feature", "bin").agg(
-        F.count(F.lit(1)).alias("cnt"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n_bins").alias("n_bins"))
-    return out.withColumn("bin_lo", F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.col("n_bins")) \
-              .drop("lo", "hi")
+    n, lo, hi, x = F.col("n_bins"), F.col("lo"), F.col("hi"), F.col("x")
+    step = (hi - lo) / n.cast("double")
+
+    def edge(i):
+        return F.when(i >= n, hi).otherwise(i.cast("double") * step + lo)
+
+    k0 = F.floor((x - lo) * (n.cast("double") / (hi - lo))).cast("int")
+    k1 = F.when(k0 == n, n - 1).otherwise(k0)
+    k2 = F.when(x < edge(k1), k1 - 1).otherwise(k1)
+    k3 = F.when((x >= edge(k2 + 1)) & (k2 != n - 1), k2 + 1).otherwise(k2)
+    out = j.withColumn("bin", k3).groupBy("feature", "bin").agg(
+        F.count(F.lit(1)).alias("cnt"), F.first("lo").alias("lo"), F.first("n_bins").alias("n_bins"),
+        F.first("hi").alias("hi"))
+    return out.withColumn("bin_lo", edge(F.col("bin"))).drop("lo", "hi")
 
 
 def hist_fixed(values: DataFrame, split: str | None = "split") -> DataFrame:

@@ -371,14 +371,22 @@ SELECT name, value, split, count(*) AS cnt FROM v GROUP BY GROUPING SETS ((name,
 oracle("hist_equal_width", f"""
 {_BUNDLE}, lf AS ({_LONG}),
 v AS (SELECT feature, x FROM lf WHERE x IS NOT NULL AND NOT isnan(x)),
-b AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM v GROUP BY feature),
-h AS (
-  SELECT v.feature, b.lo, b.hi, 80 AS n_bins,
-         CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE least(floor((v.x - b.lo) / ((b.hi - b.lo) / 80)), 80 - 1) END AS INTEGER) AS bin
-  FROM v JOIN b USING (feature)
-)
-SELECT feature, bin, count(*) AS cnt, n_bins, round(lo + bin * (hi - lo) / n_bins, 6) AS bin_lo
-FROM h GROUP BY feature, bin, n_bins, lo, hi
+b0 AS (SELECT feature, min(x) AS lo0, max(x) AS hi0 FROM v GROUP BY feature),
+b AS (SELECT feature, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                      CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi, 80 AS n FROM b0),
+k0 AS (SELECT v.feature, v.x, b.lo, b.hi, b.n, CAST(floor((v.x - b.lo) * (b.n::DOUBLE / (b.hi - b.lo))) AS INTEGER) AS k
+       FROM v JOIN b USING (feature)),
+k1 AS (SELECT feature, x, lo, hi, n, CASE WHEN k = n THEN n - 1 ELSE k END AS k FROM k0),
+k2 AS (SELECT feature, x, lo, hi, n,
+              CASE WHEN x < (CASE WHEN k >= n THEN hi ELSE k::DOUBLE * ((hi - lo) / n::DOUBLE) + lo END) THEN k - 1 ELSE k END AS k
+       FROM k1),
+k3 AS (SELECT feature, lo, hi, n,
+              CASE WHEN x >= (CASE WHEN k + 1 >= n THEN hi ELSE (k + 1)::DOUBLE * ((hi - lo) / n::DOUBLE) + lo END)
+                        AND k <> n - 1 THEN k + 1 ELSE k END AS bin
+       FROM k2)
+SELECT feature, bin, count(*) AS cnt, n AS n_bins,
+       round(CASE WHEN bin >= n THEN hi ELSE bin::DOUBLE * ((hi - lo) / n::DOUBLE) + lo END, 6) AS bin_lo
+FROM k3 GROUP BY feature, bin, n, lo, hi
 """)
 
 oracle("hist_fixed", f"""

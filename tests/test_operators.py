@@ -571,3 +571,16 @@ def test_global_index_with_a_hot_group(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     assert parts > 1
+
+
+def test_hist_equal_width_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    xs = list(rng.normal(1.0, 0.4, 500)) + [0.1 * i for i in range(30)]        # includes values on edges
+    flat = [0.7] * 9                                                             # zero-width range
+    df = spark.createDataFrame([("length", float(x)) for x in xs] + [("frequency", x) for x in flat],
+                               "feature string, x double")
+    got = {(r["feature"], r["bin"]): r["cnt"] for r in PR.hist_equal_width(df, {"length": 80, "frequency": 80}).collect()}
+    for feat, vals in (("length", xs), ("frequency", flat)):
+        counts, _ = np.histogram(vals, bins=80)
+        want = {(feat, i): int(c) for i, c in enumerate(counts) if c}
+        assert {k: v for k, v in got.items() if k[0] == feat} == want, feat
