@@ -27,3 +27,15 @@ def test_stream_equals_batch(spark, tmpdir_path):
                            feats, ranks=ranks).select(*OUTPUT_COLUMNS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert spark.read.parquet(out).select("batch").distinct().count() == 4
+
+
+def test_retried_batch_is_idempotent(spark, tmpdir_path):
+    from ctrltok.streaming.corpus_stream import batch_writer
+
+    batch = spark.createDataFrame([(1, "en", "train", "a b c", "a b")], "pair_id long, lang string, split string, "
+                                  "source string, target string")
+    out = os.path.join(tmpdir_path, "idem")
+    write = batch_writer(["length"], out)
+    write(batch, 7)
+    write(batch, 7)                      # the same micro-batch replayed after a failure
+    assert spark.read.parquet(out).count() == 1
