@@ -584,3 +584,12 @@ def test_hist_equal_width_matches_numpy(spark):
         counts, _ = np.histogram(vals, bins=80)
         want = {(feat, i): int(c) for i, c in enumerate(counts) if c}
         assert {k: v for k, v in got.items() if k[0] == feat} == want, feat
+
+
+def test_feature_match_with_levenshtein(spark, ranks):
+    rows = spark.createDataFrame([
+        (1, "en", "<Leven_1.0> a b c", "a b c"),            # identical output: similarity 1.0 -> match
+        (2, "en", "<Leven_0.5> a b c", "a b c"),            # requested 0.5, realised 1.0
+    ], "pair_id long, lang string, source_line string, output string")
+    cmp = {r["pair_id"]: (r["match"], r["delta"]) for r in MA.realised_vs_requested(rows, ["levenshtein"]).collect()}
+    assert cmp[1] == (True, None) and cmp[2][0] is False and cmp[2][1] == pytest.approx(-0.5)
