@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import line_dedup, simhash, toxicity
+from ctrltok.llm import langid, line_dedup, simhash, toxicity
 from ctrltok.sources.tables import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file; pass another path where the package is not installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
@@ -18,6 +25,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_language(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predictions(docs, langid.learn(docs, path or vocabulary("piece_bpe_32k.model")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,5 +38,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_language": op5_language,
     "op9_simhash": op9_simhash,
 }
