@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctrltok.llm import line_dedup, simhash, toxicity
+from ctrltok.llm import bpe, decontam, line_dedup, simhash, toxicity
 from ctrltok.llm.common import stored
+from ctrltok.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +29,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each_group(docs)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that overlap a benchmark item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: token counts and digests of ids and decoded text of every document kept."""
+    return bpe.digests(docs, vocabulary("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("simhash", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("bpe", tokenise),
 ]
 
 #: SimHash components, compression scores and token ids are not expressible in SQL.

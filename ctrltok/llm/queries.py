@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import langid, line_dedup, simhash, toxicity
+from ctrltok.llm import bpe, decontam, langid, line_dedup, simhash, toxicity
 from ctrltok.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
@@ -30,14 +34,20 @@ def op5_language(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return langid.predictions(docs, langid.learn(docs, path or vocabulary("piece_bpe_32k.model")))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), path or vocabulary("byte_bpe_50k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_language": op5_language,
+    "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
 }
