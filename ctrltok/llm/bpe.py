@@ -203,7 +203,7 @@ class Codec:
 
 def shared(spark: SparkSession, path: str):
     """The vocabulary, read on the driver and sent to the executors (its size is that of one file)."""
-    return spark.sparkContext.broadcast(read_vocabulary(path))
+    return spark.sparkContext.broadcast(vars(read_vocabulary(path)))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = shared(docs.sparkSession, path)
 
     def run(batches):
-        codec = Codec(vocabulary.value)
+        codec = Codec(Vocabulary(**vocabulary.value))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -226,7 +226,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     vocabulary = shared(encoded.sparkSession, path)
 
     def run(batches):
-        codec = Codec(vocabulary.value)
+        codec = Codec(Vocabulary(**vocabulary.value))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -241,7 +241,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = shared(docs.sparkSession, path)
 
     def run(batches):
-        codec = Codec(vocabulary.value)
+        codec = Codec(Vocabulary(**vocabulary.value))
         decimal = {i: str(i) for i in codec.bytes_of}
         for b in batches:
             n, ids_sha, text_sha = [], [], []

@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words (runs of ASCII letters and digits or non-ASCII bytes, A-Z lower-cased) are hashed; a
+Words (runs of ASCII letters and digits or non-ASCII bytes of the lower-cased text) are hashed; a
 seed hashes the words under a fixed mask and ignores the masked-out positions, so a substituted word
 there does not hide a copy.  Seeds of the benchmark and of every position of the documents are
 joined; around each hit the document and the item are compared word by word on the
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrltok.llm.common import as_long, keyed, slices, stored, utf8
+from ctrltok.llm.common import as_long, keyed, slices, stored
 from ctrltok.udfs import by_value
 
 by_value(__name__)
@@ -33,7 +33,6 @@ MASKS = ("110111", "1011011", "11001011", "1101010001")
 SHORTEST = 5
 STEP = 0xD6E8FEB86659FD93
 WORD = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 BITS = 24
 
 
@@ -44,6 +43,10 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def lowered(column: pa.Array) -> list[bytes]:
+    return [t.lower().encode() for t in column.to_pylist()]
+
+
 class Hasher:
     """Word hashes of a run of bytes, independent of where a word stands."""
 
@@ -60,7 +63,7 @@ class Hasher:
         inside = np.r_[False, WORD[b], False]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edge[::2], edge[1::2]
-        total = np.r_[np.uint64(0), np.cumsum((LOWER[b] + np.uint64(1)) * self.down[:len(b)])]
+        total = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.down[:len(b)])]
         h = (total[end] - total[start]) * self.up[start] if len(start) else np.zeros(0, np.uint64)
         return mixed(h, (end - start).astype(np.uint64)), start, end
 
@@ -94,7 +97,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            for ik, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+            for ik, text in zip(b.column(0).to_pylist(), lowered(b.column(1)), strict=True):
                 w = hasher.words(text)[0]
                 for m in masks_of(len(w)):
                     h = seeds(w, m)
@@ -123,7 +126,7 @@ def document_seeds(rows: DataFrame, lengths: list[int], allowed) -> DataFrame:
     def run(batches):
         hasher, bits = Hasher(), np.unpackbits(allowed.value).astype(bool)
         for b in batches:
-            dids, tags, data = b.column(0).to_numpy(), b.column(1).to_numpy(), utf8(b.column(2))
+            dids, tags, data = b.column(0).to_numpy(), b.column(1).to_numpy(), lowered(b.column(2))
             for lo, hi in slices([len(t) for t in data]):
                 # texts are joined by separators; no seed may span two of them
                 sizes = np.array([len(t) + 1 for t in data[lo:hi]])
@@ -181,7 +184,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, simil
     def lengths_of(batches):
         hasher = Hasher()
         for b in batches:
-            n = {len(hasher.words(t)[0]) for t in utf8(b.column(0))}
+            n = {len(hasher.words(t)[0]) for t in lowered(b.column(0))}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int64())], names=["n"])
 
     longest = max(map(len, MASKS))
@@ -198,7 +201,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, simil
         hasher = Hasher()
         for b in batches:
             found = []
-            data, tests_ = utf8(b.column(2)), utf8(b.column(3))
+            data, tests_ = lowered(b.column(2)), lowered(b.column(3))
             for i, (t, x, d) in enumerate(zip(data, tests_, b.column(4).to_pylist(), strict=True)):
                 got = overlap(hasher.words(t)[0], hasher.words(x)[0], d, least_words, similarity)
                 if got:

@@ -249,10 +249,14 @@ class Predictor:
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: executors need not have this module
+    shared = docs.sparkSession.sparkContext.broadcast((vars(model.pieces), model.languages, model.probability))
 
     def run(batches):
-        p = Predictor(shared.value)
+        fields, languages, probability = shared.value
+        pieces = Pieces({})
+        vars(pieces).update(fields)
+        p = Predictor(Model(pieces, languages, probability))
         for b in batches:
             got = list(p.predict(b.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(

@@ -7,8 +7,8 @@ with the ordinary dictionary minus that with the toxic one.  The shares of a
 document's windows beyond several distances go through a calibrated logistic threshold.
 
 The model is fitted on a bounded sample: at most ``sample_docs`` labelled documents a class, the
-first by hash of doc_id, of at most ``sample_bytes`` bytes each.  Half of them train the dictionaries, the
-other half calibrates, weighted back to the labels' class ratio.  Scoring covers every whole text.
+first by hash of doc_id, of at most ``sample_bytes`` bytes each.  Each half is calibrated with dictionaries of the other half,
+weighted back to the labels' class ratio; all of them train the final dictionaries.  Scoring covers every whole text.
 
 Defined results: null and empty texts get the score of a document without windows; repeated rows
 are scored alike; a null doc_id is scored and never used for learning; without
@@ -112,7 +112,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
-        self.ordinary, self.toxic = compressor(model.ordinary), compressor(model.toxic)
+        if model.toxic:
+            self.ordinary, self.toxic = compressor(model.ordinary), compressor(model.toxic)
 
     def distance(self, word: bytes) -> int:
         x = padded(word)
@@ -156,27 +157,35 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, st
 
 
 def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: int = 32768, toxic_size: int = 16384,
-        contrast_ratio: float = 8.0, least_docs: int = 3) -> Model:
-    """Train the dictionaries on every other sample document and calibrate on the rest.
+        toxic_share: float = 0.1, contrast_ratio: float = 8.0, least_docs: int = 3) -> Model:
+    """Calibrate on cross-fitted halves of the sample, then train the dictionaries on all of it.
 
     ``totals``: labelled documents of class 0 and 1, whose ratio the scores are calibrated to."""
     base = totals[1] / max(1, sum(totals))
     by = [[t for t, y in sample if y == k] for k in (0, 1)]
     if min(map(len, by)) < 4:
         return Model(b"", b"", [], [], [], base)
-    split = [[windows(t) for t in docs[::2]] for docs in by]
-    counts = np.zeros((2, BUCKETS))
-    for k in (0, 1):
-        for words in split[k]:
-            counts[k][np.unique(grams(words)[0])] += 1
-    contrast = np.log((counts[1] + 0.5) / (len(split[1]) + 1)) - np.log((counts[0] + 0.5) / (len(split[0]) + 1))
-    contrast[counts[1] < least_docs] = -np.inf
-    model = Model(trained(ordinary_size, [w for d in split[0] for w in d][:400_000]),
-                  trained(toxic_size, fragments(split[1], contrast, np.log(contrast_ratio))), [], [], [], base)
-    scorer = Scorer(model)
-    rest = [(t, k) for k in (0, 1) for t in by[k][1::2]]
-    x = np.array([scorer.features(t) for t, _ in rest])
-    y = np.array([k for _, k in rest], float)
+    words = [[windows(t) for t in docs] for docs in by]
+
+    def dictionaries(part: list[list[list[bytes]]]) -> Model:
+        counts = np.zeros((2, BUCKETS))
+        for k in (0, 1):
+            for w in part[k]:
+                counts[k][np.unique(grams(w)[0])] += 1
+        contrast = np.log((counts[1] + 0.5) / (len(part[1]) + 1)) - np.log((counts[0] + 0.5) / (len(part[0]) + 1))
+        contrast[counts[1] < least_docs] = -np.inf
+        found = fragments(part[1], contrast, np.log(contrast_ratio))
+        size = int(np.clip(sum(map(len, found)) * toxic_share, 512, toxic_size))
+        return Model(trained(ordinary_size, [x for w in part[0] for x in w][:400_000]), trained(size, found), [], [], [], base)
+
+    # every document is measured with dictionaries that the other half of the sample trained
+    rows = []
+    for half in (0, 1):
+        scorer = Scorer(dictionaries([w[half::2] for w in words]))
+        rows += [(scorer.features(t), k) for k in (0, 1) for t in by[k][1 - half::2]]
+    model = dictionaries(words)
+    x = np.array([f for f, _ in rows])
+    y = np.array([k for _, k in rows], float)
     share = [totals[k] / max(1, (y == k).sum()) for k in (0, 1)]
     w = np.where(y == 1, share[1], share[0])
     w *= len(w) / w.sum()
@@ -203,12 +212,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 2400, sample_by
 
 def scores(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not have this module
 
     def run(batches):
-        scorer = Scorer(shared.value) if shared.value.weights else None
+        scorer = Scorer(Model(**shared.value))
         for b in batches:
-            got = [scorer.score(t) if scorer else shared.value.base for t in b.column(2).to_pylist()]
+            got = [scorer.score(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(got, pa.float64()), pa.array([int(s >= cutoff) for s in got], pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"])
@@ -219,13 +228,13 @@ def scores(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``cutoff``, all columns kept; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not have this module
     at = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(shared.value) if shared.value.weights else None
+        scorer = Scorer(Model(**shared.value))
         for b in batches:
-            keep = [(scorer.score(t or "") if scorer else shared.value.base) < cutoff for t in b.column(at).to_pylist()]
+            keep = [scorer.score(t or "") < cutoff for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
