@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import bpe, decontam, langid, line_dedup, simhash, toxicity
+from ctrltok.llm import bpe, decontam, langid, line_dedup, simhash, sketch, toxicity
 from ctrltok.sources.tables import table
 
 
@@ -43,6 +43,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -50,4 +54,5 @@ QUERIES = {
     "op5_language": op5_language,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
+    "op7_fingerprints": op7_fingerprints,
 }

@@ -77,13 +77,24 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(44)).astype(np.int64), np.searchsorted(ends, np.arange(n), side="right").clip(max=len(words) - 1)
 
 
-def fragments(docs: list[list[bytes]], contrast: np.ndarray, least: float) -> list[bytes]:
+def contrasting(toxic: np.ndarray, ordinary: np.ndarray, n_toxic: int, n_ordinary: int, ratio: float,
+                evidence: float) -> np.ndarray:
+    """Buckets whose share of toxic documents is ``ratio`` times that of ordinary ones, with a
+    log-likelihood ratio of at least ``evidence``."""
+    both = toxic + ordinary
+    share = n_toxic / (n_toxic + n_ordinary)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) +
+                 np.where(ordinary > 0, ordinary * np.log(ordinary / (both * (1 - share))), 0))
+    return (g >= evidence) & ((toxic + 0.5) / (n_toxic + 1) >= ratio * (ordinary + 0.5) / (n_ordinary + 1))
+
+
+def fragments(docs: list[list[bytes]], marked: np.ndarray) -> list[bytes]:
+    """The words that hold a marked n-gram."""
     out = []
     for words in docs:
         g, at = grams(words)
-        top = np.full(len(words), -np.inf)
-        np.maximum.at(top, at, contrast[g])
-        out += [words[i] for i in np.flatnonzero(top > least)]
+        out += [words[i] for i in np.unique(at[marked[g]])]
     return out
 
 
@@ -157,7 +168,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, st
 
 
 def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: int = 32768, toxic_size: int = 16384,
-        toxic_share: float = 0.1, contrast_ratio: float = 8.0, least_docs: int = 3) -> Model:
+        toxic_share: float = 0.2, ratio: float = 8.0, evidence: float = 25.0) -> Model:
     """Calibrate on cross-fitted halves of the sample, then train the dictionaries on all of it.
 
     ``totals``: labelled documents of class 0 and 1, whose ratio the scores are calibrated to."""
@@ -172,9 +183,8 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: i
         for k in (0, 1):
             for w in part[k]:
                 counts[k][np.unique(grams(w)[0])] += 1
-        contrast = np.log((counts[1] + 0.5) / (len(part[1]) + 1)) - np.log((counts[0] + 0.5) / (len(part[0]) + 1))
-        contrast[counts[1] < least_docs] = -np.inf
-        found = fragments(part[1], contrast, np.log(contrast_ratio))
+        marked = contrasting(counts[1], counts[0], len(part[1]), len(part[0]), ratio, evidence)
+        found = fragments(part[1], marked)
         size = int(np.clip(sum(map(len, found)) * toxic_share, 512, toxic_size))
         return Model(trained(ordinary_size, [x for w in part[0] for x in w][:400_000]), trained(size, found), [], [], [], base)
 
@@ -195,7 +205,7 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: i
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 2400, sample_bytes: int = 65536) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4800, sample_bytes: int = 65536) -> Model:
     """Fit on labelled documents outside the held-out third."""
     known = (labels.filter("doc_id is not null and toxic in (0, 1)").filter(held(3) != 1)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
