@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import bpe, decontam, langid, line_dedup, simhash, sketch, toxicity
+from ctrltok.llm import bpe, decontam, langid, line_dedup, simhash, sketch, suffix_dedup, toxicity
 from ctrltok.sources.tables import table
 
 
@@ -47,6 +47,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -55,4 +59,5 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op7_fingerprints": op7_fingerprints,
+    "op4_suffix_dedup": op4_suffix_dedup,
 }
