@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import bpe, decontam, langid, line_dedup, simhash, sketch, suffix_dedup, toxicity
+from ctrltok.llm import bpe, decontam, langid, line_dedup, secrets, simhash, sketch, suffix_dedup, toxicity
 from ctrltok.sources.tables import table
 
 
@@ -51,6 +51,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -60,4 +64,5 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op7_fingerprints": op7_fingerprints,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_secrets": op6_secrets,
 }
