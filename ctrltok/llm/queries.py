@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import bpe, decontam, langid, line_dedup, secrets, simhash, sketch, suffix_dedup, toxicity
+from ctrltok.llm import bpe, decontam, langid, line_dedup, pii, secrets, simhash, sketch, suffix_dedup, toxicity
 from ctrltok.sources.tables import table
 
 
@@ -55,6 +55,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -65,4 +69,5 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_secrets": op6_secrets,
+    "op10_personal_data": op10_personal_data,
 }
