@@ -26,7 +26,7 @@ def with_sketch(df: DataFrame, text: str, name: str, k: int = K, shingle: int =
     words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     hashed = df.withColumn("_words", F.transform(words, lambda x: F.xxhash64(x)))
     n, w = F.size("_words"), F.col("_words")
-    many = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[w.getItem(i + j) for j in range(shingle)]))
+    many = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(shingle)]))
     few = F.array(F.xxhash64(w))
     grams = F.when(n >= shingle, many).when(n > 0, few).otherwise(F.expr(NO_HASHES))
     return hashed.withColumn(name, bottom(grams, k)).drop("_words")
