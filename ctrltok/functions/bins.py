@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 FEATURES = ("dependency", "frequency", "length", "levenshtein")
 TOKEN_NAMES = {"dependency": "MaxDep", "frequency": "FreqRank", "length": "Length", "levenshtein": "Leven"}
-FEATURE_OF_TOKEN = {v: k for k, v in TOKEN_NAMES.items()}
 EDGE_START = 0.05
 EDGE_STEP = 0.05
 EDGE_COUNT = {"dependency": 49, "frequency": 49, "length": 49, "levenshtein": 29}

@@ -58,13 +58,6 @@ def max_depth(heads) -> Column:
     return _max_depth_udf(F.col(heads) if isinstance(heads, str) else heads)
 
 
-def synthetic_heads(tokens) -> Column:
-    """Deterministic test parse: token i >= 1 (0-based) hangs under
-    ``i - 1 - (length(token_i) % i)``; token 0 is the root."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.transform(tokens, lambda t, i: F.when(i == 0, F.lit(-1)).otherwise(i - 1 - F.length(t) % i))
-
-
 # Ship this module's UDF code with the UDF itself (pickle by value), so Python
 # workers need only numpy/pandas, not an installed copy of this package.
 by_value(__name__)

@@ -7,11 +7,6 @@ Java engine in Spark and RE2 in the DuckDB oracle agree character by character.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,22 +96,27 @@ def is_number(token) -> Column:
     return _col(token).rlike(NUMBER_PATTERN)
 
 
-@functools.lru_cache(maxsize=None)
+# Fixed value: the German stop list of Spark ML (Snowball's list).
+GERMAN_STOP_WORDS = tuple("""
+    aber alle allem allen aller alles als also am an ander andere anderem anderen anderer anderes anderm andern
+    anderr anders auch auf aus bei bin bis bist da damit dann der den des dem die das daß derselbe derselben
+    denselben desselben demselben dieselbe dieselben dasselbe dazu dein deine deinem deinen deiner deines denn
+    derer dessen dich dir du dies diese diesem diesen dieser dieses doch dort durch ein eine einem einen einer
+    eines einig einige einigem einigen einiger einiges einmal er ihn ihm es etwas euer eure eurem euren eurer
+    eures für gegen gewesen hab habe haben hat hatte hatten hier hin hinter ich mich mir ihr ihre ihrem ihren
+    ihrer ihres euch im in indem ins ist jede jedem jeden jeder jedes jene jenem jenen jener jenes jetzt kann kein
+    keine keinem keinen keiner keines können könnte machen man manche manchem manchen mancher manches mein meine
+    meinem meinen meiner meines mit muss musste nach nicht nichts noch nun nur ob oder ohne sehr sein seine seinem
+    seinen seiner seines selbst sich sie ihnen sind so solche solchem solchen solcher solches soll sollte sondern
+    sonst über um und uns unse unsem unsen unser unses unter viel vom von vor während war waren warst was weg weil
+    weiter welche welchem welchen welcher welches wenn werde werden wie wieder will wir wird wirst wo wollen
+    wollte würde würden zu zum zur zwar zwischen
+""".split())
+
+
 def stop_words(language: str) -> tuple[str, ...]:
-    """The stop list of ``language``: the fixed English list above, otherwise the
-    list bundled with Spark ML (read from its resource file), so the JVM
-    predicate and the SQL oracle share one source of truth."""
-    if language == "english":
-        return ENGLISH_STOP_WORDS
-    import pyspark
-
-    homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
-    jars = [j for h in homes if h for j in glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar"))]
-    if not jars:  # pragma: no cover - neither a pip pyspark nor SPARK_HOME
-        raise RuntimeError("spark-mllib jar not found (pyspark/jars or $SPARK_HOME/jars)")
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split()
-    return tuple(words)
+    """The stop list of ``language``."""
+    return {"english": ENGLISH_STOP_WORDS, "german": GERMAN_STOP_WORDS}[language]
 
 
 def stop_language(lang) -> Column:
@@ -128,7 +128,6 @@ def _sql_string(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-@functools.lru_cache(maxsize=None)
 def _stop_list_sql(language: str) -> str:
     return ", ".join(_sql_string(w) for w in stop_words(language))
 

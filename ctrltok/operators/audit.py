@@ -23,17 +23,18 @@ def bad_split_counts(lines: DataFrame, expected: DataFrame, file: str = "file")
     """Per file: ``zb`` = lines starting with ``B.`` + lines ending with ``z.``
     (each counted separately) and ``ca`` = lines ending with ``ca.``; files of
     ``expected`` with no line at all appear with 0, files found but not expected
-    are counted too; ``file`` = NULL is the total."""
+    are counted too; ``is_total`` = 1 (``file`` NULL) is the total."""
     flagged = split_flags(lines)
     per = flagged.groupBy(file).agg(
         (F.count_if("starts_b") + F.count_if("ends_z")).alias("zb"),
         F.count_if("ends_ca").alias("ca"))
     filled = expected.select(file).distinct().join(per, file, "full") \
                      .select(file, F.coalesce("zb", F.lit(0)).alias("zb"), F.coalesce("ca", F.lit(0)).alias("ca"))
-    return filled.rollup(file).agg(F.sum("zb").cast("long").alias("zb"), F.sum("ca").cast("long").alias("ca"))
+    return filled.rollup(file).agg(F.grouping(file).cast("int").alias("is_total"), F.sum("zb").cast("long").alias("zb"), F.sum("ca").cast("long").alias("ca"))
 
 
-def roundtrip(df: DataFrame, original: str, processed: str, has_prefix: bool, pieces: bool = False) -> DataFrame:
+def roundtrip(df: DataFrame, original: str, processed: str, has_prefix: bool, pieces: bool = False,
+              tokenizer=None) -> DataFrame:
     """Compare an original line with its tokenised (and possibly prefixed)
     version.  ``decoded_original`` = decode(encode(original)); ``decoded`` =
     decode(processed line without its control tokens).  With ``pieces`` the
@@ -47,14 +48,21 @@ def roundtrip(df: DataFrame, original: str, processed: str, has_prefix: bool, pi
     if pieces:
         dec_orig, dec = T.detokenize(T.to_pieces(orig)), T.detokenize(T.split_words(T.strip(body)))
     else:
-        dec_orig, dec = T.tokenized_text(orig), T.strip(body)
+        dec_orig, dec = F.array_join((tokenizer or T.tokenize)(orig), " "), T.strip(body)
     return (df.withColumn("decoded_original", dec_orig)
               .withColumn("decoded", dec)
               .withColumn("same_cleaned", T.split_words("decoded_original") == T.split_words("decoded"))
               .withColumn("same_raw", T.split_words(orig) == T.split_words("decoded")))
 
 
-def roundtrip_counts(checked: DataFrame) -> DataFrame:
-    return checked.agg(F.count(F.lit(1)).alias("n_lines"),
-                       F.count_if(~F.col("same_raw")).alias("not_matching"),
-                       F.count_if(~F.col("same_cleaned")).alias("not_matching_cleaned"))
+def roundtrip_counts(checked: DataFrame, keys=()) -> DataFrame:
+    """Lines and mismatches per ``keys`` (for example file and side)."""
+    return checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"),
+                                      F.count_if(~F.col("same_raw")).alias("not_matching"),
+                                      F.count_if(~F.col("same_cleaned")).alias("not_matching_cleaned"))
+
+
+def mismatches(checked: DataFrame, original: str, keys=("file", "side", "line_no")) -> DataFrame:
+    """The report rows: keys (file and side first), flags, original and decoded text."""
+    bad = checked.where(~F.col("same_raw") | ~F.col("same_cleaned"))
+    return bad.select(*keys, "same_raw", "same_cleaned", T.strip(original).alias("original"), "decoded")

@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 from ctrltok.functions import bins as B
 from ctrltok.functions import text as T
 from ctrltok.functions import tokens as K
-from ctrltok.operators.features import Tokenizer, feature_bundle
+from ctrltok.operators.features import Parse, Tokenizer, feature_bundle, tokens_of
 
 
 def control_corpus(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
-                   tokenizer: Tokenizer | None = None) -> DataFrame:
+                   tokenizer: Tokenizer | None = None, parse: Parse | DataFrame | str | None = None) -> DataFrame:
     """Featurise, bin, render the prefix and tokenise: adds ``feature_set``,
     ``prefix``, ``source_line`` (prefix + tokenised source) and ``target_line``
     (tokenised target), keeping the exact and binned feature columns.
     ``tokenizer`` (text Column -> ARRAY<STRING> Column, e.g. a pandas UDF)
-    replaces the built-in tokeniser everywhere: lines, frequency and depth."""
+    replaces the built-in tokeniser in lines and frequency; ``parse`` supplies the dependency feature's heads.
+    Prepared pairs (:func:`~ctrltok.operators.features.prepare_pairs`) are not tokenised again."""
     key = K.feature_set_key(features)
     fs = key.split("_")
-    df = feature_bundle(pairs, fs, ranks=ranks, binned=True, tokenizer=tokenizer)
-    tok = tokenizer or T.tokenize
+    df = feature_bundle(pairs, fs, ranks=ranks, binned=True, tokenizer=tokenizer, parse=parse)
+    src, tgt = (F.array_join(tokens_of(df, s, tokenizer), " ") for s in ("source", "target"))
     prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in fs})
     df = df.withColumns({"feature_set": F.lit(key), "prefix": prefix})
-    return df.withColumns({"source_line": F.concat(F.col("prefix"), F.array_join(tok(F.col("source")), " ")),
-                           "target_line": F.array_join(tok(F.col("target")), " ")})
+    return df.withColumns({"source_line": F.concat(F.col("prefix"), src), "target_line": tgt})
 
 
 def parsed_corpus(lines: DataFrame, col: str = "source_line") -> DataFrame:
@@ -74,7 +74,8 @@ def combination_list(features: Iterable[str] = B.FEATURES, proper: bool = True)
 def ablation_corpus(lines: DataFrame, combos: list[list[str]] | None = None, col: str = "source_line") -> DataFrame:
     """Every line re-prefixed with each feature subset (default: the 14 proper
     subsets).  The subsets are a bounded literal array exploded per line -- no
-    join -- and the line is parsed once for all of them."""
+    join -- and the line is parsed once for all of them.  A subset that asks for a token
+    the line does not carry fails the job: pass the subsets of the corpus's own features."""
     combos = combination_list() if combos is None else combos
     lit_combos = F.array(*[
         F.struct(F.lit("_".join(sorted(c))).alias("feature_set"),
@@ -83,8 +84,10 @@ def ablation_corpus(lines: DataFrame, combos: list[list[str]] | None = None, col
     parsed = parsed_corpus(lines, col)
     parsed = parsed.drop("feature_set") if "feature_set" in parsed.columns else parsed
     j = parsed.select("*", F.inline(lit_combos))
-    kept = F.filter("names", lambda n: F.try_element_at(F.col("controls"), n).isNotNull())
-    prefix = F.aggregate(kept, F.lit(""), lambda acc, n: F.concat(
+    missing = F.exists("names", lambda n: F.try_element_at(F.col("controls"), n).isNull())
+    names = F.when(F.coalesce(missing, F.lit(True)), F.raise_error(F.lit("a line lacks a requested control token")).cast("array<string>")) \
+        .otherwise(F.col("names"))
+    prefix = F.aggregate(names, F.lit(""), lambda acc, n: F.concat(
         acc, F.lit("<"), n, F.lit("_"), F.try_element_at(F.col("controls"), n).cast("string"), F.lit("> ")))
     return j.withColumn("ablated_line", F.concat(F.coalesce(prefix, F.lit("")), F.col("sentence"))).drop("names")
 
@@ -98,8 +101,9 @@ def snap_requested(requested: Mapping[str, float]) -> dict[str, F.Column]:
     return {f: B.bin_label(F.lit(float(v)), f) for f, v in requested.items()}
 
 
-def inference_corpus(lines: DataFrame, requested: Mapping[str, float], col: str = "line") -> DataFrame:
+def inference_corpus(lines: DataFrame, requested: Mapping[str, float], col: str = "line",
+                     tokenizer: Tokenizer | None = None) -> DataFrame:
     """Prefix every line with the constant control tokens of the requested
     values (features in alphabetical order) followed by the tokenised line."""
     prefix = K.render_prefix(snap_requested(requested))
-    return lines.withColumn("prefix", prefix).withColumn("model_input", F.concat("prefix", T.tokenized_text(col)))
+    return lines.withColumn("prefix", prefix).withColumn("model_input", F.concat("prefix", F.array_join((tokenizer or T.tokenize)(F.col(col)), " ")))

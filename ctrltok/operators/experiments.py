@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The keys of a metric file and the header of the results table.
 METRIC_KEYS = ("bleu", "sari", "fkgl", "bertscore_precision", "bertscore_recall", "bertscore_f1")
 # Feature abbreviations in the overview, in this order; all four -> "all".
 FEATURE_ABBR = (("dependency", "dep"), ("frequency", "freq"), ("length", "len"), ("levenshtein", "leven"))

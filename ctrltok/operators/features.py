@@ -20,7 +20,7 @@ from ctrltok.functions import bins as B
 from ctrltok.functions import depth as D
 from ctrltok.functions import edit as E
 from ctrltok.functions import text as T
-from ctrltok.sources.tables import estimated_bytes, hash_partitioned_by
+from ctrltok.session import materialize
 
 SIDES = ("source", "target")
 
@@ -51,9 +51,38 @@ def _tok(tokenizer: Tokenizer | None, c) -> Column:
     return (tokenizer or T.tokenize)(col)
 
 
-def text_depth(text, tokenizer: Tokenizer | None = None) -> Column:
-    """Max depth of the synthetic parse of the text's tokens."""
-    return D.max_depth(D.synthetic_heads(_tok(tokenizer, text)))
+# A parse maps a text Column to a heads ARRAY<INT> Column (heads[i] = parent of token i, negative = root).
+Parse = Callable[[Column], Column]
+
+
+def prepare_pairs(pairs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """The pairs with ``source_tokens`` / ``target_tokens``, derived and tokenised once: the table is
+    written to the shared checkpoint folder, and every feature, prefix and line reads it from there."""
+    df = pairs if "lang" in pairs.columns else pairs.withColumn("lang", F.lit("en"))
+    return materialize(df.withColumns({f"{s}_tokens": _tok(tokenizer, s) for s in SIDES}), "pairs")
+
+
+def tokens_of(df: DataFrame, side: str, tokenizer: Tokenizer | None = None) -> Column:
+    """The prepared tokens of a side, or the text tokenised here."""
+    return F.col(f"{side}_tokens") if f"{side}_tokens" in df.columns else _tok(tokenizer, side)
+
+
+def depth_columns(pairs: DataFrame, parse: Parse | DataFrame | str | None) -> tuple[DataFrame, Column, Column]:
+    """Pairs with the depths of both sides from a supplied parse: a function of the text column, the prefix of
+    heads columns (``<prefix>_source`` / ``<prefix>_target``, several sentences = several roots) or a heads table
+    ``(pair_id, side, sent_no, token_no, head_no)``.  There is no default parse."""
+    if parse is None:
+        raise ValueError("the dependency feature needs a parse (a function, heads columns or a heads table)")
+    if isinstance(parse, DataFrame):
+        from ctrltok.operators.tree import depth_from_heads
+
+        d = depth_from_heads(parse).groupBy("pair_id").agg(
+            *[F.max(F.when(F.col("side") == i, F.col("depth"))).alias(f"_depth_{s}") for i, s in enumerate(SIDES)])
+        joined = pairs.join(d, "pair_id", "left")
+        return joined, *(F.coalesce(f"_depth_{s}", F.lit(0)) for s in SIDES)
+    if isinstance(parse, str):
+        return pairs, *(D.max_depth(f"{parse}_{s}") for s in SIDES)
+    return pairs, *(D.max_depth(parse(F.col(s))) for s in SIDES)
 
 
 def depth_ratio_from(ds: Column, dt: Column) -> Column:
@@ -61,18 +90,12 @@ def depth_ratio_from(ds: Column, dt: Column) -> Column:
     return F.try_divide(F.greatest(dt.cast("double"), F.lit(0.5)), F.greatest(ds.cast("double"), F.lit(0.5)))
 
 
-def with_depth(pairs: DataFrame, heads: str | None = None, absolute: bool = False, out: str = "exact_dependency") -> DataFrame:
-    """Depth ratio (or absolute target depth, without the 0.5 floor).  With
-    ``heads`` = a column prefix, the parse is read from ``{heads}_source`` /
-    ``{heads}_target`` heads arrays supplied by the caller; otherwise the
-    synthetic test parse of the tokens is used."""
-    if heads:
-        ds, dt = D.max_depth(f"{heads}_source"), D.max_depth(f"{heads}_target")
-    else:
-        ds, dt = text_depth("source"), text_depth("target")
-    if absolute:
-        return pairs.withColumn(out, dt.cast("double"))
-    return pairs.withColumn(out, depth_ratio_from(ds, dt))
+def with_depth(pairs: DataFrame, parse: Parse | DataFrame | str, absolute: bool = False,
+               out: str = "exact_dependency") -> DataFrame:
+    """Depth ratio (or absolute target depth, without the 0.5 floor) from a supplied parse."""
+    df, ds, dt = depth_columns(pairs, parse)
+    df = df.withColumn(out, dt.cast("double") if absolute else depth_ratio_from(ds, dt))
+    return df.drop(*[f"_depth_{s}" for s in SIDES])
 
 
 # ---------------------------------------------------------------------------
@@ -87,7 +110,7 @@ def vocab_sizes(ranks: DataFrame) -> DataFrame:
 def side_tokens(pairs: DataFrame, sides: Iterable[str] = SIDES, tokenizer: Tokenizer | None = None) -> DataFrame:
     """``(pair_id, lang, side, token_no, word)`` for every token of the given sides
     (side 0 = source, 1 = target)."""
-    structs = [F.struct(F.lit(SIDES.index(s)).alias("side"), _tok(tokenizer, s).alias("toks")) for s in sides]
+    structs = [F.struct(F.lit(SIDES.index(s)).alias("side"), tokens_of(pairs, s, tokenizer).alias("toks")) for s in sides]
     per_side = pairs.select("pair_id", "lang", F.inline(F.array(*structs)))
     return per_side.select("pair_id", "lang", "side", F.posexplode("toks").alias("token_no", "word"))
 
@@ -121,35 +144,10 @@ def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75,
     return out.drop("vocab", *[f"q_{s}" for s in sides])
 
 
-# Text bytes per task for the CPU-bound per-pair stages.
-PAIR_BYTES_PER_TASK = 4 * 1024 * 1024
-
-
-def pair_partitions(pairs: DataFrame) -> int:
-    """Partition count for per-pair work: about ``PAIR_BYTES_PER_TASK`` of input
-    per task (Catalyst's size estimate), at least one per core and at most
-    ``spark.sql.shuffle.partitions``."""
-    spark = pairs.sparkSession
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cores = spark.sparkContext.defaultParallelism
-    size = estimated_bytes(pairs)
-    want = cap if size is None else -(-size // PAIR_BYTES_PER_TASK)
-    return max(1, min(cap, max(cores, want)))
-
-
 def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Hash-partition pairs by ``pair_id`` once so downstream per-pair
-    aggregations and joins do not shuffle again.
-
-    The partition count is given explicitly (:func:`pair_partitions`): the
-    stages after this exchange are CPU-bound per pair (tokenising, exploding,
-    percentiles, UDFs), and a byte-size-driven AQE coalesce would squeeze
-    small-but-expensive pair data into a few tasks.  Input that is already
-    hash-partitioned by the key (a bucketed pair table, see
-    :func:`ctrltok.sources.tables.save_pairs_bucketed`) is used as it is."""
-    if hash_partitioned_by(pairs, key):
-        return pairs
-    return pairs.repartition(pair_partitions(pairs), key)
+    """Hash-partition pairs by ``pair_id`` once so downstream per-pair aggregations and joins do not shuffle
+    again.  The number of partitions is the session's; AQE coalesces by measured size."""
+    return pairs.repartition(key)
 
 
 def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, out: str = "exact_frequency",
@@ -167,9 +165,11 @@ def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, o
 # ---------------------------------------------------------------------------
 
 def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
-                   binned: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
+                   binned: bool = True, tokenizer: Tokenizer | None = None,
+                   parse: Parse | DataFrame | str | None = None) -> DataFrame:
     """Add ``exact_<feature>`` (and ``bin_<feature>``, ``bin_idx_<feature>``) for the
-    requested features only; unrequested branches never enter the plan."""
+    requested features only; unrequested branches never enter the plan.  ``dependency`` needs a
+    ``parse`` (see :func:`depth_columns`)."""
     fs = sorted(set(features))
     unknown = set(fs) - set(B.FEATURES)
     if unknown:
@@ -181,14 +181,15 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
             raise ValueError("the frequency feature needs a rank table")
         df = with_frequency(by_pair(df), ranks, tokenizer=tokenizer)
     local = {}
+    if "dependency" in fs:
+        df, ds, dt = depth_columns(df, parse)
+        local["exact_dependency"] = depth_ratio_from(ds, dt)
     if "length" in fs:
         local["exact_length"] = length_ratio()
-    if "dependency" in fs:
-        local["exact_dependency"] = depth_ratio_from(text_depth("source", tokenizer), text_depth("target", tokenizer))
     if "levenshtein" in fs:
         local["exact_levenshtein"] = edit_ratio()
     if local:
-        df = df.withColumns(local)
+        df = df.withColumns(local).drop(*[f"_depth_{s}" for s in SIDES])
     if binned:
         df = df.withColumns({f"bin_idx_{f}": B.bin_index(F.col(f"exact_{f}"), f) for f in fs})
         df = df.withColumns({f"bin_{f}": B.edge_of(F.col(f"bin_idx_{f}")) for f in fs})

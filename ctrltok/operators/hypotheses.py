@@ -37,15 +37,17 @@ def best_hypotheses(hyps: DataFrame) -> DataFrame:
                                          F.min_by("score", "log_no").alias("score"))
 
 
+ID_BLOCK = 4096
+
+
 def missing_samples(hyps: DataFrame) -> DataFrame:
-    """Sample ids in ``0 .. max`` that have no hypothesis (reported, not
-    invented).  Only the scalar maximum visits the driver; the id range is a
-    distributed ``range``."""
-    hi = hyps.agg(F.max("sample_id")).first()[0]
-    if hi is None:
-        return hyps.sparkSession.range(0).withColumnRenamed("id", "sample_id")
-    ids = hyps.sparkSession.range(0, int(hi) + 1).withColumnRenamed("id", "sample_id")
-    return ids.join(hyps.select("sample_id"), "sample_id", "left_anti")
+    """Sample ids in ``0 .. max`` that have no hypothesis (reported, not invented), by id.  No job runs here:
+    the id range is made in blocks from the maximum and spread before the blocks are opened."""
+    top = hyps.agg(F.max("sample_id").cast("long").alias("hi")).filter("hi >= 0")
+    blocks = top.select("hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("hi") / ID_BLOCK))).alias("b"))
+    ids = blocks.repartition("b").select(F.explode(F.sequence(
+        F.col("b") * ID_BLOCK, F.least(F.col("b") * ID_BLOCK + (ID_BLOCK - 1), F.col("hi")))).alias("sample_id"))
+    return ids.join(hyps.select(F.col("sample_id").cast("long").alias("sample_id")), "sample_id", "left_anti").orderBy("sample_id")
 
 
 def read_hypotheses(spark, path: str) -> DataFrame:

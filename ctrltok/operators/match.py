@@ -16,18 +16,22 @@ from pyspark.sql import functions as F
 
 from ctrltok.functions import bins as B
 from ctrltok.functions import tokens as K
-from ctrltok.operators.features import feature_bundle
+from ctrltok.operators.features import Parse, Tokenizer, feature_bundle, prepare_pairs
 
 
 def realised_vs_requested(rows: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
-                          line: str = "source_line", output: str = "output") -> DataFrame:
+                          line: str = "source_line", output: str = "output", tokenizer: Tokenizer | None = None,
+                          parse: Parse | DataFrame | str | None = None) -> DataFrame:
     """Rows ``(pair_id, name, requested, realised, match, delta)``, one per
-    requested control token of a requested feature."""
+    requested control token of a requested feature.  A realised value that cannot be computed (empty source)
+    is a mismatch with NULL ``realised`` and ``delta``."""
     fs = sorted(set(features))
     lang = F.col("lang") if "lang" in rows.columns else F.lit("en")
     parsed = rows.select("pair_id", lang.alias("lang"), K.parse_tokens(line).alias("requested_map"),
                          K.strip_prefix(line).alias("source"), F.col(output).alias("target"))
-    feats = feature_bundle(parsed, fs, ranks=ranks, binned=True)
+    if "frequency" in fs:
+        parsed = prepare_pairs(parsed, tokenizer)
+    feats = feature_bundle(parsed, fs, ranks=ranks, binned=True, tokenizer=tokenizer, parse=parse)
     realised_of = F.lit(None).cast("double")
     for f in fs:
         realised_of = F.when(F.col("name") == B.TOKEN_NAMES[f], F.round(F.col(f"bin_{f}"), 2)).otherwise(realised_of)
@@ -35,14 +39,15 @@ def realised_vs_requested(rows: DataFrame, features: Iterable[str], ranks: DataF
                       F.explode("requested_map").alias("name", "requested"))
     ex = ex.where(F.col("name").isin([B.TOKEN_NAMES[f] for f in fs]))
     out = ex.select("pair_id", "name", "requested", realised_of.alias("realised"))
-    return (out.withColumn("match", F.col("requested") == F.col("realised"))
+    return (out.withColumn("match", F.coalesce(F.col("requested") == F.col("realised"), F.lit(False)))
                .withColumn("delta", F.when(~F.col("match"), F.col("requested") - F.col("realised"))))
 
 
 def match_summary(compared: DataFrame) -> DataFrame:
-    """Per control-token name and overall (``name`` NULL): matches, mismatches and
-    the mean divergence over mismatches only (NULL when there is none)."""
+    """Per control-token name and overall (``name`` NULL, ``is_total`` 1): matches, mismatches and
+    the mean divergence over mismatches with a realised value (NULL when there is none)."""
     return compared.rollup("name").agg(
+        F.grouping("name").cast("int").alias("is_total"),
         F.count_if("match").alias("n_match"),
         F.count_if(~F.col("match")).alias("n_mismatch"),
         F.avg("delta").alias("avg_delta"))

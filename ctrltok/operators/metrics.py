@@ -5,8 +5,9 @@
   order has no match).
 * SARI (Xu et al. 2016), one reference: per sentence and n-gram order, the F1
   of kept n-grams, the precision of deleted n-grams and the F1 of added
-  n-grams, averaged over the three operations and the four orders; the corpus
-  score is the mean over sentences.
+  n-grams, averaged over the three operations and the four orders, on a 0-100 scale.  The
+  corpus score pools the sums behind these ratios over all sentences; the mean over
+  sentences is available too.
 * FKGL (Kincaid et al. 1975): 0.39 words/sentences + 11.8 syllables/words
   - 15.59 with a documented heuristic: sentences = runs of ``.!?`` (at least 1
   per non-empty text), syllables = vowel groups per word (at least 1).
@@ -28,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctrltok.udfs import by_value
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ctrltok.functions import text as T
 from ctrltok.operators.features import by_pair
-from ctrltok.operators.numbering import global_index
 
 MAX_N = 4
 # Fixed value of the syllable heuristic: the vowel letters (lower case) whose
@@ -129,9 +129,8 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: str = "ref_tokens",
-         key: str = "pair_id") -> DataFrame:
-    """Per sentence ``(key, keep, deletion, addition, sari)`` on a 0-100 scale."""
+def _sari_sums(df: DataFrame, src: str, hyp: str, ref: str, key: str) -> DataFrame:
+    """Per sentence and order, the sums and counts behind the SARI ratios (order 0: one row per sentence)."""
     keyed = by_pair(df.select(key, src, hyp, ref), key)
     # the sentinel row keeps sentences without any n-gram in the output (score 0)
     # without joining the scores back to the sentence list
@@ -144,23 +143,51 @@ def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: s
           .withColumn("d", F.greatest(s - c, F.lit(0))).withColumn("dg", F.greatest(s - c - r, F.lit(0)))
           .withColumn("a", (c > 0) & (s == 0)).withColumn("ag", (c > 0) & (s == 0) & (r > 0))
           .withColumn("aall", (r > 0) & (s == 0)))
-    per_n = g.groupBy(key, "n").agg(
-        _ratio(F.sum(F.when(F.col("k") > 0, F.col("kg") / F.col("k"))), F.count_if(F.col("k") > 0)).alias("keep_p"),
-        _ratio(F.sum(F.when(F.col("ka") > 0, F.col("kg") / F.col("ka"))), F.count_if(F.col("ka") > 0)).alias("keep_r"),
-        _ratio(F.sum(F.when(F.col("d") > 0, F.col("dg") / F.col("d"))), F.count_if(F.col("d") > 0)).alias("del_p"),
-        _ratio(F.count_if("ag"), F.count_if("a")).alias("add_p"),
-        _ratio(F.count_if("ag"), F.count_if("aall")).alias("add_r"))
-    per_n = per_n.withColumn("keep", _f1(F.col("keep_p"), F.col("keep_r"))) \
-                 .withColumn("add", _f1(F.col("add_p"), F.col("add_r")))
-    real = F.col("n") > 0
-    per_s = per_n.groupBy(key).agg(
-        (F.sum(F.when(real, F.col("keep")).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias("keep"),
-        (F.sum(F.when(real, F.col("del_p")).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias("deletion"),
-        (F.sum(F.when(real, F.col("add")).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias("addition"))
-    return per_s.withColumn("sari", F.lit(100.0) * (F.col("keep") + F.col("deletion") + F.col("addition")) / F.lit(3.0))
-
-
-def corpus_sari(per_sentence: DataFrame) -> DataFrame:
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0.0))
+
+    return g.groupBy(key, "n").agg(
+        total(F.when(F.col("k") > 0, F.col("kg") / F.col("k"))).alias("keep_hit"), F.count_if(F.col("k") > 0).alias("keep_sys"),
+        total(F.when(F.col("ka") > 0, F.col("kg") / F.col("ka"))).alias("keep_found"), F.count_if(F.col("ka") > 0).alias("keep_ref"),
+        total(F.when(F.col("d") > 0, F.col("dg") / F.col("d"))).alias("del_hit"), F.count_if(F.col("d") > 0).alias("del_sys"),
+        F.count_if("ag").alias("add_hit"), F.count_if("a").alias("add_sys"), F.count_if("aall").alias("add_ref"))
+
+
+SARI_SUMS = ("keep_hit", "keep_sys", "keep_found", "keep_ref", "del_hit", "del_sys", "add_hit", "add_sys", "add_ref")
+
+
+def _sari_scores(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Operation scores (0-100) from sums per ``(*keys, n)``; order 0 only keeps its key."""
+    c = F.col
+    per_n = sums.select(
+        *keys, "n", _f1(_ratio(c("keep_hit"), c("keep_sys")), _ratio(c("keep_found"), c("keep_ref"))).alias("keep"),
+        _ratio(c("del_hit"), c("del_sys")).alias("deletion"),
+        _f1(_ratio(c("add_hit"), c("add_sys")), _ratio(c("add_hit"), c("add_ref"))).alias("addition"))
+    ops = ("keep", "deletion", "addition")
+    mean = [(F.lit(100.0) * F.sum(F.when(c("n") > 0, c(o)).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias(o) for o in ops]
+    return per_n.groupBy(*keys).agg(*mean).withColumn("sari", (c("keep") + c("deletion") + c("addition")) / F.lit(3.0))
+
+
+def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: str = "ref_tokens",
+         key: str = "pair_id") -> DataFrame:
+    """Per sentence ``(key, keep, deletion, addition, sari)``, all on a 0-100 scale."""
+    return _sari_scores(_sari_sums(df, src, hyp, ref, key), [key])
+
+
+def corpus_sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: str = "ref_tokens",
+                key: str = "pair_id") -> DataFrame:
+    """One row ``(n_sentences, sari, keep, deletion, addition)`` from sums over all sentences."""
+    pooled = _sari_sums(df, src, hyp, ref, key).groupBy("n").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(x) for x in SARI_SUMS])
+    n = F.coalesce(F.max(F.when(F.col("n") == 0, F.col("rows"))), F.lit(0)).alias("n_sentences")
+    scores, count = _sari_scores(pooled.withColumn("_all", F.lit(1)), ["_all"]), pooled.agg(n)
+    # two single rows: the join has one row on either side
+    return scores.join(count.withColumn("_all", F.lit(1)), "_all").drop("_all")
+
+
+def mean_sari(per_sentence: DataFrame) -> DataFrame:
+    """The mean of sentence scores."""
     return per_sentence.agg(F.count(F.lit(1)).alias("n_sentences"), F.avg("sari").alias("sari"),
                             F.avg("keep").alias("keep"), F.avg("deletion").alias("deletion"),
                             F.avg("addition").alias("addition"))
@@ -195,8 +222,7 @@ def fkgl(df: DataFrame, text: str = "text") -> DataFrame:
 # Embedding greedy match
 # ---------------------------------------------------------------------------
 
-_BLOCK_OUT = StructType([StructField("cand_max", ArrayType(DoubleType())),
-                         StructField("ref_max", ArrayType(DoubleType()))])
+_MATCH_OUT = StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType())])
 
 
 def _unit(rows) -> np.ndarray:
@@ -206,50 +232,28 @@ def _unit(rows) -> np.ndarray:
         return np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
 
 
-@F.pandas_udf(_BLOCK_OUT)
-def _block_max(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    cm, rm = [], []
+@F.pandas_udf(_MATCH_OUT)
+def _greedy(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    out = []
     for a, b in zip(cand, ref):
         sims = _unit(a) @ _unit(b).T
-        cm.append(sims.max(axis=1).tolist())
-        rm.append(sims.max(axis=0).tolist())
-    return pd.DataFrame({"cand_max": cm, "ref_max": rm})
+        out.append((sims.max(axis=1).mean(), sims.max(axis=0).mean()))
+    return pd.DataFrame(out, columns=["precision", "recall"])
 
 
-def embedding_match(vectors: DataFrame, sentence_pairs: DataFrame, block: int = 256) -> DataFrame:
+def embedding_match(vectors: DataFrame, sentence_pairs: DataFrame) -> DataFrame:
     """Greedy cosine match between the token vectors of candidate and reference
-    sentences.  ``vectors``: ``(sent, vec_id, embedding)``; ``sentence_pairs``:
-    ``(cand, ref)``.
-
-    Each sentence is cut into blocks of at most ``block`` vectors.  The block
-    pairs are formed from block ids alone (three integers per row), and each
-    side's vectors are then joined in on its own ``(sentence, block)`` key, so
-    no shuffle carrying vectors is keyed by a (possibly huge) sentence.  Every
-    block pair is one vectorised matrix product in the UDF, and only per-vector
-    maxima leave it: no row is ever emitted per token pair, and no group
-    exceeds one block."""
-    numbered = global_index(vectors, ["vec_id"], group_by=["sent"], out="pos")
-    blocks = (numbered.withColumn("blk", F.floor(F.col("pos") / F.lit(block)))
-              .groupBy("sent", "blk")
-              .agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("vecs")))
-    ids = blocks.select("sent", "blk")
-    block_pairs = (sentence_pairs.select("cand", "ref")
-                   .join(ids.select(F.col("sent").alias("cand"), F.col("blk").alias("cblk")), "cand")
-                   .join(ids.select(F.col("sent").alias("ref"), F.col("blk").alias("rblk")), "ref"))
-    c = blocks.select(F.col("sent").alias("cand"), F.col("blk").alias("cblk"), F.col("vecs").alias("cvecs"))
-    r = blocks.select(F.col("sent").alias("ref"), F.col("blk").alias("rblk"), F.col("vecs").alias("rvecs"))
-    j = block_pairs.join(c, ["cand", "cblk"]).join(r, ["ref", "rblk"])
-    mx = j.select("cand", "ref", F.col("cvecs.vec_id").alias("cids"), F.col("rvecs.vec_id").alias("rids"),
-                  _block_max(F.col("cvecs.embedding"), F.col("rvecs.embedding")).alias("m"))
-    # both directions leave the same rows (side 0: candidate vectors, side 1:
-    # reference vectors), so the matrix products run once
-    side = lambda k, ids, best: F.transform(
-        F.arrays_zip(F.col(ids).alias("vec_id"), F.col(best).alias("s")),
-        lambda x: F.struct(F.lit(k).alias("side"), x["vec_id"].alias("vec_id"), x["s"].alias("s")))
-    best = (mx.select("cand", "ref", F.inline(F.concat(side(0, "cids", "m.cand_max"), side(1, "rids", "m.ref_max"))))
-            .groupBy("cand", "ref", "side", "vec_id").agg(F.max("s").alias("s")))
-    out = best.groupBy("cand", "ref").agg(F.avg(F.when(F.col("side") == 0, F.col("s"))).alias("precision"),
-                                          F.avg(F.when(F.col("side") == 1, F.col("s"))).alias("recall"))
+    sentences.  ``vectors``: ``(sent, vec_id, embedding)``; ``sentence_pairs``: ``(cand, ref)``.
+
+    A sentence has a bounded number of tokens, so its vectors form one array; each pair is
+    an equi-join of two arrays and one matrix product.  Vectors are shuffled once to build the arrays and once to
+    meet the other side."""
+    arrays = vectors.groupBy("sent").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda v: v["embedding"]).alias("vecs"))
+    c = arrays.select(F.col("sent").alias("cand"), F.col("vecs").alias("cvecs"))
+    r = arrays.select(F.col("sent").alias("ref"), F.col("vecs").alias("rvecs"))
+    j = sentence_pairs.select("cand", "ref").join(c, "cand").join(r, "ref")
+    out = j.select("cand", "ref", _greedy("cvecs", "rvecs").alias("m")).select("cand", "ref", "m.precision", "m.recall")
     return out.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
 

@@ -33,9 +33,9 @@ def control_values(lines: DataFrame, col: str = "source_line", keep: Iterable[st
 
 def value_counts(values: DataFrame, by_split: str = "split") -> DataFrame:
     """Counts per (name, value) for every split and for the pooled corpus
-    (``split`` = NULL) in one pass: GROUPING SETS ((name, value, split), (name, value))."""
+    (``pooled`` = 1) in one pass: GROUPING SETS ((name, value, split), (name, value))."""
     g = values.groupingSets([["name", "value", by_split], ["name", "value"]], "name", "value", by_split)
-    return g.agg(F.count(F.lit(1)).alias("cnt"))
+    return g.agg(F.grouping(by_split).cast("int").alias("pooled"), F.count(F.lit(1)).alias("cnt"))
 
 
 def long_features(df: DataFrame, features: Iterable[str], prefix: str = "exact_", keep: Iterable[str] = ()) -> DataFrame:
@@ -112,10 +112,3 @@ def rank_profile(log_ranks: DataFrame, keys: Iterable[str] = ("pair_id", "side")
         F.percentile("lr", 0.5).alias("median"), F.percentile("lr", 0.25).alias("q1"),
         F.percentile("lr", 0.75).alias("q3"))
     return g.withColumn("iqr", F.col("q3") - F.col("q1"))
-
-
-def feature_token_name(feature) -> F.Column:
-    expr = F.lit(None).cast("string")
-    for f, tok in B.TOKEN_NAMES.items():
-        expr = F.when(feature == f, F.lit(tok)).otherwise(expr)
-    return expr

@@ -8,11 +8,9 @@ at 1 when ``skip > 0``, so a resumed run never reuses id 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctrltok.operators.numbering import global_index
-
 
 def assign_shards(lines: DataFrame, lines_per_shard: int, skip: int = 0, split: str = "train",
                   line_no: str = "line_no") -> DataFrame:
@@ -23,6 +21,7 @@ def assign_shards(lines: DataFrame, lines_per_shard: int, skip: int = 0, split:
     base = 1 if skip > 0 else 0
     shard = F.floor((F.col(line_no) - F.lit(skip)) / F.lit(lines_per_shard)).cast("long") + F.lit(base)
     return (lines.where(F.col(line_no) >= skip)
+                 .withColumn("split", F.lit(split))
                  .withColumn("shard", shard)
                  .withColumn("shard_name", F.concat(F.lit(f"{split}_"), F.col("shard").cast("string"))))
 
@@ -35,6 +34,12 @@ def merge_shards(sharded: DataFrame, order: DataFrame | None, keys: tuple[str, .
     if order is None:
         return sharded.withColumn("merged_line_no", F.col("line_no"))
     ks = list(keys)
-    listed = sharded.join(order.select(*ks, "shard", "pos"), [*ks, "shard"], "inner")
-    listed = listed.where(F.col(line) != "")
-    return global_index(listed, ["pos", "line_no"], group_by=ks, out="merged_line_no")
+    kept = (sharded.join(order.select(*ks, "shard", "pos"), [*ks, "shard"], "inner").where(F.col(line) != ""))
+    # a shard's first number is the number of kept lines in the shards before it (one row per shard); inside a
+    # shard, which holds a bounded number of lines, lines are numbered in order
+    sizes = kept.groupBy(*ks, "shard", "pos").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.partitionBy(*ks) if ks else Window).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*ks, "shard", "pos", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(*ks, "shard", "pos").orderBy("line_no")
+    numbered = kept.withColumn("_row", F.row_number().over(inside)).join(first, [*ks, "shard", "pos"])
+    return numbered.withColumn("merged_line_no", (F.col("_first") + F.col("_row") - 1).cast("long")).drop("_first", "_row")

@@ -23,7 +23,7 @@ def oracle(name: str, sql: str) -> None:
     ORACLE[name] = sql.strip()
 
 
-CF = ("dependency", "frequency", "length")
+CF = B.FEATURES
 PIECE = S.lit(T.PIECE_MARK)
 WS = T.WHITESPACE_CLASS
 
@@ -36,28 +36,44 @@ def _r6(x: str) -> str:
 # Control corpus
 # ---------------------------------------------------------------------------
 
-oracle("control_corpus", f"""
-WITH RECURSIVE {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}, {S.depth_cte()}, {S.features_cte()}
-SELECT pair_id, split, 'dependency_frequency_length' AS feature_set,
-       round(exact_dependency, 6) AS exact_dependency, round(exact_frequency, 6) AS exact_frequency,
-       round(exact_length, 6) AS exact_length,
-       {S.prefix3()} AS prefix,
-       {S.prefix3()} || {S.tokenized('source')} AS source_line,
+def _corpus_sql(depth: str) -> str:
+    return f"""
+WITH RECURSIVE {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}, {depth}, {S.lcs_cte()}, {S.features_cte()}
+SELECT pair_id, split, 'dependency_frequency_length_levenshtein' AS feature_set,
+       {', '.join(f'round(exact_{f}, 6) AS exact_{f}' for f in CF)},
+       {S.prefix()} AS prefix, {S.prefix()} || {S.tokenized('source')} AS source_line,
        {S.tokenized('target')} AS target_line
 FROM binned
-""")
+"""
 
-oracle("control_corpus_all", f"""
-WITH RECURSIVE {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}, {S.depth_cte()}, {S.features_cte()}, {S.lcs_cte()},
-all4 AS (SELECT b.*, l.lev AS exact_levenshtein, {S.bin_value('l.lev', 'levenshtein')} AS bin_levenshtein
-         FROM binned b JOIN lev l USING (pair_id))
-SELECT pair_id, split, 'dependency_frequency_length_levenshtein' AS feature_set,
-       round(exact_dependency, 6) AS exact_dependency, round(exact_frequency, 6) AS exact_frequency,
-       round(exact_length, 6) AS exact_length, round(exact_levenshtein, 6) AS exact_levenshtein,
-       {S.prefix3()} || {S.token('levenshtein', 'bin_levenshtein')} AS prefix,
-       {S.prefix3()} || {S.token('levenshtein', 'bin_levenshtein')} || {S.tokenized('source')} AS source_line,
-       {S.tokenized('target')} AS target_line
-FROM all4
+
+#: Depths where every line of a text is a sentence of its own.
+_LINE_DEPTH = f"""sent_txt AS (
+  SELECT pair_id, side, unnest(range(len(ls))) AS sent_no, unnest(ls) AS line
+  FROM (SELECT pair_id, 0 AS side, string_split(source, chr(10)) AS ls FROM pairs
+        UNION ALL SELECT pair_id, 1 AS side, string_split(target, chr(10)) AS ls FROM pairs)
+), sent_tok AS (
+  SELECT pair_id, side, sent_no, unnest(toks) AS tok, unnest(range(len(toks))) AS i
+  FROM (SELECT pair_id, side, sent_no, {S.tokens('line')} AS toks FROM sent_txt)
+), sent_head AS (
+  SELECT pair_id, side, sent_no, i, CASE WHEN i = 0 THEN -1 ELSE i - 1 - (length(tok) % i) END AS head FROM sent_tok
+), sent_rec(pair_id, side, sent_no, i, d) AS (
+  SELECT pair_id, side, sent_no, i, 0 FROM sent_head WHERE head = -1
+  UNION ALL
+  SELECT h.pair_id, h.side, h.sent_no, h.i, r.d + 1
+  FROM sent_head h JOIN sent_rec r ON h.pair_id = r.pair_id AND h.side = r.side AND h.sent_no = r.sent_no AND h.head = r.i
+), depth AS (
+  SELECT p.pair_id, coalesce(max(r.d) FILTER (WHERE r.side = 0), 0) AS depth_source,
+         coalesce(max(r.d) FILTER (WHERE r.side = 1), 0) AS depth_target
+  FROM pairs p LEFT JOIN sent_rec r ON r.pair_id = p.pair_id GROUP BY p.pair_id
+)"""
+
+oracle("control_corpus", _corpus_sql(S.depth_cte()))
+oracle("control_corpus_all", _corpus_sql(_LINE_DEPTH))
+
+oracle("depth_from_heads", f"""
+WITH RECURSIVE {S.pairs_cte()}, {_LINE_DEPTH}
+SELECT pair_id, side, max(d)::BIGINT AS depth FROM sent_rec GROUP BY pair_id, side
 """)
 
 oracle("control_corpus_length", f"""
@@ -93,7 +109,8 @@ oracle("pair_tsv", f"""
 WITH {_DOC_FILES},
 p AS (SELECT s.unit, s.line_no, {S.strip('s.line')} AS source, {S.strip('t.line')} AS target
       FROM src s JOIN tgt t ON s.unit = t.unit AND s.line_no = t.line_no)
-SELECT unit, line_no, len(string_split(source, ' '))::BIGINT AS n_words, source || chr(9) || target AS tsv FROM p
+SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n_words, line_no) - 1 AS position
+FROM (SELECT unit, line_no, len(string_split(source, ' '))::BIGINT AS n_words, source || chr(9) || target AS tsv FROM p)
 """)
 
 oracle("lines_head", f"""
@@ -251,7 +268,7 @@ WITH RECURSIVE {S.pairs_cte()}, {S.depth_cte()}
 SELECT pair_id, depth_target::DOUBLE AS depth_abs FROM depth
 """)
 
-_BUNDLE = f"WITH RECURSIVE {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}, {S.depth_cte()}, {S.features_cte()}"
+_BUNDLE = f"WITH RECURSIVE {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}, {S.depth_cte()}, {S.lcs_cte()}, {S.features_cte()}"
 
 
 def _idx(f: str) -> str:
@@ -283,7 +300,7 @@ FROM lf GROUP BY feature
 
 oracle("control_prefix", f"""
 {_BUNDLE}
-SELECT pair_id, {S.prefix3()} AS prefix FROM binned
+SELECT pair_id, {S.prefix()} AS prefix FROM binned
 """)
 
 
@@ -303,8 +320,8 @@ SELECT doc_id, line_no, {_snapped_prefix()} || {S.tokenized('line')} AS model_in
 # ---------------------------------------------------------------------------
 
 _CONTROL_LINES = f"""{_BUNDLE},
-cl0 AS (SELECT pair_id, split, {S.prefix3()} || {S.tokenized('source')} AS line FROM binned),
-cl AS (SELECT pair_id, split, CASE WHEN pair_id % 2 = 1 THEN replace(line, '> <', '><') ELSE line END AS line FROM cl0),
+cl0 AS (SELECT pair_id, turn, split, {S.prefix()} || {S.tokenized('source')} AS line FROM binned),
+cl AS (SELECT pair_id, split, CASE WHEN turn % 2 = 1 THEN replace(line, '> <', '><') ELSE line END AS line FROM cl0),
 parsed AS (
   SELECT pair_id, split, line, regexp_extract(line, {S.PREFIX}, 1) AS prefix,
          regexp_replace(line, {S.PREFIX}, '') AS sentence
@@ -365,7 +382,7 @@ oracle("value_counts", f"""
 {_CONTROL_LINES},
 nv AS (SELECT split, regexp_extract_all(prefix, {S.NAME}, 1) AS names, regexp_extract_all(prefix, {S.VALUE}, 1) AS vals FROM parsed),
 v AS (SELECT split, unnest(names) AS name, CAST(unnest(vals) AS DOUBLE) AS value FROM nv)
-SELECT name, value, split, count(*) AS cnt FROM v GROUP BY GROUPING SETS ((name, value, split), (name, value))
+SELECT name, value, split, GROUPING(split)::INTEGER AS pooled, count(*) AS cnt FROM v GROUP BY GROUPING SETS ((name, value, split), (name, value))
 """)
 
 oracle("hist_equal_width", f"""
@@ -373,7 +390,8 @@ oracle("hist_equal_width", f"""
 v AS (SELECT feature, x FROM lf WHERE x IS NOT NULL AND NOT isnan(x)),
 b0 AS (SELECT feature, min(x) AS lo0, max(x) AS hi0 FROM v GROUP BY feature),
 b AS (SELECT feature, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
-                      CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi, 80 AS n FROM b0),
+                      CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi,
+                      CASE WHEN feature = 'levenshtein' THEN 50 ELSE 80 END AS n FROM b0),
 k0 AS (SELECT v.feature, v.x, b.lo, b.hi, b.n, CAST(floor((v.x - b.lo) * (b.n::DOUBLE / (b.hi - b.lo))) AS INTEGER) AS k
        FROM v JOIN b USING (feature)),
 k1 AS (SELECT feature, x, lo, hi, n, CASE WHEN k = n THEN n - 1 ELSE k END AS k FROM k0),
@@ -401,7 +419,7 @@ SELECT feature, bin, split, count(*) AS cnt FROM k GROUP BY GROUPING SETS ((feat
 # ---------------------------------------------------------------------------
 
 _HYPS = """hyps AS (
-  SELECT conv_id AS sample_id, conv_id * 2000 + turn * 2 + 1 AS log_no,
+  SELECT conv_id AS sample_id, (conv_id * 16777216 + turn) * 2 + 1 AS log_no,
          CAST('-0.' || CAST(turn AS VARCHAR) AS DOUBLE) AS score, replace(text, chr(10), ' ') AS text
   FROM conversations
 )"""
@@ -417,7 +435,7 @@ SELECT sample_id, arg_min(score, log_no) AS score, arg_min(text, log_no) AS text
 """)
 
 _TRIPLES = f"""tri AS (
-  SELECT c.conv_id * 1000 + c.turn AS pair_id, 'en' AS lang, {S.strip('c.text')} AS t0,
+  SELECT c.conv_id * 16777216 + c.turn AS pair_id, 'en' AS lang, {S.strip('c.text')} AS t0,
          {S.strip('n1.text')} AS t1, {S.strip('n2.text')} AS t2
   FROM conversations c
   JOIN conversations n1 ON n1.conv_id = c.conv_id AND n1.turn = c.turn + 1
@@ -426,26 +444,26 @@ _TRIPLES = f"""tri AS (
 real_pairs AS (SELECT pair_id, lang, {S.tokenized('t0')} AS source, t1 AS target FROM tri)"""
 
 _MATCH = f"""WITH RECURSIVE {S.ranks_cte()}, {_TRIPLES},
-{S.freq_cte('req_pairs', '_q')}, {S.depth_cte('req_pairs', '_q')}, {S.features_cte('req_pairs', '_q')},
-{S.freq_cte('real_pairs', '_r')}, {S.depth_cte('real_pairs', '_r')}, {S.features_cte('real_pairs', '_r')},
+{S.freq_cte('req_pairs', '_q')}, {S.depth_cte('req_pairs', '_q')}, {S.lcs_cte('req_pairs', '_q')}, {S.features_cte('req_pairs', '_q')},
+{S.freq_cte('real_pairs', '_r')}, {S.depth_cte('real_pairs', '_r')}, {S.lcs_cte('real_pairs', '_r')}, {S.features_cte('real_pairs', '_r')},
 cmp AS (
   {" UNION ALL ".join(
       f"SELECT q.pair_id, '{B.TOKEN_NAMES[f]}' AS name, round(q.bin_{f}, 2) AS requested, round(r.bin_{f}, 2) AS realised "
-      f"FROM binned_q q JOIN binned_r r USING (pair_id)" for f in CF)}
+      f"FROM binned_q q JOIN binned_r r USING (pair_id) WHERE q.pair_id % 5 <> 0 AND q.bin_{f} IS NOT NULL" for f in CF)}
 ), cmp2 AS (
-  SELECT *, requested = realised AS match, CASE WHEN requested <> realised THEN requested - realised END AS delta FROM cmp
+  SELECT *, coalesce(requested = realised, false) AS match, CASE WHEN requested <> realised THEN requested - realised END AS delta FROM cmp
 )"""
 
 oracle("feature_match", f"""
 {_MATCH}
-SELECT coalesce(name, 'ALL') AS name, count(*) FILTER (WHERE match) AS n_match,
+SELECT name, GROUPING(name)::INTEGER AS is_total, count(*) FILTER (WHERE match) AS n_match,
        count(*) FILTER (WHERE NOT match) AS n_mismatch, round(avg(delta), 6) AS avg_delta
 FROM cmp2 GROUP BY ROLLUP (name)
 """)
 
 oracle("feature_match_totals", f"""
 {_MATCH}
-SELECT (SELECT count(*) FROM tri) AS n_pairs, (SELECT count(*) FROM tri) AS n_prefixed,
+SELECT (SELECT count(*) FROM tri) AS n_pairs, (SELECT count(*) FROM tri WHERE pair_id % 5 <> 0) AS n_prefixed,
        (SELECT count(*) FROM tri) * {len(CF)} AS n_features_total,
        (SELECT count(*) FROM cmp2 WHERE match) AS n_matches
 """)
@@ -502,37 +520,58 @@ c AS (SELECT pair_id, n, gram, count(*) FILTER (WHERE role = 's') AS s, count(*)
 d AS (SELECT *, least(s, c) AS k, least(s, c, r) AS kg, least(s, r) AS ka, greatest(s - c, 0) AS d,
              greatest(s - c - r, 0) AS dg, c > 0 AND s = 0 AS a, c > 0 AND s = 0 AND r > 0 AS ag,
              r > 0 AND s = 0 AS aall FROM c),
-pn AS (
+sums AS (
   SELECT pair_id, n,
-         {_ratio('sum(CASE WHEN k > 0 THEN kg::DOUBLE / k END)', 'count(*) FILTER (WHERE k > 0)')} AS keep_p,
-         {_ratio('sum(CASE WHEN ka > 0 THEN kg::DOUBLE / ka END)', 'count(*) FILTER (WHERE ka > 0)')} AS keep_r,
-         {_ratio('sum(CASE WHEN d > 0 THEN dg::DOUBLE / d END)', 'count(*) FILTER (WHERE d > 0)')} AS del_p,
-         {_ratio('count(*) FILTER (WHERE ag)', 'count(*) FILTER (WHERE a)')} AS add_p,
-         {_ratio('count(*) FILTER (WHERE ag)', 'count(*) FILTER (WHERE aall)')} AS add_r
+         coalesce(sum(CASE WHEN k > 0 THEN kg::DOUBLE / k END), 0) AS keep_hit, count(*) FILTER (WHERE k > 0) AS keep_sys,
+         coalesce(sum(CASE WHEN ka > 0 THEN kg::DOUBLE / ka END), 0) AS keep_found, count(*) FILTER (WHERE ka > 0) AS keep_ref,
+         coalesce(sum(CASE WHEN d > 0 THEN dg::DOUBLE / d END), 0) AS del_hit, count(*) FILTER (WHERE d > 0) AS del_sys,
+         count(*) FILTER (WHERE ag) AS add_hit, count(*) FILTER (WHERE a) AS add_sys, count(*) FILTER (WHERE aall) AS add_ref
   FROM d GROUP BY pair_id, n
-), pn2 AS (SELECT *, {_f1('keep_p', 'keep_r')} AS keep, {_f1('add_p', 'add_r')} AS addf FROM pn),
-ps AS (SELECT pair_id, sum(keep) / 4.0 AS keep, sum(del_p) / 4.0 AS deletion, sum(addf) / 4.0 AS addition
-       FROM pn2 GROUP BY pair_id),
-per AS (
-  SELECT m.pair_id, coalesce(ps.keep, 0.0) AS keep, coalesce(ps.deletion, 0.0) AS deletion,
-         coalesce(ps.addition, 0.0) AS addition
-  FROM mrows m LEFT JOIN ps USING (pair_id)
-), sent AS (SELECT *, 100.0 * (keep + deletion + addition) / 3.0 AS sari FROM per)"""
+), pooled AS (
+  SELECT n, {', '.join(f'sum({x}) AS {x}' for x in ('keep_hit', 'keep_sys', 'keep_found', 'keep_ref', 'del_hit', 'del_sys', 'add_hit', 'add_sys', 'add_ref'))}
+  FROM sums GROUP BY n
+)"""
+
+
+def _sari_scores(table: str, keys: str) -> str:
+    return f"""r0 AS (
+  SELECT {keys} n, {_ratio('keep_hit', 'keep_sys')} AS keep_p, {_ratio('keep_found', 'keep_ref')} AS keep_r,
+         {_ratio('del_hit', 'del_sys')} AS del_p, {_ratio('add_hit', 'add_sys')} AS add_p, {_ratio('add_hit', 'add_ref')} AS add_r
+  FROM {table}
+), r1 AS (SELECT *, {_f1('keep_p', 'keep_r')} AS keep, {_f1('add_p', 'add_r')} AS addf FROM r0),
+scores AS (
+  SELECT {keys} 100.0 * sum(keep) / 4.0 AS keep, 100.0 * sum(del_p) / 4.0 AS deletion, 100.0 * sum(addf) / 4.0 AS addition
+  FROM r1 {'GROUP BY pair_id' if keys else ''}
+)"""
+
+
+_SENT = f"""{_SARI}, {_sari_scores('sums', 'pair_id,')}, sent AS (
+  SELECT m.pair_id, coalesce(s.keep, 0.0) AS keep, coalesce(s.deletion, 0.0) AS deletion, coalesce(s.addition, 0.0) AS addition,
+         (coalesce(s.keep, 0.0) + coalesce(s.deletion, 0.0) + coalesce(s.addition, 0.0)) / 3.0 AS sari
+  FROM mrows m LEFT JOIN scores s USING (pair_id)
+)"""
 
 oracle("sari", f"""
-{_SARI}
+{_SENT}
 SELECT pair_id, round(keep, 6) AS keep, round(deletion, 6) AS deletion, round(addition, 6) AS addition,
        round(sari, 6) AS sari
 FROM sent
 """)
 
-oracle("sari_corpus", f"""
-{_SARI}
+oracle("sari_mean", f"""
+{_SENT}
 SELECT count(*) AS n_sentences, round(avg(sari), 6) AS sari, round(avg(keep), 6) AS keep,
        round(avg(deletion), 6) AS deletion, round(avg(addition), 6) AS addition
 FROM sent
 """)
 
+oracle("sari_corpus", f"""
+{_SARI}, {_sari_scores('pooled', '')}
+SELECT (SELECT count(*) FROM mrows) AS n_sentences, round((keep + deletion + addition) / 3.0, 6) AS sari,
+       round(keep, 6) AS keep, round(deletion, 6) AS deletion, round(addition, 6) AS addition
+FROM scores
+""")
+
 oracle("fkgl", f"""
 WITH {_METRIC_ROWS},
 h AS (SELECT array_to_string(hyp_tokens, ' ') AS text FROM mrows),
@@ -550,16 +589,16 @@ FROM s
 """)
 
 oracle("embed_match", f"""
-WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+WITH v AS (SELECT vec_id // 200 AS part, label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sims AS (
-  SELECT c.label AS cand, r.label AS ref, c.vec_id AS cid, r.vec_id AS rid,
+  SELECT c.part, c.label AS cand, r.label AS ref, c.vec_id AS cid, r.vec_id AS rid,
          coalesce(list_cosine_similarity(c.e, r.e), 0.0) AS s
-  FROM v c JOIN v r ON r.label = c.label + 1
-), pr AS (SELECT cand, ref, avg(ms) AS precision FROM (SELECT cand, ref, cid, max(s) AS ms FROM sims GROUP BY cand, ref, cid) GROUP BY cand, ref),
-rc AS (SELECT cand, ref, avg(ms) AS recall FROM (SELECT cand, ref, rid, max(s) AS ms FROM sims GROUP BY cand, ref, rid) GROUP BY cand, ref)
-SELECT cand::BIGINT AS cand, ref::BIGINT AS ref, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  FROM v c JOIN v r ON r.label = c.label + 1 AND r.part = c.part
+), pr AS (SELECT part, cand, ref, avg(ms) AS precision FROM (SELECT part, cand, ref, cid, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
+rc AS (SELECT part, cand, ref, avg(ms) AS recall FROM (SELECT part, cand, ref, rid, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL)
+SELECT part::BIGINT AS part, cand::BIGINT AS cand, ref::BIGINT AS ref, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round({_f1('precision', 'recall')}, 6) AS f1
-FROM pr JOIN rc USING (cand, ref)
+FROM pr JOIN rc USING (part, cand, ref)
 """)
 
 # ---------------------------------------------------------------------------
@@ -571,18 +610,27 @@ WITH {S.doc_lines_cte()},
 fl AS (SELECT file, {S.strip('line')} AS s FROM doc_lines),
 per AS (SELECT file, count(*) FILTER (WHERE starts_with(s, 'B.')) + count(*) FILTER (WHERE ends_with(s, 'z.')) AS zb,
                count(*) FILTER (WHERE ends_with(s, 'ca.')) AS ca FROM fl GROUP BY file),
-ex AS (SELECT DISTINCT source AS file FROM documents),
+ex AS (SELECT DISTINCT source AS file FROM documents UNION SELECT 'part' || CAST(p_partkey AS VARCHAR) FROM part),
 filled AS (SELECT file, coalesce(per.zb, 0) AS zb, coalesce(per.ca, 0) AS ca FROM ex FULL OUTER JOIN per USING (file))
-SELECT coalesce(file, 'total') AS file, sum(zb)::BIGINT AS zb, sum(ca)::BIGINT AS ca FROM filled GROUP BY ROLLUP (file)
+SELECT file, GROUPING(file)::INTEGER AS is_total, sum(zb)::BIGINT AS zb, sum(ca)::BIGINT AS ca FROM filled GROUP BY ROLLUP (file)
 """)
 
+_PIECES_OF = _PIECES.replace("(source,", "(txt,")
+
 _ROUNDTRIP = f"""raw_pairs AS (
-  SELECT c.conv_id * 1000 + c.turn AS pair_id, c.text AS source
+  SELECT c.conv_id * 16777216 + c.turn AS pair_id,
+         CASE WHEN c.conv_id % 10 = 0 THEN 'test' WHEN c.conv_id % 10 = 1 THEN 'valid' ELSE 'train' END AS file,
+         c.text AS source, n.text AS target
   FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
-), rt AS (
-  SELECT pair_id, {S.strip('source')} AS original, {S.tokenized(S.strip('source'))} AS decoded_original,
-         {S.strip(S.tokenized('source'))} AS decoded
-  FROM raw_pairs
+), both_sides AS (
+  SELECT pair_id, file, 'source' AS side, {S.strip('source')} AS txt FROM raw_pairs
+  UNION ALL SELECT pair_id, file, 'target', {S.strip('target')} FROM raw_pairs
+), pc AS (SELECT *, {_PIECES_OF} AS pieces FROM both_sides),
+rt AS (
+  SELECT pair_id, file, side, txt AS original,
+         ltrim(replace(array_to_string(pieces, ''), {PIECE}, ' ')) AS decoded_original,
+         ltrim(replace(array_to_string(pieces[1:60], ''), {PIECE}, ' ')) AS decoded
+  FROM pc
 ), rt2 AS (
   SELECT *, string_split(decoded_original, ' ') = string_split(decoded, ' ') AS same_cleaned,
          string_split(original, ' ') = string_split(decoded, ' ') AS same_raw
@@ -591,14 +639,47 @@ _ROUNDTRIP = f"""raw_pairs AS (
 
 oracle("roundtrip_counts", f"""
 WITH {_ROUNDTRIP}
-SELECT count(*) AS n_lines, count(*) FILTER (WHERE NOT same_raw) AS not_matching,
+SELECT file, side, count(*) AS n_lines, count(*) FILTER (WHERE NOT same_raw) AS not_matching,
        count(*) FILTER (WHERE NOT same_cleaned) AS not_matching_cleaned
-FROM rt2
+FROM rt2 GROUP BY file, side
 """)
 
 oracle("roundtrip_diff", f"""
 WITH {_ROUNDTRIP}
-SELECT pair_id, same_raw, same_cleaned, original, decoded FROM rt2 WHERE NOT same_raw OR NOT same_cleaned
+SELECT file, side, pair_id, same_raw, same_cleaned, original, decoded FROM rt2 WHERE NOT same_raw OR NOT same_cleaned
+""")
+
+oracle("hyp_group", f"""
+WITH {_HYPS}
+SELECT sample_id, count(*) AS n_hyps, string_agg(text, chr(9) ORDER BY log_no) AS texts FROM hyps GROUP BY sample_id
+""")
+
+oracle("missing_ids", """
+WITH ids AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 49)
+SELECT r.id AS sample_id FROM (SELECT unnest(generate_series(0, (SELECT max(id) FROM ids))) AS id) r
+WHERE r.id NOT IN (SELECT id FROM ids)
+""")
+
+# ---------------------------------------------------------------------------
+# Files written and read back
+# ---------------------------------------------------------------------------
+
+oracle("read_corpus", f"""
+WITH {S.pairs_cte()},
+flat AS (SELECT pair_id, split, split || '_' || CAST(conv_id % 2 AS VARCHAR) AS stem,
+                {S.strip("regexp_replace(source, '[\\n\\r]', ' ', 'g')")} AS source,
+                {S.strip("regexp_replace(target, '[\\n\\r]', ' ', 'g')")} AS target FROM pairs)
+SELECT split, stem, row_number() OVER (PARTITION BY stem ORDER BY pair_id) - 1 AS line_no, source, target FROM flat
+""")
+
+oracle("shard_files", f"""
+WITH {_SHARDS}
+SELECT 'train' AS split, shard % 16 AS shard, doc_id, line_no, line FROM sh
+""")
+
+oracle("rank_saved", f"""
+WITH {S.ranks_cte()}
+SELECT lang, word, rank FROM ranks
 """)
 
 # ---------------------------------------------------------------------------
@@ -639,3 +720,5 @@ SELECT c.exp_id AS id, CASE WHEN c.p_size % 2 = 0 THEN 'en' ELSE 'de' END AS lan
        m.bleu, m.sari, m.fkgl, m.bertscore_precision, m.bertscore_recall, m.bertscore_f1
 FROM cfg c JOIN metrics m USING (exp_id)
 """)
+
+oracle("overview_csv", ORACLE["experiment_overview"])

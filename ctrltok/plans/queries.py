@@ -8,6 +8,7 @@ the order-insensitive value hash is not decided by the last ulp.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,12 @@ from ctrltok.operators import metrics as ME
 from ctrltok.operators import profile as PR
 from ctrltok.operators import ranks as R
 from ctrltok.operators import shards as SH
-from ctrltok.session import materialize
+from ctrltok.operators import tree as TR
+from ctrltok.operators.numbering import global_index
+from ctrltok.plans.testparse import heads_table, parse_text
+from ctrltok.session import checkpoint_dir, materialize
 from ctrltok.sources import lines as L
+from ctrltok.sources import sinks as SK
 from ctrltok.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,32 +49,37 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-_RANK_TABLES: dict[tuple[str, str], DataFrame] = {}
+_RANK_TABLES: dict[tuple, DataFrame] = {}
 
 
 def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank table derived from the documents' token counts.
 
-    Like a saved rank file, it is built once per input folder and session
+    Like a saved rank file, it is built once per session for the files it reads
     (written to the checkpoint folder) and then read by every query that looks
-    words up; a new session rebuilds it."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    words up; other files under the same folder make a new table."""
+    docs = TB.table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
     if key not in _RANK_TABLES:
-        _RANK_TABLES[key] = R.ranks_from_corpus(TB.text_table(spark, sf_dir, "documents").select("lang", "text"))
+        _RANK_TABLES[key] = R.ranks_from_corpus(docs.select("lang", "text"))
     return _RANK_TABLES[key]
 
 
+def _pairs(spark, sf_dir):
+    """The pair corpus, derived and tokenised once."""
+    return FE.prepare_pairs(TB.conversation_pairs(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # Flagship: the control corpus (featurise -> bin -> prefix -> tokenise)
 # ---------------------------------------------------------------------------
 
-CONTROL_FEATURES = ("dependency", "frequency", "length")
+CONTROL_FEATURES = B.FEATURES
 
 
 @query("control_corpus")
 def q_control_corpus(spark, sf_dir):
-    pairs = TB.conversation_pairs(spark, sf_dir)
-    cc = C.control_corpus(pairs, CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir))
+    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
     return cc.select("pair_id", "split", "feature_set",
                      *[r6(f"exact_{f}").alias(f"exact_{f}") for f in CONTROL_FEATURES],
                      "prefix", "source_line", "target_line")
@@ -77,12 +87,10 @@ def q_control_corpus(spark, sf_dir):
 
 @query("control_corpus_all")
 def q_control_corpus_all(spark, sf_dir):
-    """All four features (the usual preprocessing configuration); the edit
-    similarity runs as the Arrow UDF over whole texts."""
-    feats = B.FEATURES
-    pairs = TB.conversation_pairs(spark, sf_dir)
-    cc = C.control_corpus(pairs, feats, ranks=doc_ranks(spark, sf_dir))
-    return cc.select("pair_id", "split", "feature_set", *[r6(f"exact_{f}").alias(f"exact_{f}") for f in feats],
+    """All four features with the parse supplied as a heads table (one sentence per line of a text)."""
+    pairs = _pairs(spark, sf_dir)
+    cc = C.control_corpus(pairs, B.FEATURES, ranks=doc_ranks(spark, sf_dir), parse=heads_table(pairs))
+    return cc.select("pair_id", "split", "feature_set", *[r6(f"exact_{f}").alias(f"exact_{f}") for f in B.FEATURES],
                      "prefix", "source_line", "target_line")
 
 
@@ -124,7 +132,10 @@ def q_pairs_scan(spark, sf_dir):
 def q_pair_tsv(spark, sf_dir):
     src, tgt = _doc_files(spark, sf_dir)
     p = L.pair_lines(src, tgt, keys=["unit"], how="inner")
-    return L.pair_tsv(p, sort_by_length=True).select("unit", "line_no", "n_words", "tsv")
+    out = L.pair_tsv(p, sort_by_length=True)
+    # the position in the sorted order is part of the result
+    return global_index(out, ["n_words", "line_no"], group_by=["unit"], out="position").select(
+        "unit", "line_no", "n_words", "tsv", "position")
 
 
 @query("lines_head")
@@ -215,26 +226,26 @@ def q_rank_lookup(spark, sf_dir):
 
 @query("freq_stat")
 def q_freq_stat(spark, sf_dir):
-    st = FE.frequency_stats(FE.by_pair(TB.conversation_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir))
+    st = FE.frequency_stats(FE.by_pair(_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir))
     return st.select("pair_id", r6("freq_source").alias("freq_source"), r6("freq_target").alias("freq_target"))
 
 
 @query("freq_ratio")
 def q_freq_ratio(spark, sf_dir):
-    f = FE.with_frequency(FE.by_pair(TB.conversation_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir))
+    f = FE.with_frequency(FE.by_pair(_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir))
     return f.select("pair_id", r6("exact_frequency").alias("freq_ratio"))
 
 
 @query("freq_abs")
 def q_freq_abs(spark, sf_dir):
-    f = FE.with_frequency(FE.by_pair(TB.conversation_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir), absolute=True)
+    f = FE.with_frequency(FE.by_pair(_pairs(spark, sf_dir)), doc_ranks(spark, sf_dir), absolute=True)
     return f.select("pair_id", r6("exact_frequency").alias("freq_abs"))
 
 
 @query("rank_profile")
 def q_rank_profile(spark, sf_dir):
     # tokens stay on their pair's partition, so the per-(pair, side) aggregate needs no second shuffle
-    tokens = FE.side_tokens(FE.by_pair(TB.conversation_pairs(spark, sf_dir)))
+    tokens = FE.side_tokens(FE.by_pair(_pairs(spark, sf_dir)))
     p = PR.rank_profile(FE.log_ranks(tokens, doc_ranks(spark, sf_dir)))
     return p.select("pair_id", "side", *[r6(c).alias(c) for c in ("mean", "max", "sd", "median", "q1", "q3", "iqr")])
 
@@ -264,24 +275,31 @@ def q_edit_ratio(spark, sf_dir):
 @query("tree_depth")
 def q_tree_depth(spark, sf_dir):
     p = TB.conversation_pairs(spark, sf_dir)
-    return p.select("pair_id", FE.text_depth("source").alias("depth_source"), FE.text_depth("target").alias("depth_target"))
+    p, ds, dt = FE.depth_columns(p, parse_text)
+    return p.select("pair_id", ds.alias("depth_source"), dt.alias("depth_target"))
 
 
 @query("depth_ratio")
 def q_depth_ratio(spark, sf_dir):
-    p = FE.with_depth(TB.conversation_pairs(spark, sf_dir))
+    p = FE.with_depth(TB.conversation_pairs(spark, sf_dir), parse_text)
     return p.select("pair_id", r6("exact_dependency").alias("depth_ratio"))
 
 
 @query("depth_abs")
 def q_depth_abs(spark, sf_dir):
-    p = FE.with_depth(TB.conversation_pairs(spark, sf_dir), absolute=True)
+    p = FE.with_depth(TB.conversation_pairs(spark, sf_dir), parse_text, absolute=True)
     return p.select("pair_id", r6("exact_dependency").alias("depth_abs"))
 
 
 def _bundle(spark, sf_dir):
-    pairs = TB.conversation_pairs(spark, sf_dir)
-    return FE.feature_bundle(pairs, CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir))
+    return FE.feature_bundle(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
+
+
+@query("depth_from_heads")
+def q_depth_from_heads(spark, sf_dir):
+    """Depths from a supplied heads table with several sentences per text."""
+    heads = heads_table(TB.conversation_pairs(spark, sf_dir))
+    return TR.depth_from_heads(heads).select("pair_id", "side", F.col("depth").cast("long").alias("depth"))
 
 
 @query("bin_values")
@@ -329,9 +347,9 @@ def q_infer_prefix(spark, sf_dir):
 def _control_lines(spark, sf_dir):
     """The control corpus with glued tokens (``<A_1><B_2>``) on odd pairs, so the
     parser sees both spellings."""
-    cc = C.control_corpus(TB.conversation_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir))
+    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
     glued = F.regexp_replace("source_line", "> (?=<)", ">")
-    return cc.withColumn("source_line", F.when(F.col("pair_id") % 2 == 1, glued).otherwise(F.col("source_line")))
+    return cc.withColumn("source_line", F.when(F.col("turn") % 2 == 1, glued).otherwise(F.col("source_line")))
 
 
 @query("parse_tokens")
@@ -364,7 +382,7 @@ def q_feature_combinations(spark, sf_dir):
 @query("value_counts")
 def q_value_counts(spark, sf_dir):
     v = PR.control_values(_control_lines(spark, sf_dir))
-    return PR.value_counts(v).select("name", "value", "split", "cnt")
+    return PR.value_counts(v).select("name", "value", "split", "pooled", "cnt")
 
 
 @query("hist_equal_width")
@@ -402,29 +420,31 @@ def _match_rows(spark, sf_dir):
     system output = turn t+1."""
     tri = TB.conversation_triples(spark, sf_dir)
     ranks = doc_ranks(spark, sf_dir)
-    req = FE.feature_bundle(tri.select("pair_id", "lang", "source", F.col("output").alias("target"), F.col("target").alias("output")),
-                            CONTROL_FEATURES, ranks=ranks)
+    req = FE.prepare_pairs(tri.select("pair_id", "lang", "source", F.col("output").alias("target"), F.col("target").alias("output")))
+    req = FE.feature_bundle(req, CONTROL_FEATURES, ranks=ranks, parse=parse_text)
     prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in CONTROL_FEATURES})
-    rows = req.select("pair_id", "lang", F.concat(prefix, T.tokenized_text("source")).alias("source_line"), "output")
+    # every fifth turn is requested without control tokens
+    line = F.concat(F.when(F.col("pair_id") % 5 != 0, prefix).otherwise(F.lit("")), F.array_join("source_tokens", " "))
     # the prefixed corpus is a stored product (evaluation reads it back); writing it
     # once also keeps the match and the totals from re-deriving it per branch
-    return materialize(rows, "requested_corpus"), ranks
+    return materialize(req.select("pair_id", "lang", line.alias("source_line"), "output"), "requested_corpus"), ranks
+
+
+def _compared(rows, ranks):
+    return MA.realised_vs_requested(rows, CONTROL_FEATURES, ranks=ranks, parse=parse_text)
 
 
 @query("feature_match")
 def q_feature_match(spark, sf_dir):
-    rows, ranks = _match_rows(spark, sf_dir)
-    cmp = MA.realised_vs_requested(rows, CONTROL_FEATURES, ranks=ranks)
-    s = MA.match_summary(cmp)
-    return s.select(F.coalesce("name", F.lit("ALL")).alias("name"), "n_match", "n_mismatch",
-                    r6("avg_delta").alias("avg_delta"))
+    s = MA.match_summary(_compared(*_match_rows(spark, sf_dir)))
+    return s.select("name", "is_total", "n_match", "n_mismatch", r6("avg_delta").alias("avg_delta"))
 
 
 @query("feature_match_totals")
 def q_feature_match_totals(spark, sf_dir):
     rows, ranks = _match_rows(spark, sf_dir)
-    cmp = MA.realised_vs_requested(rows, CONTROL_FEATURES, ranks=ranks)
-    return MA.match_totals(rows, cmp, len(CONTROL_FEATURES)).select("n_pairs", "n_prefixed", "n_features_total", "n_matches")
+    return MA.match_totals(rows, _compared(rows, ranks), len(CONTROL_FEATURES)).select(
+        "n_pairs", "n_prefixed", "n_features_total", "n_matches")
 
 
 def _metric_rows(spark, sf_dir):
@@ -448,7 +468,13 @@ def q_sari(spark, sf_dir):
 
 @query("sari_corpus")
 def q_sari_corpus(spark, sf_dir):
-    s = ME.corpus_sari(ME.sari(_metric_rows(spark, sf_dir)))
+    s = ME.corpus_sari(_metric_rows(spark, sf_dir))
+    return s.select("n_sentences", *[r6(c).alias(c) for c in ("sari", "keep", "deletion", "addition")])
+
+
+@query("sari_mean")
+def q_sari_mean(spark, sf_dir):
+    s = ME.mean_sari(ME.sari(_metric_rows(spark, sf_dir)))
     return s.select("n_sentences", *[r6(c).alias(c) for c in ("sari", "keep", "deletion", "addition")])
 
 
@@ -459,15 +485,19 @@ def q_fkgl(spark, sf_dir):
     return f.select("n_sentences", "n_words", "n_syllables", r6("fkgl").alias("fkgl"))
 
 
+EMBED_RANGE = 200
+
+
 @query("embed_match")
 def q_embed_match(spark, sf_dir):
-    """Sentences are labels, tokens are vectors; label l is matched against l+1."""
-    v = TB.table(spark, sf_dir, "embeddings").select(F.col("label").alias("sent"), "vec_id", "embedding")
-    labels = v.select("sent").distinct()
-    pairs = labels.select(F.col("sent").alias("cand")).join(
-        labels.select(F.col("sent").alias("ref")), F.col("ref") == F.col("cand") + 1)
-    m = ME.embedding_match(v, pairs, block=16)
-    return m.select(F.col("cand").cast("long").alias("cand"), F.col("ref").cast("long").alias("ref"),
+    """Sentences are the vectors of one label in a range of vec_ids; label l is matched against l+1 of the same range."""
+    part = F.floor(F.col("vec_id") / EMBED_RANGE).cast("long")
+    sent = lambda label: F.struct(part.alias("part"), label.cast("long").alias("label"))
+    v = TB.table(spark, sf_dir, "embeddings").select(sent(F.col("label")).alias("sent"), "vec_id", "embedding")
+    pairs = v.select("sent").distinct().select(
+        F.col("sent").alias("cand"), F.struct(F.col("sent.part").alias("part"), (F.col("sent.label") + 1).alias("label")).alias("ref"))
+    m = ME.embedding_match(v, pairs)
+    return m.select(F.col("cand.part").alias("part"), F.col("cand.label").alias("cand"), F.col("ref.label").alias("ref"),
                     *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -477,25 +507,102 @@ def q_embed_match(spark, sf_dir):
 
 @query("bad_split_counts")
 def q_bad_split_counts(spark, sf_dir):
+    """The expected list also names, for every part, a file that has no line."""
     dl = TB.document_lines(spark, sf_dir)
-    expected = TB.table(spark, sf_dir, "documents").select(F.col("source").alias("file"))
-    return AU.bad_split_counts(dl, expected).select(F.coalesce("file", F.lit("total")).alias("file"), "zb", "ca")
+    expected = TB.table(spark, sf_dir, "documents").select(F.col("source").alias("file")).unionByName(
+        TB.table(spark, sf_dir, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("file")))
+    return AU.bad_split_counts(dl, expected).select("file", "is_total", "zb", "ca")
+
+
+# A stored piece corpus is cut at this many pieces a line, as length-limited preprocessing leaves it.
+STORED_PIECES = 60
 
 
 def _roundtrip(spark, sf_dir):
-    cc = C.control_corpus(TB.conversation_pairs(spark, sf_dir, strip=False), ["length"])
-    return AU.roundtrip(cc, "source", "source_line", has_prefix=True)
+    """A stored corpus of pieces, both sides, checked against the texts it was made from."""
+    pairs = TB.conversation_pairs(spark, sf_dir, strip=False)
+    both = pairs.select("pair_id", F.col("split").alias("file"), F.inline(F.array(
+        *[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in ("source", "target")])))
+    pieces = F.slice(T.to_pieces(T.strip("text")), 1, STORED_PIECES)
+    stored = materialize(both.withColumn("line", F.array_join(pieces, " ")), "stored_pieces")
+    return AU.roundtrip(stored, "text", "line", has_prefix=False, pieces=True)
 
 
 @query("roundtrip_counts")
 def q_roundtrip_counts(spark, sf_dir):
-    return AU.roundtrip_counts(_roundtrip(spark, sf_dir))
+    return AU.roundtrip_counts(_roundtrip(spark, sf_dir), ["file", "side"])
 
 
 @query("roundtrip_diff")
 def q_roundtrip_diff(spark, sf_dir):
-    r = _roundtrip(spark, sf_dir).where(~F.col("same_raw") | ~F.col("same_cleaned"))
-    return r.select("pair_id", "same_raw", "same_cleaned", T.strip("source").alias("original"), "decoded")
+    return AU.mismatches(_roundtrip(spark, sf_dir), "text", ["file", "side", "pair_id"])
+
+
+@query("hyp_group")
+def q_hyp_group(spark, sf_dir):
+    g = HY.group_hypotheses(HY.parse_hypotheses(TB.hypothesis_log(spark, sf_dir)))
+    return g.select("sample_id", "n_hyps", F.array_join("texts", "\t").alias("texts"))
+
+
+@query("missing_ids")
+def q_missing_ids(spark, sf_dir):
+    """Samples are the parts that have an order line; the others are missing."""
+    ids = TB.table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("sample_id")).distinct()
+    return HY.missing_samples(ids)
+
+
+# ---------------------------------------------------------------------------
+# Files written to the shared folder and read back
+# ---------------------------------------------------------------------------
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def _written_corpus(spark, sf_dir):
+    """The pair corpus as ``<split>_<shard>.src`` / ``.tgt`` line files, two shards a split."""
+    pairs = TB.conversation_pairs(spark, sf_dir)
+    flat = materialize(pairs.select("pair_id", "split", (F.col("conv_id") % 2).alias("shard"), *[
+        F.regexp_replace(c, "[\\n\\r]", " ").alias(c) for c in ("source", "target")]), "corpus_lines")
+    folder = _folder(spark, "corpus")
+    for split in L.SPLITS:
+        for shard in (0, 1):
+            part = flat.where((F.col("split") == split) & (F.col("shard") == shard))
+            for side, end in (("source", "src"), ("target", "tgt")):
+                SK.export_text(part, side, f"{folder}/{split}_{shard}.{end}", order="pair_id")
+    return folder
+
+
+@query("read_corpus")
+def q_read_corpus(spark, sf_dir):
+    corpus = L.read_corpus(spark, _written_corpus(spark, sf_dir))
+    return corpus.select("split", "stem", "line_no", "source", "target")
+
+
+@query("shard_files")
+def q_shard_files(spark, sf_dir):
+    """Documents dealt to shards, written as shard folders and read back."""
+    sh = SH.assign_shards(TB.document_lines(spark, sf_dir), SHARD_LINES, skip=SHARD_SKIP)
+    folder = _folder(spark, "shards")
+    SK.write_shards(sh.select("doc_id", "line_no", "line", "split", (F.col("shard") % 16).alias("shard")), folder)
+    back = spark.read.parquet(folder)
+    return back.select("split", F.col("shard").cast("long").alias("shard"), "doc_id", "line_no", "line")
+
+
+@query("rank_saved")
+def q_rank_saved(spark, sf_dir):
+    folder = _folder(spark, "ranks")
+    R.save_ranks(doc_ranks(spark, sf_dir), folder)
+    return R.load_ranks(spark, folder).select("lang", "word", "rank")
+
+
+@query("overview_csv")
+def q_overview_csv(spark, sf_dir):
+    """The results table written with ``;`` and a header, read back into its types."""
+    folder, table = _folder(spark, "overview"), _overview(spark, sf_dir)
+    EX.write_overview(table, folder)
+    back = spark.read.option("sep", ";").option("header", True).csv(folder)
+    return back.select(*[F.col(f"`{h}`").cast(kind).alias(c) for h, (c, kind) in zip(EX.OVERVIEW_HEADER, table.dtypes, strict=True)])
 
 
 # ---------------------------------------------------------------------------
@@ -546,9 +653,12 @@ def q_metric_parse(spark, sf_dir):
     return EX.parse_metric_lines(_metric_lines(spark, sf_dir))
 
 
-@query("experiment_overview")
-def q_experiment_overview(spark, sf_dir):
+def _overview(spark, sf_dir):
     allow = TB.table(spark, sf_dir, "part").where(F.col("p_size") <= 25) \
               .select(F.col("p_partkey").cast("string").alias("exp_id"))
-    ov = EX.overview(_configs(spark, sf_dir), EX.parse_metric_lines(_metric_lines(spark, sf_dir)), allow)
-    return ov
+    return EX.overview(_configs(spark, sf_dir), EX.parse_metric_lines(_metric_lines(spark, sf_dir)), allow)
+
+
+@query("experiment_overview")
+def q_experiment_overview(spark, sf_dir):
+    return _overview(spark, sf_dir)

@@ -66,7 +66,7 @@ VALUE = lit(K.VALUE_PATTERN)
 def pairs_cte() -> str:
     """The conversation pair corpus (turn -> next turn), stripped."""
     return f"""pairs AS (
-  SELECT c.conv_id * 1000 + c.turn AS pair_id, c.conv_id, c.turn, 'en' AS lang,
+  SELECT c.conv_id * 16777216 + c.turn AS pair_id, c.conv_id, c.turn, 'en' AS lang,
          CASE WHEN c.conv_id % 10 = 0 THEN 'test' WHEN c.conv_id % 10 = 1 THEN 'valid' ELSE 'train' END AS split,
          {strip('c.text')} AS source, {strip('n.text')} AS target
   FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
@@ -134,25 +134,27 @@ def depth_cte(src: str = "pairs", sfx: str = "") -> str:
 
 
 def features_cte(src: str = "pairs", sfx: str = "") -> str:
-    """dependency, frequency and length ratios and bins for ``src`` (needs the
-    freq{sfx} and depth{sfx} CTEs).  Defines ``binned{sfx}``."""
+    """The four feature values and bins for ``src`` (needs the freq{sfx}, depth{sfx} and
+    lev{sfx} CTEs).  Defines ``binned{sfx}``."""
     return f"""feat{sfx} AS (
   SELECT p.*,
          greatest(d.depth_target::DOUBLE, 0.5) / greatest(d.depth_source::DOUBLE, 0.5) AS exact_dependency,
          f.freq_target / f.freq_source AS exact_frequency,
-         CASE WHEN length(p.source) = 0 THEN NULL ELSE length(p.target)::DOUBLE / length(p.source)::DOUBLE END AS exact_length
-  FROM {src} p JOIN depth{sfx} d USING (pair_id) JOIN freq{sfx} f USING (pair_id)
+         CASE WHEN length(p.source) = 0 THEN NULL ELSE length(p.target)::DOUBLE / length(p.source)::DOUBLE END AS exact_length,
+         e.lev AS exact_levenshtein
+  FROM {src} p JOIN depth{sfx} d USING (pair_id) JOIN freq{sfx} f USING (pair_id) JOIN lev{sfx} e USING (pair_id)
 ), binned{sfx} AS (
   SELECT *, {bin_value('exact_dependency', 'dependency')} AS bin_dependency,
             {bin_value('exact_frequency', 'frequency')} AS bin_frequency,
-            {bin_value('exact_length', 'length')} AS bin_length
+            {bin_value('exact_length', 'length')} AS bin_length,
+            {bin_value('exact_levenshtein', 'levenshtein')} AS bin_levenshtein
   FROM feat{sfx}
 )"""
 
 
-def prefix3(sfx: str = "") -> str:
-    """The rendered dependency/frequency/length prefix of binned{sfx} rows."""
-    return f"({token('dependency', 'bin_dependency')} || {token('frequency', 'bin_frequency')} || {token('length', 'bin_length')})"
+def prefix() -> str:
+    """The rendered prefix of binned rows."""
+    return "(" + " || ".join(token(f, f"bin_{f}") for f in sorted(TOKEN_NAMES)) + ")"
 
 
 def doc_lines_cte() -> str:

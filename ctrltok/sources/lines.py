@@ -18,20 +18,24 @@ from pyspark.sql import functions as F
 from ctrltok.functions import text as T
 
 
+PART_FILE = r"/part-[^/]*$"
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], n_lines: int | None = None) -> DataFrame:
     """``(file, line_no, value)`` for text files; only the newline is dropped.
-    ``n_lines`` keeps the first n lines of every file (a deterministic head)."""
+    ``n_lines`` keeps the first n lines of every file (a deterministic head).  A folder written
+    as part files in line order (``train.src/part-*``) is one file."""
     raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
     tagged = raw.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.regexp_replace("_metadata.file_path", PART_FILE, "").alias("file"), F.col("_metadata.file_path").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_mono"),
         "value",
     )
-    blocks = tagged.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tagged.groupBy("file", "part", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+    w = Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    out = tagged.join(blocks, ["file", "block"]).select(
+    out = tagged.join(blocks, ["file", "part", "block"]).select(
         "file", (F.col("_offset") + F.col("_mono") - F.col("_first")).alias("line_no"), "value")
     if n_lines is not None:
         out = out.where(F.col("line_no") < n_lines)
@@ -66,10 +70,11 @@ def pair_lines(src: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("unit",),
 
 def pair_tsv(pairs: DataFrame, sort_by_length: bool = True) -> DataFrame:
     """``source \\t target`` lines; optionally ordered by the number of
-    single-space-separated source words (stable: ties keep line order)."""
+    single-space-separated source words (stable: ties keep line order), unit by unit when there is a ``unit``."""
     out = pairs.withColumn("n_words", F.size(T.split_words("source")).cast("long")) \
                .withColumn("tsv", F.concat_ws("\t", "source", "target"))
-    return out.orderBy("n_words", "line_no") if sort_by_length else out.orderBy("line_no")
+    order = [c for c in ("unit", "n_words", "line_no") if c in out.columns and (sort_by_length or c != "n_words")]
+    return out.orderBy(*order)
 
 
 def read_pairs(spark: SparkSession, src_path: str, tgt_path: str, strip: bool = True, strict: bool = True,
@@ -99,12 +104,12 @@ def split_name(file_col) -> F.Column:
 def read_corpus(spark: SparkSession, folder: str, lang: str = "en", strip: bool = True,
                 strict: bool = True) -> DataFrame:
     """Every ``<split>.src`` / ``<split>.tgt`` pair of a corpus folder as one pair
-    table ``(lang, split, line_no, source, target)``; the split comes from the
-    file name (``val`` is read as ``valid``) and lines pair up per split."""
+    table ``(lang, split, stem, line_no, source, target)``; the split comes from the
+    file name (``val`` is read as ``valid``) and lines pair up per file."""
     base = folder.rstrip("/")
-    s = read_lines(spark, f"{base}/*.src").select(split_name(F.col("file")).alias("split"), "line_no",
-                                                  F.col("value").alias("line"))
-    t = read_lines(spark, f"{base}/*.tgt").select(split_name(F.col("file")).alias("split"), "line_no",
-                                                  F.col("value").alias("line"))
-    pairs = pair_lines(s, t, keys=["split"], how="full", strip=strip, strict=strict)
-    return pairs.select(F.lit(lang).alias("lang"), "split", "line_no", "source", "target")
+    # lines pair up by the file's path without its ending: shard files of a split stay apart
+    side = lambda end: read_lines(spark, f"{base}/*.{end}").select(
+        F.regexp_replace("file", rf"\.{end}$", "").alias("stem"), "line_no", F.col("value").alias("line"))
+    pairs = pair_lines(side("src"), side("tgt"), keys=["stem"], how="full", strip=strip, strict=strict)
+    return pairs.select(F.lit(lang).alias("lang"), split_name(F.concat("stem", F.lit(".src"))).alias("split"),
+                        F.regexp_extract("stem", r"([^/]+)$", 1).alias("stem"), "line_no", "source", "target")

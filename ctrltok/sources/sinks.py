@@ -21,15 +21,16 @@ def write_control_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def export_text(df: DataFrame, col: str, path: str, order: str = "line_no", partitions: int | None = None,
                 mode: str = "overwrite") -> None:
-    """One text line per row, in ``order``: range partitioning + per-partition sort."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    out = df.repartitionByRange(n, F.col(order)).sortWithinPartitions(order).select(F.col(col).alias("value"))
+    """One text line per row, in ``order``: range partitioning + per-partition sort.  The number of files
+    follows the session's shuffle partitions and AQE unless ``partitions`` is given."""
+    ranged = df.repartitionByRange(partitions, F.col(order)) if partitions else df.repartitionByRange(F.col(order))
+    out = ranged.sortWithinPartitions(order).select(F.col(col).alias("value"))
     out.write.mode(mode).text(path)
 
 
 def write_shards(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Shard files as ``split=<s>/shard=<id>`` parquet folders."""
-    df.write.mode(mode).partitionBy("split", "shard").parquet(path)
+    """Shard files as ``split=<s>/shard=<id>`` parquet folders, one file each: rows are clustered by shard first."""
+    df.repartition("split", "shard").write.mode(mode).partitionBy("split", "shard").parquet(path)
 
 
 def write_pair_tsv(df: DataFrame, path: str, order: str = "line_no", mode: str = "overwrite") -> None:
@@ -42,5 +43,5 @@ def write_inference_corpus(df: DataFrame, path: str, order: str = "line_no", mod
 
 
 def write_mismatch_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Round-trip mismatches (file, line, original, decoded) as parquet."""
-    df.write.mode(mode).parquet(path)
+    """Round-trip mismatches (file, side, line, original, decoded) as parquet, one folder per file and side."""
+    df.write.mode(mode).partitionBy("file", "side").parquet(path)

@@ -17,56 +17,20 @@ from pyspark.sql import functions as F
 
 from ctrltok.functions import text as T
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-          "embeddings", "pages", "benchmark", "labels", "conversations")
+# Pairs and log lines are numbered by (conv_id, turn) packed into one long.
+TURN_BITS = 24
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
-        return None
-
-
-SMALL_SPLITS = 4
-
-
-def _bytes(v: str) -> int:
-    """Parse a Spark byte-size setting ("134217728b", "128m", "1g")."""
-    v = v.strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for u in sorted(units, key=len, reverse=True):
-        if v.endswith(u) and v[: -len(u)].isdigit():
-            return int(v[: -len(u)]) * units[u]
-    return int(v)
+def packed(conv_id, turn) -> F.Column:
+    """``conv_id * 2**24 + turn``; a turn outside 24 bits fails the job instead of running into
+    the next conversation (a conv_id beyond 39 bits overflows, which ANSI mode reports)."""
+    c, t = (F.col(x) if isinstance(x, str) else x for x in (conv_id, turn))
+    t = F.when((t >= 0) & (t < 1 << TURN_BITS), t).otherwise(F.raise_error(F.lit("turn outside 24 bits")).cast("long"))
+    return c.cast("long") * (1 << TURN_BITS) + t
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a *small* input over all cores.
-
-    A file with a single row group is read by one task however many splits it
-    has, which serialises CPU-heavy per-row work (tokenising) on small inputs.
-    An input of at most a few file splits (and fewer splits than cores) is
-    redistributed round-robin -- a shuffle of at most ``SMALL_SPLITS`` splits'
-    worth of bytes.  Anything larger keeps its scan partitioning and is never
-    shuffled here, however many cores the cluster has."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = estimated_bytes(df)
-    if size is not None and size < split * min(cores, SMALL_SPLITS):
-        return df.repartition(cores)
-    return df
-
-
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows carry long texts, balanced for per-row CPU work."""
-    return balanced(table(spark, sf_dir, name))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def split_of(conv_id) -> F.Column:
@@ -76,13 +40,13 @@ def split_of(conv_id) -> F.Column:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str, strip: bool = True) -> DataFrame:
-    """``(pair_id, conv_id, turn, lang, split, source, target)``; ``pair_id = conv_id*1000 + turn``."""
-    conv = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    """``(pair_id, conv_id, turn, lang, split, source, target)``; ``pair_id`` packs (conv_id, turn)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     nxt = conv.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     pairs = conv.withColumnRenamed("text", "source").join(nxt, ["conv_id", "turn"], "inner")
     src, tgt = (T.strip("source"), T.strip("target")) if strip else (F.col("source"), F.col("target"))
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        packed("conv_id", "turn").alias("pair_id"),
         "conv_id", "turn",
         F.lit("en").alias("lang"),
         split_of("conv_id").alias("split"),
@@ -93,17 +57,17 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, strip: bool = True) ->
 def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pair_id, lang, source, target, output)``: turn t, t+1 and t+2 of a
     conversation (used as source, reference and system output)."""
-    conv = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip("text").alias("text"))
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip("text").alias("text"))
     t1 = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     t2 = conv.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("output"))
     j = conv.withColumnRenamed("text", "source").join(t1, ["conv_id", "turn"]).join(t2, ["conv_id", "turn"])
-    return j.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.lit("en").alias("lang"),
+    return j.select(packed("conv_id", "turn").alias("pair_id"), F.lit("en").alias("lang"),
                     "source", "target", "output")
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, file, line_no, line)``: every document as a line file."""
-    docs = text_table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file"), "text")
     return docs.select("doc_id", "lang", "file",
                        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line")) \
                .withColumn("line_no", F.col("line_no").cast("long"))
@@ -114,10 +78,10 @@ def hypothesis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``S-<conv>\\t<text>`` and ``H-<conv>\\t-0.<turn>\\t<text>`` (one column ``value``,
     plus the log position ``log_no``).  A log line holds one line of text, so
     newlines inside a turn are written as spaces (as a decoder prints them)."""
-    conv = text_table(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
-    h = conv.select((F.col("conv_id") * 2000 + F.col("turn") * 2 + 1).alias("log_no"),
+    conv = table(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    h = conv.select((packed("conv_id", "turn") * 2 + 1).alias("log_no"),
                     F.format_string("H-%d\t-0.%d\t%s", "conv_id", "turn", "text").alias("value"))
-    s = conv.select((F.col("conv_id") * 2000 + F.col("turn") * 2).alias("log_no"),
+    s = conv.select((packed("conv_id", "turn") * 2).alias("log_no"),
                     F.format_string("S-%d\t%s", "conv_id", "text").alias("value"))
     return h.unionByName(s)
 
@@ -128,20 +92,3 @@ def save_pairs_bucketed(pairs: DataFrame, table_name: str, buckets: int, key: st
     join back of per-pair statistics run without any shuffle of the pairs."""
     (pairs.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
           .format("parquet").saveAsTable(table_name))
-
-
-def hash_partitioned_by(df: DataFrame, key: str) -> bool:
-    """True when Spark can aggregate ``df`` by ``key`` without an exchange, i.e.
-    the input is already hash-partitioned by the key (a bucketed pair table read
-    through the catalog).  Only a plan is built for the probe; no job runs."""
-    try:
-        # bucketed relations come from the session catalog: skip the probe for
-        # path-based reads (the optimized plan is cached with the DataFrame)
-        if "spark_catalog" not in str(df._jdf.queryExecution().optimizedPlan().toString()):
-            return False
-        plan = str(df.groupBy(key).count()._jdf.queryExecution().executedPlan().toString())
-    except Exception:  # noqa: BLE001 - plan not inspectable (e.g. Spark Connect)
-        return False
-    # a single partition also needs no exchange, but is not a usable layout:
-    # require the bucketed scan that provides the hash partitioning
-    return "Exchange" not in plan and "Bucketed: true" in plan

@@ -40,22 +40,22 @@ def read_pair_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_f
     return df.withColumn("source", T.strip("source")).withColumn("target", T.strip("target"))
 
 
-def batch_writer(features: Iterable[str], out_path: str, ranks: DataFrame | None = None):
+def batch_writer(features: Iterable[str], out_path: str, ranks: DataFrame | None = None, parse=None):
     """The ``foreachBatch`` function: the batch plan on one micro-batch, written
     to ``batch=<id>`` with overwrite, so a retried batch replaces its own output."""
     feats = list(features)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        cc = control_corpus(batch, feats, ranks=ranks).select(*OUTPUT_COLUMNS)
+        cc = control_corpus(batch, feats, ranks=ranks, parse=parse).select(*OUTPUT_COLUMNS)
         cc.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
 
     return write_batch
 
 
 def start_control_corpus_stream(pairs: DataFrame, features: Iterable[str], out_path: str, checkpoint: str,
-                                ranks: DataFrame | None = None, available_now: bool = True) -> StreamingQuery:
+                                ranks: DataFrame | None = None, available_now: bool = True, parse=None) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there and stops."""
-    write_batch = batch_writer(features, out_path, ranks)
+    write_batch = batch_writer(features, out_path, ranks, parse)
     writer = pairs.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
