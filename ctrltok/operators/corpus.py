@@ -74,22 +74,27 @@ def combination_list(features: Iterable[str] = B.FEATURES, proper: bool = True)
 def ablation_corpus(lines: DataFrame, combos: list[list[str]] | None = None, col: str = "source_line") -> DataFrame:
     """Every line re-prefixed with each feature subset (default: the 14 proper
     subsets).  The subsets are a bounded literal array exploded per line -- no
-    join -- and the line is parsed once for all of them.  A subset that asks for a token
-    the line does not carry fails the job: pass the subsets of the corpus's own features."""
+    join -- and the line is parsed once for all of them.  A subset that asks for a feature
+    outside the corpus's ``feature_set`` (without that column: a token the line lacks) fails the job; a feature
+    whose value was NULL has no token and is left out."""
     combos = combination_list() if combos is None else combos
     lit_combos = F.array(*[
         F.struct(F.lit("_".join(sorted(c))).alias("feature_set"),
                  F.array(*[F.lit(B.TOKEN_NAMES[f]) for f in sorted(c)]).alias("names"))
         for c in combos])
     parsed = parsed_corpus(lines, col)
-    parsed = parsed.drop("feature_set") if "feature_set" in parsed.columns else parsed
+    known = "feature_set" in parsed.columns
+    if known:
+        token_of = F.create_map(*[F.lit(x) for f in B.FEATURES for x in (f, B.TOKEN_NAMES[f])])
+        parsed = parsed.withColumn("_own", F.transform(F.split("feature_set", "_"), lambda f: token_of[f])).drop("feature_set")
     j = parsed.select("*", F.inline(lit_combos))
-    missing = F.exists("names", lambda n: F.try_element_at(F.col("controls"), n).isNull())
-    names = F.when(F.coalesce(missing, F.lit(True)), F.raise_error(F.lit("a line lacks a requested control token")).cast("array<string>")) \
-        .otherwise(F.col("names"))
+    has = lambda n: F.try_element_at(F.col("controls"), n).isNotNull()
+    missing = F.exists("names", lambda n: ~F.array_contains("_own", n) if known else ~F.coalesce(has(n), F.lit(False)))
+    names = F.when(missing, F.raise_error(F.lit("a line lacks a requested control token")).cast("array<string>")) \
+        .otherwise(F.filter("names", has))
     prefix = F.aggregate(names, F.lit(""), lambda acc, n: F.concat(
         acc, F.lit("<"), n, F.lit("_"), F.try_element_at(F.col("controls"), n).cast("string"), F.lit("> ")))
-    return j.withColumn("ablated_line", F.concat(F.coalesce(prefix, F.lit("")), F.col("sentence"))).drop("names")
+    return j.withColumn("ablated_line", F.concat(F.coalesce(prefix, F.lit("")), F.col("sentence"))).drop("names", "_own")
 
 
 def snap_requested(requested: Mapping[str, float]) -> dict[str, F.Column]:

@@ -166,10 +166,11 @@ def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, o
 
 def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
                    binned: bool = True, tokenizer: Tokenizer | None = None,
-                   parse: Parse | DataFrame | str | None = None) -> DataFrame:
+                   parse: Parse | DataFrame | str | None = None, partitioned: bool = False) -> DataFrame:
     """Add ``exact_<feature>`` (and ``bin_<feature>``, ``bin_idx_<feature>``) for the
     requested features only; unrequested branches never enter the plan.  ``dependency`` needs a
-    ``parse`` (see :func:`depth_columns`)."""
+    ``parse`` (see :func:`depth_columns`).  ``partitioned``: the pairs are already hash-partitioned by
+    ``pair_id`` (a bucketed table), so the frequency feature does not shuffle them."""
     fs = sorted(set(features))
     unknown = set(fs) - set(B.FEATURES)
     if unknown:
@@ -179,7 +180,7 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     if "frequency" in fs:
         if ranks is None:
             raise ValueError("the frequency feature needs a rank table")
-        df = with_frequency(by_pair(df), ranks, tokenizer=tokenizer)
+        df = with_frequency(df if partitioned else by_pair(df), ranks, tokenizer=tokenizer)
     local = {}
     if "dependency" in fs:
         df, ds, dt = depth_columns(df, parse)

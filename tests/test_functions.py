@@ -206,8 +206,10 @@ def test_max_depths_random_forests(lengths, rnd):
 
 
 def test_synthetic_heads_and_udf(spark):
+    from ctrltok.plans.testparse import synthetic_heads
+
     df = spark.createDataFrame([("a bb ccc dddd e",), ("one",), ("",)], "t string")
-    got = rows(df.select(D.synthetic_heads(T.tokenize("t")).alias("h")).select("h", D.max_depth("h")))
+    got = rows(df.select(synthetic_heads(T.tokenize("t")).alias("h")).select("h", D.max_depth("h")))
     h0 = got[0][0]
     assert h0[0] == -1 and all(0 <= h < i for i, h in enumerate(h0) if i > 0)
     assert got[0][1] == brute_depth(h0)

@@ -25,6 +25,7 @@ from ctrltok.operators import ranks as R
 from ctrltok.operators import shards as SH
 from ctrltok.sources import lines as L
 from ctrltok.sources import sinks as SK
+from ctrltok.plans.testparse import parse_text
 
 PAIRS = [
     (1, "en", "The cat sat on the mat.", "A cat sat."),
@@ -84,10 +85,10 @@ def test_frequency_statistic(pairs, ranks):
 def test_depth_ratio_floor(spark):
     df = spark.createDataFrame([(1, "en", "one", "two words"), (2, "en", "a b", "c")],
                                "pair_id long, lang string, source string, target string")
-    got = by_id(FE.with_depth(df), "exact_dependency")
+    got = by_id(FE.with_depth(df, parse_text), "exact_dependency")
     # "one" has depth 0 -> 0.5;  "two words" -> token 1 hangs under 1-1-(5%1)=0 -> depth 1
     assert got[1][0] == pytest.approx(1 / 0.5)
-    got_abs = by_id(FE.with_depth(df, absolute=True), "exact_dependency")
+    got_abs = by_id(FE.with_depth(df, parse_text, absolute=True), "exact_dependency")
     assert got_abs[2][0] == 0.0                       # absolute mode has no floor
 
 
@@ -96,10 +97,12 @@ def test_bundle_only_requested(pairs, ranks):
     assert "exact_length" in b.columns and "exact_frequency" not in b.columns
     with pytest.raises(ValueError):
         FE.feature_bundle(pairs, ["frequency"])       # needs ranks
+    with pytest.raises(ValueError):
+        FE.feature_bundle(pairs, ["dependency"])      # needs a parse
 
 
 def test_control_corpus_and_parse(pairs, ranks):
-    cc = C.control_corpus(pairs, ["length", "dependency", "frequency", "levenshtein"], ranks=ranks)
+    cc = C.control_corpus(pairs, ["length", "dependency", "frequency", "levenshtein"], ranks=ranks, parse=parse_text)
     r = {x["pair_id"]: x for x in cc.collect()}
     assert r[3]["prefix"].startswith("<MaxDep_") and "<Leven_1.0>" in r[3]["prefix"]
     names = [p.split("_")[0][1:] for p in r[1]["prefix"].split()]
@@ -112,12 +115,12 @@ def test_control_corpus_and_parse(pairs, ranks):
 
 
 def test_ablation_full_set_is_identity(pairs, ranks):
-    cc = C.control_corpus(pairs, ["length", "dependency"], ranks=ranks)
+    cc = C.control_corpus(pairs, ["length", "dependency"], ranks=ranks, parse=parse_text)
     full = C.ablation_corpus(cc, [["dependency", "length"]]).select("pair_id", "source_line", "ablated_line").collect()
     for row in full:
         assert row["ablated_line"] == row["source_line"]
-    subsets = C.ablation_corpus(cc).select("pair_id", "feature_set").distinct().count()
-    assert subsets == 14 * len(PAIRS)
+    with pytest.raises(Exception, match="lacks a requested control token"):
+        C.ablation_corpus(cc).collect()               # the corpus has no frequency token
 
 
 def test_feature_combinations(spark):
@@ -208,7 +211,7 @@ def test_shards_roundtrip(spark):
 def test_profiles(spark):
     lines = spark.createDataFrame([("train", "<Length_0.5> <Leven_1.0> a"), ("train", "<Length_0.5> b"),
                                    ("test", "<Length_0.75>c"), ("test", "none")], "split string, source_line string")
-    vc = {(r["name"], r["value"], r["split"]): r["cnt"] for r in PR.value_counts(PR.control_values(lines)).collect()}
+    vc = {(r["name"], r["value"], None if r["pooled"] else r["split"]): r["cnt"] for r in PR.value_counts(PR.control_values(lines)).collect()}
     assert vc[("Length", 0.5, "train")] == 2 and vc[("Length", 0.5, None)] == 2 and vc[("Length", 0.75, None)] == 1
     vals = spark.createDataFrame([("length", float(x)) for x in [0.0, 1.0, 2.0, 3.0, 4.0]], "feature string, x double")
     h = {r["bin"]: r["cnt"] for r in PR.hist_equal_width(vals, {"length": 4}).collect()}
@@ -225,7 +228,7 @@ def test_bad_splits(spark):
     lines = spark.createDataFrame([("a", "B. rest"), ("a", "z."), ("a", "ca. "), ("b", "ok"), ("d", "etwa ca.")],
                                   "file string, line string")
     expected = spark.createDataFrame([("a",), ("b",), ("c",)], "file string")
-    got = {r["file"]: (r["zb"], r["ca"]) for r in AU.bad_split_counts(lines, expected).collect()}
+    got = {None if r["is_total"] else r["file"]: (r["zb"], r["ca"]) for r in AU.bad_split_counts(lines, expected).collect()}
     assert got == {"a": (2, 1), "b": (0, 0), "c": (0, 0), "d": (0, 1), None: (2, 2)}
 
 
@@ -254,12 +257,13 @@ def test_feature_match_counts(spark, ranks):
         (1, "en", "<Length_1.0> a b c", "a b c"),          # realised length 1.0 -> match
         (2, "en", "<Length_0.5> a b c", "a b c"),          # mismatch, delta -0.5
         (3, "en", "no prefix", "whatever"),                # counts only as a pair
+        (4, "en", "<Length_0.5> ", "text"),                # no realised value: a mismatch without a delta
     ], "pair_id long, lang string, source_line string, output string")
     cmp = MA.realised_vs_requested(rows, ["length"], ranks=ranks)
     s = {r["name"]: (r["n_match"], r["n_mismatch"], r["avg_delta"]) for r in MA.match_summary(cmp).collect()}
-    assert s["Length"] == (1, 1, pytest.approx(-0.5)) and s[None][:2] == (1, 1)
+    assert s["Length"] == (1, 2, pytest.approx(-0.5)) and s[None][:2] == (1, 2)
     t = MA.match_totals(rows, cmp, 1).first()
-    assert (t["n_pairs"], t["n_prefixed"], t["n_matches"], t["n_features_total"]) == (3, 2, 1, 3)
+    assert (t["n_pairs"], t["n_prefixed"], t["n_matches"], t["n_features_total"]) == (4, 3, 1, 4)
 
 
 # ---------------------------------------------------------------- metrics vs brute force
@@ -322,7 +326,7 @@ def test_bleu_and_sari_match_brute_force(spark):
     per = {r["pair_id"]: r["sari"] for r in ME.sari(df).collect()}
     for k, (s, c, r) in toks.items():
         assert per[k] == pytest.approx(py_sari(s, c, r)), k
-    cs = ME.corpus_sari(ME.sari(df)).first()
+    cs = ME.mean_sari(ME.sari(df)).first()
     assert cs["sari"] == pytest.approx(np.mean([py_sari(*t) for t in toks.values()]))
 
 
@@ -341,7 +345,7 @@ def test_embedding_match_brute_force(spark):
     v = spark.createDataFrame(vecs, "sent long, vec_id long, embedding array<double>")
     pairs = spark.createDataFrame([(0, 1), (1, 2)], "cand long, ref long")
     got = {(r["cand"], r["ref"]): (r["precision"], r["recall"], r["f1"])
-           for r in ME.embedding_match(v, pairs, block=4).collect()}
+           for r in ME.embedding_match(v, pairs).collect()}
 
     def unit(m):
         n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -391,8 +395,8 @@ def test_sinks_keep_line_order(spark, tmpdir_path):
 
 
 def test_repartition_invariance(pairs, ranks):
-    a = C.control_corpus(pairs.coalesce(1), ["length", "frequency", "dependency"], ranks=ranks)
-    b = C.control_corpus(pairs.repartition(8), ["length", "frequency", "dependency"], ranks=ranks)
+    a = C.control_corpus(pairs.coalesce(1), ["length", "frequency", "dependency"], ranks=ranks, parse=parse_text)
+    b = C.control_corpus(pairs.repartition(8), ["length", "frequency", "dependency"], ranks=ranks, parse=parse_text)
     cols = ["pair_id", "prefix", "source_line", "target_line"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
 
@@ -457,20 +461,67 @@ def test_bundle_without_lang_column(spark, ranks):
     assert out["exact_length"] == pytest.approx(5 / 7) and out["exact_frequency"] > 0
 
 
-def test_balanced_only_touches_small_inputs(spark, tmpdir_path):
-    from ctrltok.sources.tables import balanced
-
-    p = os.path.join(tmpdir_path, "t.parquet")
-    spark.range(20000).selectExpr("id", "repeat('x', 50) AS s").coalesce(1).write.parquet(p)
-    small = balanced(spark.read.parquet(p))
-    assert "RoundRobinPartitioning" in small._jdf.queryExecution().executedPlan().toString()
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")      # now the file spans many splits
+def test_long_conversations_do_not_collide(spark, tmpdir_path):
+    from ctrltok.sources.tables import conversation_pairs
+
+    rows = [(1, t, "u", f"one word{t}") for t in range(1003)] + [(2, t, "u", f"two three other{t}") for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        os.path.join(tmpdir_path, "conversations.parquet"))
+    pairs = conversation_pairs(spark, tmpdir_path)
+    ranks = spark.createDataFrame([("en", "one", 1), ("en", "two", 50), ("en", "three", 7)], "lang string, word string, rank long")
+    got = {(r["conv_id"], r["turn"]): r["exact_frequency"] for r in FE.feature_bundle(pairs, ["frequency"], ranks=ranks).collect()}
+    assert len(got) == 1002 + 2 == pairs.select("pair_id").distinct().count()
+    alone = {(r["conv_id"], r["turn"]): r["exact_frequency"] for r in FE.feature_bundle(
+        pairs.where("conv_id = 2"), ["frequency"], ranks=ranks).collect()}
+    assert {k: got[k] for k in alone} == pytest.approx(alone)
+
+
+def test_hot_word_without_broadcasts(spark, ranks):
+    rows = [(i, "en", "cat " * 50 + f"mat w{i}", "cat cat mat") for i in range(300)]
+    pairs = spark.createDataFrame(rows, "pair_id long, lang string, source string, target string")
+    want = {r["pair_id"]: r["exact_frequency"] for r in FE.feature_bundle(pairs, ["frequency"], ranks=ranks).collect()}
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
     try:
-        big = balanced(spark.read.parquet(p))
-        assert "RoundRobinPartitioning" not in big._jdf.queryExecution().executedPlan().toString()
+        df = FE.feature_bundle(pairs, ["frequency"], ranks=ranks)
+        got = {r["pair_id"]: r["exact_frequency"] for r in df.collect()}
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == pytest.approx(want)
+
+
+def test_parse_from_columns_and_table(spark):
+    from ctrltok.plans.testparse import heads_table
+
+    df = spark.createDataFrame([(1, "en", "a bb ccc dddd", "one two three"), (2, "en", "x", "")],
+                               "pair_id long, lang string, source string, target string")
+    cols = df.withColumns({f"h_{s}": parse_text(F.col(s)) for s in ("source", "target")})
+    want = by_id(FE.feature_bundle(df, ["dependency"], parse=parse_text), "exact_dependency")
+    assert by_id(FE.feature_bundle(cols, ["dependency"], parse="h"), "exact_dependency") == want
+    assert by_id(FE.feature_bundle(df, ["dependency"], parse=heads_table(df)), "exact_dependency") == want
+
+
+def test_shard_files_round_trip(spark, tmpdir_path):
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(50)], "line_no long, line string").repartition(5)
+    out = os.path.join(tmpdir_path, "shards")
+    SK.write_shards(SH.assign_shards(lines, 10), out)
+    back = spark.read.parquet(out)
+    assert sorted(r["line_no"] for r in back.where("split = 'train' and shard = 3").collect()) == list(range(30, 40))
+    assert len([f for f in os.listdir(os.path.join(out, "split=train", "shard=3")) if f.endswith(".parquet")]) == 1
+
+
+def test_shard_corpora_pair_by_file(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "sharded")
+    os.makedirs(d)
+    for stem in ("train_0", "train_1"):
+        for end in ("src", "tgt"):
+            open(os.path.join(d, f"{stem}.{end}"), "w").write(f"{stem} a\n{stem} b\n")
+    got = L.read_corpus(spark, d).collect()
+    assert len(got) == 4 and all(r["source"] == r["target"] and r["split"] == "train" for r in got)
 
 
 def test_read_corpus_folder_with_val_alias(spark, tmpdir_path):
@@ -480,7 +531,7 @@ def test_read_corpus_folder_with_val_alias(spark, tmpdir_path):
         open(os.path.join(d, f"{split}.src"), "w").write("".join(f"s{split}{i}\n" for i in range(n)))
         open(os.path.join(d, f"{split}.tgt"), "w").write("".join(f"t{split}{i}\n" for i in range(n)))
     got = sorted(tuple(r) for r in L.read_corpus(spark, d).collect())
-    assert ("en", "valid", 0, "sval0", "tval0") in got
+    assert ("en", "valid", "val", 0, "sval0", "tval0") in got
     assert sorted({r[1] for r in got}) == ["test", "train", "valid"] and len(got) == 6
 
 
@@ -520,35 +571,24 @@ def test_custom_pandas_udf_tokenizer(spark, pairs, ranks):
     def whitespace_tokens(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [t for t in x.split() if t])
 
-    cc = C.control_corpus(pairs, ["length", "frequency", "dependency"], ranks=ranks, tokenizer=whitespace_tokens)
+    cc = C.control_corpus(pairs, ["length", "frequency", "dependency"], ranks=ranks, tokenizer=whitespace_tokens, parse=parse_text)
     r = {x["pair_id"]: x for x in cc.collect()}
     assert r[1]["target_line"] == "A cat sat."                       # punctuation stays glued
     assert r[1]["source_line"].endswith("The cat sat on the mat.")
 
 
 def test_bucketed_pairs_need_no_pair_shuffle(spark, pairs, ranks):
-    from ctrltok.sources.tables import hash_partitioned_by, save_pairs_bucketed
-
     from ctrltok.session import materialize
+    from ctrltok.sources.tables import save_pairs_bucketed
 
     save_pairs_bucketed(pairs, "pairs_bucketed", 4)
     stored = spark.table("pairs_bucketed")
-    assert hash_partitioned_by(stored, "pair_id")
-    assert not hash_partitioned_by(pairs, "pair_id")
     stored_ranks = materialize(ranks, "ranks")                # a stored rank table has size statistics
-    out = FE.with_frequency(FE.by_pair(stored), stored_ranks)
+    out = FE.feature_bundle(stored, ["frequency"], ranks=stored_ranks, partitioned=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(pair_id" not in plan            # no exchange of the pairs at all
-    want = {r["pair_id"]: r["exact_frequency"] for r in FE.with_frequency(FE.by_pair(pairs), ranks).collect()}
-    got = {r["pair_id"]: r["exact_frequency"] for r in out.collect()}
-    assert got == pytest.approx(want)
-
-
-def test_single_partition_is_not_taken_as_partitioned(spark, pairs):
-    from ctrltok.sources.tables import hash_partitioned_by
-
-    assert not hash_partitioned_by(pairs.coalesce(1), "pair_id")
-    assert FE.by_pair(pairs.coalesce(1)).rdd.getNumPartitions() > 1
+    want = by_id(FE.feature_bundle(pairs, ["frequency"], ranks=ranks), "exact_frequency")
+    assert {k: v[0] for k, v in by_id(out, "exact_frequency").items()} == pytest.approx({k: v[0] for k, v in want.items()})
 
 
 def test_global_index_with_a_hot_group(spark):

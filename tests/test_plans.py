@@ -8,6 +8,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from ctrltok.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -19,7 +20,7 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: plan_of(fn(spark, SF)) for n, fn in E.queries().items()}
+    return {n: plan_of(E.queries()[n](spark, SF)) for n in QUERIES}
 
 
 def test_no_cartesian_products(plans):
@@ -27,6 +28,16 @@ def test_no_cartesian_products(plans):
     assert bad == []
 
 
+def test_no_fixed_or_round_robin_partitioning(plans):
+    assert [n for n, p in plans.items() if "REPARTITION_BY_NUM" in p or "RoundRobinPartitioning" in p] == []
+
+
+def test_pairs_are_derived_once(plans):
+    # the pair table is written once with its tokens; the corpus plan reads that table only
+    assert "conversations.parquet" not in plans["control_corpus"]
+    assert plans["control_corpus"].count("regexp_extract_all") <= 2      # only the parse function tokenises again
+
+
 def test_unused_columns_never_scanned(plans):
     for n, p in plans.items():
         for schema in re.findall(r"ReadSchema: struct<([^>]*)>", p):
