@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on words of ordinary documents and one on
+Separate zstandard dictionaries are trained on words of ordinary documents and on
 fragments of toxic documents (the words whose byte 5-grams occur in clearly more toxic than
-ordinary documents).  A window is one word with its borders; its distance is its compressed length
-with the ordinary dictionary minus that with the toxic one.  The shares of a
+ordinary documents).  A window is one word with its borders; its distance is its shortest compressed length
+with an ordinary dictionary minus its shortest with a toxic one (several of each, since one dictionary
+leaves some frequent words out).  The shares of a
 document's windows beyond several distances go through a calibrated logistic threshold.
 
 The model is fitted on a bounded sample: at most ``sample_docs`` labelled documents a class, the
@@ -36,14 +37,15 @@ BUCKETS = 1 << 20
 LEVEL = 3
 PAD = b" " + b"\n" * 8
 LONG = 48
+EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DISTANCES = (2, 3, 4, 5, 6)
 CACHE = 400_000
 
 
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
+    ordinary: list[bytes]
+    toxic: list[bytes]
     weights: list[float]
     center: list[float]
     scale: list[float]
@@ -51,11 +53,13 @@ class Model:
 
 
 def windows(text: str) -> list[bytes]:
-    """The words of a text, longer ones in pieces."""
+    """The words of a text without punctuation at their ends, longer ones in pieces."""
     out = []
     for w in text.lower().encode().split():
+        w = w.strip(EDGE)
         if len(w) <= LONG:
-            out.append(w)
+            if w:
+                out.append(w)
         else:
             out += [w[i:i + LONG] for i in range(0, len(w), LONG)]
     return out
@@ -124,14 +128,17 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
         if model.toxic:
-            self.ordinary, self.toxic = compressor(model.ordinary), compressor(model.toxic)
+            self.ordinary, self.toxic = (list(map(compressor, x)) for x in (model.ordinary, model.toxic))
 
     def distance(self, word: bytes) -> int:
         x = padded(word)
-        toxic = len(self.toxic.compress(x))
-        if len(x) + 16 - toxic < DISTANCES[0]:  # no frame is longer than its input by more
-            return 0
-        return min(max(len(self.ordinary.compress(x)) - toxic, 0), 15)
+        toxic = min(len(c.compress(x)) for c in self.toxic)
+        best = len(x) + 16  # no frame is longer than its input by more
+        for c in self.ordinary:
+            if best - toxic < DISTANCES[0]:
+                return 0
+            best = min(best, len(c.compress(x)))
+        return min(max(best - toxic, 0), 15)
 
     def features(self, text: str) -> np.ndarray:
         words, seen = windows(text), self.seen
@@ -167,15 +174,25 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, st
     return b
 
 
+def best_margin(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The margin above which predicting label 1 has the best weighted F1 (between two sample margins)."""
+    o = np.argsort(-margin)
+    hit, taken = np.cumsum(w[o] * y[o]), np.cumsum(w[o])
+    i = int(np.argmax(2 * hit / (taken + (w * y).sum())))
+    after = margin[o][min(i + 1, len(o) - 1)]
+    return float((margin[o][i] + after) / 2)
+
+
 def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: int = 32768, toxic_size: int = 16384,
-        toxic_share: float = 0.2, ratio: float = 8.0, evidence: float = 25.0) -> Model:
+        n_ordinary: int = 3, n_toxic: int = 2, toxic_share: float = 0.2, ratio: float = 8.0, evidence: float = 25.0, cutoff: float = 0.7) -> Model:
     """Calibrate on cross-fitted halves of the sample, then train the dictionaries on all of it.
 
-    ``totals``: labelled documents of class 0 and 1, whose ratio the scores are calibrated to."""
+    ``totals``: labelled documents of class 0 and 1, whose ratio the scores are calibrated to.  ``cutoff`` is the
+    score at which the F1 of the cross-fitted sample is best."""
     base = totals[1] / max(1, sum(totals))
     by = [[t for t, y in sample if y == k] for k in (0, 1)]
     if min(map(len, by)) < 4:
-        return Model(b"", b"", [], [], [], base)
+        return Model([], [], [], [], [], base)
     words = [[windows(t) for t in docs] for docs in by]
 
     def dictionaries(part: list[list[list[bytes]]]) -> Model:
@@ -186,7 +203,8 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: i
         marked = contrasting(counts[1], counts[0], len(part[1]), len(part[0]), ratio, evidence)
         found = fragments(part[1], marked)
         size = int(np.clip(sum(map(len, found)) * toxic_share, 512, toxic_size))
-        return Model(trained(ordinary_size, [x for w in part[0] for x in w][:400_000]), trained(size, found), [], [], [], base)
+        plain = [[x for w in part[0][i::n_ordinary] for x in w][:300_000] for i in range(n_ordinary)]
+        return Model([trained(ordinary_size, w) for w in plain], [trained(size >> i, found) for i in range(n_toxic)], [], [], [], base)
 
     # every document is measured with dictionaries that the other half of the sample trained
     rows = []
@@ -200,7 +218,10 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: i
     w = np.where(y == 1, share[1], share[0])
     w *= len(w) / w.sum()
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = logistic((x - center) / scale, y, w).tolist()
+    beta = logistic((x - center) / scale, y, w)
+    margin = np.c_[np.ones(len(x)), (x - center) / scale] @ beta
+    beta[0] += np.log(cutoff / (1 - cutoff)) - best_margin(margin, y, w)
+    model.weights = beta.tolist()
     model.center, model.scale = center.tolist(), scale.tolist()
     return model
 
