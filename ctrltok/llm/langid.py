@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctrltok.llm.common import held
@@ -184,18 +184,19 @@ def normal(weight: np.ndarray, smooth: float) -> np.ndarray:
 
 def learn(docs: DataFrame, vocabulary: str, sample_docs: int = 300, sample_bytes: int = 32768) -> Model:
     """Fit on documents outside the held-out fifth."""
-    known = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-             .filter("doc_id is not null and lang is not null and text is not null").filter(held(5) != 0)
-             .filter(F.octet_length("text") <= sample_bytes))
-    # the sample is found on ids alone, one language at a time, so no language is gathered in a task
-    ids = known.select("doc_id", "lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    ids = rows.select("doc_id", "lang").filter("doc_id is not null and lang is not null").filter(held(5) != 0)
+    # the sample is chosen on ids alone; Spark limits the rank before the shuffle, so a task
+    # sends at most sample_docs ids of a language, and the texts are scanned once
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_docs).select("doc_id", "lang").distinct()
     counts: dict[str, Counter] = {}
-    for row in ids.select("lang").distinct().collect():
-        first = ids.filter(F.col("lang") == row.lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-        counts[row.lang] = Counter()
-        own = known.filter(F.col("lang") == row.lang).join(F.broadcast(first.select("doc_id").distinct()), "doc_id")
-        for r in own.select("text").limit(2 * sample_docs).toLocalIterator():
-            counts[row.lang].update(words_of(r.text))
+    taken: Counter = Counter()
+    sample = rows.filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), ["doc_id", "lang"])
+    for r in sample.select("lang", "text").toLocalIterator():
+        taken[r.lang] += 1
+        if taken[r.lang] <= 2 * sample_docs:  # rows that repeat an id
+            counts.setdefault(r.lang, Counter()).update(words_of(r.text))
     return fit({k: v for k, v in counts.items() if v}, public_pieces(vocabulary))
 
 

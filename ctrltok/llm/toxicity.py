@@ -226,19 +226,18 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: i
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4800, sample_bytes: int = 65536) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4800, sample_bytes: int = 32768) -> Model:
     """Fit on labelled documents outside the held-out third."""
     known = (labels.filter("doc_id is not null and toxic in (0, 1)").filter(held(3) != 1)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
-    rows = texts(docs).filter(F.octet_length("text") <= sample_bytes)
-    sample, totals = [], []
-    for k in (0, 1):
-        own = known.filter(F.col("toxic") == k)
-        totals.append(own.count())
-        first = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs // (2 - k)).select("doc_id")
-        got = rows.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
-        sample += [(r.text, k) for r in got.select("text").toLocalIterator()]
-    return fit(sample, tuple(totals))
+    totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # the sample is chosen on ids alone, so the texts are scanned once
+    first = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs // (2 - k)) for k in (0, 1)]
+    rows = texts(docs).filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(first[0].union(first[1])), "doc_id")
+    found = rows.select(F.xxhash64("doc_id", "text").alias("o"), "text", "toxic").toLocalIterator()
+    taken = sorted((r.o, r.text, r.toxic) for r, _ in zip(found, range(2 * sample_docs)))
+    sample = [(text, toxic) for _, text, toxic in taken]
+    return fit(sample, (totals.get(0, 0), totals.get(1, 0)))
 
 
 def scores(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
