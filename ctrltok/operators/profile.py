@@ -13,7 +13,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrltok.functions import bins as B
 from ctrltok.functions import tokens as K
 
 # Fixed values of the two histograms: equal-width bins between min and max

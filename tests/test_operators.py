@@ -10,7 +10,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ctrltok.functions import bins as B
 from ctrltok.functions import edit as E
 from ctrltok.operators import audit as AU
 from ctrltok.operators import corpus as C
