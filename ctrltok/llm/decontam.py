@@ -4,8 +4,8 @@ Words (runs of ASCII letters and digits or non-ASCII bytes of the lower-cased te
 seed hashes the words under a fixed mask and ignores the masked-out positions, so a substituted word
 there does not hide a copy.  Seeds of the benchmark and of every position of the documents are
 joined; around each hit the document and the item are compared word by word on the
-hit's diagonal, and the best-scoring stretch counts when it has at least
-``min(least_words, item)`` words of which ``similarity`` or more agree.
+hit's diagonal; any stretch of at least ``min(least_words, item)`` words of which ``similarity`` or more
+agree counts, and the one with the most equal words is reported.
 
 Documents send only seeds that pass a bitmap of the benchmark's seeds.  The bitmap has a fixed size
 whatever the benchmark's, so it is broadcast; a benchmark that fills it only lets more rows through to the join,
@@ -145,15 +145,24 @@ def document_seeds(rows: DataFrame, lengths: list[int], allowed) -> DataFrame:
     return rows.select("did", "tag", "text").mapInArrow(run, "did long, tag long, at long, seed long")
 
 
-def best_stretch(same: np.ndarray, similarity: float) -> tuple[int, int]:
-    """The stretch with the highest sum of 1 for equal and ``-similarity / (1 - similarity)`` for
-    different words (so a positive sum means at least that share agrees): (start, end)."""
-    gain = np.where(same, 1.0, -similarity / max(1e-9, 1 - similarity))
-    total = np.r_[0.0, np.cumsum(gain)]
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmax(total[:end + 1] <= low[end] + 1e-9))
-    return start, end
+def best_stretch(same: np.ndarray, similarity: float, least: int) -> tuple[int, int] | None:
+    """Of the stretches of ``least`` words or more that agree in the share ``similarity`` or more, the one with the
+    most equal words, then the fewest words: (start, end)."""
+    agree = np.r_[0, np.cumsum(same)]
+    total = agree - similarity * np.arange(len(agree))
+    # a stretch agrees enough if the total does not fall over it; its earliest start has the most words, equal ones too
+    start = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)
+    end = np.flatnonzero(np.arange(len(agree)) - start >= max(1, least))
+    if not len(end):
+        return None
+    start = start[end]
+    i = np.lexsort((end - start, agree[start] - agree[end]))[0]
+    lo, hi = int(start[i]), int(end[i])
+    while hi - lo > least and not same[lo]:
+        lo += 1
+    while hi - lo > least and not same[hi - 1]:
+        hi -= 1
+    return lo, hi
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonals, least: int, similarity: float):
@@ -164,10 +173,13 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonals, least: int, similarity
         if hi <= lo:
             continue
         same = doc[lo + d:hi + d] == item[lo:hi]
-        start, end = best_stretch(same, similarity)
-        n, agree = end - start, int(same[start:end].sum())
-        if n >= min(least, len(item)) and agree >= similarity * n and (best is None or agree > best[1]):
-            best = (n, agree, lo + d + start, lo + start)
+        stretch = best_stretch(same, similarity, min(least, len(item)))
+        if stretch is None:
+            continue
+        start, end = stretch
+        agree = int(same[start:end].sum())
+        if best is None or agree > best[1]:
+            best = (end - start, agree, lo + d + start, lo + start)
     return best
 
 

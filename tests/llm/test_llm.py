@@ -198,6 +198,37 @@ def test_seed_masks_find_every_pattern_of_a_fifth_substituted():
                        for m in decontam.MASKS for o in range(length - len(m) + 1))
 
 
+def test_copies_with_any_fifth_substituted_overlap(spark):
+    from itertools import combinations
+
+    rng = random.Random(9)
+    items, docs, want = {}, [], set()
+    for n in range(13, 31):
+        items[n] = [f"w{n}x{k}" for k in range(n)]
+        for errors in range(n // 5 + 1):
+            patterns = list(combinations(range(n), errors)) if n < 17 else [rng.sample(range(n), errors) for _ in range(60)]
+            for gone in patterns:
+                want.add((len(docs), n, errors))
+                docs.append(" ".join(["before", "it", *("other" if k in gone else w for k, w in enumerate(items[n])), "and", "after"]))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontam.overlaps(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id, r.item_id - r.agreeing) for r in got} == want
+    assert all(r.similarity >= 0.8 and r.words >= 13 for r in got)
+
+
+def test_best_stretch_against_all_stretches():
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        same, least = rng.random(rng.integers(1, 40)) < rng.choice([0.5, 0.75, 0.9]), int(rng.integers(1, 15))
+        every = [(int(same[i:j].sum()), i - j) for i in range(len(same)) for j in range(i + least, len(same) + 1)
+                 if 5 * int(same[i:j].sum()) >= 4 * (j - i)]
+        got = decontam.best_stretch(same, 0.8, least)
+        assert (got is None) == (not every)
+        if got:
+            n, agree = got[1] - got[0], int(same[got[0]:got[1]].sum())
+            assert n >= least and 5 * agree >= 4 * n and agree == max(every)[0]
+
+
 # repeated substrings
 
 
