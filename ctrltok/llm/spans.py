@@ -3,7 +3,7 @@
 Spark returns matches and the text between them but no positions; both lists come from the same left-to-right
 scan, so a running sum of their lengths gives every start.  A span is
 ``struct(start, stop, value, before)`` in code points, ``stop`` exclusive; ``before`` is the text right before it
-(at most ``CONTEXT`` code points, from the previous match on).
+(at most ``CONTEXT`` code points, earlier matches included).
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ def found(text: str, pattern: str, keep: Callable[[Column, Column], Column], gro
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["gap"])
         end = begin + F.char_length(x["m"])
-        before = F.right(F.concat(F.right(acc["last"], F.lit(CONTEXT)), x["gap"]), F.lit(CONTEXT))
+        before = F.right(F.concat(acc["last"], F.right(x["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
         span = F.struct(begin.alias("start"), end.alias("stop"), x["m"].alias("value"), before.alias("before"))
         out = F.when(F.coalesce(keep(x["m"], x["g"]), F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), x["m"].alias("last"), out.alias("out"))
+        last = F.right(F.concat(before, F.right(x["m"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), last.alias("last"), out.alias("out"))
 
     matched = F.filter(zipped, lambda x: x["m"].isNotNull())
     hits = F.aggregate(matched, start, step, lambda acc: acc["out"])

@@ -10,7 +10,7 @@ import pytest
 pa = pytest.importorskip("pyarrow")
 llm = pytest.importorskip("ctrltok.llm")
 
-from ctrltok.llm import bpe, decontam, langid, line_dedup, pii, secrets, simhash, sketch, suffix_dedup, toxicity  # noqa: E402
+from ctrltok.llm import bpe, decontam, langid, line_dedup, pii, secrets, simhash, sketch, spans, suffix_dedup, toxicity  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, did long, tag long, hi long, KEY string"
 WORDS = "the of and to in is that for it as was with be by on".split()
@@ -508,6 +508,23 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i]["spans"] == "" for i in range(33, 53))
 
 
+def test_two_word_contexts_discover_where_one_word_is_mixed(spark):
+    docs = [f"my phone at +1 555 0{i:02d} 12{i:02d} now" for i in range(30)] + [f"we met at 1{i:03d}x today" for i in range(150)]
+    docs += [f"a phone at 555-77{i:02d} ok" for i in range(3)]
+    got = rows_by_id(pii.digests(frame(spark, docs)))
+    assert [got[i]["spans"] for i in (180, 181, 182)] == ["ctx_phone:11:19"] * 3
+    assert all(got[i]["spans"] == "" for i in range(30, 180))
+
+
+def test_context_is_the_text_before_across_matches(spark):
+    texts = ["a bc 中😀 d 12 e34", "x " * 100 + "9", "y" * 200 + " z 7 8", "5"]
+    df = frame(spark, texts).select("doc_id", spans.found("text", r"\S++", lambda m, g: m.rlike("[0-9]")).alias("s"))
+    for r in df.collect():
+        t = texts[r.doc_id]
+        assert [(x.start, x.stop, x.before) for x in r.s] == [
+            (m.start(), m.end(), t[:m.start()][-spans.CONTEXT:]) for m in re.finditer(r"\S+", t) if re.search("[0-9]", m[0])]
+
+
 # every operator: empty tables, null ids and repeated rows
 
 
