@@ -3,9 +3,9 @@
 Strong patterns (assignments, access keys, long hex) are reported as found.  Weak parts (an identifier
 such as ``client_id=..``, a short or oddly named secret, an endpoint) are reported only when their complement is within ``reach``
 code points in the same document: an identifier needs a secret, a secret needs an identifier or an endpoint,
-an endpoint needs both.  Parts are dealt to scopes (document and stretch of ``reach`` code points, with the two
-neighbours on one side of the join) and joined there; spans of a pattern do not overlap, so a scope
-holds a bounded number of parts.
+an endpoint needs both.  Parts are dealt to scopes (document and stretch of ``reach`` code points), the earlier of a
+pair by its end and to the next scope too, the later by its start, and joined there; spans of a pattern do not
+overlap, so a scope holds a bounded number of ends and starts.
 
 Defined results: null text is empty; repeated rows are scanned alike; rows that repeat a doc_id with other text
 are linked one by one; an empty table gives an empty result; other columns are ignored.
@@ -56,12 +56,14 @@ def linked(scans: DataFrame, reach: int = 300) -> DataFrame:
     classes = F.array(*[F.lit(c) for c in CLASS_OF])
     parts = (scans.filter(F.size("weak") > 0).select("did", "tag", F.explode(F.concat("base", "weak")).alias("p")).distinct()
              .select("did", "tag", "p", F.element_at(classes, F.col("p.kind") + 1).alias("class")))
-    scope = F.floor(F.col("p.start") / reach)
-    own = parts.filter(F.col("p.kind") >= 3).withColumn("scope", scope)
-    near = parts.select("did", "tag", F.col("p").alias("q"), F.col("class").alias("other"), F.explode(
-        F.array(*[F.floor(F.col("p.start") / reach) + d for d in (-1, 0, 1)])).alias("scope"))
-    apart = F.greatest(F.col("q.start") - F.col("p.stop"), F.col("p.start") - F.col("q.stop"))
-    met = own.join(near, ["did", "tag", "scope"]).filter((apart >= 0) & (apart <= reach) & (F.col("class") != F.col("other")))
+    later = parts.select("did", "tag", F.col("p").alias("q"), F.col("class").alias("other"), F.floor(F.col("p.start") / reach).alias("scope"))
+    # a start within reach after an end lies in the end's scope or the next
+    scope = F.floor(F.col("p.stop") / reach)
+    apart = F.col("q.start") - F.col("p.stop")
+    pairs = (parts.withColumn("scope", F.explode(F.array(scope, scope + 1))).join(later, ["did", "tag", "scope"])
+             .filter((apart >= 0) & (apart <= reach) & (F.col("class") != F.col("other"))))
+    both = F.array(F.struct("p", "class", "other"), F.struct(F.col("q").alias("p"), F.col("other").alias("class"), F.col("class").alias("other")))
+    met = pairs.select("did", "tag", F.inline(both)).filter(F.col("p.kind") >= 3)
     has = met.groupBy("did", "tag", "p", "class").agg(*[F.max(F.col("other") == c).alias(f"c{c}") for c in range(3)])
     whole = (F.when(F.col("class") == IDENTIFIERS, F.col("c1")).when(F.col("class") == SECRETS, F.col("c0") | F.col("c2"))
              .otherwise(F.col("c0") & F.col("c1")))

@@ -476,6 +476,26 @@ def test_weak_parts_need_their_complement(spark):
                      ["assign", "identifier"]]
 
 
+def test_linking_against_all_pairs(spark):
+    rng = random.Random(6)
+    scans, want = [], {}
+    for d in range(120):
+        parts = set()
+        for _ in range(rng.randint(0, 8)):
+            a = rng.randrange(2500)
+            parts.add((a, rng.randrange(6), a + rng.choice([5, 10, 40, 299, 300, 301, 700, 1500])))
+        parts |= {(299 + d, 3, 319 + d), (609 + d, 4, 615 + d)} if d < 20 else set()
+        scans.append((d, 0, sorted(p for p in parts if p[1] < 3), sorted(p for p in parts if p[1] >= 3)))
+        met = {p: {secrets.CLASS_OF[q[1]] for q in parts if 0 <= max(q[0] - p[2], p[0] - q[2]) <= 300} for p in parts if p[1] >= 3}
+        need = {0: lambda c: 1 in c, 1: lambda c: 0 in c or 2 in c, 2: lambda c: {0, 1} <= c}
+        added = sorted(p for p, c in met.items() if need[secrets.CLASS_OF[p[1]]](c))
+        want |= {d: added} if added else {}
+    spans_ = "array<struct<start:int,kind:int,stop:int>>"
+    df = spark.createDataFrame(scans, f"did long, tag long, base {spans_}, weak {spans_}")
+    assert {r.did: [tuple(x) for x in r.added] for r in secrets.linked(df).collect()} == want
+    assert all((299 + d, 3, 319 + d) in want[d] for d in range(20))
+
+
 def base_pii(t):
     def luhn(d):
         v = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))]
