@@ -25,12 +25,16 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "identifier", "weak_secret", "endpoint"]
 
-IDENTIFIER = (r"""(?i:\b(?:access_?key_?id|client_?id|account_?id|user_?name|user|login))["']?\x20*[:=]\x20*["']?"""
+# names may be part of a longer one (DB_USER, aws-secret-access-key, PASSWORD_2) unless its end says that the value is something else
+BEGIN = r"(?<![A-Za-z0-9])"
+SUFFIX = (r"(?:[_-](?!(?:agent|type|count|length|size|limit|expir[a-z]*|ttl|ur[il]|file|path|method|status|group|role|mode)(?![A-Za-z0-9]))"
+          r"[A-Za-z0-9]++){0,3}+")
+IDENTIFIER = (rf"""(?i:{BEGIN}(?:access_?key_?id|client_?id|account_?id|user_?name|user|login){SUFFIX})["']?\x20*[:=]\x20*["']?"""
               r"""([A-Za-z0-9._@-]{3,})|\bA[KS]IA[A-Z0-9]{4,11}\b""")
-WEAK_SECRET = (r"""(?i:\b(?:pwd|pass|passphrase|auth|private_?key|signature|password|passwd|secret|token|api_?key))["']?\x20*[:=]"""
-               r"""\x20*["']?([^\s"',;]{4,})|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""")
-ENDPOINT = (r"""(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://)[^\s"'<>,;]{3,}|"""
-            r"""(?i:\b(?:host|hostname|endpoint|server))["']?\x20*[:=]\x20*["']?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++)""")
+WEAK_SECRET = (rf"""(?i:{BEGIN}(?:pwd|pass|passphrase|auth|private_?key|signature|password|passwd|secret_?access_?key|secret|token|api_?key){SUFFIX})"""
+               r"""["']?\x20*[:=]\x20*["']?([^\s"',;]{4,})|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""")
+ENDPOINT = (rf"""(?i:{BEGIN}(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://)[^\s"'<>,;]{{3,}}|"""
+            rf"""(?i:{BEGIN}(?:host|hostname|endpoint|server){SUFFIX})["']?\x20*[:=]\x20*["']?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++)""")
 IDENTIFIERS, SECRETS, ENDPOINTS = 0, 1, 2
 CLASS_OF = [SECRETS, IDENTIFIERS, SECRETS, IDENTIFIERS, SECRETS, ENDPOINTS]
 

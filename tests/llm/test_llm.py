@@ -496,6 +496,18 @@ def test_linking_against_all_pairs(spark):
     assert all((299 + d, 3, 319 + d) in want[d] for d in range(20))
 
 
+def test_names_inside_longer_ones(spark):
+    key = "wJalrXUtnFEMI0K7MDENG0bPxRfiCYEXAMPLEKEY00"[:40]
+    docs = ["DB_USER=bob DB_PWD=abcd DB_HOST=db.example.com", f"aws_access_key_id=abc123 aws_secret_access_key={key}", "MY_SECRET=abcd\nMY_USER=bob",
+            "x-user-name: bob\nPASSWORD_2: abcd", f"user=bob sk={key}", "user-agent: bot/1 token_type=none", "superuser=bob bypass=abcd",
+            "mail_server_1=mail.example.com LOGIN_PROD=bob PASS_PROD=abcd", "DB_USER=bob", "DB_HOST=db.example.com DB_USER=bob", "secretAccessKey=abcd user=bob"]
+    got = rows_by_id(secrets.digests(frame(spark, docs)))
+    values = [sorted(docs[d][int(a):int(b)] for s in got[d]["spans"].split(",") if s for _, a, b in [s.split(":")]) for d in range(len(docs))]
+    assert values == [["HOST=db.example.com", "PWD=abcd", "USER=bob"], ["access_key_id=abc123", f"secret_access_key={key}"], ["SECRET=abcd", "USER=bob"],
+                      ["PASSWORD_2: abcd", "user-name: bob"], ["user=bob", key], [], [], ["LOGIN_PROD=bob", "PASS_PROD=abcd", "server_1=mail.example.com"],
+                      [], [], ["secretAccessKey=abcd", "user=bob"]]
+
+
 def base_pii(t):
     def luhn(d):
         v = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))]
