@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctrltok.llm import bpe, decontam, langid, line_dedup, pii, secrets, simhash, sketch, suffix_dedup, toxicity
+from ctrltok.llm import (bpe, decontam, langid, licenses, line_dedup, periodic, pii, prefix_trie, secrets, simhash, sketch,
+                         suffix_dedup, toxicity)
 from ctrltok.sources.tables import table
 
 
@@ -59,6 +60,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), edited=True)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -70,4 +83,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_secrets": op6_secrets,
     "op10_personal_data": op10_personal_data,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_licenses": op12_licenses,
+    "op13_prefix_trie": op13_prefix_trie,
 }
