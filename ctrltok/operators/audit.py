@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctrltok.functions import subword as SW
 from ctrltok.functions import text as T
 from ctrltok.functions import tokens as K
 
@@ -34,18 +35,23 @@ def bad_split_counts(lines: DataFrame, expected: DataFrame, file: str = "file")
 
 
 def roundtrip(df: DataFrame, original: str, processed: str, has_prefix: bool, pieces: bool = False,
-              tokenizer=None) -> DataFrame:
+              tokenizer=None, segmenter: SW.Segmenter | None = None) -> DataFrame:
     """Compare an original line with its tokenised (and possibly prefixed)
     version.  ``decoded_original`` = decode(encode(original)); ``decoded`` =
     decode(processed line without its control tokens).  With ``pieces`` the
     processed line holds sub-word pieces (decoded by joining them and turning
-    piece markers into spaces); otherwise it holds space-separated word tokens.
+    piece markers into spaces); with a ``segmenter`` the original is encoded and decoded by its table, so that unknown
+    characters become the unknown sign, and so is the stored line unless ``pieces`` says that its pieces are joined as they
+    stand; otherwise it holds space-separated word tokens.
     Both comparisons split on a single space: ``same_cleaned`` (the two
     decodings agree) and ``same_raw`` (the stripped original agrees with the
     decoding)."""
     body = K.strip_prefix(processed) if has_prefix else F.col(processed)
     orig = T.strip(original)
-    if pieces:
+    if segmenter is not None:
+        decode, stored = SW.decoder(segmenter), T.split_words(T.strip(body))
+        dec_orig, dec = decode(SW.tokenizer(segmenter)(orig)), T.detokenize(stored) if pieces else decode(stored)
+    elif pieces:
         dec_orig, dec = T.detokenize(T.to_pieces(orig)), T.detokenize(T.split_words(T.strip(body)))
     else:
         dec_orig, dec = F.array_join((tokenizer or T.tokenize)(orig), " "), T.strip(body)
