@@ -16,9 +16,8 @@
   token, recall the other way round, F1.
 
 Tokens are the library tokeniser's tokens of the lower-cased text.
-N-gram statistics are exploded rows aggregated per (pair, n, gram); the rows
-are hash-partitioned by ``pair_id`` once so every later aggregation over keys
-that start with ``pair_id`` runs without another shuffle.
+N-grams are counted inside the row (:mod:`ctrltok.functions.ngrams`): only sums leave a sentence, and nothing is shuffled but
+the partial sums of corpus scores.
 """
 
 from __future__ import annotations
@@ -32,7 +31,9 @@ from ctrltok.udfs import by_value
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ctrltok.functions import text as T
-from ctrltok.operators.features import by_pair
+from ctrltok.functions.ngrams import gram_sums
+from ctrltok.operators.numbering import global_index
+from ctrltok.session import materialize
 
 MAX_N = 4
 # Fixed value of the syllable heuristic: the vowel letters (lower case) whose
@@ -47,31 +48,6 @@ def metric_tokens(c) -> Column:
     return T.tokenize(F.lower(F.col(c) if isinstance(c, str) else c))
 
 
-def ngrams(tokens, n: int) -> Column:
-    """Contiguous n-grams of a token array, tokens joined by one space (built
-    from element lookups; unigrams are the tokens themselves)."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    if n == 1:
-        return tokens
-    idx = F.sequence(F.lit(0), F.size(tokens) - F.lit(n))
-    grams = F.transform(idx, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
-def ngram_rows(df: DataFrame, roles: dict[str, str], key: str = "pair_id", max_n: int = MAX_N,
-               sentinel: bool = False) -> DataFrame:
-    """``(key, role, n, gram)`` for every n-gram of every role's token array;
-    ``role`` is the position of the role in ``roles`` (a small int).  With
-    ``sentinel`` every row also emits one ``(role -1, n 0, '')`` row, so a key
-    with no n-grams at all still reaches a per-key aggregation."""
-    structs = [F.struct(F.lit(k).alias("role"), F.lit(n).alias("n"), ngrams(c, n).alias("grams"))
-               for k, c in enumerate(roles.values()) for n in range(1, max_n + 1)]
-    if sentinel:
-        structs.append(F.struct(F.lit(-1).alias("role"), F.lit(0).alias("n"), F.array(F.lit("")).alias("grams")))
-    per = df.select(key, F.inline(F.array(*structs)))
-    return per.select(key, "role", "n", F.explode("grams").alias("gram"))
-
-
 def drop_every(tokens, k: int = 4) -> Column:
     """Tokens without every k-th one (positions k-1, 2k-1, ...): a deterministic
     'simplified' system output for tests."""
@@ -83,19 +59,16 @@ def drop_every(tokens, k: int = 4) -> Column:
 # BLEU
 # ---------------------------------------------------------------------------
 
+def _bleu_measures(h, r):
+    return np.minimum(h, r), h, r
+
+
 def bleu(df: DataFrame, hyp: str = "hyp_tokens", ref: str = "ref_tokens", key: str = "pair_id") -> DataFrame:
-    """One row: ``bleu``, ``bp``, ``p1..p4``, ``hyp_len``, ``ref_len``.  Sentences
-    are partitioned by key first, so n-grams are counted where they are made and
-    only the per-order sums reach the final (single-row) aggregate."""
-    rows = ngram_rows(by_pair(df.select(key, hyp, ref), key), {"h": hyp, "r": ref}, key)
-    counts = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == 0).alias("h"),
-                                               F.count_if(F.col("role") == 1).alias("r"))
-    aggs = []
-    for n in range(1, MAX_N + 1):
-        on = F.col("n") == n
-        aggs += [F.sum(F.when(on, F.least("h", "r"))).alias(f"m{n}"), F.sum(F.when(on, F.col("h"))).alias(f"t{n}")]
-    aggs.append(F.sum(F.when(F.col("n") == 1, F.col("r"))).alias("ref_len"))
-    s = counts.agg(*aggs)
+    """One row: ``bleu``, ``bp``, ``p1..p4``, ``hyp_len``, ``ref_len``.  N-grams are counted inside the row, and only the
+    per-order sums reach the final (single-row, partially aggregated) aggregate."""
+    per = gram_sums(df, key, [hyp, ref], _bleu_measures, ["m", "t", "r"], MAX_N)
+    aggs = [F.sum(f"{x}{n}").cast("long").alias(f"{x}{n}") for n in range(1, MAX_N + 1) for x in ("m", "t")]
+    s = per.agg(*aggs, F.sum("r1").cast("long").alias("ref_len"))
     for n in range(1, MAX_N + 1):
         s = s.withColumn(f"m{n}", F.coalesce(f"m{n}", F.lit(0))).withColumn(f"t{n}", F.coalesce(f"t{n}", F.lit(0)))
     s = s.withColumn("hyp_len", F.col("t1")).withColumn("ref_len", F.coalesce("ref_len", F.lit(0)))
@@ -129,61 +102,49 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+SARI_SUMS = ("keep_hit", "keep_sys", "keep_found", "keep_ref", "del_hit", "del_sys", "add_hit", "add_sys", "add_ref")
+
+
+def _sari_measures(s, c, r):
+    """The sums and counts behind the SARI ratios, from a gram's counts in source, system output and reference."""
+    k, kg, ka = np.minimum(s, c), np.minimum(np.minimum(s, c), r), np.minimum(s, r)
+    d, dg = np.maximum(s - c, 0), np.maximum(s - c - r, 0)
+    part = lambda x, of: x / np.maximum(of, 1)  # noqa: E731  0 where of is 0, since x <= of
+    added = (c > 0) & (s == 0)
+    return part(kg, k), k > 0, part(kg, ka), ka > 0, part(dg, d), d > 0, added & (r > 0), added, (r > 0) & (s == 0)
+
+
 def _sari_sums(df: DataFrame, src: str, hyp: str, ref: str, key: str) -> DataFrame:
-    """Per sentence and order, the sums and counts behind the SARI ratios (order 0: one row per sentence)."""
-    keyed = by_pair(df.select(key, src, hyp, ref), key)
-    # the sentinel row keeps sentences without any n-gram in the output (score 0)
-    # without joining the scores back to the sentence list
-    rows = ngram_rows(keyed, {"s": src, "c": hyp, "r": ref}, key, sentinel=True)
-    g = rows.groupBy(key, "n", "gram").agg(F.count_if(F.col("role") == 0).alias("s"),
-                                           F.count_if(F.col("role") == 1).alias("c"),
-                                           F.count_if(F.col("role") == 2).alias("r"))
-    s, c, r = F.col("s"), F.col("c"), F.col("r")
-    g = (g.withColumn("k", F.least(s, c)).withColumn("kg", F.least(s, c, r)).withColumn("ka", F.least(s, r))
-          .withColumn("d", F.greatest(s - c, F.lit(0))).withColumn("dg", F.greatest(s - c - r, F.lit(0)))
-          .withColumn("a", (c > 0) & (s == 0)).withColumn("ag", (c > 0) & (s == 0) & (r > 0))
-          .withColumn("aall", (r > 0) & (s == 0)))
-
-    def total(c):
-        return F.coalesce(F.sum(c), F.lit(0.0))
-
-    return g.groupBy(key, "n").agg(
-        total(F.when(F.col("k") > 0, F.col("kg") / F.col("k"))).alias("keep_hit"), F.count_if(F.col("k") > 0).alias("keep_sys"),
-        total(F.when(F.col("ka") > 0, F.col("kg") / F.col("ka"))).alias("keep_found"), F.count_if(F.col("ka") > 0).alias("keep_ref"),
-        total(F.when(F.col("d") > 0, F.col("dg") / F.col("d"))).alias("del_hit"), F.count_if(F.col("d") > 0).alias("del_sys"),
-        F.count_if("ag").alias("add_hit"), F.count_if("a").alias("add_sys"), F.count_if("aall").alias("add_ref"))
+    """One row per sentence with the sums of every order (columns ``<sum><n>``)."""
+    return gram_sums(df, key, [src, hyp, ref], _sari_measures, list(SARI_SUMS), MAX_N)
 
 
-SARI_SUMS = ("keep_hit", "keep_sys", "keep_found", "keep_ref", "del_hit", "del_sys", "add_hit", "add_sys", "add_ref")
+def _sari_scores(sums: DataFrame, keep: list[str]) -> DataFrame:
+    """Operation scores (0-100) from the sums of a row, by column arithmetic."""
+    def mean(of_order) -> Column:
+        return F.lit(100.0) * sum((of_order(n) for n in range(1, MAX_N + 1)), F.lit(0.0)) / F.lit(float(MAX_N))
 
+    def ratio(num, den):
+        return lambda n: _ratio(F.col(f"{num}{n}"), F.col(f"{den}{n}"))
 
-def _sari_scores(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Operation scores (0-100) from sums per ``(*keys, n)``; order 0 only keeps its key."""
-    c = F.col
-    per_n = sums.select(
-        *keys, "n", _f1(_ratio(c("keep_hit"), c("keep_sys")), _ratio(c("keep_found"), c("keep_ref"))).alias("keep"),
-        _ratio(c("del_hit"), c("del_sys")).alias("deletion"),
-        _f1(_ratio(c("add_hit"), c("add_sys")), _ratio(c("add_hit"), c("add_ref"))).alias("addition"))
-    ops = ("keep", "deletion", "addition")
-    mean = [(F.lit(100.0) * F.sum(F.when(c("n") > 0, c(o)).otherwise(F.lit(0.0))) / F.lit(float(MAX_N))).alias(o) for o in ops]
-    return per_n.groupBy(*keys).agg(*mean).withColumn("sari", (c("keep") + c("deletion") + c("addition")) / F.lit(3.0))
+    kp, kr, ap, ar = ratio("keep_hit", "keep_sys"), ratio("keep_found", "keep_ref"), ratio("add_hit", "add_sys"), ratio("add_hit", "add_ref")
+    out = sums.select(*keep, mean(lambda n: _f1(kp(n), kr(n))).alias("keep"), mean(ratio("del_hit", "del_sys")).alias("deletion"),
+                      mean(lambda n: _f1(ap(n), ar(n))).alias("addition"))
+    return out.withColumn("sari", (F.col("keep") + F.col("deletion") + F.col("addition")) / F.lit(3.0))
 
 
 def sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: str = "ref_tokens",
          key: str = "pair_id") -> DataFrame:
-    """Per sentence ``(key, keep, deletion, addition, sari)``, all on a 0-100 scale."""
+    """Per sentence ``(key, keep, deletion, addition, sari)``, all on a 0-100 scale; nothing is shuffled."""
     return _sari_scores(_sari_sums(df, src, hyp, ref, key), [key])
 
 
 def corpus_sari(df: DataFrame, src: str = "src_tokens", hyp: str = "hyp_tokens", ref: str = "ref_tokens",
                 key: str = "pair_id") -> DataFrame:
     """One row ``(n_sentences, sari, keep, deletion, addition)`` from sums over all sentences."""
-    pooled = _sari_sums(df, src, hyp, ref, key).groupBy("n").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(x) for x in SARI_SUMS])
-    n = F.coalesce(F.max(F.when(F.col("n") == 0, F.col("rows"))), F.lit(0)).alias("n_sentences")
-    scores, count = _sari_scores(pooled.withColumn("_all", F.lit(1)), ["_all"]), pooled.agg(n)
-    # two single rows: the join has one row on either side
-    return scores.join(count.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    names = [f"{x}{n}" for n in range(1, MAX_N + 1) for x in SARI_SUMS]
+    pooled = _sari_sums(df, src, hyp, ref, key).agg(F.count(F.lit(1)).alias("n_sentences"), *[F.sum(x).alias(x) for x in names])
+    return _sari_scores(pooled, ["n_sentences"])
 
 
 def mean_sari(per_sentence: DataFrame) -> DataFrame:
@@ -232,28 +193,65 @@ def _unit(rows) -> np.ndarray:
         return np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
 
 
+def _weighted(best: np.ndarray, weights) -> float:
+    w = np.asarray(weights, np.float64)
+    total = w.sum()
+    return float((best * w).sum() / total) if total else 0.0
+
+
 @F.pandas_udf(_MATCH_OUT)
-def _greedy(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
+def _greedy(cand: pd.Series, ref: pd.Series, cweights: pd.Series, rweights: pd.Series) -> pd.DataFrame:
     out = []
-    for a, b in zip(cand, ref):
+    for a, b, v, w in zip(cand, ref, cweights, rweights):
         sims = _unit(a) @ _unit(b).T
-        out.append((sims.max(axis=1).mean(), sims.max(axis=0).mean()))
+        out.append((_weighted(sims.max(axis=1), v), _weighted(sims.max(axis=0), w)))
     return pd.DataFrame(out, columns=["precision", "recall"])
 
 
-def embedding_match(vectors: DataFrame, sentence_pairs: DataFrame) -> DataFrame:
+def token_weights(vectors: DataFrame, token: str = "token") -> DataFrame:
+    """``(token, weight)``: inverse document frequency ``ln((n + 1) / (df + 1))`` over the sentences of ``vectors``.  Tokens of a
+    sentence are made distinct before they are counted, both aggregations partial before their shuffle."""
+    seen = vectors.select("sent", token).distinct()
+    n = vectors.select("sent").distinct().agg(F.count("*").alias("_n"))                       # one row
+    df = seen.groupBy(token).agg(F.count("*").alias("_df"))
+    return df.crossJoin(F.broadcast(n)).select(token, F.ln((F.col("_n") + 1.0) / (F.col("_df") + 1.0)).alias("weight"))
+
+
+def unrelated_pairs(sentences: DataFrame, order: list) -> DataFrame:
+    """``(cand, ref)``: every sentence of ``sentences (sent, ..)`` with the next one in ``order`` (hashes of the sentence, with a
+    unique column last), the last with the first.  Linear in the sentences, and the same whatever the partitioning."""
+    ranked = materialize(global_index(sentences, order, out="_i").select("sent", "_i"), "hash_order")
+    n = ranked.agg(F.count("*").alias("_n"))                                                  # one row
+    after = ranked.crossJoin(F.broadcast(n)).select(F.col("sent").alias("cand"), ((F.col("_i") + 1) % F.col("_n")).alias("_i"))
+    return after.join(ranked.withColumnRenamed("sent", "ref"), "_i").select("cand", "ref")
+
+
+def match_baseline(matched: DataFrame) -> DataFrame:
+    """One row: mean precision, recall and F1 of the matches of unrelated pairs."""
+    return matched.agg(*[F.avg(c).alias(f"base_{c}") for c in ("precision", "recall", "f1")])
+
+
+def rescaled(matched: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Scores moved so that the baseline is 0 and a perfect match 1: ``(x - b) / (1 - b)``; a baseline of 1 gives NULL."""
+    x = matched.crossJoin(F.broadcast(baseline))                                              # one row
+    return x.withColumns({c: F.try_divide(F.col(c) - F.col(f"base_{c}"), 1.0 - F.col(f"base_{c}")) for c in ("precision", "recall", "f1")}) \
+            .drop(*[f"base_{c}" for c in ("precision", "recall", "f1")])
+
+
+def embedding_match(vectors: DataFrame, sentence_pairs: DataFrame, weights: DataFrame | None = None, token: str = "token") -> DataFrame:
     """Greedy cosine match between the token vectors of candidate and reference
-    sentences.  ``vectors``: ``(sent, vec_id, embedding)``; ``sentence_pairs``: ``(cand, ref)``.
+    sentences.  ``vectors``: ``(sent, vec_id, embedding)``; ``sentence_pairs``: ``(cand, ref)``.  With ``weights``
+    (:func:`token_weights`; the vectors then have the ``token`` column) the means are weighted; a sentence whose
+    weights are all 0 scores 0.
 
     A sentence has a bounded number of tokens, so its vectors form one array; each pair is
     an equi-join of two arrays and one matrix product.  Vectors are shuffled once to build the arrays and once to
     meet the other side."""
-    arrays = vectors.groupBy("sent").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda v: v["embedding"]).alias("vecs"))
-    c = arrays.select(F.col("sent").alias("cand"), F.col("vecs").alias("cvecs"))
-    r = arrays.select(F.col("sent").alias("ref"), F.col("vecs").alias("rvecs"))
-    j = sentence_pairs.select("cand", "ref").join(c, "cand").join(r, "ref")
-    out = j.select("cand", "ref", _greedy("cvecs", "rvecs").alias("m")).select("cand", "ref", "m.precision", "m.recall")
+    weighted = vectors.withColumn("weight", F.lit(1.0)) if weights is None else vectors.join(weights, token)
+    arrays = weighted.groupBy("sent").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "weight"))).alias("vecs"))
+    side = lambda a, b: arrays.select(F.col("sent").alias(a), F.col("vecs.embedding").alias(f"{b}vecs"), F.col("vecs.weight").alias(f"{b}w"))
+    j = sentence_pairs.select("cand", "ref").join(side("cand", "c"), "cand").join(side("ref", "r"), "ref")
+    out = j.select("cand", "ref", _greedy("cvecs", "rvecs", "cw", "rw").alias("m")).select("cand", "ref", "m.precision", "m.recall")
     return out.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
 
