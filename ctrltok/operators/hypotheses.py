@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctrltok.operators.gaps import expand, missing_intervals
+
 # Fixed value: a hypothesis line is "H-", the sample id, a tab, a signed decimal
 # score, a tab, then the text (everything else in the log is ignored).
 HYP_PATTERN = r"(?s)\AH-([0-9]+)\t(-?[0-9]+\.[0-9]+)\t(.*)\z"
@@ -37,17 +39,9 @@ def best_hypotheses(hyps: DataFrame) -> DataFrame:
                                          F.min_by("score", "log_no").alias("score"))
 
 
-ID_BLOCK = 4096
-
-
 def missing_samples(hyps: DataFrame) -> DataFrame:
-    """Sample ids in ``0 .. max`` that have no hypothesis (reported, not invented), by id.  No job runs here:
-    the id range is made in blocks from the maximum and spread before the blocks are opened."""
-    top = hyps.agg(F.max("sample_id").cast("long").alias("hi")).filter("hi >= 0")
-    blocks = top.select("hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("hi") / ID_BLOCK))).alias("b"))
-    ids = blocks.repartition("b").select(F.explode(F.sequence(
-        F.col("b") * ID_BLOCK, F.least(F.col("b") * ID_BLOCK + (ID_BLOCK - 1), F.col("hi")))).alias("sample_id"))
-    return ids.join(hyps.select(F.col("sample_id").cast("long").alias("sample_id")), "sample_id", "left_anti").orderBy("sample_id")
+    """Sample ids in ``0 .. max`` that have no hypothesis (reported, not invented), by id."""
+    return expand(missing_intervals(hyps, "sample_id")).orderBy("sample_id")
 
 
 def read_hypotheses(spark, path: str) -> DataFrame:

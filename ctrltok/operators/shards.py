@@ -8,12 +8,18 @@ at 1 when ``skip > 0``, so a resumed run never reuses id 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ctrltok.operators.numbering import global_index
+from ctrltok.sources.lines import read_shards
+
 
-def assign_shards(lines: DataFrame, lines_per_shard: int, skip: int = 0, split: str = "train",
+def assign_shards(lines: DataFrame, lines_per_shard: int, skip: int = 0, split: str | None = "train",
                   line_no: str = "line_no") -> DataFrame:
+    """Adds ``split`` (the given one, or the column of that name where ``split`` is None), ``shard`` and ``shard_name``."""
     if lines_per_shard <= 0:
         raise ValueError("lines_per_shard must be positive")
     if skip < 0:
@@ -21,9 +27,9 @@ def assign_shards(lines: DataFrame, lines_per_shard: int, skip: int = 0, split:
     base = 1 if skip > 0 else 0
     shard = F.floor((F.col(line_no) - F.lit(skip)) / F.lit(lines_per_shard)).cast("long") + F.lit(base)
     return (lines.where(F.col(line_no) >= skip)
-                 .withColumn("split", F.lit(split))
+                 .withColumn("split", F.col("split") if split is None else F.lit(split))
                  .withColumn("shard", shard)
-                 .withColumn("shard_name", F.concat(F.lit(f"{split}_"), F.col("shard").cast("string"))))
+                 .withColumn("shard_name", F.concat("split", F.lit("_"), F.col("shard").cast("string"))))
 
 
 def merge_shards(sharded: DataFrame, order: DataFrame | None, keys: tuple[str, ...] = (), line: str = "line") -> DataFrame:
@@ -43,3 +49,10 @@ def merge_shards(sharded: DataFrame, order: DataFrame | None, keys: tuple[str, .
     inside = Window.partitionBy(*ks, "shard", "pos").orderBy("line_no")
     numbered = kept.withColumn("_row", F.row_number().over(inside)).join(first, [*ks, "shard", "pos"])
     return numbered.withColumn("merged_line_no", (F.col("_first") + F.col("_row") - 1).cast("long")).drop("_first", "_row")
+
+
+def merge_shard_files(spark: SparkSession, folder: str, split: str, shards: Sequence[int], end: str) -> DataFrame:
+    """``(merged_line_no, shard, line)``: the listed shard files one after the other without their empty lines, numbered
+    from 0.  Only the listed files are read; the numbering is one range sort by (place in the list, line)."""
+    kept = read_shards(spark, folder, split, shards, end).where(F.col("line") != "")
+    return global_index(kept, ["pos", "line_no"], out="merged_line_no").select("merged_line_no", "shard", "line")

@@ -21,11 +21,11 @@ from ctrltok.functions import text as T
 PART_FILE = r"/part-[^/]*$"
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], n_lines: int | None = None) -> DataFrame:
-    """``(file, line_no, value)`` for text files; only the newline is dropped.
+def read_lines(spark: SparkSession, paths: str | Sequence[str], n_lines: int | None = None, separator: str | None = None) -> DataFrame:
+    """``(file, line_no, value)`` for text files; only the newline (or another ``separator``) is dropped.
     ``n_lines`` keeps the first n lines of every file (a deterministic head).  A folder written
     as part files in line order (``train.src/part-*``) is one file."""
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep=separator)
     tagged = raw.select(
         F.regexp_replace("_metadata.file_path", PART_FILE, "").alias("file"), F.col("_metadata.file_path").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -68,13 +68,12 @@ def pair_lines(src: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("unit",),
     return j
 
 
-def pair_tsv(pairs: DataFrame, sort_by_length: bool = True) -> DataFrame:
-    """``source \\t target`` lines; optionally ordered by the number of
-    single-space-separated source words (stable: ties keep line order), unit by unit when there is a ``unit``."""
-    out = pairs.withColumn("n_words", F.size(T.split_words("source")).cast("long")) \
-               .withColumn("tsv", F.concat_ws("\t", "source", "target"))
-    order = [c for c in ("unit", "n_words", "line_no") if c in out.columns and (sort_by_length or c != "n_words")]
-    return out.orderBy(*order)
+def pair_tsv(pairs: DataFrame) -> DataFrame:
+    """``source \\t target`` lines with ``n_words``, the number of single-space-separated source words.  Nothing is
+    sorted here: :func:`ctrltok.sources.sinks.write_pair_tsv` writes them in line order or by (n_words, line_no), which is the
+    stable length order, and a numbering takes the same columns."""
+    return pairs.withColumn("n_words", F.size(T.split_words("source")).cast("long")) \
+                .withColumn("tsv", F.concat_ws("\t", "source", "target"))
 
 
 def read_pairs(spark: SparkSession, src_path: str, tgt_path: str, strip: bool = True, strict: bool = True,
@@ -101,6 +100,19 @@ def split_name(file_col) -> F.Column:
     return out
 
 
+def read_shards(spark: SparkSession, folder: str, split: str, shards: Sequence[int], end: str) -> DataFrame:
+    """``(shard, pos, line_no, line)`` of the listed shard files ``<split>_<shard>.<end>``; ``pos`` is the shard's place in the
+    list.  Only the listed files are opened."""
+    base = folder.rstrip("/")
+    names = [f"{split}_{s}.{end}" for s in shards]
+    lines = read_lines(spark, [f"{base}/{n}" for n in names])
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    # the list is an argument of the call, so its array is a literal
+    pos = F.array_position(F.array(*[F.lit(n) for n in names]), name) - 1
+    return lines.select(F.element_at(F.array(*[F.lit(int(s)) for s in shards]), (pos + 1).cast("int")).cast("long").alias("shard"),
+                        pos.cast("long").alias("pos"), "line_no", F.col("value").alias("line"))
+
+
 def read_corpus(spark: SparkSession, folder: str, lang: str = "en", strip: bool = True,
                 strict: bool = True) -> DataFrame:
     """Every ``<split>.src`` / ``<split>.tgt`` pair of a corpus folder as one pair
