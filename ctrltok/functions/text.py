@@ -151,6 +151,13 @@ def admitted(token, lang) -> Column:
     return ~is_punct(token) & ~is_number(token) & ~is_stop(token, lang)
 
 
+def admitted_tokens(tokens: str, lang: str) -> Column:
+    """The admitted tokens of an array column, as one SQL expression (as :func:`is_stop`)."""
+    number = _sql_string(NUMBER_PATTERN)
+    return F.expr(f"filter(`{tokens}`, t -> NOT contains({_sql_string(PUNCTUATION)}, t) AND NOT t RLIKE {number} AND NOT "
+                  f"(CASE WHEN lower(`{lang}`) = 'de' THEN t IN ({_stop_list_sql('german')}) ELSE t IN ({_stop_list_sql('english')}) END))")
+
+
 def split_words(c) -> Column:
     """``str.split(' ')`` semantics: split on single spaces, keep empty fields."""
     return F.split(_col(c), " ", -1)

@@ -7,6 +7,10 @@ statistic needs a rank lookup, so tokens are exploded, joined to the rank
 table and aggregated back per pair; the pairs are hash-partitioned by
 ``pair_id`` once, up front, so that the explode, the (AQE-broadcast) rank join,
 the per-pair aggregation and the join back all reuse that one partitioning.
+
+Two other ways give the same statistic: a rank dictionary of checked size
+(:mod:`ctrltok.functions.rankstat`) computes it inside the row, without explode, join or aggregation (the
+way of streams), and :func:`frequency_stats_by_text` computes it once per distinct text.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from ctrltok.functions import bins as B
 from ctrltok.functions import depth as D
 from ctrltok.functions import edit as E
+from ctrltok.functions import rankstat as RS
 from ctrltok.functions import text as T
 from ctrltok.session import materialize
 
@@ -144,18 +149,58 @@ def frequency_stats(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75,
     return out.drop("vocab", *[f"q_{s}" for s in sides])
 
 
+def row_frequency_stats(pairs: DataFrame, ranks: RS.RankDictionary, quantile: float = 0.75, sides: Iterable[str] = SIDES,
+                        tokenizer: Tokenizer | None = None) -> DataFrame:
+    """:func:`frequency_stats` by projection only: nothing is exploded, joined or shuffled, and streams may use it."""
+    sides, statistic = list(sides), RS.rank_quantile(ranks, quantile)
+    df = pairs.withColumns({f"_toks_{s}": tokens_of(pairs, s, tokenizer) for s in sides})
+    df = df.withColumns({f"freq_{s}": statistic(T.admitted_tokens(f"_toks_{s}", "lang"), F.col("lang")) for s in sides})
+    return df.drop(*[f"_toks_{s}" for s in sides])
+
+
+TEXT_KEY = ["lang", "_t1", "_t2"]
+
+
+def text_key(text) -> list[Column]:
+    """128 bits of a text's hash as two columns ``_t1``, ``_t2``."""
+    return [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
+
+
+def distinct_texts(pairs: DataFrame, sides: Iterable[str] = SIDES) -> DataFrame:
+    """``(lang, _t1, _t2, text)``: every distinct text of the given sides once (partially aggregated before the shuffle)."""
+    texts = pairs.select("lang", F.explode(F.array(*[F.col(s) for s in sides])).alias("text")).where("text is not null")
+    return texts.select("lang", *text_key(F.col("text")), "text").groupBy(*TEXT_KEY).agg(F.first("text").alias("text"))
+
+
+def frequency_stats_by_text(pairs: DataFrame, ranks: DataFrame, quantile: float = 0.75, sides: Iterable[str] = SIDES,
+                            tokenizer: Tokenizer | None = None) -> DataFrame:
+    """:func:`frequency_stats` with every distinct (language, text) tokenised, exploded and aggregated once, whatever
+    the number of pairs and sides it stands in; the statistic is joined back by the text's hash."""
+    sides = list(sides)
+    words = distinct_texts(pairs, sides).select(*TEXT_KEY, F.explode(_tok(tokenizer, "text")).alias("word"))
+    stats = log_ranks(words, ranks).groupBy(*TEXT_KEY).agg(F.percentile("lr", quantile).alias("_q"))
+    oov = F.ln(F.col("vocab").cast("double") + 1.0)
+    out = pairs.join(F.broadcast(vocab_sizes(ranks)), "lang", "left")
+    for s in sides:
+        keyed = out.select("*", *text_key(F.col(s)))
+        out = keyed.join(stats, TEXT_KEY, "left").withColumn(f"freq_{s}", F.coalesce("_q", oov)).drop("_t1", "_t2", "_q")
+    return out.drop("vocab")
+
+
 def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """Hash-partition pairs by ``pair_id`` once so downstream per-pair aggregations and joins do not shuffle
     again.  The number of partitions is the session's; AQE coalesces by measured size."""
     return pairs.repartition(key)
 
 
-def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, out: str = "exact_frequency",
+def with_frequency(pairs: DataFrame, ranks: DataFrame | RS.RankDictionary, absolute: bool = False, out: str = "exact_frequency",
                    tokenizer: Tokenizer | None = None) -> DataFrame:
+    """The frequency ratio (or the target's statistic); a rank dictionary makes it a projection."""
+    stats = row_frequency_stats if isinstance(ranks, RS.RankDictionary) else frequency_stats
     if absolute:
-        st = frequency_stats(pairs, ranks, sides=["target"], tokenizer=tokenizer)
+        st = stats(pairs, ranks, sides=["target"], tokenizer=tokenizer)
         return st.withColumn(out, F.col("freq_target")).drop("freq_target")
-    st = frequency_stats(pairs, ranks, tokenizer=tokenizer)
+    st = stats(pairs, ranks, tokenizer=tokenizer)
     return (st.withColumn(out, F.try_divide(F.col("freq_target"), F.col("freq_source")))
               .drop("freq_source", "freq_target"))
 
@@ -164,13 +209,14 @@ def with_frequency(pairs: DataFrame, ranks: DataFrame, absolute: bool = False, o
 # Bundle
 # ---------------------------------------------------------------------------
 
-def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
+def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | RS.RankDictionary | None = None,
                    binned: bool = True, tokenizer: Tokenizer | None = None,
                    parse: Parse | DataFrame | str | None = None, partitioned: bool = False) -> DataFrame:
     """Add ``exact_<feature>`` (and ``bin_<feature>``, ``bin_idx_<feature>``) for the
     requested features only; unrequested branches never enter the plan.  ``dependency`` needs a
     ``parse`` (see :func:`depth_columns`).  ``partitioned``: the pairs are already hash-partitioned by
-    ``pair_id`` (a bucketed table), so the frequency feature does not shuffle them."""
+    ``pair_id`` (a bucketed table), so the frequency feature does not shuffle them; with a rank dictionary it
+    never does."""
     fs = sorted(set(features))
     unknown = set(fs) - set(B.FEATURES)
     if unknown:
@@ -180,7 +226,8 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     if "frequency" in fs:
         if ranks is None:
             raise ValueError("the frequency feature needs a rank table")
-        df = with_frequency(df if partitioned else by_pair(df), ranks, tokenizer=tokenizer)
+        local_ranks = partitioned or isinstance(ranks, RS.RankDictionary)
+        df = with_frequency(df if local_ranks else by_pair(df), ranks, tokenizer=tokenizer)
     local = {}
     if "dependency" in fs:
         df, ds, dt = depth_columns(df, parse)

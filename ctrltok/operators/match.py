@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ctrltok.functions import bins as B
 from ctrltok.functions import tokens as K
-from ctrltok.operators.features import Parse, Tokenizer, feature_bundle, prepare_pairs
+from ctrltok.operators.features import Parse, Tokenizer, feature_bundle
 
 
 def realised_vs_requested(rows: DataFrame, features: Iterable[str], ranks: DataFrame | None = None,
@@ -29,8 +29,6 @@ def realised_vs_requested(rows: DataFrame, features: Iterable[str], ranks: DataF
     lang = F.col("lang") if "lang" in rows.columns else F.lit("en")
     parsed = rows.select("pair_id", lang.alias("lang"), K.parse_tokens(line).alias("requested_map"),
                          K.strip_prefix(line).alias("source"), F.col(output).alias("target"))
-    if "frequency" in fs:
-        parsed = prepare_pairs(parsed, tokenizer)
     feats = feature_bundle(parsed, fs, ranks=ranks, binned=True, tokenizer=tokenizer, parse=parse)
     realised_of = F.lit(None).cast("double")
     for f in fs:

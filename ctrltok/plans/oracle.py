@@ -214,6 +214,9 @@ WITH {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}
 SELECT pair_id, round(freq_source, 6) AS freq_source, round(freq_target, 6) AS freq_target FROM freq
 """)
 
+for _same in ("freq_row", "freq_reuse"):
+    oracle(_same, ORACLE["freq_stat"])
+
 oracle("freq_ratio", f"""
 WITH {S.pairs_cte()}, {S.ranks_cte()}, {S.freq_cte()}
 SELECT pair_id, round(freq_target / freq_source, 6) AS freq_ratio FROM freq
@@ -601,6 +604,37 @@ SELECT part::BIGINT AS part, cand::BIGINT AS cand, ref::BIGINT AS ref, round(pre
 FROM pr JOIN rc USING (part, cand, ref)
 """)
 
+_TOKEN = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END" for i in range(4))
+
+
+def _match_sql(name: str, pairs: str) -> str:
+    """Weighted greedy match of ``pairs(cp, cl, rp, rl)`` as ``name(cp, cl, rp, rl, precision, recall, f1)``."""
+    return f"""{name}_s AS (
+  SELECT cp, cl, rp, rl, c.vec_id AS cid, r.vec_id AS rid, c.w AS cw, r.w AS rw, coalesce(list_cosine_similarity(c.e, r.e), 0.0) AS s
+  FROM {pairs} JOIN v c ON c.part = cp AND c.label = cl JOIN v r ON r.part = rp AND r.label = rl
+), {name}_p AS (SELECT cp, cl, rp, rl, coalesce(sum(m * w) / nullif(sum(w), 0), 0) AS precision
+                FROM (SELECT cp, cl, rp, rl, cid, max(s) AS m, any_value(cw) AS w FROM {name}_s GROUP BY ALL) GROUP BY ALL),
+{name}_r AS (SELECT cp, cl, rp, rl, coalesce(sum(m * w) / nullif(sum(w), 0), 0) AS recall
+             FROM (SELECT cp, cl, rp, rl, rid, max(s) AS m, any_value(rw) AS w FROM {name}_s GROUP BY ALL) GROUP BY ALL),
+{name} AS (SELECT *, {_f1('precision', 'recall')} AS f1 FROM {name}_p JOIN {name}_r USING (cp, cl, rp, rl))"""
+
+
+oracle("embed_match_rescaled", f"""
+WITH v0 AS (SELECT vec_id // 200 AS part, label, vec_id, CAST(embedding AS DOUBLE[]) AS e, {_TOKEN} AS token FROM embeddings),
+sents AS (SELECT DISTINCT part, label FROM v0),
+idf AS (SELECT token, ln(((SELECT count(*) FROM sents) + 1.0) / (count(*) + 1.0)) AS w
+        FROM (SELECT DISTINCT part, label, token FROM v0) GROUP BY token),
+v AS (SELECT v0.*, w FROM v0 JOIN idf USING (token)),
+ranked AS (SELECT part, label, row_number() OVER (ORDER BY (part * 7919 + label::BIGINT * 104729) % 1000003, part, label) - 1 AS i FROM sents),
+apart AS (SELECT a.part AS cp, a.label AS cl, b.part AS rp, b.label AS rl FROM ranked a JOIN ranked b ON b.i = (a.i + 1) % (SELECT count(*) FROM ranked)),
+wanted AS (SELECT part AS cp, label AS cl, part AS rp, label + 1 AS rl FROM sents),
+{_match_sql('far', 'apart')}, {_match_sql('near', 'wanted')},
+base AS (SELECT avg(precision) AS bp, avg(recall) AS br, avg(f1) AS bf FROM far)
+SELECT cp::BIGINT AS part, cl::BIGINT AS cand, rl::BIGINT AS ref, round((precision - bp) / (1.0 - bp), 6) AS precision,
+       round((recall - br) / (1.0 - br), 6) AS recall, round((f1 - bf) / (1.0 - bf), 6) AS f1
+FROM near, base
+""")
+
 # ---------------------------------------------------------------------------
 # Audits
 # ---------------------------------------------------------------------------
@@ -615,9 +649,9 @@ filled AS (SELECT file, coalesce(per.zb, 0) AS zb, coalesce(per.ca, 0) AS ca FRO
 SELECT file, GROUPING(file)::INTEGER AS is_total, sum(zb)::BIGINT AS zb, sum(ca)::BIGINT AS ca FROM filled GROUP BY ROLLUP (file)
 """)
 
-_PIECES_OF = _PIECES.replace("(source,", "(txt,")
+_VOCABULARY = S.vocabulary_file()
 
-_ROUNDTRIP = f"""raw_pairs AS (
+_ROUNDTRIP = _VOCABULARY and f"""raw_pairs AS (
   SELECT c.conv_id * 16777216 + c.turn AS pair_id,
          CASE WHEN c.conv_id % 10 = 0 THEN 'test' WHEN c.conv_id % 10 = 1 THEN 'valid' ELSE 'train' END AS file,
          c.text AS source, n.text AS target
@@ -625,29 +659,63 @@ _ROUNDTRIP = f"""raw_pairs AS (
 ), both_sides AS (
   SELECT pair_id, file, 'source' AS side, {S.strip('source')} AS txt FROM raw_pairs
   UNION ALL SELECT pair_id, file, 'target', {S.strip('target')} FROM raw_pairs
-), pc AS (SELECT *, {_PIECES_OF} AS pieces FROM both_sides),
+), {S.segments_cte(_VOCABULARY, 'both_sides')}, {S.encoded_texts_cte('both_sides', 'pair_id, side')},
 rt AS (
-  SELECT pair_id, file, side, txt AS original,
-         ltrim(replace(array_to_string(pieces, ''), {PIECE}, ' ')) AS decoded_original,
-         ltrim(replace(array_to_string(pieces[1:60], ''), {PIECE}, ' ')) AS decoded
-  FROM pc
+  SELECT s.pair_id, s.file, s.side, s.txt AS original, c.decoded AS decoded_original,
+         ltrim(replace(replace(c.spaced, ' ', ''), {PIECE}, ' ')) AS decoded
+  FROM both_sides s JOIN coded c USING (pair_id, side)
 ), rt2 AS (
   SELECT *, string_split(decoded_original, ' ') = string_split(decoded, ' ') AS same_cleaned,
          string_split(original, ' ') = string_split(decoded, ' ') AS same_raw
   FROM rt
 )"""
 
-oracle("roundtrip_counts", f"""
-WITH {_ROUNDTRIP}
-SELECT file, side, count(*) AS n_lines, count(*) FILTER (WHERE NOT same_raw) AS not_matching,
-       count(*) FILTER (WHERE NOT same_cleaned) AS not_matching_cleaned
-FROM rt2 GROUP BY file, side
-""")
-
-oracle("roundtrip_diff", f"""
-WITH {_ROUNDTRIP}
-SELECT file, side, pair_id, same_raw, same_cleaned, original, decoded FROM rt2 WHERE NOT same_raw OR NOT same_cleaned
-""")
+if _VOCABULARY:
+    oracle("roundtrip_counts", f"""
+    WITH RECURSIVE {_ROUNDTRIP}
+    SELECT file, side, count(*) AS n_lines, count(*) FILTER (WHERE NOT same_raw) AS not_matching,
+           count(*) FILTER (WHERE NOT same_cleaned) AS not_matching_cleaned
+    FROM rt2 GROUP BY file, side
+    """)
+
+    oracle("roundtrip_diff", f"""
+    WITH RECURSIVE {_ROUNDTRIP}
+    SELECT file, side, pair_id, same_raw, same_cleaned, original, decoded FROM rt2 WHERE NOT same_raw OR NOT same_cleaned
+    """)
+
+    _SUBWORDS = f"{S.pairs_cte()}, {_SIDES}, {S.segments_cte(_VOCABULARY, 'sides')}, {S.encoded_texts_cte('sides', 'pair_id, side')}"
+
+    oracle("subword_tokens", f"""
+    WITH RECURSIVE {_SUBWORDS}
+    SELECT pair_id, side, n AS n_pieces, spaced AS pieces, decoded FROM coded
+    """)
+
+    oracle("subword_vocabulary", f"""
+    WITH RECURSIVE {_SUBWORDS},
+    toks AS (SELECT CASE WHEN side = 0 THEN 'src' ELSE 'tgt' END AS side, unnest(string_split(spaced, ' ')) AS token FROM coded WHERE n > 0),
+    c AS (SELECT side, token, count(*) AS cnt FROM toks GROUP BY side, token)
+    SELECT side, token, cnt, row_number() OVER (PARTITION BY side ORDER BY cnt DESC, token) AS freq_rank FROM c
+    """)
+
+    oracle("subword_corpus", f"""
+    WITH RECURSIVE {_SUBWORDS},
+    toks AS (SELECT pair_id, side, unnest(string_split(spaced, ' ')) AS word FROM coded WHERE n > 0),
+    ranks AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS rank FROM toks WHERE side = 0 GROUP BY word),
+    vocab AS (SELECT count(*) AS vocab FROM ranks),
+    lr AS (SELECT pair_id, side, ln(coalesce(rank, vocab)::DOUBLE + 1.0) AS lr FROM toks LEFT JOIN ranks USING (word), vocab
+           WHERE {S.admitted('word', "'en'")}),
+    q AS (SELECT pair_id, quantile_cont(lr, 0.75) FILTER (WHERE side = 0) AS qs, quantile_cont(lr, 0.75) FILTER (WHERE side = 1) AS qt
+          FROM lr GROUP BY pair_id),
+    f AS (
+      SELECT p.pair_id, coalesce(qt, ln(vocab::DOUBLE + 1.0)) / coalesce(qs, ln(vocab::DOUBLE + 1.0)) AS exact_frequency,
+             CASE WHEN length(source) = 0 THEN NULL ELSE length(target)::DOUBLE / length(source)::DOUBLE END AS exact_length
+      FROM pairs p LEFT JOIN q USING (pair_id), vocab
+    ), b AS (SELECT *, {S.bin_value('exact_frequency', 'frequency')} AS bin_frequency, {S.bin_value('exact_length', 'length')} AS bin_length FROM f),
+    pre AS (SELECT *, {S.token('frequency', 'bin_frequency')} || {S.token('length', 'bin_length')} AS prefix FROM b)
+    SELECT pair_id, 'frequency_length' AS feature_set, round(exact_frequency, 6) AS exact_frequency, prefix,
+           prefix || s.spaced AS source_line, t.spaced AS target_line
+    FROM pre JOIN (SELECT pair_id, spaced FROM coded WHERE side = 0) s USING (pair_id) JOIN (SELECT pair_id, spaced FROM coded WHERE side = 1) t USING (pair_id)
+    """)
 
 oracle("hyp_group", f"""
 WITH {_HYPS}
@@ -655,28 +723,60 @@ SELECT sample_id, count(*) AS n_hyps, string_agg(text, chr(9) ORDER BY log_no) A
 """)
 
 oracle("missing_ids", """
-WITH ids AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 49)
+WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem)
 SELECT r.id AS sample_id FROM (SELECT unnest(generate_series(0, (SELECT max(id) FROM ids))) AS id) r
 WHERE r.id NOT IN (SELECT id FROM ids)
 """)
 
+oracle("missing_intervals", """
+WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem),
+n AS (SELECT id, lag(id, 1, -1) OVER (ORDER BY id) AS before FROM ids)
+SELECT before + 1 AS first_missing, id - 1 AS last_missing, id - 1 - before AS n_missing FROM n WHERE id > before + 1
+""")
+
 # ---------------------------------------------------------------------------
 # Files written and read back
 # ---------------------------------------------------------------------------
 
+_FLAT = f"""{S.pairs_cte()},
+flat AS (SELECT pair_id, lang, split, row_number() OVER (PARTITION BY split ORDER BY pair_id) - 1 AS line_no,
+                regexp_replace(source, '[\n\r]', ' ', 'g') AS source, regexp_replace(target, '[\n\r]', ' ', 'g') AS target FROM pairs)"""
+
 oracle("read_corpus", f"""
-WITH {S.pairs_cte()},
-flat AS (SELECT pair_id, split, split || '_' || CAST(conv_id % 2 AS VARCHAR) AS stem,
-                {S.strip("regexp_replace(source, '[\\n\\r]', ' ', 'g')")} AS source,
-                {S.strip("regexp_replace(target, '[\\n\\r]', ' ', 'g')")} AS target FROM pairs)
-SELECT split, stem, row_number() OVER (PARTITION BY stem ORDER BY pair_id) - 1 AS line_no, source, target FROM flat
+WITH {_FLAT}
+SELECT split, split || '_' || CAST(line_no % 2 AS VARCHAR) AS stem, line_no // 2 AS line_no, {S.strip('source')} AS source,
+       {S.strip('target')} AS target FROM flat
 """)
 
 oracle("shard_files", f"""
-WITH {_SHARDS}
-SELECT 'train' AS split, shard % 16 AS shard, doc_id, line_no, line FROM sh
+WITH {_FLAT}
+SELECT split, line_no // 25 AS shard, line_no % 25 AS line_no, {S.strip('source')} AS source, {S.strip('target')} AS target FROM flat
+""")
+
+oracle("shard_merge_files", f"""
+WITH {_FLAT}
+SELECT row_number() OVER (ORDER BY line_no // 25 DESC, line_no) - 1 AS merged_line_no, line_no // 25 AS shard, source AS line
+FROM flat WHERE split = 'train' AND source <> ''
 """)
 
+oracle("pair_tsv_file", f"""
+WITH {_FLAT}
+SELECT row_number() OVER (ORDER BY len(string_split(source, ' ')), pair_id) - 1 AS line_no, source || chr(9) || target AS tsv FROM flat
+""")
+
+_LENGTH_LEVEN = f"""
+WITH RECURSIVE {_FLAT}, {S.lcs_cte('flat')},
+f AS (SELECT *, CASE WHEN length(source) = 0 THEN NULL ELSE length(target)::DOUBLE / length(source)::DOUBLE END AS exact_length,
+             lev AS exact_levenshtein FROM flat JOIN lev USING (pair_id)),
+b AS (SELECT *, {S.bin_value('exact_length', 'length')} AS bin_length, {S.bin_value('exact_levenshtein', 'levenshtein')} AS bin_levenshtein FROM f)
+SELECT lang, 'length_levenshtein' AS feature_set, split, line_no,
+       coalesce({S.token('length', 'bin_length')}, '') || coalesce({S.token('levenshtein', 'bin_levenshtein')}, '') || {S.tokenized('source')} AS source_line,
+       {S.tokenized('target')} AS target_line
+FROM b
+"""
+oracle("control_corpus_files", _LENGTH_LEVEN)
+oracle("control_corpus_resumed", _LENGTH_LEVEN)
+
 oracle("rank_saved", f"""
 WITH {S.ranks_cte()}
 SELECT lang, word, rank FROM ranks

@@ -15,23 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctrltok.functions import bins as B
+from ctrltok.functions import rankstat as RS
+from ctrltok.functions import subword as SW
 from ctrltok.functions import text as T
 from ctrltok.functions import tokens as K
 from ctrltok.operators import audit as AU
 from ctrltok.operators import corpus as C
 from ctrltok.operators import experiments as EX
 from ctrltok.operators import features as FE
+from ctrltok.operators import gaps as GA
 from ctrltok.operators import hypotheses as HY
 from ctrltok.operators import match as MA
 from ctrltok.operators import metrics as ME
 from ctrltok.operators import profile as PR
 from ctrltok.operators import ranks as R
+from ctrltok.operators import resume as RE
 from ctrltok.operators import shards as SH
 from ctrltok.operators import tree as TR
 from ctrltok.operators.numbering import global_index
 from ctrltok.plans.testparse import heads_table, parse_text
 from ctrltok.session import checkpoint_dir, materialize
 from ctrltok.sources import lines as L
+from ctrltok.sources import pieces as PI
 from ctrltok.sources import sinks as SK
 from ctrltok.sources import tables as TB
 
@@ -49,25 +54,29 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-_RANK_TABLES: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 
 
-def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank table derived from the documents' token counts.
+def _once(spark: SparkSession, sf_dir: str, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table that several queries read: built once per session for the files of its ``inputs`` (written to the
+    checkpoint folder); other files under the same folder make a new one."""
+    files = [f for t in inputs for f in sorted(TB.table(spark, sf_dir, t).inputFiles())]
+    key = (spark.sparkContext.applicationId, name, *files)
+    if key not in _TABLES:
+        _TABLES[key] = make()
+    return _TABLES[key]
+
 
-    Like a saved rank file, it is built once per session for the files it reads
-    (written to the checkpoint folder) and then read by every query that looks
-    words up; other files under the same folder make a new table."""
-    docs = TB.table(spark, sf_dir, "documents")
-    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
-    if key not in _RANK_TABLES:
-        _RANK_TABLES[key] = R.ranks_from_corpus(docs.select("lang", "text"))
-    return _RANK_TABLES[key]
+def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank table derived from the documents' token counts; every query that looks words up reads it, as it would a
+    saved rank file."""
+    return _once(spark, sf_dir, "ranks", ["documents"],
+                 lambda: R.ranks_from_corpus(TB.table(spark, sf_dir, "documents").select("lang", "text")))
 
 
 def _pairs(spark, sf_dir):
     """The pair corpus, derived and tokenised once."""
-    return FE.prepare_pairs(TB.conversation_pairs(spark, sf_dir))
+    return _once(spark, sf_dir, "pairs", ["conversations"], lambda: FE.prepare_pairs(TB.conversation_pairs(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------
@@ -132,12 +141,22 @@ def q_pairs_scan(spark, sf_dir):
 def q_pair_tsv(spark, sf_dir):
     src, tgt = _doc_files(spark, sf_dir)
     p = L.pair_lines(src, tgt, keys=["unit"], how="inner")
-    out = L.pair_tsv(p, sort_by_length=True)
+    out = L.pair_tsv(p)
     # the position in the sorted order is part of the result
     return global_index(out, ["n_words", "line_no"], group_by=["unit"], out="position").select(
         "unit", "line_no", "n_words", "tsv", "position")
 
 
+@query("pair_tsv_file")
+def q_pair_tsv_file(spark, sf_dir):
+    """The pair corpus written as one TSV in length order and read back: line number and line."""
+    pairs = TB.conversation_pairs(spark, sf_dir).select("pair_id", *[
+        F.regexp_replace(c, "[\\n\\r]", " ").alias(c) for c in ("source", "target")])
+    folder = _folder(spark, "pairs") + ".tsv"
+    SK.write_pair_tsv(L.pair_tsv(pairs), folder, order=["n_words", "pair_id"])
+    return L.read_lines(spark, folder).select("line_no", F.col("value").alias("tsv"))
+
+
 @query("lines_head")
 def q_lines_head(spark, sf_dir):
     return L.head(TB.document_lines(spark, sf_dir), HEAD_N).select("doc_id", "line_no", "line")
@@ -192,6 +211,52 @@ def q_detokenize(spark, sf_dir):
                         F.array_join(pieces, " ").alias("pieces"), T.detokenize(pieces).alias("detokenized"))
 
 
+# The public vocabulary of the sub-word queries.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+_SEGMENTERS: dict[tuple, SW.Segmenter] = {}
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Path of a public tokenizer file; pass another path where the package is not installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _segmenter(spark, path=None):
+    key = (spark.sparkContext.applicationId, path or vocabulary_path())
+    if key not in _SEGMENTERS:
+        _SEGMENTERS[key] = PI.load_segmenter(spark, key[1])
+    return _SEGMENTERS[key]
+
+
+@query("subword_tokens")
+def q_subword_tokens(spark, sf_dir, path=None):
+    seg = _segmenter(spark, path)
+    per = TB.conversation_pairs(spark, sf_dir).select("pair_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("side"), F.col(s).alias("text")) for i, s in enumerate(FE.SIDES)])))
+    per = per.withColumn("toks", SW.tokenizer(seg)("text"))
+    return per.select("pair_id", "side", F.size("toks").cast("long").alias("n_pieces"), F.array_join("toks", " ").alias("pieces"),
+                      SW.decoder(seg)("toks").alias("decoded"))
+
+
+@query("subword_vocabulary")
+def q_subword_vocabulary(spark, sf_dir, path=None):
+    v = R.vocabulary(TB.conversation_pairs(spark, sf_dir), tokenizer=SW.tokenizer(_segmenter(spark, path)))
+    return v.select("side", "token", "cnt", "freq_rank")
+
+
+@query("subword_corpus")
+def q_subword_corpus(spark, sf_dir, path=None):
+    """The control corpus in sub-word pieces, frequency ranks counted by the same tokeniser over the sources."""
+    tok = SW.tokenizer(_segmenter(spark, path))
+    pairs = FE.prepare_pairs(TB.conversation_pairs(spark, sf_dir), tok)
+    ranks = R.ranks_from_corpus(pairs.select("lang", F.col("source").alias("text")), tokenizer=tok)
+    cc = C.control_corpus(pairs, ["frequency", "length"], ranks=ranks, tokenizer=tok)
+    return cc.select("pair_id", "feature_set", r6("exact_frequency").alias("exact_frequency"), "prefix", "source_line", "target_line")
+
+
 @query("rank_table")
 def q_rank_table(spark, sf_dir):
     """Every document read as a word-vector file: header line, then the first
@@ -242,6 +307,20 @@ def q_freq_abs(spark, sf_dir):
     return f.select("pair_id", r6("exact_frequency").alias("freq_abs"))
 
 
+@query("freq_row")
+def q_freq_row(spark, sf_dir):
+    """The frequency statistic inside the row, with the rank table as a dictionary."""
+    st = FE.row_frequency_stats(TB.conversation_pairs(spark, sf_dir), RS.load_ranks_dictionary(doc_ranks(spark, sf_dir)))
+    return st.select("pair_id", r6("freq_source").alias("freq_source"), r6("freq_target").alias("freq_target"))
+
+
+@query("freq_reuse")
+def q_freq_reuse(spark, sf_dir):
+    """The frequency statistic once per distinct text (a turn is the target of one pair and the source of the next)."""
+    st = FE.frequency_stats_by_text(TB.conversation_pairs(spark, sf_dir), doc_ranks(spark, sf_dir))
+    return st.select("pair_id", r6("freq_source").alias("freq_source"), r6("freq_target").alias("freq_target"))
+
+
 @query("rank_profile")
 def q_rank_profile(spark, sf_dir):
     # tokens stay on their pair's partition, so the per-(pair, side) aggregate needs no second shuffle
@@ -418,16 +497,20 @@ def q_best_hypothesis(spark, sf_dir):
 def _match_rows(spark, sf_dir):
     """Requested bins = the features of (turn t -> turn t+2) rendered on turn t;
     system output = turn t+1."""
-    tri = TB.conversation_triples(spark, sf_dir)
     ranks = doc_ranks(spark, sf_dir)
-    req = FE.prepare_pairs(tri.select("pair_id", "lang", "source", F.col("output").alias("target"), F.col("target").alias("output")))
+    # the prefixed corpus is a stored product (evaluation reads it back): both match queries read the same one
+    return _once(spark, sf_dir, "requested", ["conversations", "documents"], lambda: _requested(spark, sf_dir, ranks)), ranks
+
+
+def _requested(spark, sf_dir, ranks):
+    tri = TB.conversation_triples(spark, sf_dir)
+    req = tri.select("pair_id", "lang", "source", F.col("output").alias("target"), F.col("target").alias("output"))
+    req = req.withColumns({f"{s}_tokens": T.tokenize(s) for s in FE.SIDES})
     req = FE.feature_bundle(req, CONTROL_FEATURES, ranks=ranks, parse=parse_text)
     prefix = K.render_prefix({f: F.col(f"bin_{f}") for f in CONTROL_FEATURES})
     # every fifth turn is requested without control tokens
     line = F.concat(F.when(F.col("pair_id") % 5 != 0, prefix).otherwise(F.lit("")), F.array_join("source_tokens", " "))
-    # the prefixed corpus is a stored product (evaluation reads it back); writing it
-    # once also keeps the match and the totals from re-deriving it per branch
-    return materialize(req.select("pair_id", "lang", line.alias("source_line"), "output"), "requested_corpus"), ranks
+    return materialize(req.select("pair_id", "lang", line.alias("source_line"), "output"), "requested_corpus")
 
 
 def _compared(rows, ranks):
@@ -501,6 +584,26 @@ def q_embed_match(spark, sf_dir):
                     *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("embed_match_rescaled")
+def q_embed_match_rescaled(spark, sf_dir):
+    """The match weighted by inverse document frequency and rescaled by the mean of unrelated pairs.  A vector's token is the
+    signs of its first four components; unrelated sentences are neighbours in the order of a hash of (part, label)."""
+    part = F.floor(F.col("vec_id") / EMBED_RANGE).cast("long")
+    sign = sum((F.when(F.get("embedding", F.lit(i)) > 0, 1 << i).otherwise(0) for i in range(4)), F.lit(0))
+    v = TB.table(spark, sf_dir, "embeddings").select(
+        F.struct(part.alias("part"), F.col("label").cast("long").alias("label")).alias("sent"), "vec_id", sign.alias("token"), "embedding")
+    v = materialize(v, "token_vectors")
+    weights = ME.token_weights(v)
+    sentences = v.select("sent").distinct()
+    hashed = (F.col("sent.part") * 7919 + F.col("sent.label") * 104729) % 1000003
+    unrelated = ME.unrelated_pairs(sentences, [hashed, F.col("sent.part"), F.col("sent.label")])
+    base = ME.match_baseline(ME.embedding_match(v, unrelated, weights))
+    pairs = sentences.select(F.col("sent").alias("cand"), F.struct(F.col("sent.part").alias("part"), (F.col("sent.label") + 1).alias("label")).alias("ref"))
+    m = ME.rescaled(ME.embedding_match(v, pairs, weights), base)
+    return m.select(F.col("cand.part").alias("part"), F.col("cand.label").alias("cand"), F.col("ref.label").alias("ref"),
+                    *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # ---------------------------------------------------------------------------
 # Audits
 # ---------------------------------------------------------------------------
@@ -514,18 +617,16 @@ def q_bad_split_counts(spark, sf_dir):
     return AU.bad_split_counts(dl, expected).select("file", "is_total", "zb", "ca")
 
 
-# A stored piece corpus is cut at this many pieces a line, as length-limited preprocessing leaves it.
-STORED_PIECES = 60
-
-
-def _roundtrip(spark, sf_dir):
-    """A stored corpus of pieces, both sides, checked against the texts it was made from."""
+def _roundtrip(spark, sf_dir, path=None):
+    """A stored corpus of sub-word pieces, both sides whole, audited against its texts: line breaks and white-space runs are
+    lost in it (raw differences), and characters that the vocabulary cannot decode stand in the stored pieces but not in the
+    decoded original (differences after cleaning)."""
     pairs = TB.conversation_pairs(spark, sf_dir, strip=False)
     both = pairs.select("pair_id", F.col("split").alias("file"), F.inline(F.array(
         *[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in ("source", "target")])))
-    pieces = F.slice(T.to_pieces(T.strip("text")), 1, STORED_PIECES)
-    stored = materialize(both.withColumn("line", F.array_join(pieces, " ")), "stored_pieces")
-    return AU.roundtrip(stored, "text", "line", has_prefix=False, pieces=True)
+    seg = _segmenter(spark, path)
+    stored = materialize(both.withColumn("line", F.array_join(SW.tokenizer(seg)(T.strip("text")), " ")), "stored_pieces")
+    return AU.roundtrip(stored, "text", "line", has_prefix=False, pieces=True, segmenter=seg)
 
 
 @query("roundtrip_counts")
@@ -535,7 +636,11 @@ def q_roundtrip_counts(spark, sf_dir):
 
 @query("roundtrip_diff")
 def q_roundtrip_diff(spark, sf_dir):
-    return AU.mismatches(_roundtrip(spark, sf_dir), "text", ["file", "side", "pair_id"])
+    """The mismatch report, written and read back."""
+    folder = _folder(spark, "mismatches")
+    SK.write_mismatch_report(AU.mismatches(_roundtrip(spark, sf_dir), "text", ["file", "side", "pair_id"]), folder)
+    schema = "pair_id long, same_raw boolean, same_cleaned boolean, original string, decoded string, file string, side string"
+    return spark.read.schema(schema).parquet(folder).select("file", "side", "pair_id", "same_raw", "same_cleaned", "original", "decoded")
 
 
 @query("hyp_group")
@@ -546,9 +651,13 @@ def q_hyp_group(spark, sf_dir):
 
 @query("missing_ids")
 def q_missing_ids(spark, sf_dir):
-    """Samples are the parts that have an order line; the others are missing."""
-    ids = TB.table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("sample_id")).distinct()
-    return HY.missing_samples(ids)
+    """Samples are the orders that have an order line; the others are missing."""
+    return HY.missing_samples(TB.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id")))
+
+
+@query("missing_intervals")
+def q_missing_intervals(spark, sf_dir):
+    return GA.missing_intervals(TB.table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 # ---------------------------------------------------------------------------
@@ -559,34 +668,65 @@ def _folder(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def _written_corpus(spark, sf_dir):
-    """The pair corpus as ``<split>_<shard>.src`` / ``.tgt`` line files, two shards a split."""
-    pairs = TB.conversation_pairs(spark, sf_dir)
-    flat = materialize(pairs.select("pair_id", "split", (F.col("conv_id") % 2).alias("shard"), *[
-        F.regexp_replace(c, "[\\n\\r]", " ").alias(c) for c in ("source", "target")]), "corpus_lines")
-    folder = _folder(spark, "corpus")
-    for split in L.SPLITS:
-        for shard in (0, 1):
-            part = flat.where((F.col("split") == split) & (F.col("shard") == shard))
-            for side, end in (("source", "src"), ("target", "tgt")):
-                SK.export_text(part, side, f"{folder}/{split}_{shard}.{end}", order="pair_id")
-    return folder
+def _flat_pairs(spark, sf_dir):
+    """The pair corpus as one-line texts, ``line_no`` counting the pairs of each split."""
+    pairs = TB.conversation_pairs(spark, sf_dir).select("pair_id", "lang", "split", *[
+        F.regexp_replace(c, "[\\n\\r]", " ").alias(c) for c in ("source", "target")])
+    return global_index(pairs, ["pair_id"], group_by=["split"], out="line_no")
 
 
 @query("read_corpus")
 def q_read_corpus(spark, sf_dir):
-    corpus = L.read_corpus(spark, _written_corpus(spark, sf_dir))
-    return corpus.select("split", "stem", "line_no", "source", "target")
+    """The corpus as ``<split>_<shard>.src`` / ``.tgt`` line files, two shards a split, read as a corpus folder."""
+    folder = _folder(spark, "corpus")
+    SK.write_shard_files(_flat_pairs(spark, sf_dir).withColumn("shard", F.col("line_no") % 2), folder)
+    return L.read_corpus(spark, folder).select("split", "stem", "line_no", "source", "target")
+
+
+FILE_SHARD_LINES = 25
+
+
+def _shard_folder(spark, sf_dir):
+    """The pair corpus cut into shards of consecutive lines, written as ordered shard files."""
+    folder = _folder(spark, "shards")
+    SK.write_shard_files(SH.assign_shards(_flat_pairs(spark, sf_dir), FILE_SHARD_LINES, split=None), folder)
+    return folder
 
 
 @query("shard_files")
 def q_shard_files(spark, sf_dir):
-    """Documents dealt to shards, written as shard folders and read back."""
-    sh = SH.assign_shards(TB.document_lines(spark, sf_dir), SHARD_LINES, skip=SHARD_SKIP)
-    folder = _folder(spark, "shards")
-    SK.write_shards(sh.select("doc_id", "line_no", "line", "split", (F.col("shard") % 16).alias("shard")), folder)
-    back = spark.read.parquet(folder)
-    return back.select("split", F.col("shard").cast("long").alias("shard"), "doc_id", "line_no", "line")
+    back = L.read_corpus(spark, _shard_folder(spark, sf_dir))
+    return back.select("split", F.regexp_extract("stem", "_([0-9]+)$", 1).cast("long").alias("shard"), "line_no", "source", "target")
+
+
+@query("shard_merge_files")
+def q_shard_merge_files(spark, sf_dir):
+    """The training sources merged from their shard files, last shard first."""
+    folder = _shard_folder(spark, sf_dir)
+    n = TB.conversation_pairs(spark, sf_dir).where("split = 'train'").count()
+    return SH.merge_shard_files(spark, folder, "train", range((n - 1) // FILE_SHARD_LINES, -1, -1), "src")
+
+
+@query("control_corpus_files")
+def q_control_corpus_files(spark, sf_dir):
+    """The length and edit-similarity corpus written by language, feature set and split, and read back."""
+    cc = C.control_corpus(_flat_pairs(spark, sf_dir), ["length", "levenshtein"])
+    folder = _folder(spark, "control")
+    SK.write_control_corpus(cc.select("lang", "feature_set", "split", "line_no", "source_line", "target_line"), folder)
+    return spark.read.parquet(folder).select("lang", "feature_set", "split", "line_no", "source_line", "target_line")
+
+
+@query("control_corpus_resumed")
+def q_control_corpus_resumed(spark, sf_dir):
+    """The same corpus built by a run that stops after one wave of chunks and a second run that completes it."""
+    features = ["length", "levenshtein"]
+    pairs = RE.chunked(_flat_pairs(spark, sf_dir), K.feature_set_key(features), FILE_SHARD_LINES)
+    folder = _folder(spark, "resumed")
+    make = lambda part: C.control_corpus(part, features)
+    columns = ["line_no", "source_line", "target_line"]
+    RE.resume(pairs, folder, make, columns, waves=3, stop_after=1)
+    RE.resume(pairs, folder, make, columns, waves=3)
+    return spark.read.parquet(folder).select("lang", "feature_set", "split", "line_no", "source_line", "target_line")
 
 
 @query("rank_saved")

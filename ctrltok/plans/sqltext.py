@@ -10,6 +10,8 @@ from __future__ import annotations
 from ctrltok.functions import text as T
 from ctrltok.functions import tokens as K
 from ctrltok.functions.bins import EDGE_COUNT, TOKEN_NAMES
+from ctrltok.functions.subword import UNKNOWN_SURFACE
+from ctrltok.sources.pieces import RANK_PENALTY, RANK_SCALE
 
 
 def lit(s: str) -> str:
@@ -201,3 +203,72 @@ def lcs_cte(pairs: str = "pairs", sfx: str = "") -> str:
                           ELSE 2.0 * coalesce(dp.p1[pr.n - dp.lo1 + 1], 0) / (pr.n + pr.m) END AS lev
   FROM lcs_dp{sfx} dp JOIN lcs_pr{sfx} pr USING (pair_id)
 )"""
+
+
+def vocabulary_file() -> str | None:
+    """The vocabulary file of the sub-word queries; None where the public tokenizers are not installed."""
+    from ctrltok.plans.queries import vocabulary_path
+
+    try:
+        return vocabulary_path()
+    except ImportError:
+        return None
+
+
+def segments_cte(path: str, texts: str) -> str:
+    """Best segmentation of every word of ``texts(txt)`` over the rank file's pieces (needs WITH RECURSIVE): lattice
+    edges by a join of all substrings with the pieces, then the Viterbi recursion over one list per word.
+    Defines ``piece(piece, score)`` and ``encoded(word, spaced, n, decoded)``."""
+    ws, mark = T.WHITESPACE_CLASS, T.PIECE_MARK
+    return f"""piece AS (
+  SELECT piece, max(score) AS score FROM (
+    SELECT regexp_replace(tok, '^ ', '{mark}') AS piece, -floor({RANK_SCALE} * ln(r + 2))::DOUBLE AS score
+    FROM (SELECT TRY(decode(from_base64(t))) AS tok, r
+          FROM read_csv({lit(path)}, delim=' ', header=false, quote='', escape='', columns={{'t': 'VARCHAR', 'r': 'BIGINT'}}))
+    WHERE tok IS NOT NULL)
+  WHERE length(piece) > 0 AND NOT regexp_matches(piece, '[{ws}]|(?s).{mark}') GROUP BY piece
+), limits AS (SELECT max(length(piece)) AS longest, min(score) - {RANK_PENALTY} AS unknown FROM piece),
+words AS (
+  SELECT DISTINCT '{mark}' || w AS word FROM (SELECT unnest(regexp_extract_all(txt, '[^{ws}]+')) AS w FROM {texts})
+), starts AS (SELECT word, unnest(range(length(word))) AS j FROM words),
+spans AS (SELECT word, j, unnest(range(1, least(longest, length(word) - j) + 1)) AS l FROM starts, limits),
+edges AS (
+  SELECT word, j, j + l AS e, score FROM spans JOIN piece ON piece = substring(word, j + 1, l)
+  UNION ALL SELECT word, j, j + 1, unknown FROM starts, limits WHERE substring(word, j + 1, 1) NOT IN (SELECT piece FROM piece)
+), incoming AS (SELECT word, e, list(struct_pack(j := j, s := score)) AS el FROM edges GROUP BY word, e),
+viterbi(word, i, best, prev) USING KEY (word) AS (
+  SELECT word, 0, [0.0::DOUBLE], []::BIGINT[] FROM words
+  UNION
+  SELECT v.word, v.i + 1, list_append(v.best, m.v), list_append(v.prev, -m.k)
+  FROM (SELECT v.word, v.i, v.best, v.prev,
+               list_max(list_transform(n.el, lambda x: struct_pack(v := v.best[x.j + 1] + x.s, k := -x.j))) AS m
+        FROM viterbi v JOIN incoming n ON n.word = v.word AND n.e = v.i + 1) v
+), route(word, prev, s, e) AS (
+  SELECT word, prev, prev[i], i FROM viterbi WHERE i = length(word)
+  UNION ALL SELECT word, prev, prev[s], s FROM route WHERE s > 0
+), parts AS (
+  SELECT word, s, part, part NOT IN (SELECT piece FROM piece) AS unknown
+  FROM (SELECT word, s, substring(word, s + 1, e - s) AS part FROM route)
+), marked AS (SELECT *, coalesce(unknown AND lag(unknown) OVER (PARTITION BY word ORDER BY s), false) AS joined FROM parts),
+encoded AS (
+  SELECT word, substring(string_agg(CASE WHEN joined THEN '' ELSE ' ' END || part, '' ORDER BY s), 2) AS spaced,
+         count(*) FILTER (NOT joined) AS n,
+         string_agg(CASE WHEN NOT unknown THEN part WHEN joined THEN '' ELSE {lit(UNKNOWN_SURFACE)} END, '' ORDER BY s) AS decoded
+  FROM marked GROUP BY word
+)"""
+
+
+def encoded_texts_cte(texts: str, keys: str) -> str:
+    """Texts of ``texts(<keys>, txt)`` encoded whole.  Defines ``coded(<keys>, n, spaced, decoded)``."""
+    ws, mark = T.WHITESPACE_CLASS, T.PIECE_MARK
+    return f"""text_words AS (
+  SELECT {keys}, unnest(ws) AS w, generate_subscripts(ws, 1) AS k
+  FROM (SELECT {keys}, regexp_extract_all(txt, '[^{ws}]+') AS ws FROM {texts})
+), coded0 AS (
+  SELECT {keys}, sum(n) AS n, string_agg(spaced, ' ' ORDER BY k) AS spaced, string_agg(decoded, '' ORDER BY k) AS joined
+  FROM text_words JOIN encoded ON word = '{mark}' || w GROUP BY {keys}
+), coded AS (
+  SELECT {', '.join(f't.{x.strip()}' for x in keys.split(','))}, coalesce(n, 0)::BIGINT AS n, coalesce(spaced, '') AS spaced,
+         coalesce(regexp_replace(replace(joined, '{mark}', ' '), '\\A ', ''), '') AS decoded
+  FROM {texts} t LEFT JOIN coded0 USING ({keys})
+)"""

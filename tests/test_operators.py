@@ -504,15 +504,6 @@ def test_parse_from_columns_and_table(spark):
     assert by_id(FE.feature_bundle(df, ["dependency"], parse=heads_table(df)), "exact_dependency") == want
 
 
-def test_shard_files_round_trip(spark, tmpdir_path):
-    lines = spark.createDataFrame([(i, f"l{i}") for i in range(50)], "line_no long, line string").repartition(5)
-    out = os.path.join(tmpdir_path, "shards")
-    SK.write_shards(SH.assign_shards(lines, 10), out)
-    back = spark.read.parquet(out)
-    assert sorted(r["line_no"] for r in back.where("split = 'train' and shard = 3").collect()) == list(range(30, 40))
-    assert len([f for f in os.listdir(os.path.join(out, "split=train", "shard=3")) if f.endswith(".parquet")]) == 1
-
-
 def test_shard_corpora_pair_by_file(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "sharded")
     os.makedirs(d)

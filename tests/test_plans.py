@@ -28,6 +28,14 @@ def test_no_cartesian_products(plans):
     assert bad == []
 
 
+# queries whose plan attaches a single row (a baseline, a count) to every row
+ONE_ROW = {"embed_match_rescaled"}
+
+
+def test_nested_loops_attach_single_rows_only(plans):
+    assert {n for n, p in plans.items() if "BroadcastNestedLoopJoin" in p} <= ONE_ROW
+
+
 def test_no_fixed_or_round_robin_partitioning(plans):
     assert [n for n, p in plans.items() if "REPARTITION_BY_NUM" in p or "RoundRobinPartitioning" in p] == []
 
