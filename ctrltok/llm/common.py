@@ -29,11 +29,11 @@ def texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, did, tag)``: ``did`` is the id with null below every
-    number, ``tag`` 16 bits of the text's hash.  ``(did, tag)`` identifies a row's
+    number, ``tag`` the 64-bit hash of the text.  ``(did, tag)`` identifies a row's
     content, so equal rows share it and rows that repeat an id with other text
     do not mix; among these the smaller tag comes first."""
     return texts(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"),
-                              F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("tag"))
+                              F.xxhash64("text").alias("tag"))
 
 
 def held(divisor: int) -> Column:

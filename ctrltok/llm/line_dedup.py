@@ -182,7 +182,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(c) for c in rest]).alias("rest"), F.col("text").isNull().alias("none"),
                        F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"),
-                       F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).alias("tag"))
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
     marked = rows.join(keep_bitmaps(keyed(docs), min_chars), ["did", "tag"], "left").select("rest", "none", "text", "bitmap")
 
     def run(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctrltok.llm.common import keyed, stored
-from ctrltok.llm.spans import found, listed
+from ctrltok.llm.spans import covered, found, listed
 
 # fixed values: the strong patterns.  Possessive loops and the guard before a run (not inside a run unless the previous
 # match ended there) keep long runs linear and match the same text
@@ -71,17 +71,15 @@ def of_kind(spans: Column, kind: int) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id, did, tag, base, loose`` of every row: strong spans by kind and start, uncovered identifier-like tokens."""
+    """``doc_id, did, tag, base, tokens`` of every row: strong spans by kind and start, identifier-like tokens."""
     number = F.col("text").rlike("[0-9]")
     strong = [found("text", EMAIL, lambda m, g: F.lit(True), 0, F.col("text").contains("@")),
               found("text", IP, is_ip, 0, number & F.col("text").contains(".")),
               found("text", CARD, is_card, 0, number),
               found("text", PHONE, is_phone, 0, number & F.col("text").contains("+"))]
     tokens = found("text", TOKEN, is_identifier, 0, F.col("text").rlike("[0-9]{2}") | F.col("text").contains("@"))
-    rows = keyed(docs).select("doc_id", "did", "tag", F.concat(*[of_kind(s, k) for k, s in enumerate(strong)]).alias("base"),
+    return keyed(docs).select("doc_id", "did", "tag", F.concat(*[of_kind(s, k) for k, s in enumerate(strong)]).alias("base"),
                               of_kind(tokens, -1).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
-    return rows.select("doc_id", "did", "tag", "base", free.alias("loose"))
 
 
 def patterns(before: Column) -> Column:
@@ -115,10 +113,12 @@ def score_patterns(edges: DataFrame, rounds: int = 2, least_seeds: int = 5, smoo
 
 
 def discovered(scans: DataFrame, least_confidence: float = 0.6, **parameters) -> DataFrame:
-    """``did, tag, added``: loose tokens after a confident pattern, by kind and start."""
-    places = (scans.select("did", "tag", F.explode(F.concat("base", "loose")).alias("s"))
-              .select("did", "tag", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"),
-                      F.xxhash64(F.lower("s.value")).alias("instance"), F.explode(patterns(F.col("s.before"))).alias("pattern")))
+    """``did, tag, added``: tokens that no strong span touches after a confident pattern, by kind and start."""
+    spans = scans.select("did", "tag", F.explode(F.concat("base", "tokens")).alias("s")).select(
+        "did", "tag", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"),
+        F.xxhash64(F.lower("s.value")).alias("instance"), patterns(F.col("s.before")).alias("patterns"))
+    free = covered(spans, "start", "stop", F.col("kind") >= 0).filter(~F.col("covered"))
+    places = free.select("did", "tag", "kind", "start", "stop", "instance", F.explode("patterns").alias("pattern"))
     places = stored(places, "pii-places")
     edges = stored(places.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
     top = F.array_max("confidence")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctrltok.llm.common import keyed, stored
-from ctrltok.llm.spans import found, listed, marked
+from ctrltok.llm.spans import covered, found, listed, marked
 
 # fixed values: the strong patterns
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -74,10 +74,21 @@ def linked(scans: DataFrame, reach: int = 300) -> DataFrame:
     return has.filter(whole).groupBy("did", "tag").agg(F.sort_array(F.collect_list("p")).alias("added"))
 
 
+def apart(scans: DataFrame, links: DataFrame) -> DataFrame:
+    """``did, tag, added``: the linked parts that no strong span touches, sorted."""
+    base = scans.select("did", "tag", "base").join(links.select("did", "tag"), ["did", "tag"], "left_semi").distinct()
+    both = links.select("did", "tag", F.explode("added").alias("p")).union(base.select("did", "tag", F.explode("base")))
+    rows = both.select("did", "tag", "p", F.col("p.start").alias("start"), F.col("p.stop").alias("stop"))
+    free = covered(rows, "start", "stop", F.col("p.kind") < 3).filter(~F.col("covered") & (F.col("p.kind") >= 3))
+    return free.groupBy("did", "tag").agg(F.sort_array(F.collect_list("p")).alias("added"))
+
+
 def secrets(docs: DataFrame, reach: int = 300) -> DataFrame:
-    """``doc_id, base, added, spans``: span arrays of every row, each sorted by start, then kind."""
+    """``doc_id, base, added``: span arrays of every row, each sorted by start, then kind; parts that lie on a strong span
+    are evidence for others and not reported again."""
     scans = stored(scanned(docs), "secret-scan")
-    return scans.join(linked(scans, reach), ["did", "tag"], "left").select(
+    found_ = apart(scans, stored(linked(scans, reach), "secret-links"))
+    return scans.join(found_, ["did", "tag"], "left").select(
         "doc_id", "base", F.coalesce("added", F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")).alias("added"))
 
 
@@ -86,7 +97,7 @@ def digests(docs: DataFrame, reach: int = 300) -> DataFrame:
     def count(kind: int):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    every = F.array_sort(F.concat("base", F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (b["stop"] > a["start"])))))
+    every = F.array_sort(F.concat("base", "added"))
     return secrets(docs, reach).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), listed(every, KINDS).alias("spans"))

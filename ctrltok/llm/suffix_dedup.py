@@ -14,7 +14,10 @@ threshold:
    window at ``WIDTH`` bytes.
 
 Common passages: a map task settles repeats inside its own batch, so a batch sends each distinct
-stretch once; groups of more than ``GROUP`` stretches are dealt by window name instead of by core, and are streamed.
+stretch once; groups of more than ``GROUP`` stretches are dealt by window name (two 64-bit hashes together) instead of by core,
+and are streamed.  A core that stands in very many surroundings would still be sorted by one task: cores that look so in
+a bounded sample of documents are dealt by core and stretch, and their windows by name, whatever their number.
+The sample decides where rows go and nothing else.
 
 Defined results: null and empty texts have no bytes; texts below ``WIDTH`` bytes stay whole; equal rows are one
 document and get equal results; rows that repeat a doc_id with other text are separate documents, the smaller
@@ -38,12 +41,14 @@ WIDTH = 100
 GRAM = 32
 SPAN = WIDTH - GRAM + 1
 GROUP = 256
-STEP = 0xD6E8FEB86659FD93
+STEP, OTHER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 U = np.uint64
 NEVER = U(0xFFFFFFFFFFFFFFFF)
-# a position in one long: 16 bits of the text's hash, 33 of the start of the first window, 7 + 7 of offsets
-TAG, START, OFFSET = 47, 14, 7
-HELD = ["kh", "ch", "did", "at"]
+# a position in one long: the start of the first window, 7 + 7 bits of offsets
+START, OFFSET = 14, 7
+PLACE = ["did", "tag", "at"]
+HELD = ["kh", "ch", *PLACE]
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LEAST = 20_000, 1 << 16, 8
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,9 +58,10 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def names(data: np.ndarray, width: int) -> np.ndarray:
-    """Name of the ``width`` bytes at every position, by doubling (the last pair may overlap)."""
-    h = mixed(data.astype(np.uint64) + U(1), np.full(len(data), STEP, np.uint64))
+def names(data: np.ndarray, width: int, salt: int = STEP) -> np.ndarray:
+    """Name of the ``width`` bytes at every position, by doubling (the last pair may overlap); another odd ``salt`` gives
+    independent names."""
+    h = mixed((data.astype(np.uint64) + U(1)) * U(salt), np.full(len(data), salt, np.uint64))
     size = 1
     while size < width:
         step = min(size, width - size)
@@ -130,13 +136,20 @@ def flat(part):
             np.frombuffer(b"".join(s[2] for s in part), np.uint8), np.repeat(ends, sizes), ends - sizes)
 
 
-def repeats(keys: list[np.ndarray], did: np.ndarray, at: np.ndarray):
-    """For rows sorted by (keys, did, at): (first of its key, repeat of an earlier place)."""
-    first = np.ones(len(did), bool)
-    if len(did):
+def repeats(keys: list[np.ndarray], place: list[np.ndarray]):
+    """For rows sorted by (keys, place): (first of its key, repeat of an earlier place)."""
+    n = len(place[0])
+    first = np.ones(n, bool)
+    if n:
         first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    head = np.maximum.accumulate(np.where(first, np.arange(len(did)), 0))
-    return first, (did != did[head]) | (at != at[head])
+    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    return first, np.logical_or.reduce([p != p[head] for p in place])
+
+
+def spread(place: list[np.ndarray]) -> np.ndarray:
+    """A key that only spreads rows."""
+    did, tag, at = (p.astype(np.uint64) for p in place)
+    return as_long(mixed(mixed(did, tag), at))
 
 
 def batch(columns: dict[str, np.ndarray | list]) -> pa.RecordBatch:
@@ -144,9 +157,9 @@ def batch(columns: dict[str, np.ndarray | list]) -> pa.RecordBatch:
                                       names=list(columns))
 
 
-def core_rows(rows: DataFrame) -> DataFrame:
-    """``(kh, ch, did, at)`` of every chosen position.  Repeats inside the batch are settled: their ``ch`` is 0
-    and ``kh`` only spreads them."""
+def core_rows(rows: DataFrame, crowded=None) -> DataFrame:
+    """``(kh, ch, did, tag, at, hot)`` of every chosen position.  Repeats inside the batch are settled: their ``ch`` is 0
+    and ``kh`` only spreads them.  ``hot``: the core is among the broadcast ``crowded`` ones."""
     def run(batches):
         finder = Stretches()
         for b in batches:
@@ -157,8 +170,8 @@ def core_rows(rows: DataFrame) -> DataFrame:
                 s = np.searchsorted(start, lo, side="right") - 1
                 first = lo - start[s] + offset[s]
                 own = text[s]
-                at = tags[own] << TAG | first << START | (pos - lo) << OFFSET | (hi - lo)
-                parts.append((as_long(kh), as_long(ch), dids[own], at))
+                at = first << START | (pos - lo) << OFFSET | (hi - lo)
+                parts.append((as_long(kh), as_long(ch), dids[own], tags[own], at))
                 if sum(len(p[0]) for p in parts) > 1_500_000:
                     yield from settle(parts)
                     parts = []
@@ -166,50 +179,58 @@ def core_rows(rows: DataFrame) -> DataFrame:
                 yield from settle(parts)
 
     def settle(parts):
-        kh, ch, did, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.lexsort((at, did, ch, kh))
-        kh, ch, did, at = kh[o], ch[o], did[o], at[o]
-        first, later = repeats([kh, ch], did, at)
-        spread = as_long(mixed(did.astype(np.uint64), at.astype(np.uint64)))
+        kh, ch, *place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        o = np.lexsort((*reversed(place), ch, kh))
+        kh, ch, place = kh[o], ch[o], [x[o] for x in place]
+        first, later = repeats([kh, ch], place)
+        hot = np.isin(kh, crowded.value) if crowded is not None else np.zeros(len(kh), bool)
+        elsewhere = spread(place)
         for lo in range(0, len(kh), 1 << 17):
             s = slice(lo, lo + (1 << 17))
             f, r = first[s], later[s] & ~first[s]
             take = f | r
-            yield batch({"kh": np.where(f, kh[s], spread[s])[take], "ch": np.where(f, ch[s], 0)[take],
-                         "did": did[s][take], "at": at[s][take]})
+            yield batch({"kh": np.where(f, kh[s], elsewhere[s])[take], "ch": np.where(f, ch[s], 0)[take],
+                         **{n: x[s][take] for n, x in zip(PLACE, place, strict=True)}, "hot": (hot[s] & f)[take]})
+
+    return rows.select("did", "tag", "text").mapInArrow(run, "kh long, ch long, did long, tag long, at long, hot boolean")
 
-    return rows.select("did", "tag", "text").mapInArrow(run, "kh long, ch long, did long, at long")
+
+def crowded_cores(rows: DataFrame) -> list[int]:
+    """Cores with very many surroundings, judged by a sample of at most about ``SAMPLE_DOCS`` documents of bounded length: the
+    list is bounded too.  Only the dealing of rows depends on it."""
+    every = max(1, -(-rows.count() // SAMPLE_DOCS))
+    sample = rows.filter((F.pmod(F.xxhash64("tag", "did"), F.lit(every)) == 0) & (F.octet_length("text") <= SAMPLE_BYTES))
+    seen = core_rows(sample).filter("ch != 0").select("kh", "ch").distinct().groupBy("kh").agg(F.count("*").alias("n"))
+    return [r.kh for r in seen.filter(F.col("n") >= max(SAMPLE_LEAST, GROUP // every)).collect()]
 
 
 SETTLED, OPEN, OPEN_LARGE = 1, 2, 3
 
 
 def rank_cores(batches):
-    """Stream rows sorted by (settled last, kh, ch, did, at).
+    """Stream rows sorted by (settled last, kh, ch, place).
 
-    Yields ``kind, kh, did, at``: repeats of a stretch are settled; the first of every stretch stays open when its
-    core has other stretches.  At most ``GROUP`` firsts of the core at hand are held."""
+    Yields ``kind, kh, did, tag, at``: repeats of a stretch are settled; the first of every stretch stays open when its
+    core is hot or has other stretches.  At most ``GROUP`` firsts of the core at hand are held."""
     key = None
-    head = None  # (ch, did, at) of the stretch at hand
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    head = None  # (ch, did, tag, at) of the stretch at hand
+    held: list[list[np.ndarray]] = []
     count, large = 0, False
 
-    def rows(kind, kh, did, at):
-        return batch({"kind": np.full(len(did), kind, np.int32), "kh": np.full(len(did), kh, np.int64) if np.isscalar(kh) else kh,
-                      "did": did, "at": at})
+    def rows(kind, kh, place):
+        return batch({"kind": np.full(len(place[0]), kind, np.int32),
+                      "kh": np.full(len(place[0]), kh, np.int64) if np.isscalar(kh) else kh, **dict(zip(PLACE, place, strict=True))})
 
     def let_go():
         if held and (count > 1 or large):
-            did, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            return [rows(OPEN_LARGE if large else OPEN, key, did, at)]
-        return []
+            yield rows(OPEN_LARGE if large else OPEN, key, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     for b in batches:
-        kh, ch, did, at = (b.column(i).to_numpy() for i in range(4))
+        kh, ch, *place, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         done = ch == 0
         if done.any():
-            yield rows(SETTLED, np.zeros(int(done.sum()), np.int64), did[done], at[done])
-            kh, ch, did, at = kh[~done], ch[~done], did[~done], at[~done]
+            yield rows(SETTLED, np.zeros(int(done.sum()), np.int64), [x[done] for x in place])
+            kh, ch, hot, place = kh[~done], ch[~done], hot[~done], [x[~done] for x in place]
         if not len(kh):
             continue
         new_core = np.r_[True, kh[1:] != kh[:-1]]
@@ -218,23 +239,23 @@ def rank_cores(batches):
             new_core[0] = False
             first[0] = ch[0] != head[0]
         start = np.maximum.accumulate(np.where(first, np.arange(len(kh)), -1))
-        same = np.where(start >= 0, (did == did[start]) & (at == at[start]), False)
+        same = np.where(start >= 0, np.logical_and.reduce([x == x[start] for x in place]), False)
         if start[0] < 0:
-            same |= (start < 0) & (did == head[1]) & (at == head[2])
+            same |= (start < 0) & np.logical_and.reduce([x == h for x, h in zip(place, head[1:], strict=True)])
         late = ~first & ~same
         if late.any():
-            yield rows(SETTLED, np.zeros(int(late.sum()), np.int64), did[late], at[late])
-        i = int(np.flatnonzero(first)[-1]) if first.any() else None
-        if i is not None:
-            head = (ch[i], did[i], at[i])
+            yield rows(SETTLED, np.zeros(int(late.sum()), np.int64), [x[late] for x in place])
         where = np.flatnonzero(first)
-        fk, fd, fa = kh[where], did[where], at[where]
+        if len(where):
+            i = int(where[-1])
+            head = (ch[i], *(x[i] for x in place))
+        fk, fh, fp = kh[where], hot[where], [x[where] for x in place]
         cuts = np.flatnonzero(new_core[where])
         # firsts that still belong to the core at hand
         n0 = int(cuts[0]) if len(cuts) else len(where)
         if n0:
             count += n0
-            held.append((fd[:n0], fa[:n0]))
+            held.append([x[:n0] for x in fp])
             if large or count > GROUP:
                 large = True
                 yield from let_go()
@@ -245,14 +266,14 @@ def rank_cores(batches):
             sizes = np.diff(bounds)
             group = np.repeat(np.arange(len(sizes)), sizes)
             closed = group < len(sizes) - 1
-            for kind, pick in ((OPEN, (sizes > 1) & (sizes <= GROUP)), (OPEN_LARGE, sizes > GROUP)):
+            wide = (sizes > GROUP) | fh[cuts]
+            for kind, pick in ((OPEN, (sizes > 1) & ~wide), (OPEN_LARGE, wide)):
                 take = closed & pick[group]
                 if take.any():
-                    yield rows(kind, fk[n0:][take], fd[n0:][take], fa[n0:][take])
-            key, count, large = fk[-1], int(sizes[-1]), False
-            held = [(fd[bounds[-2]:], fa[bounds[-2]:])]
-            if count > GROUP:
-                large = True
+                    yield rows(kind, fk[n0:][take], [x[n0:][take] for x in fp])
+            key, count, large = fk[-1], int(sizes[-1]), bool(wide[-1])
+            held = [[x[bounds[-2]:] for x in fp]]
+            if large:
                 yield from let_go()
                 held = []
     yield from let_go()
@@ -270,27 +291,26 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def open_windows(bodies: DataFrame, asked: DataFrame) -> DataFrame:
-    """Bytes of the open stretches, ``(large, key, did, at, cover)``: under their core, or in large groups one row per
-    window under the window's name.  Repeats among a batch's windows are settled (``key`` spreads, ``cover`` empty)."""
+    """Bytes of the open stretches, ``(large, key, alt, did, tag, at, cover)``: under their core, or in large groups one row per
+    window under two names of the window.  Repeats among a batch's windows are settled (``key`` spreads, ``cover`` empty)."""
     def run(batches):
         inflate = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[tuple[int, int, int, bytes]] = []
+            out: list[tuple[int, int, int, int, bytes]] = []
             wide: list[tuple[np.ndarray, ...]] = []
-            for did, body, places, cores in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(),
-                                                b.column(4).to_pylist(), strict=True):
+            for did, tag, body, places, cores in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 data = inflate.decompress(body)
                 for place, kh in zip(places, cores, strict=True):
                     at = place if place >= 0 else ~place
-                    lo, n = at >> START & (1 << TAG - START) - 1, at & 127
+                    lo, n = at >> START, at & 127
                     cover = data[lo:lo + n + WIDTH]
                     if place >= 0:
-                        out.append((kh, did, at, cover))
+                        out.append((kh, did, tag, at, cover))
                     else:
-                        name = names(np.frombuffer(cover, np.uint8), WIDTH)
-                        base = at >> START << START
-                        wide.append((as_long(mixed(np.full(len(name), kh & (1 << 64) - 1, np.uint64), name)),
-                                     np.full(len(name), did), base + (np.arange(len(name)) << START)))
+                        raw = np.frombuffer(cover, np.uint8)
+                        name = names(raw, WIDTH)
+                        wide.append((as_long(mixed(np.full(len(name), kh & (1 << 64) - 1, np.uint64), name)), as_long(names(raw, WIDTH, OTHER)),
+                                     np.full(len(name), did), np.full(len(name), tag), (lo + np.arange(len(name))) << START))
                 if len(out) > 20_000:
                     yield small(out)
                     out = []
@@ -303,49 +323,45 @@ def open_windows(bodies: DataFrame, asked: DataFrame) -> DataFrame:
                 yield from large(wide)
 
     def small(out):
-        return batch({"large": pa.array([False] * len(out)), "key": pa.array([x[0] for x in out], pa.int64()),
-                      "did": pa.array([x[1] for x in out], pa.int64()), "at": pa.array([x[2] for x in out], pa.int64()),
-                      "cover": pa.array([x[3] for x in out], pa.binary())})
+        column = lambda i: pa.array([x[i] for x in out], pa.int64())
+        return batch({"large": pa.array([False] * len(out)), "key": column(0), "alt": pa.array(np.zeros(len(out), np.int64)),
+                      "did": column(1), "tag": column(2), "at": column(3), "cover": pa.array([x[4] for x in out], pa.binary())})
 
     def large(wide):
-        key, did, at = (np.concatenate(x) for x in zip(*wide, strict=True))
-        o = np.lexsort((at, did, key))
-        key, did, at = key[o], did[o], at[o]
-        first, later = repeats([key], did, at)
+        key, alt, *place = (np.concatenate(x) for x in zip(*wide, strict=True))
+        o = np.lexsort((*reversed(place), alt, key))
+        key, alt, place = key[o], alt[o], [x[o] for x in place]
+        first, later = repeats([key, alt], place)
         take = first | later
-        spread = as_long(mixed(did.astype(np.uint64), at.astype(np.uint64)))
         settled = (later & ~first)[take]
         # a settled window has an empty cover, an open one none
         cover = pa.array([b"" if s else None for s in settled], pa.binary())
-        yield batch({"large": pa.array(np.ones(len(settled), bool)), "key": np.where(later & ~first, spread, key)[take],
-                     "did": did[take], "at": at[take], "cover": cover})
+        yield batch({"large": pa.array(np.ones(len(settled), bool)), "key": np.where(later & ~first, spread(place), key)[take], "alt": alt[take],
+                     **{n: x[take] for n, x in zip(PLACE, place, strict=True)}, "cover": cover})
 
-    per_text = (asked.withColumn("tag", F.shiftright("at", TAG)).withColumn("place", F.when(F.col("kind") == OPEN, F.col("at")).otherwise(F.bitwise_not("at")))
+    per_text = (asked.withColumn("place", F.when(F.col("kind") == OPEN, F.col("at")).otherwise(F.bitwise_not("at")))
                 .groupBy("did", "tag").agg(F.collect_list("place").alias("places"), F.collect_list("kh").alias("cores")))
     return bodies.join(per_text, ["did", "tag"]).select("did", "tag", "body", "places", "cores").mapInArrow(
-        run, "large boolean, key long, did long, at long, cover binary")
+        run, "large boolean, key long, alt long, did long, tag long, at long, cover binary")
 
 
 def repeated_windows(batches):
-    """Stream windows sorted by (large, key, did, at); yields ``(did, tag, piece)`` of windows that start earlier elsewhere."""
+    """Stream windows sorted by (large, key, alt, place); yields ``(did, tag, piece)`` of windows that start earlier elsewhere."""
     keep = None  # rows of the small key at hand
-    last = None  # (key, did, at) of the first row of the large key at hand
+    last = None  # (key, alt, did, tag, at) of the first row of the large key at hand
 
-    def runs(did, at):
-        o = np.lexsort((at, did))
-        did, place = did[o], at[o] >> START
-        cut = np.r_[True, (did[1:] != did[:-1]) | (place[1:] != place[:-1] + 1)] if len(did) else np.zeros(0, bool)
-        begin = np.flatnonzero(cut)
+    def runs(did, tag, at):
+        o = np.lexsort((at, tag, did))
+        did, tag, start = did[o], tag[o], at[o] >> START
+        begin = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + 1)][:len(did)])
         size = np.diff(np.r_[begin, len(did)])
         # a piece's length has 8 bits: cut long runs
-        parts = [(did[i + j], place[i + j], min(100, n - j)) for i, n in zip(begin, size, strict=True) for j in range(0, n, 100)]
-        place = np.array([p[1] for p in parts], np.int64)
-        start = place & (1 << TAG - START) - 1
-        length = np.array([p[2] + WIDTH - 1 for p in parts], np.int64)
-        return batch({"did": pa.array([p[0] for p in parts], pa.int64()), "tag": pa.array(place >> TAG - START, pa.int64()),
-                      "piece": pa.array(start << 8 | length, pa.int64())})
-
-    def compare(key, did, at, covers):
+        parts = [(i + j, min(100, n - j)) for i, n in zip(begin, size, strict=True) for j in range(0, n, 100)]
+        i = np.array([x[0] for x in parts], np.int64)
+        length = np.array([x[1] + WIDTH - 1 for x in parts], np.int64)
+        return batch({"did": did[i], "tag": tag[i], "piece": start[i] << 8 | length})
+
+    def compare(key, did, tag, at, covers):
         sizes = np.array([len(c) for c in covers])
         n = sizes - WIDTH + 1
         data = np.frombuffer(b"".join(covers), np.uint8)
@@ -353,21 +369,21 @@ def repeated_windows(batches):
         row = np.repeat(np.arange(len(n)), n)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         name = names(data, WIDTH)[begin[row] + shift]
-        where = (at[row] >> START) + shift << START
-        k, d = key[row], did[row]
-        o = np.lexsort((where, d, name, k))
-        first, later = repeats([k[o], name[o]], d[o], where[o])
-        return runs(d[o][later & ~first], where[o][later & ~first])
+        k, place = key[row], [did[row], tag[row], (at[row] >> START) + shift << START]
+        o = np.lexsort((*reversed(place), name, k))
+        place = [x[o] for x in place]
+        first, later = repeats([k[o], name[o]], place)
+        return runs(*(x[later & ~first] for x in place))
 
     for b in batches:
         large = b.column(0).to_numpy(zero_copy_only=False)
-        key, did, at = (b.column(i).to_numpy() for i in (1, 2, 3))
+        key, alt, did, tag, at = (b.column(i).to_numpy() for i in range(1, 6))
         if not large.all():
             m = int((~large).sum())
-            covers = b.column(4).slice(0, m).to_pylist()
-            own = [key[:m], did[:m], at[:m], covers]
+            covers = b.column(6).slice(0, m).to_pylist()
+            own = [key[:m], did[:m], tag[:m], at[:m], covers]
             if keep:
-                own = [np.r_[keep[0], own[0]], np.r_[keep[1], own[1]], np.r_[keep[2], own[2]], keep[3] + covers]
+                own = [*(np.r_[k, x] for k, x in zip(keep[:4], own[:4], strict=True)), keep[4] + covers]
             k = own[0]
             end = len(k) if large.any() else int(np.searchsorted(k, k[-1]))
             lo = 0
@@ -376,39 +392,40 @@ def repeated_windows(batches):
                 hi = min(end, lo + 8192)
                 while hi < end and k[hi] == k[hi - 1]:
                     hi += 1
-                yield compare(own[0][lo:hi], own[1][lo:hi], own[2][lo:hi], own[3][lo:hi])
+                yield compare(*(x[lo:hi] for x in own))
                 lo = hi
-            keep = [own[0][end:], own[1][end:], own[2][end:], own[3][end:]] if end < len(k) else None
+            keep = [x[end:] for x in own] if end < len(k) else None
         if large.any():
             if keep:
                 yield compare(*keep)
                 keep = None
-            key, did, at = key[large], did[large], at[large]
-            settled = b.column(4).filter(pa.array(large)).is_valid().to_numpy(zero_copy_only=False)
+            columns = [x[large] for x in (key, alt, did, tag, at)]
+            settled = b.column(6).filter(pa.array(large)).is_valid().to_numpy(zero_copy_only=False)
             if settled.any():
-                yield runs(did[settled], at[settled])
-            key, did, at = key[~settled], did[~settled], at[~settled]
-            if len(key):
-                if last is not None and last[0] == key[0]:
-                    key, did, at = np.r_[last[0], key], np.r_[last[1], did], np.r_[last[2], at]
-                first, later = repeats([key], did, at)
-                yield runs(did[later & ~first], at[later & ~first])
+                yield runs(*(x[settled] for x in columns[2:]))
+            columns = [x[~settled] for x in columns]
+            if len(columns[0]):
+                if last is not None and last[:2] == (columns[0][0], columns[1][0]):
+                    columns = [np.r_[h, x] for h, x in zip(last, columns, strict=True)]
+                first, later = repeats(columns[:2], columns[2:])
+                yield runs(*(x[later & ~first] for x in columns[2:]))
                 i = int(np.flatnonzero(first)[-1])
-                last = (key[i], did[i], at[i])
+                last = tuple(x[i] for x in columns)
     if keep:
         yield compare(*keep)
 
 
 def repeated_pieces(rows: DataFrame, bodies: DataFrame) -> DataFrame:
     """``did, tag, piece``: stretches of bytes that go, as ``start << 8 | length``."""
-    cores = (core_rows(rows).repartition("kh").sortWithinPartitions((F.col("ch") == 0).cast("int"), *HELD)
-             .mapInArrow(rank_cores, "kind int, kh long, did long, at long"))
+    crowded = rows.sparkSession.sparkContext.broadcast(np.array(crowded_cores(rows), np.int64))
+    deal = F.when(F.col("hot"), F.xxhash64("kh", "ch")).otherwise(F.col("kh"))
+    cores = (core_rows(rows, crowded).repartition(deal).sortWithinPartitions((F.col("ch") == 0).cast("int"), *HELD)
+             .mapInArrow(rank_cores, "kind int, kh long, did long, tag long, at long"))
     ranked = stored(cores, "cores")
     settled = ranked.filter(F.col("kind") == SETTLED).select(
-        "did", F.shiftright("at", TAG).alias("tag"),
-        F.expr(f"shiftleft(shiftright(at, {START}) & {(1 << TAG - START) - 1}, 8) | ((at & 127) + {WIDTH})").alias("piece"))
+        "did", "tag", F.expr(f"shiftleft(shiftright(at, {START}), 8) | ((at & 127) + {WIDTH})").alias("piece"))
     windows = (open_windows(bodies, ranked.filter(F.col("kind") != SETTLED)).repartition("key")
-               .sortWithinPartitions("large", "key", "did", "at")
+               .sortWithinPartitions("large", "key", "alt", *PLACE)
                .mapInArrow(repeated_windows, "did long, tag long, piece long"))
     return settled.union(windows)
 

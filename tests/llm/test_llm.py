@@ -262,6 +262,22 @@ def test_suffix_dedup(spark, texts, monkeypatch, group, slice_bytes):
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == want
 
 
+@pytest.mark.parametrize("least", [1, 8])
+def test_suffix_dedup_of_a_phrase_in_many_surroundings(spark, monkeypatch, least):
+    """A core with one stretch per document: dealt by stretch, its windows by name; the result does not depend on it."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 4)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_LEAST", least)
+    rng = random.Random(6)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    word = lambda n: "".join(rng.choice("xyz ") for _ in range(n))
+    docs = [word(120) + phrase + word(120) for _ in range(60)]
+    docs += [docs[3][:260] + word(90), word(40) + docs[5][60:], phrase * 3, word(30) + phrase + docs[7][190:]]
+    rows = suffix_dedup.keyed(frame(spark, docs))
+    assert suffix_dedup.crowded_cores(rows)
+    got = rows_by_id(suffix_dedup.digests(frame(spark, docs)))
+    assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == brute_repeats(list(enumerate(docs)))
+
+
 def test_suffix_dedup_equal_rows_are_one_document(spark):
     t = sentence(random.Random(0), 80)
     got = suffix_dedup.digests(frame(spark, [t, t, t], [1, 1, 2])).collect()
@@ -508,6 +524,79 @@ def test_names_inside_longer_ones(spark):
                       [], [], ["secretAccessKey=abcd", "user=bob"]]
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 256])
+def test_spans_in_blocks(spark, monkeypatch, block):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spans, "BLOCK", block)
+    rng = random.Random(block)
+    docs = ["".join(rng.choice(["12", "7", "ab", " ", "é", "😀", "x" * 90]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["5 " * 300, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "i int, text string")
+    got = df.select("i", spans.found("text", "[0-9]+", lambda m, g: F.char_length(m) > 1).alias("s")).collect()
+    for r in got:
+        want = [(m.start(), m.end(), m[0], docs[r.i][max(0, m.start() - spans.CONTEXT):m.start()]) for m in re.finditer("[0-9]+", docs[r.i]) if len(m[0]) > 1]
+        assert [tuple(s) for s in r.s] == want
+
+
+def test_covered_spans_against_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(d, d % 3, rng.random() < 0.4, a, a + rng.randint(1, 9)) for d in range(60) for a in (rng.randrange(60) for _ in range(rng.randint(0, 12)))]
+    got = spans.covered(spark.createDataFrame(rows, "did long, tag long, base boolean, start int, stop int"), "start", "stop", F.col("base"))
+    over = lambda r: any(b[:2] == r[:2] and b[2] and b[3] < r[4] and b[4] > r[3] for b in rows)
+    assert sorted(map(tuple, got.collect())) == sorted((*r, not r[2] and over(r)) for r in rows)
+
+
+@pytest.mark.parametrize("make,module,unit", [(lambda i: f"10.{i % 250}.{i // 250 % 250}.{i % 99} x\n", pii, 1), (lambda i: f"user=bob{i} pwd=abc{i}\n", secrets, 2)])
+def test_many_matches_in_one_text(spark, make, module, unit):
+    """100,000 matches in one text: the time follows the text's length."""
+    import time
+
+    took = []
+    for n in (12_500 // unit, 100_000 // unit):
+        text = "".join(make(i) for i in range(n))
+        began = time.time()
+        row = module.digests(frame(spark, [text])).collect()[0]
+        took.append(time.time() - began)
+        assert len(row["spans"].split(",")) == n * unit
+    assert took[1] < 12 * took[0] + 10, took
+
+
+def repeated_ids():
+    """Two texts under one id whose hashes agree in their lowest 16 bits, and others."""
+    import xxhash
+
+    seen = {}
+    for i in range(100_000):
+        t = f"first line number {i} of its own\nshared line of many\nlast line {i} here user=bob{i} pwd=abcd{i} mail a{i}@b.org"
+        h = xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFF
+        if h in seen:
+            return [(1, "shared line of many\nand more"), (5, seen[h]), (5, t), (5, t), (9, seen[h]), (9, "other words here")]
+        seen[h] = t
+
+
+def test_rows_that_repeat_an_id_stay_apart(spark):
+    data = repeated_ids()
+    ids, docs = [d for d, _ in data], [t for _, t in data]
+    alone = [(5, docs[1]), (5, docs[2]), (9, docs[5])]
+    frame_ = frame(spark, docs, ids)
+    sizes = sorted(len(t) for t in docs)
+    got = sketch.digests(frame_).collect()
+    assert sorted(r.n_chars for r in got) == sorted({(d, t): len(t) for d, t in data}.values()) or sorted(r.n_chars for r in got) == sizes
+    lines = sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(frame_).select("doc_id", "text").collect())
+    first = {}
+    for d, t in sorted(data):
+        for line in t.split("\n"):
+            first.setdefault(line.strip().lower(), d)
+    want = [(d, "\n".join(x for x in t.split("\n") if first[x.strip().lower()] == d)) for d, t in data]
+    assert lines == sorted(want)
+    for module, column in ((secrets, "spans"), (pii, "base_sha256"), (suffix_dedup, "n_bytes")):
+        single = {t: module.digests(frame(spark, [t], [d])).first()[column] for d, t in alone}
+        rows = [r[column] for r in module.digests(frame_).collect()]
+        assert len(rows) == len(data) and all(rows.count(v) >= docs.count(t) for t, v in single.items())
+
+
 def base_pii(t):
     def luhn(d):
         v = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))]
