@@ -36,6 +36,23 @@ def keyed(docs: DataFrame) -> DataFrame:
                               F.xxhash64("text").alias("tag"))
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """The columns ``did, tag`` of :func:`keyed` for a table with any columns."""
+    text = F.coalesce(docs["`text`"].cast("string"), F.lit(""))
+    return [F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tag")]
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not among ``keys (did, tag)``, all columns kept."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(docs))
+    return unpacked(rows.join(keys, ["did", "tag"], "left_anti"), docs.columns)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The struct column ``row`` as a table again."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def held(divisor: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``divisor``."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor

@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words (runs of ASCII letters and digits or non-ASCII bytes of the lower-cased text) are hashed; a
-seed hashes the words under a fixed mask and ignores the masked-out positions, so a substituted word
+Words (runs of Unicode letters, marks and digits of the lower-cased text; in scripts written without spaces every such
+character) are hashed; a seed hashes the words under a fixed mask and ignores the masked-out positions, so a substituted word
 there does not hide a copy.  Seeds of the benchmark and of every position of the documents are
 joined; around each hit the document and the item are compared word by word on the
 hit's diagonal; any stretch of at least ``min(least_words, item)`` words of which ``similarity`` or more
@@ -11,20 +11,22 @@ Documents send only seeds that pass a bitmap of the benchmark's seeds.  The bitm
 whatever the benchmark's, so it is broadcast; a benchmark that fills it only lets more rows through to the join,
 which Spark plans by the measured size of its sides.
 
-Defined results: null or empty texts and items have no overlap; items below ``SHORTEST`` words are ignored and
-items shorter than a mask match exactly; equal rows of a table are reported once; rows
+Defined results: null or empty texts and items have no overlap; items below ``SHORTEST`` words match documents that
+consist of the same words, and items shorter than a mask match exactly; equal rows of a table are reported once; rows
 that repeat a doc_id with other text are compared one by one and reported under the id; a null doc_id or item_id
 is reported as null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrltok.llm.common import as_long, keyed, slices, stored
+from ctrltok.llm.common import as_long, keyed, slices, stored, without_rows
 from ctrltok.udfs import by_value
 
 by_value(__name__)
@@ -32,8 +34,23 @@ by_value(__name__)
 MASKS = ("110111", "1011011", "11001011", "1101010001")
 SHORTEST = 5
 STEP = 0xD6E8FEB86659FD93
-WORD = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 BITS = 24
+# fixed values: code points of scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, CJK)
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+            (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+NO_WORD, IN_WORD, ALONE = 0, 1, 2
+WHOLE = 0x9E3779B97F4A7C15
+_KINDS: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """For every code point whether it is no part of a word, part of one or a word of its own."""
+    if not _KINDS:
+        k = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)], np.uint8)
+        for lo, hi in UNSPACED:
+            k[lo:hi + 1] *= ALONE
+        _KINDS.append(k)
+    return _KINDS[0]
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,26 +60,26 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def lowered(column: pa.Array) -> list[bytes]:
-    return [t.lower().encode() for t in column.to_pylist()]
+def lowered(column: pa.Array) -> list[str]:
+    return [t.lower() for t in column.to_pylist()]
 
 
 class Hasher:
-    """Word hashes of a run of bytes, independent of where a word stands."""
+    """Word hashes of a text, independent of where a word stands."""
 
     def __init__(self):
         self.up = self.down = np.zeros(0, np.uint64)
 
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, start, end) of every word."""
-        b = np.frombuffer(data, np.uint8)
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end) of every word, places in code points."""
+        b = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(b) > len(self.up):
             size = max(len(b), 1 << 21)
             self.up = np.cumprod(np.full(size, STEP, np.uint64))
             self.down = np.cumprod(np.full(size, pow(STEP, -1, 1 << 64), np.uint64))
-        inside = np.r_[False, WORD[b], False]
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[::2], edge[1::2]
+        kind = np.r_[NO_WORD, kinds()[b], NO_WORD]
+        start = np.flatnonzero((kind[1:-1] == ALONE) | (kind[1:-1] == IN_WORD) & (kind[:-2] != IN_WORD))
+        end = np.flatnonzero((kind[1:-1] == ALONE) | (kind[1:-1] == IN_WORD) & (kind[2:] != IN_WORD)) + 1
         total = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.down[:len(b)])]
         h = (total[end] - total[start]) * self.up[start] if len(start) else np.zeros(0, np.uint64)
         return mixed(h, (end - start).astype(np.uint64)), start, end
@@ -85,13 +102,19 @@ def hash_of_mask(mask: str) -> int:
 
 
 def masks_of(words: int) -> tuple[str, ...]:
-    """The masks an item of so many words is found by."""
+    """The masks an item of so many words is found by (below ``SHORTEST``: its :func:`whole_seed` alone)."""
     if words < SHORTEST:
         return ()
     fitting = tuple(m for m in MASKS if len(m) <= words)
     return fitting if words >= max(map(len, MASKS)) else (*fitting, "1" * words)
 
 
+def whole_seed(words: np.ndarray) -> np.ndarray:
+    """The seed of a short text as a whole, of another kind than those inside texts (none: no words)."""
+    n = len(words)
+    return mixed(seeds(words, "1" * n), np.full(1, WHOLE, np.uint64)) if 0 < n < SHORTEST else np.zeros(0, np.uint64)
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
     """``(ik, at, seed)`` of every benchmark item."""
     def run(batches):
@@ -99,8 +122,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for b in batches:
             for ik, text in zip(b.column(0).to_pylist(), lowered(b.column(1)), strict=True):
                 w = hasher.words(text)[0]
-                for m in masks_of(len(w)):
-                    h = seeds(w, m)
+                for h in (whole_seed(w), *(seeds(w, m) for m in masks_of(len(w)))):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([ik] * len(h), pa.int64()), pa.array(np.arange(len(h))), pa.array(as_long(h))],
                         names=["ik", "at", "seed"])
@@ -130,9 +152,14 @@ def document_seeds(rows: DataFrame, lengths: list[int], allowed) -> DataFrame:
             for lo, hi in slices([len(t) for t in data]):
                 # texts are joined by separators; no seed may span two of them
                 sizes = np.array([len(t) + 1 for t in data[lo:hi]])
-                w, start, _ = hasher.words(b"\n".join(data[lo:hi]))
+                w, start, _ = hasher.words("\n".join(data[lo:hi]))
                 doc = np.searchsorted(np.cumsum(sizes), start, side="right")
-                first = np.searchsorted(doc, np.arange(hi - lo))
+                first = np.searchsorted(doc, np.arange(hi - lo + 1))
+                for i in np.flatnonzero(np.diff(first) < SHORTEST):
+                    h = whole_seed(w[first[i]:first[i + 1]])
+                    if len(h) and bits[int(h[0] >> np.uint64(64 - BITS))]:
+                        yield pa.RecordBatch.from_arrays([pa.array(dids[lo + i:lo + i + 1]), pa.array(tags[lo + i:lo + i + 1]), pa.array([0]), pa.array(as_long(h))],
+                                                         names=["did", "tag", "at", "seed"])
                 for m in masks:
                     h = seeds(w, m)
                     at = np.flatnonzero(bits[(h >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -186,6 +213,11 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonals, least: int, similarity
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, similarity: float = 0.8) -> DataFrame:
     """``doc_id, item_id, words, agreeing, similarity, doc_word, item_word``: every pair of a document and an
     item with a verified overlap, with its best stretch."""
+    return keyed_overlaps(docs, benchmark, least_words, similarity).drop("did", "tag").distinct()
+
+
+def keyed_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, similarity: float = 0.8) -> DataFrame:
+    """:func:`overlaps` with the row key ``did, tag`` of the document."""
     items = (benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
              .withColumn("ik", F.xxhash64("item_id", "text")))
     tests = stored(item_seeds(items), "seeds")
@@ -207,7 +239,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, simil
                  .groupBy("did", "tag", "ik").agg(F.collect_list("diagonal").alias("diagonals")), "seed-hits")
     # Spark broadcasts the written hits when they are small, so documents without a hit are not shuffled
     pairs = (rows.join(met, ["did", "tag"]).join(items.select("ik", "item_id", F.col("text").alias("item")), "ik")
-             .select("doc_id", "item_id", "text", "item", "diagonals"))
+             .select("doc_id", "item_id", "text", "item", "diagonals", "did", "tag"))
 
     def verify(batches):
         hasher = Hasher()
@@ -221,15 +253,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, simil
             at = pa.array([f[0] for f in found], pa.int64())
             cols = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3, 4)]
             share = pa.array([f[2] / f[1] for f in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), cols[0], cols[1], share, cols[2], cols[3]],
-                                             names=["doc_id", "item_id", "words", "agreeing", "similarity", "doc_word", "item_word"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), cols[0], cols[1], share, cols[2], cols[3],
+                                              b.column(5).take(at), b.column(6).take(at)],
+                                             names=["doc_id", "item_id", "words", "agreeing", "similarity", "doc_word", "item_word", "did", "tag"])
 
     kind = items.schema["item_id"].dataType.simpleString()
     return pairs.mapInArrow(verify, f"doc_id long, item_id {kind}, words long, agreeing long, similarity double, "
-                                    "doc_word long, item_word long").distinct()
+                                    "doc_word long, item_word long, did long, tag long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` without an overlap, all columns kept."""
-    bad = stored(overlaps(docs, benchmark, **parameters).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` without an overlap, all columns kept.  Rows are judged by their own text: of rows that repeat a
+    doc_id only those with an overlap go.  An empty table stays empty."""
+    bad = stored(keyed_overlaps(docs, benchmark, **parameters).select("did", "tag").distinct(), "contaminated")
+    return without_rows(docs, bad)

@@ -5,8 +5,12 @@ fitted by expectation maximisation on word counts; the probability of a word is
 all ways to cut it into pieces (forward algorithm), and a text's score is the product over its words.
 A character that no piece covers counts as the unknown piece.
 
+Words of up to ``LONGEST`` characters are summed together, longer ones (unspaced scripts) one by one with a running scale, so
+that segmentations over any place of a word count.
+
 Fitting uses a bounded sample: per language at most ``sample_docs`` documents, the first
-by hash of doc_id, of at most ``sample_bytes`` bytes.  Prediction covers every whole text.
+by hash of doc_id among those with a text of 1 to ``sample_bytes`` bytes, one text per id; the fit counts a longer word in parts of
+``LONGEST`` characters.  Prediction covers every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every
 text when nothing could be learned; ties go to the alphabetically first language; repeated rows are predicted alike; an
@@ -47,10 +51,12 @@ def public_pieces(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words, long ones in parts of bounded length."""
-    words = text.lower().split()
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
+    """Lower-cased words."""
+    return text.lower().split()
+
+
+def parts_of(words: list[str]) -> list[str]:
+    """Words for the fit, long ones in parts of bounded length."""
     return [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
@@ -132,12 +138,43 @@ def forward(n: int, edges, probability: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_log_probability(word: str, model: Model) -> np.ndarray:
+    """Log of the summed probability of one word of any length: the sums of the last positions with a running scale."""
+    pieces, probability = model.pieces, model.probability
+    codes = np.frombuffer((START + word).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n, width = len(codes), min(pieces.longest, len(codes))
+    ids = np.full((n + 1, width), pieces.none, np.int32)              # of the piece of k + 1 characters that ends before place
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = h[:n - k] * STEP + codes[k:]
+        found = pieces.find(h)
+        ids[k + 1:, k] = np.where(found == pieces.none, UNKNOWN, found) if k == 0 else found
+    alpha = np.zeros((width, probability.shape[1]))                   # alpha[k]: sum of the prefix that ends k + 1 characters before
+    alpha[0], scale = 1.0, np.zeros(probability.shape[1])
+    for end in range(1, n + 1):
+        here = (alpha * probability[ids[end]]).sum(axis=0)
+        alpha[1:] = alpha[:-1]
+        alpha[0] = here
+        top = alpha.max(axis=0)
+        if top.min() < 1e-200:
+            top = np.maximum(top, 1e-300)
+            alpha /= top
+            scale += np.log(top)
+    return np.log(np.maximum(alpha[0], 1e-300)) + scale
+
+
 def log_probability(words: list[str], model: Model) -> np.ndarray:
     """``[word, language]`` log of the summed probability."""
     out = np.zeros((len(words), len(model.languages)))
-    for lo in range(0, len(words), CHUNK):
-        for at, n, edges in model.pieces.lattice(words[lo:lo + CHUNK]):
-            out[lo + at] = np.log(np.maximum(forward(n, edges, model.probability)[n], 1e-300))
+    if not len(model.languages):
+        return out
+    for i in [i for i, w in enumerate(words) if len(w) > LONGEST]:
+        out[i] = long_log_probability(words[i], model)
+    short = np.array([i for i, w in enumerate(words) if len(w) <= LONGEST], np.int64)
+    for lo in range(0, len(short), CHUNK):
+        part = short[lo:lo + CHUNK]
+        for at, n, edges in model.pieces.lattice([words[i] for i in part]):
+            out[part[at]] = np.log(np.maximum(forward(n, edges, model.probability)[n], 1e-300))
     return out
 
 
@@ -185,18 +222,16 @@ def normal(weight: np.ndarray, smooth: float) -> np.ndarray:
 def learn(docs: DataFrame, vocabulary: str, sample_docs: int = 300, sample_bytes: int = 32768) -> Model:
     """Fit on documents outside the held-out fifth."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    ids = rows.select("doc_id", "lang").filter("doc_id is not null and lang is not null").filter(held(5) != 0)
-    # the sample is chosen on ids alone; Spark limits the rank before the shuffle, so a task
-    # sends at most sample_docs ids of a language, and the texts are scanned once
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_docs).select("doc_id", "lang").distinct()
+    rows = rows.filter("doc_id is not null and lang is not null").filter(held(5) != 0).filter(F.octet_length("text").between(1, sample_bytes))
+    # Spark limits the rank before the shuffle, so a task sends at most sample_docs ids of a language
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    chosen = (rows.select("lang", "doc_id", F.row_number().over(first).alias("r")).filter(F.col("r") <= sample_docs)
+              .select("doc_id", "lang").distinct())
     counts: dict[str, Counter] = {}
-    taken: Counter = Counter()
-    sample = rows.filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), ["doc_id", "lang"])
-    for r in sample.select("lang", "text").toLocalIterator():
-        taken[r.lang] += 1
-        if taken[r.lang] <= 2 * sample_docs:  # rows that repeat an id
-            counts.setdefault(r.lang, Counter()).update(words_of(r.text))
+    sample = (rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("t"))
+              .groupBy("lang", "doc_id").agg(F.min("t").alias("t")))
+    for r in sample.select("lang", "t.text").toLocalIterator():
+        counts.setdefault(r.lang, Counter()).update(parts_of(words_of(r.text)))
     return fit({k: v for k, v in counts.items() if v}, public_pieces(vocabulary))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrltok.llm.common import keyed, stored, utf8
+from ctrltok.llm.common import keyed, row_key, stored, utf8
 from ctrltok.udfs import by_value
 
 by_value(__name__)
@@ -176,13 +176,12 @@ def line_digests(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``; other columns and null texts stay as they are."""
+    """``docs`` with repeated lines removed from ``text``; other columns (whatever their names) and null texts stay as they
+    are, rows are judged by their own text, and an empty table stays empty."""
     columns = docs.columns
     rest = [c for c in columns if c != "text"]
-    rows = docs.select(F.struct(*[F.col(c) for c in rest]).alias("rest"), F.col("text").isNull().alias("none"),
-                       F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"),
-                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in rest]).alias("rest"), docs["`text`"].isNull().alias("none"),
+                       F.coalesce(docs["`text`"], F.lit("")).alias("text"), *row_key(docs))
     marked = rows.join(keep_bitmaps(keyed(docs), min_chars), ["did", "tag"], "left").select("rest", "none", "text", "bitmap")
 
     def run(batches):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrltok.llm.common import stored, texts, utf8
+from ctrltok.llm.common import keyed, row_key, stored, unpacked, utf8
 from ctrltok.udfs import by_value
 
 by_value(__name__)
@@ -60,13 +60,13 @@ def fingerprint(words: list[bytes], size: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` for every row."""
+    """``(doc_id, did, tag, fp)`` for every row."""
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t.lower().split(), shingle, seed) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t.lower().split(), shingle, seed) for t in utf8(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "did", "tag", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).select("doc_id", "did", "tag", "text").mapInArrow(run, "doc_id long, did long, tag long, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -135,21 +135,29 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row: the smallest doc_id reachable over links."""
+def grouped(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, seed: int = 42) -> DataFrame:
+    """``(doc_id, did, tag, fp, component_id)`` per row."""
     fps = stored(fingerprints(docs, shingle, seed), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(nodes.select("fp"), distance, blocks))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select(
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    grouped = stored(grouped, "simhash-groups")
-    first = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    group_of = stored(grouped.join(first, "root").select("fp", "component_id"), "simhash-components")
-    return fps.join(group_of, "fp").select("doc_id", "fp", "component_id")
+    rooted = stored(rooted, "simhash-groups")
+    first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    group_of = stored(rooted.join(first, "root").select("fp", "root", "component_id"), "simhash-components")
+    return fps.join(group_of, "fp")
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row: the smallest doc_id reachable over links."""
+    return grouped(docs, **parameters).select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its group's smallest, all columns kept."""
-    kept = near_duplicates(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of ``docs`` per group, all columns kept: the smallest doc_id (null counts as the largest), of rows that repeat it
+    the smallest text hash, and of rows equal in both the smallest hash of the whole row.  An empty table stays empty."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "did", "tag")
+    chosen = stored(grouped(docs, **parameters).groupBy("root").agg(F.min(order).alias("o")).select("o.did", "o.tag"), "simhash-chosen")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(docs))
+    kept = rows.join(chosen, ["did", "tag"], "left_semi")
+    return unpacked(kept.groupBy("did", "tag").agg(F.min_by("row", F.xxhash64("row")).alias("row")), docs.columns)

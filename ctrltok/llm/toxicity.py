@@ -8,7 +8,8 @@ leaves some frequent words out).  The shares of a
 document's windows beyond several distances go through a calibrated logistic threshold.
 
 The model is fitted on a bounded sample: at most ``sample_docs`` labelled documents a class, the
-first by hash of doc_id, of at most ``sample_bytes`` bytes each.  Each half is calibrated with dictionaries of the other half,
+first by hash of doc_id among those with a text of 1 to ``sample_bytes`` bytes, one text per id; an ordinary dictionary is trained on at
+most ``dictionary_words`` words of them.  Each half is calibrated with dictionaries of the other half,
 weighted back to the labels' class ratio; all of them train the final dictionaries.  Scoring covers every whole text.
 
 Defined results: null and empty texts get the score of a document without windows; repeated rows
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctrltok.llm.common import held, texts
+from ctrltok.llm.common import held, stored, texts, unpacked
 from ctrltok.udfs import by_value
 
 by_value(__name__)
@@ -184,7 +185,8 @@ def best_margin(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 
 def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: int = 32768, toxic_size: int = 16384,
-        n_ordinary: int = 3, n_toxic: int = 2, toxic_share: float = 0.2, ratio: float = 8.0, evidence: float = 25.0, cutoff: float = 0.7) -> Model:
+        n_ordinary: int = 3, n_toxic: int = 2, toxic_share: float = 0.2, ratio: float = 8.0, evidence: float = 25.0, cutoff: float = 0.7,
+        dictionary_words: int = 300_000) -> Model:
     """Calibrate on cross-fitted halves of the sample, then train the dictionaries on all of it.
 
     ``totals``: labelled documents of class 0 and 1, whose ratio the scores are calibrated to.  ``cutoff`` is the
@@ -203,7 +205,7 @@ def fit(sample: list[tuple[str, int]], totals: tuple[int, int], ordinary_size: i
         marked = contrasting(counts[1], counts[0], len(part[1]), len(part[0]), ratio, evidence)
         found = fragments(part[1], marked)
         size = int(np.clip(sum(map(len, found)) * toxic_share, 512, toxic_size))
-        plain = [[x for w in part[0][i::n_ordinary] for x in w][:300_000] for i in range(n_ordinary)]
+        plain = [[x for w in part[0][i::n_ordinary] for x in w][:dictionary_words] for i in range(n_ordinary)]
         return Model([trained(ordinary_size, w) for w in plain], [trained(size >> i, found) for i in range(n_toxic)], [], [], [], base)
 
     # every document is measured with dictionaries that the other half of the sample trained
@@ -231,13 +233,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4800, sample_by
     known = (labels.filter("doc_id is not null and toxic in (0, 1)").filter(held(3) != 1)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # the sample is chosen on ids alone, so the texts are scanned once
-    first = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs // (2 - k)) for k in (0, 1)]
-    rows = texts(docs).filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(first[0].union(first[1])), "doc_id")
-    found = rows.select(F.xxhash64("doc_id", "text").alias("o"), "text", "toxic").toLocalIterator()
-    taken = sorted((r.o, r.text, r.toxic) for r, _ in zip(found, range(2 * sample_docs)))
-    sample = [(text, toxic) for _, text, toxic in taken]
-    return fit(sample, (totals.get(0, 0), totals.get(1, 0)))
+    # ids are chosen among those with a text that fits; of rows that repeat an id the text with the smallest hash counts
+    fitting = texts(docs).filter(F.octet_length("text").between(1, sample_bytes))
+    usable = stored(known.join(fitting.select("doc_id"), "doc_id", "left_semi"), "toxicity-ids")
+    first = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs // (2 - k)) for k in (0, 1)]
+    rows = fitting.join(F.broadcast(first[0].union(first[1])), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("o"), "text", "toxic")
+    picked = rows.groupBy("doc_id").agg(F.min(F.struct("o", "text", "toxic")).alias("x")).select("x.*")
+    sample = sorted((r.o, r.text, r.toxic) for r in picked.toLocalIterator())
+    return fit([(text, toxic) for _, text, toxic in sample], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def scores(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
@@ -257,14 +260,16 @@ def scores(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, cutoff: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``cutoff``, all columns kept; no shuffle."""
+    """The rows of ``docs`` that score below ``cutoff``, all columns kept; no shuffle.  Rows are judged one by one by their own
+    text (null: empty), repeated rows alike, whatever the other columns; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not have this module
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(Model(**shared.value))
         for b in batches:
-            keep = [scorer.score(t or "") < cutoff for t in b.column(at).to_pylist()]
+            keep = [scorer.score(t or "") < cutoff for t in b.column(0).field(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return unpacked(rows.mapInArrow(run, rows.schema), docs.columns)

@@ -189,6 +189,17 @@ def test_decontamination_tolerates_substitutions_and_case(spark):
     assert kept == {3, 5, 8, 9, 10}
 
 
+def test_unspaced_scripts_and_short_items(spark):
+    chinese = "从前有座山山里有座庙庙里有个老和尚在讲故事给小和尚听"
+    thai = "กาลครั้งหนึ่งนานมาแล้วมีชายคนหนึ่งอาศัยอยู่ในหมู่บ้าน"
+    items = [(1, chinese), (2, thai), (3, "Yes, indeed."), (4, "«Bonjour» à tous — les amis de la maison d’été et du jardin bleu très grand")]
+    docs = ["前言：" + chinese + "。后记", "เอ๊ะ " + thai, "yes indeed", "yes indeed it is", 'bonjour à tous, les amis; de la "maison" d’été et du jardin bleu très grand!',
+            "完全不同的内容没有任何重复之处我们今天去公园玩", "Yes"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(frame(spark, docs), bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (4, 4)}
+
+
 def test_seed_masks_find_every_pattern_of_a_fifth_substituted():
     from itertools import combinations
 
@@ -364,6 +375,40 @@ def test_forward_sums_all_segmentations():
     assert model.probability[:, 0].sum() == pytest.approx(1)
 
 
+def test_long_words_sum_all_segmentations():
+    rng = random.Random(3)
+    vocabulary = {p: i for i, p in enumerate(["▁", "▁ab", "a", "b", "ab", "ba", "abba", "bab", "ccc"], 1)}
+    pieces = langid.Pieces(vocabulary)
+    probability = np.array([[rng.random() + 0.01, rng.random() + 0.01] for _ in range(pieces.size)])
+    probability[-1] = 0
+    probability /= probability.sum(axis=0)
+    model = langid.Model(pieces, ["x", "y"], probability)
+    words = ["".join(rng.choice("abcé") for _ in range(n)) for n in (3, 24, 25, 26, 60, 60, 61, 200)] + ["ab" * 3000]
+    got = langid.log_probability(words, model)
+    for w, row in zip(words, got, strict=True):
+        text = "▁" + w
+        for lang in (0, 1):
+            logs = [0.0] + [-np.inf] * len(text)
+            for end in range(1, len(text) + 1):
+                ways = []
+                for start in range(max(0, end - 4), end):
+                    i = vocabulary.get(text[start:end], 0 if end - start == 1 else None)
+                    if i is not None:
+                        ways.append(logs[start] + np.log(probability[i, lang]))
+                logs[end] = np.logaddexp.reduce(ways)
+            assert row[lang] == pytest.approx(logs[-1], rel=1e-9)
+
+
+def test_language_sample_skips_texts_that_do_not_fit(spark):
+    """A language whose first ids are long or null texts is still learned, the same from any row order."""
+    tok = pytest.importorskip("public_tokenizers")
+    rows = [(i, "x " * 40_000 if i % 3 else None, "de") for i in range(60)] + [(100 + i, "über zwölf große ärgerliche", "de") for i in range(5)]
+    rows += [(200 + i, "the quick brown fox", "en") for i in range(40)] + [(200, "another text of it", "en")]
+    a, b = (langid.learn(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(3), str(tok.path("piece_bpe_32k.model")), sample_docs=5)
+            for r in (rows, rows[::-1]))
+    assert a.languages == b.languages == ["de", "en"] and (a.probability == b.probability).all()
+
+
 def test_language_held_out_accuracy(spark):
     path = str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
