@@ -49,6 +49,8 @@ START, OFFSET = 14, 7
 PLACE = ["did", "tag", "at"]
 HELD = ["kh", "ch", *PLACE]
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LEAST = 20_000, 1 << 16, 8
+# positions, and windows, that one step of a task sorts together
+SETTLED_TOGETHER, WINDOWS_TOGETHER = 500_000, 250_000
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,7 +174,7 @@ def core_rows(rows: DataFrame, crowded=None) -> DataFrame:
                 own = text[s]
                 at = first << START | (pos - lo) << OFFSET | (hi - lo)
                 parts.append((as_long(kh), as_long(ch), dids[own], tags[own], at))
-                if sum(len(p[0]) for p in parts) > 1_500_000:
+                if sum(len(p[0]) for p in parts) > SETTLED_TOGETHER:
                     yield from settle(parts)
                     parts = []
             if parts:
@@ -183,14 +185,15 @@ def core_rows(rows: DataFrame, crowded=None) -> DataFrame:
         o = np.lexsort((*reversed(place), ch, kh))
         kh, ch, place = kh[o], ch[o], [x[o] for x in place]
         first, later = repeats([kh, ch], place)
-        hot = np.isin(kh, crowded.value) if crowded is not None else np.zeros(len(kh), bool)
-        elsewhere = spread(place)
+        known = crowded.value if crowded is not None else np.zeros(0, np.int64)
         for lo in range(0, len(kh), 1 << 17):
             s = slice(lo, lo + (1 << 17))
             f, r = first[s], later[s] & ~first[s]
             take = f | r
-            yield batch({"kh": np.where(f, kh[s], elsewhere[s])[take], "ch": np.where(f, ch[s], 0)[take],
-                         **{n: x[s][take] for n, x in zip(PLACE, place, strict=True)}, "hot": (hot[s] & f)[take]})
+            here = [x[s][take] for x in place]
+            k, f = kh[s][take], f[take]
+            hot = f & (known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k) if len(known) else np.zeros(len(k), bool)
+            yield batch({"kh": np.where(f, k, spread(here)), "ch": np.where(f, ch[s][take], 0), **dict(zip(PLACE, here, strict=True)), "hot": hot})
 
     return rows.select("did", "tag", "text").mapInArrow(run, "kh long, ch long, did long, tag long, at long, hot boolean")
 
@@ -298,6 +301,7 @@ def open_windows(bodies: DataFrame, asked: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple[int, int, int, int, bytes]] = []
             wide: list[tuple[np.ndarray, ...]] = []
+            windows = 0
             for did, tag, body, places, cores in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 data = inflate.decompress(body)
                 for place, kh in zip(places, cores, strict=True):
@@ -311,12 +315,13 @@ def open_windows(bodies: DataFrame, asked: DataFrame) -> DataFrame:
                         name = names(raw, WIDTH)
                         wide.append((as_long(mixed(np.full(len(name), kh & (1 << 64) - 1, np.uint64), name)), as_long(names(raw, WIDTH, OTHER)),
                                      np.full(len(name), did), np.full(len(name), tag), (lo + np.arange(len(name))) << START))
+                        windows += len(name)
                 if len(out) > 20_000:
                     yield small(out)
                     out = []
-                if len(wide) > 20_000:
+                if windows > WINDOWS_TOGETHER:
                     yield from large(wide)
-                    wide = []
+                    wide, windows = [], 0
             if out:
                 yield small(out)
             if wide:
@@ -417,7 +422,7 @@ def repeated_windows(batches):
 
 def repeated_pieces(rows: DataFrame, bodies: DataFrame) -> DataFrame:
     """``did, tag, piece``: stretches of bytes that go, as ``start << 8 | length``."""
-    crowded = rows.sparkSession.sparkContext.broadcast(np.array(crowded_cores(rows), np.int64))
+    crowded = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(crowded_cores(rows), np.int64)))
     deal = F.when(F.col("hot"), F.xxhash64("kh", "ch")).otherwise(F.col("kh"))
     cores = (core_rows(rows, crowded).repartition(deal).sortWithinPartitions((F.col("ch") == 0).cast("int"), *HELD)
              .mapInArrow(rank_cores, "kind int, kh long, did long, tag long, at long"))
