@@ -41,6 +41,7 @@ LONG = 48
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DISTANCES = (2, 3, 4, 5, 6)
 CACHE = 400_000
+SLACK = 0.01
 
 
 @dataclass
@@ -176,10 +177,12 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, st
 
 
 def best_margin(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """The margin above which predicting label 1 has the best weighted F1 (between two sample margins)."""
+    """The margin above which predicting label 1 has the best weighted F1 (between two sample margins); of those within
+    ``SLACK`` of the best the highest one, which leaves most documents alone."""
     o = np.argsort(-margin)
     hit, taken = np.cumsum(w[o] * y[o]), np.cumsum(w[o])
-    i = int(np.argmax(2 * hit / (taken + (w * y).sum())))
+    f1 = 2 * hit / (taken + (w * y).sum())
+    i = int(np.argmax(f1 >= (1 - SLACK) * f1.max()))
     after = margin[o][min(i + 1, len(o) - 1)]
     return float((margin[o][i] + after) / 2)
 
