@@ -99,13 +99,11 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) ->
     (ascending doc_id, rows of one id by their text's hash, a null id first; equal rows are one document here).  A
     document sends only the quarter that its predecessor needs, with its sketch."""
     rows = keyed(docs).select("did", "tag", "text")  # the same columns in both joins: their shuffle is reused
-    ids = stored(rows.withColumn("n", F.char_length("text")).groupBy("did", "tag", "n").agg(F.count("*").alias("copies")), "ids")
-    follow = successors(ids.select("did", "tag", "n")).select(
+    ids = stored(rows.select("did", "tag", F.char_length("text").alias("n")).distinct(), "ids")
+    follow = successors(ids).select(
         F.col("next_did").alias("did"), F.col("next_tag").alias("tag"),
         F.col("did").alias("for_did"), F.col("tag").alias("for_tag"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    heads = rows.join(follow, ["did", "tag"])
-    if ids.filter("copies > 1").limit(1).count():
-        heads = heads.dropDuplicates(["for_did", "for_tag"])
+    heads = rows.join(follow, ["did", "tag"]).dropDuplicates(["for_did", "for_tag"])
     heads = with_sketch(heads, "text", "next_sketch", k, shingle).select(
         F.col("for_did").alias("did"), F.col("for_tag").alias("tag"), F.expr("substring(text, 1, need)").alias("head"), "next_sketch")
     joined = rows.join(heads, ["did", "tag"]).withColumn("n", F.char_length("text"))
