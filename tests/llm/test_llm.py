@@ -227,6 +227,79 @@ def test_copies_with_any_fifth_substituted_overlap(spark):
     assert all(r.similarity >= 0.8 and r.words >= 13 for r in got)
 
 
+def linked(rows):
+    """Pairs of a document and an item that rows and classes of overlaps stand for."""
+    classes = {}
+    for r in rows:
+        docs, items = classes.setdefault((r.class_id, None if r.class_id is not None else (r.doc_id, r.item_id)), (set(), set()))
+        docs.add(r.doc_id)
+        items.add(r.item_id)
+    return {(d, i) for docs, items in classes.values() for d in docs for i in items}
+
+
+def brute_overlaps(docs, items):
+    hasher, out = decontam.Hasher(), set()
+    words = {(k, i): hasher.words((t or "").lower())[0] for k, rows in (("d", docs), ("i", items)) for i, t in rows}
+    for d, _ in docs:
+        for i, _ in items:
+            a, b = words["d", d], words["i", i]
+            if 0 < len(b) < decontam.SHORTEST:
+                found = len(a) == len(b) and (a == b).all()
+            else:
+                found = decontam.overlap(a, b, range(-len(b), len(a) + 1), 13, 0.8) if len(b) else None
+            if found:
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_classes_equal_all_pairs(spark):
+    rng = random.Random(12)
+    own = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(400)}" for _ in range(n)]
+    lines = [own(n) for n in (17, 14, 24, 40)]
+    items = []
+    for _ in range(45):
+        w = own(rng.randrange(3, 12))
+        for line in rng.sample(lines, rng.randrange(0, 3)):
+            w += line[rng.choice([0, 0, 0, 4]):] + own(rng.randrange(0, 9))
+        items.append(w if len(w) > 12 else w[:4] if rng.random() < 0.3 else w + own(13))
+    items += [items[k] for k in (0, 1, 2, 3)] + [["yes", "indeed"]] * 3
+    docs = []
+    for _ in range(120):
+        w = own(rng.randrange(0, 30))
+        for _ in range(rng.randrange(0, 3)):
+            part = list(rng.choice(rng.choice([lines, items])))
+            if rng.random() < 0.5:  # a fragment
+                lo = rng.randrange(len(part))
+                part = part[lo:lo + rng.randrange(5, 30)]
+            for _ in range(int(len(part) * rng.choice([0, 0, 0.1, 0.2, 0.25]))):
+                part[rng.randrange(len(part))] = "other"
+            w += part + own(rng.randrange(0, 20))
+        docs.append(" ".join(w))
+    docs += ["Yes, indeed", "yes indeed", None]
+    bench = [(i, " ".join(w).capitalize()) for i, w in enumerate(items)] + [(0, "another text under an id that is taken")]
+    want = brute_overlaps(list(enumerate(docs)), bench[:-1])
+    got = decontam.overlaps(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string").repartition(4)).collect()
+    assert linked(got) == want and len(want) > 300
+    assert any(r.class_id is not None and r.n_items > 3 for r in got) and any(r.class_id is None for r in got)
+    assert all(r.similarity >= 0.8 and r.words == r.agreeing / r.similarity for r in got)
+    kept = {r.doc_id for r in decontam.drop_contaminated(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert kept == set(range(len(docs))) - {d for d, _ in want}
+
+
+def test_decontamination_shared_line_is_linear(spark):
+    rng = random.Random(13)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    line = own(17)
+    changed = " ".join("other" if k == 8 else w for k, w in enumerate(line.split()))
+    items = [(i, own(10) + " " + line + " " + own(10)) for i in range(300)]
+    docs = [own(20) + " " + (line if d % 3 else changed) + " " + own(20) for d in range(300)]
+    got = decontam.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) < 700 and {(r.n_items, r.words >= 13) for r in got} == {(300, True)}
+    assert {r.doc_id for r in got} == set(range(300)) and {r.item_id for r in got} == set(range(300))
+    first = {(r.doc_id, r.item_id): r for r in got}
+    assert first[1, 0].doc_word == 20 and first[1, 0].item_word == 10 and first[1, 0].words == 17
+
+
 def test_best_stretch_against_all_stretches():
     rng = np.random.default_rng(3)
     for _ in range(2000):
