@@ -371,7 +371,7 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13,
     around = (tried.filter("words is null").select("did", "tag", "target", F.explode("diagonals").alias("d"))
               .join(members.select("target", "ik", "at"), "target").select("did", "tag", F.col("ik").alias("target"), (F.col("d") - F.col("at")).alias("d")))
     direct = met.filter("not shared").select(*key, F.explode("diagonals").alias("d"))
-    met_items = direct.unionByName(around).distinct().groupBy(*key).agg(F.collect_list("d").alias("diagonals"))
+    met_items = stored(direct.unionByName(around).distinct().groupBy(*key).agg(F.collect_list("d").alias("diagonals")), "item-hits")
     whole = items.select(F.col("ik").alias("target"), F.col("text").alias("passage"))
     pairs = compared(met_items, rows, whole, least_words, similarity).filter("words is not null").join(
         items.select(F.col("ik").alias("target"), "item_id"), "target")
