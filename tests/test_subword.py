@@ -130,3 +130,30 @@ def test_roundtrip_with_a_piece_table(spark):
     assert checked == {0: (True, True), 1: (False, True), 2: (False, True), 3: (False, False)}
     joined = {r.line_no: (r.same_raw, r.same_cleaned) for r in AU.roundtrip(df, "original", "processed", True, pieces=True, segmenter=seg).collect()}
     assert joined[2] == (True, False)                                # the stored pieces keep what the table cannot decode
+
+
+def test_batches_are_cut_into_bounded_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from ctrltok.udfs import bounded_ranges
+
+    assert list(bounded_ranges(np.array([3, 3, 9, 0, 4]), 6)) == [(0, 2), (2, 3), (3, 5)] and list(bounded_ranges(np.array([], int), 6)) == []
+    monkeypatch.setattr(SW, "SLICE_BYTES", 8)
+    monkeypatch.setattr(SW, "SLICE_PIECES", 3)
+    seg = SW.Segmenter(SCORES)
+    texts = ["ab ba", None, "", "abc ab cab axxyb", "é"] * 3
+    lists = SW._piece_lists(seg, pa.array(texts).slice(2))
+    assert lists.to_pylist() == [seg.pieces(t) for t in texts[2:]]
+    assert SW._decoded(seg, lists).to_pylist() == [seg.decode(seg.pieces(t)) for t in texts[2:]]
+    assert SW._piece_lists(seg, pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_worker_holds_each_piece_once_and_no_long_words():
+    seg = SW.Segmenter(SCORES)
+    long = "▁" + "ab" * 500
+    assert seg.word(long) == seg.segment(long) and long not in seg.cache
+    first, second = seg.word("▁abab"), seg.word("▁babab")
+    assert "▁abab" in seg.cache
+    own = {p: p for p in seg.scores}
+    assert all(p is seg.own[p] for p in first + second if p in own)
