@@ -15,36 +15,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ctrltok.udfs import by_value
+from ctrltok.udfs import bounded_ranges, by_value, shared
 
 #: Bounds of a rank dictionary.
 MOST_WORDS = 1 << 22
 MOST_BYTES = 1 << 27
+#: Words that are hashed together, and tokens that are looked up together (a longer text alone).
+SLICE_WORDS = 1 << 16
+SLICE_TOKENS = 1 << 17
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
 
 
 class RankDictionary:
-    """Words and ranks by language, and the vocabulary sizes."""
+    """Words and ranks by language, and the vocabulary sizes.  A language's words are ordered by a 64-bit hash: a look-up is a
+    binary search and a comparison of the words themselves, so it needs no memory that grows with the dictionary."""
 
     def __init__(self, table: pa.Table):
-        self.langs: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        self.langs: dict[str, tuple[np.ndarray, pa.Array, np.ndarray]] = {}
+        self.equal_hashes: dict[str, int] = {}
         codes = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else None
         for k, lang in enumerate(codes.dictionary.to_pylist() if codes is not None else []):
             own = table.filter(pc.equal(codes.indices, k))
-            self.langs[lang] = (own.column("word").combine_chunks().cast(pa.string()), own.column("rank").to_numpy().astype(np.float64))
+            words = own.column("word").combine_chunks().cast(pa.string())
+            hashes = np.concatenate([_hashes(words.slice(lo, SLICE_WORDS)) for lo in range(0, len(words), SLICE_WORDS)])
+            order = np.argsort(hashes, kind="stable")
+            hashes, ranks = hashes[order], own.column("rank").to_numpy().astype(np.float64)[order]
+            self.langs[lang] = hashes, words.take(pa.array(order)), ranks
+            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            self.equal_hashes[lang] = int(np.diff(np.r_[starts, len(hashes)]).max())
+
+    def vocabulary(self, lang: str) -> int:
+        return len(self.langs[lang][2])
 
     def log_ranks(self, words: pa.Array, lang: str) -> np.ndarray:
         """``ln(rank + 1)`` of every word, ``ln(vocabulary + 1)`` for unknown ones."""
-        known, ranks = self.langs[lang]
-        at = pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False)
-        return np.log(np.where(at >= 0, ranks[at], float(len(known))) + 1.0)
+        hashes, known, ranks = self.langs[lang]
+        codes = words.dictionary_encode()
+        distinct, found = codes.dictionary, np.full(len(codes.dictionary), float(len(known)))
+        first = np.searchsorted(hashes, _hashes(distinct))
+        missing = np.ones(len(distinct), bool)
+        for k in range(self.equal_hashes[lang]):
+            at = np.minimum(first + k, len(known) - 1)
+            same = pc.equal(known.take(pa.array(at)), distinct).fill_null(False).to_numpy(zero_copy_only=False) & missing
+            found[same] = ranks[at[same]]
+            missing &= ~same
+        return np.log(np.append(found, float(len(known)))[codes.indices.fill_null(len(distinct)).to_numpy(zero_copy_only=False)] + 1.0)
+
+
+class TooManyRanks(ValueError):
+    """The rank table exceeds the bounds of a dictionary."""
 
 
 def load_ranks_dictionary(ranks: DataFrame, most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES) -> RankDictionary:
-    """The dictionary of a rank table ``(lang, word, rank)``; a larger one than the bounds is refused."""
-    table = ranks.select("lang", "word", F.col("rank").cast("long").alias("rank")).limit(most_words + 1).toArrow()
-    if table.num_rows > most_words or table.nbytes > most_bytes:
-        raise ValueError(f"the rank table exceeds {most_words} words or {most_bytes} bytes: join it instead")
-    return RankDictionary(table)
+    """The dictionary of a rank table ``(lang, word, rank)``; a larger one than the bounds is refused, by its size and before any
+    of it is fetched."""
+    size = F.length(F.encode("word", "utf-8")) + F.length(F.encode("lang", "utf-8")) + 16
+    n, total = ranks.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n > most_words or total > most_bytes:
+        raise TooManyRanks(f"the rank table exceeds {most_words} words or {most_bytes} bytes: join it instead")
+    return RankDictionary(ranks.select("lang", "word", F.col("rank").cast("long").alias("rank")).toArrow())
 
 
 def quantiles(values: np.ndarray, sizes: np.ndarray, q: float) -> np.ndarray:
@@ -64,18 +96,22 @@ def quantiles(values: np.ndarray, sizes: np.ndarray, q: float) -> np.ndarray:
 def rank_quantile(dictionary: RankDictionary, quantile: float = 0.75):
     """``(admitted tokens, lang) -> statistic``: NULL for a language without ranks, the out-of-vocabulary value for a text
     without tokens."""
-    @F.pandas_udf(DoubleType())
-    def run(tokens: pd.Series, lang: pd.Series) -> pd.Series:
+    held = shared(dictionary)
+
+    @F.arrow_udf(DoubleType())
+    def run(tokens: pa.Array, lang: pa.Array) -> pa.Array:
+        known, codes = held(), lang.dictionary_encode()
+        place = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         out = np.full(len(tokens), np.nan)
-        for code in lang.dropna().unique():
-            if code in dictionary.langs:
-                at = np.flatnonzero((lang == code).to_numpy())
-                lists = [t if t is not None else [] for t in tokens.iloc[at]]
-                sizes = np.array([len(t) for t in lists], np.int64)
-                flat = pa.array(np.concatenate(lists) if sizes.sum() else [], pa.string())
-                found = quantiles(dictionary.log_ranks(flat, code), sizes, quantile)
-                out[at] = np.where(sizes > 0, found, np.log(len(dictionary.langs[code][0]) + 1.0))
-        return pd.Series(out).where(~np.isnan(out), None).astype("float64")
+        for k, code in enumerate(codes.dictionary.to_pylist()):
+            if code in known.langs:
+                rows = np.flatnonzero(place == k)
+                for lo, hi in bounded_ranges(sizes[rows], SLICE_TOKENS):
+                    at = rows[lo:hi]
+                    found = quantiles(known.log_ranks(tokens.take(pa.array(at)).flatten().cast(pa.string()), code), sizes[at], quantile)
+                    out[at] = np.where(sizes[at] > 0, found, np.log(known.vocabulary(code) + 1.0))
+        return pa.array(out, mask=np.isnan(out))
 
     def apply(tokens: Column, lang: Column) -> Column:
         x = run(tokens, lang)

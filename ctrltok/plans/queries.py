@@ -309,8 +309,13 @@ def q_freq_abs(spark, sf_dir):
 
 @query("freq_row")
 def q_freq_row(spark, sf_dir):
-    """The frequency statistic inside the row, with the rank table as a dictionary."""
-    st = FE.row_frequency_stats(TB.conversation_pairs(spark, sf_dir), RS.load_ranks_dictionary(doc_ranks(spark, sf_dir)))
+    """The frequency statistic inside the row, with the rank table as a dictionary; a rank table beyond a dictionary's
+    bounds is joined, once per distinct text."""
+    pairs, ranks = TB.conversation_pairs(spark, sf_dir), doc_ranks(spark, sf_dir)
+    try:
+        st = FE.row_frequency_stats(pairs, RS.load_ranks_dictionary(ranks))
+    except RS.TooManyRanks:
+        st = FE.frequency_stats_by_text(pairs, ranks)
     return st.select("pair_id", r6("freq_source").alias("freq_source"), r6("freq_target").alias("freq_target"))
 
 

@@ -294,3 +294,49 @@ def test_weighted_match_against_numpy(spark):
     base = spark.createDataFrame([(0.5, 0.0, 1.0)], "base_precision double, base_recall double, base_f1 double")
     one = spark.createDataFrame([(1, 2, 0.75, 0.25, 0.5)], "cand int, ref int, precision double, recall double, f1 double")
     assert tuple(ME.rescaled(one, base).first())[2:] == (0.5, 0.25, None)
+
+
+# bounded memory
+
+
+def test_dictionary_look_up_with_equal_hashes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.table({"lang": ["en"] * 4 + ["de"], "word": ["a", "b", "c", "é", "a"], "rank": [1, 2, 3, 4, 9]})
+    words = pa.array(["é", "x", None, "a", "c", "c", "b"])
+    want = [math.log(r + 1.0) for r in (4, 4, 4, 1, 3, 3, 2)]
+    for hashes in (None, lambda w: np.zeros(len(w), np.uint64), lambda w: np.array([len(x or "") and ord((x or "x")[0]) % 2 for x in w.to_pylist()], np.uint64)):
+        if hashes:
+            monkeypatch.setattr(RS, "_hashes", hashes)
+        d = RS.RankDictionary(table)
+        assert np.allclose(d.log_ranks(words, "en"), want) and np.allclose(d.log_ranks(pa.array(["a", "b"]), "de"), [math.log(10.0), math.log(2.0)])
+
+
+def test_freq_row_joins_a_rank_table_beyond_the_dictionary(spark, tmpdir_path, monkeypatch):
+    from ctrltok.plans import queries as Q
+
+    text = ["Alpha beta gamma", "beta delta", "the !", "gamma Alpha beta beta", ""]
+    conv = [(c, t, "user", text[(c + t) % 5]) for c in range(6) for t in range(4)]
+    spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").write.parquet(f"{tmpdir_path}/conversations.parquet")
+    docs = [(i, text[i % 5] + " beta", "en", "web") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    want = sorted(map(tuple, Q.q_freq_row(spark, tmpdir_path).collect()))
+    load = RS.load_ranks_dictionary
+    monkeypatch.setattr(RS, "load_ranks_dictionary", lambda ranks: load(ranks, most_words=2))
+    assert sorted(map(tuple, Q.q_freq_row(spark, tmpdir_path).collect())) == want and len(want) == 18
+
+
+def test_few_tokens_are_counted_together(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    assert NG.GROUP_TOKENS <= 1 << 16
+    lists = [pa.array([[f"t{i % 997}" for i in range(NG.GROUP_TOKENS // 2)]]) for _ in range(2)]
+    tracemalloc.start()
+    for _ in NG._counts(lists, 4):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20
