@@ -3,11 +3,11 @@ substitution costs 2), in code points; two empty strings have similarity 1.
 
 Spark's ``levenshtein`` counts a substitution as 1 and is therefore a
 different function.  The LCS length uses the bit-parallel recurrence of
-Allison & Dix (1986) / Hyyrö (2004), ``V = (V + (V & M)) | (V & ~M)``, on uint64 words for many pairs
+Allison & Dix (1986) / Hyyrö (2004), ``V = (V + (V & M)) | (V & ~M)``, on 63 bits of uint64 words for many pairs
 at once: a pair's shorter text lies along the bits of its words, and the longer one is read
 as a wavefront, word w being w characters behind word 0, so that a word's carry into the next one is ready one step
-later.  A step is a handful of numpy operations on a (pairs x words) matrix; the number of steps is the longest
-text's length, and a pair costs |a| |b| / 64 word operations.  Pairs of a batch are ordered by length and
+later.  A step is a handful of numpy operations on a (words x pairs) matrix; the number of steps is the longest
+text's length, and a pair costs |a| |b| / 63 word operations.  Pairs of a batch are ordered by length and
 cut into groups of at most ``GROUP_CELLS`` matrix entries (a longer pair alone).
 """
 
@@ -22,8 +22,9 @@ from pyspark.sql.types import DoubleType
 from ctrltok.udfs import by_value
 
 GROUP_CELLS = 1 << 18
-WORD = 64
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits of a text in a word; the word's highest bit is the carry of the sum.
+WORD = 63
+ALL = np.uint64((1 << WORD) - 1)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,30 +48,28 @@ def _group_lcs(short: list[str], long: list[str]) -> np.ndarray:
     order = np.argsort(cell, kind="stable")
     first = np.flatnonzero(np.r_[True, np.diff(cell[order]) > 0])
     masks[cell[order][first]] = np.bitwise_or.reduceat(np.uint64(1) << (at_b % WORD).astype(np.uint64)[order], first)
-    # the long texts as mask rows, with room for the wavefront at both ends
+    # the long texts as mask rows, a step in each line, with room for the wavefront at both ends
     key_a = np.repeat(np.arange(pairs), na) << 21 | a
     found = np.minimum(np.searchsorted(keys, key_a), len(keys) - 1)
-    rows = np.zeros((pairs, steps + 2 * words), np.int64)
-    rows[np.repeat(np.arange(pairs), na), words + np.arange(len(a)) - np.repeat(a0[:-1], na)] = np.where(keys[found] == key_a, found + 1, 0)
+    rows = np.zeros((steps + 2 * words, pairs), np.int64)
+    rows[words + np.arange(len(a)) - np.repeat(a0[:-1], na), np.repeat(np.arange(pairs), na)] = np.where(keys[found] == key_a, found + 1, 0)
     rows *= words
-    shape = (pairs, words)
-    v, carry, out = np.full(shape, ALL), np.zeros(shape, np.uint64), np.zeros(shape, bool)
-    cells, m, u, more = np.empty(shape, np.int64), np.empty(shape, np.uint64), np.empty(shape, np.uint64), np.zeros(shape, bool)
-    lane = np.arange(words)
+    shape = (words, pairs)
+    v, carry, top = np.full(shape, ALL), np.zeros((words + 1, pairs), np.uint64), np.uint64(WORD)
+    cells, m, u = np.empty(shape, np.int64), np.empty(shape, np.uint64), np.empty(shape, np.uint64)
+    lane = np.arange(words)[:, None]
     for t in range(steps + words - 1):
-        np.add(rows[:, t + 1:t + words + 1][:, ::-1], lane, out=cells)
+        np.add(rows[t + words:t:-1], lane, out=cells)
         np.take(masks, cells, out=m, mode="clip")
         np.bitwise_and(v, m, out=u)
-        np.add(v, u, out=m)                                 # the sum; a smaller sum than an addend has a carry
+        np.add(v, u, out=m)
         np.bitwise_xor(v, u, out=v)
-        np.less(m, u, out=out)
         if words > 1:
-            np.add(m, carry, out=m)
-            np.less(m, carry, out=more)
-            np.logical_or(out, more, out=out)
-            carry[:, 1:] = out[:, :-1]
+            np.add(m, carry[:words], out=m)                 # word w's carry enters word w + 1 a step later
+            np.right_shift(m, top, out=carry[1:])
         np.bitwise_or(v, m, out=v)
-    return np.bitwise_count(~v).sum(axis=1).astype(np.int64)
+        np.bitwise_and(v, ALL, out=v)
+    return np.bitwise_count(~v & ALL).sum(axis=0).astype(np.int64)
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:

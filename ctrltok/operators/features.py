@@ -8,7 +8,8 @@ table and aggregated back per pair; the pairs are hash-partitioned by
 ``pair_id`` once, up front, so that the explode, the (AQE-broadcast) rank join,
 the per-pair aggregation and the join back all reuse that one partitioning.
 
-Two other ways give the same statistic: a rank dictionary of checked size
+Three other ways give the same statistic: :class:`HeadedRanks` computes it in the row from the most frequent words and joins ranks
+only for texts whose quantile lies beyond them, a rank dictionary of checked size
 (:mod:`ctrltok.functions.rankstat`) computes it inside the row, without explode, join or aggregation (the
 way of streams), and :func:`frequency_stats_by_text` computes it once per distinct text.
 """
@@ -16,6 +17,7 @@ way of streams), and :func:`frequency_stats_by_text` computes it once per distin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +160,50 @@ def row_frequency_stats(pairs: DataFrame, ranks: RS.RankDictionary, quantile: fl
     return df.drop(*[f"_toks_{s}" for s in sides])
 
 
+class HeadedRanks(NamedTuple):
+    """A rank table and its most frequent words as a dictionary of bounded size."""
+
+    table: DataFrame
+    head: RS.RankHead
+
+
+def headed(ranks: DataFrame, langs: Iterable[str] | None = None) -> HeadedRanks:
+    """``ranks`` with the head of the given languages (else of all); pairs may be in other languages too."""
+    return HeadedRanks(ranks, RS.load_rank_head(ranks, langs))
+
+
+def headed_frequency_stats(pairs: DataFrame, ranks: HeadedRanks, quantile: float = 0.75, sides: Iterable[str] = SIDES,
+                           tokenizer: Tokenizer | None = None) -> DataFrame:
+    """:func:`frequency_stats` by projection for the texts whose quantile the head of the rank table decides; only the others' tokens
+    are exploded and joined, and the pairs are then stored in between.  Rows that share a ``pair_id`` are one group of tokens
+    there, so they are among the others.  Whether there are others is looked up when this is called."""
+    sides, near, head = list(sides), RS.rank_neighbours(ranks.head, quantile), ranks.head
+    df = pairs.withColumns({f"_toks_{s}": tokens_of(pairs, s, tokenizer) for s in sides})
+    df = df.withColumns({f"_near_{s}": near(T.admitted_tokens(f"_toks_{s}", "lang"), F.col("lang")) for s in sides})
+    repeated = pairs.where("pair_id is not null").groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    some_repeat = not repeated.isEmpty()
+    beyond = sorted(set(head.vocabularies) - head.whole)
+    some_open = bool(beyond) and not pairs.where(F.col("lang").isin(beyond)).isEmpty()
+    if some_repeat or some_open:
+        if some_repeat:
+            df = df.join(repeated.withColumn("_again", F.lit(True)), "pair_id", "left")
+        again = F.coalesce("_again", F.lit(False)) if some_repeat else F.lit(False)
+        is_open = {s: again | F.coalesce(F.col(f"_near_{s}")[RS.HIGH] == float("inf"), F.lit(False)) for s in sides}
+        df = materialize(df.withColumns({f"_toks_{s}": F.when(is_open[s], F.col(f"_toks_{s}")) for s in sides}).drop("_again"), "head")
+        rest = df.select("pair_id", "lang", *[F.col(f"_toks_{s}").alias(f"{s}_tokens") for s in sides])
+        lr = log_ranks(side_tokens(rest, sides), ranks.table)
+        # stored, so that its measured size decides the join
+        stats = materialize(lr.groupBy("pair_id").agg(
+            *[F.percentile(F.when(F.col("side") == SIDES.index(s), F.col("lr")), quantile).alias(f"_q_{s}") for s in sides]), "head")
+        df = df.join(stats, "pair_id", "left")
+    else:
+        df = df.withColumns({f"_q_{s}": F.lit(None).cast("double") for s in sides})
+    # a row without a pair_id belongs to no group of tokens
+    oov = {s: F.when(F.col("pair_id").isNull(), F.ln(F.col(f"_near_{s}")[RS.UNKNOWN] + 1.0)) for s in sides}
+    df = df.withColumns({f"freq_{s}": F.coalesce(oov[s], f"_q_{s}", RS.log_quantile(F.col(f"_near_{s}"))) for s in sides})
+    return df.drop(*[f"{c}_{s}" for s in sides for c in ("_toks", "_near", "_q")])
+
+
 TEXT_KEY = ["lang", "_t1", "_t2"]
 
 
@@ -193,10 +239,11 @@ def by_pair(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     return pairs.repartition(key)
 
 
-def with_frequency(pairs: DataFrame, ranks: DataFrame | RS.RankDictionary, absolute: bool = False, out: str = "exact_frequency",
+def with_frequency(pairs: DataFrame, ranks: DataFrame | RS.RankDictionary | HeadedRanks, absolute: bool = False, out: str = "exact_frequency",
                    tokenizer: Tokenizer | None = None) -> DataFrame:
-    """The frequency ratio (or the target's statistic); a rank dictionary makes it a projection."""
-    stats = row_frequency_stats if isinstance(ranks, RS.RankDictionary) else frequency_stats
+    """The frequency ratio (or the target's statistic); a rank dictionary makes it a projection, headed ranks nearly one."""
+    headed_form = headed_frequency_stats if isinstance(ranks, HeadedRanks) else frequency_stats
+    stats = row_frequency_stats if isinstance(ranks, RS.RankDictionary) else headed_form
     if absolute:
         st = stats(pairs, ranks, sides=["target"], tokenizer=tokenizer)
         return st.withColumn(out, F.col("freq_target")).drop("freq_target")
@@ -209,14 +256,14 @@ def with_frequency(pairs: DataFrame, ranks: DataFrame | RS.RankDictionary, absol
 # Bundle
 # ---------------------------------------------------------------------------
 
-def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | RS.RankDictionary | None = None,
+def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame | RS.RankDictionary | HeadedRanks | None = None,
                    binned: bool = True, tokenizer: Tokenizer | None = None,
                    parse: Parse | DataFrame | str | None = None, partitioned: bool = False) -> DataFrame:
     """Add ``exact_<feature>`` (and ``bin_<feature>``, ``bin_idx_<feature>``) for the
     requested features only; unrequested branches never enter the plan.  ``dependency`` needs a
     ``parse`` (see :func:`depth_columns`).  ``partitioned``: the pairs are already hash-partitioned by
     ``pair_id`` (a bucketed table), so the frequency feature does not shuffle them; with a rank dictionary it
-    never does."""
+    never does, with headed ranks only when some quantile lies beyond the head or a ``pair_id`` repeats."""
     fs = sorted(set(features))
     unknown = set(fs) - set(B.FEATURES)
     if unknown:
@@ -226,7 +273,7 @@ def feature_bundle(pairs: DataFrame, features: Iterable[str], ranks: DataFrame |
     if "frequency" in fs:
         if ranks is None:
             raise ValueError("the frequency feature needs a rank table")
-        local_ranks = partitioned or isinstance(ranks, RS.RankDictionary)
+        local_ranks = partitioned or isinstance(ranks, (RS.RankDictionary, HeadedRanks))
         df = with_frequency(df if local_ranks else by_pair(df), ranks, tokenizer=tokenizer)
     local = {}
     if "dependency" in fs:

@@ -57,7 +57,7 @@ def r6(c) -> F.Column:
 _TABLES: dict[tuple, DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+def _once(spark: SparkSession, sf_dir: str, name: str, inputs: list[str], make: Callable):
     """A stored table that several queries read: built once per session for the files of its ``inputs`` (written to the
     checkpoint folder); other files under the same folder make a new one."""
     files = [f for t in inputs for f in sorted(TB.table(spark, sf_dir, t).inputFiles())]
@@ -74,6 +74,11 @@ def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
                  lambda: R.ranks_from_corpus(TB.table(spark, sf_dir, "documents").select("lang", "text")))
 
 
+def _headed_ranks(spark: SparkSession, sf_dir: str) -> FE.HeadedRanks:
+    """The same rank table with its head, for the feature bundles."""
+    return _once(spark, sf_dir, "headed ranks", ["documents"], lambda: FE.headed(doc_ranks(spark, sf_dir), [TB.CONVERSATION_LANG]))
+
+
 def _pairs(spark, sf_dir):
     """The pair corpus, derived and tokenised once."""
     return _once(spark, sf_dir, "pairs", ["conversations"], lambda: FE.prepare_pairs(TB.conversation_pairs(spark, sf_dir)))
@@ -88,7 +93,7 @@ CONTROL_FEATURES = B.FEATURES
 
 @query("control_corpus")
 def q_control_corpus(spark, sf_dir):
-    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
+    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=parse_text)
     return cc.select("pair_id", "split", "feature_set",
                      *[r6(f"exact_{f}").alias(f"exact_{f}") for f in CONTROL_FEATURES],
                      "prefix", "source_line", "target_line")
@@ -98,7 +103,7 @@ def q_control_corpus(spark, sf_dir):
 def q_control_corpus_all(spark, sf_dir):
     """All four features with the parse supplied as a heads table (one sentence per line of a text)."""
     pairs = _pairs(spark, sf_dir)
-    cc = C.control_corpus(pairs, B.FEATURES, ranks=doc_ranks(spark, sf_dir), parse=heads_table(pairs))
+    cc = C.control_corpus(pairs, B.FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=heads_table(pairs))
     return cc.select("pair_id", "split", "feature_set", *[r6(f"exact_{f}").alias(f"exact_{f}") for f in B.FEATURES],
                      "prefix", "source_line", "target_line")
 
@@ -376,7 +381,7 @@ def q_depth_abs(spark, sf_dir):
 
 
 def _bundle(spark, sf_dir):
-    return FE.feature_bundle(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
+    return FE.feature_bundle(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=parse_text)
 
 
 @query("depth_from_heads")
@@ -431,7 +436,7 @@ def q_infer_prefix(spark, sf_dir):
 def _control_lines(spark, sf_dir):
     """The control corpus with glued tokens (``<A_1><B_2>``) on odd pairs, so the
     parser sees both spellings."""
-    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
+    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=parse_text)
     glued = F.regexp_replace("source_line", "> (?=<)", ">")
     return cc.withColumn("source_line", F.when(F.col("turn") % 2 == 1, glued).otherwise(F.col("source_line")))
 
@@ -502,7 +507,7 @@ def q_best_hypothesis(spark, sf_dir):
 def _match_rows(spark, sf_dir):
     """Requested bins = the features of (turn t -> turn t+2) rendered on turn t;
     system output = turn t+1."""
-    ranks = doc_ranks(spark, sf_dir)
+    ranks = _headed_ranks(spark, sf_dir)
     # the prefixed corpus is a stored product (evaluation reads it back): both match queries read the same one
     return _once(spark, sf_dir, "requested", ["conversations", "documents"], lambda: _requested(spark, sf_dir, ranks)), ranks
 

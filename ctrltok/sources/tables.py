@@ -19,6 +19,8 @@ from ctrltok.functions import text as T
 
 # Pairs and log lines are numbered by (conv_id, turn) packed into one long.
 TURN_BITS = 24
+# The language of the corpora made of conversations.
+CONVERSATION_LANG = "en"
 
 
 def packed(conv_id, turn) -> F.Column:
@@ -48,7 +50,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, strip: bool = True) ->
     return pairs.select(
         packed("conv_id", "turn").alias("pair_id"),
         "conv_id", "turn",
-        F.lit("en").alias("lang"),
+        F.lit(CONVERSATION_LANG).alias("lang"),
         split_of("conv_id").alias("split"),
         src.alias("source"), tgt.alias("target"),
     )
@@ -61,7 +63,7 @@ def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t1 = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     t2 = conv.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("output"))
     j = conv.withColumnRenamed("text", "source").join(t1, ["conv_id", "turn"]).join(t2, ["conv_id", "turn"])
-    return j.select(packed("conv_id", "turn").alias("pair_id"), F.lit("en").alias("lang"),
+    return j.select(packed("conv_id", "turn").alias("pair_id"), F.lit(CONVERSATION_LANG).alias("lang"),
                     "source", "target", "output")
 
 

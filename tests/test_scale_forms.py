@@ -90,6 +90,29 @@ def test_row_local_form_has_no_shuffle(freq_input):
     assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange") == 1    # the fixture's own repartition
 
 
+def test_headed_statistic_equals_the_joined_one(spark, freq_input):
+    """Whatever the head holds, and for rows that share a pair_id or have none, too: the very same doubles."""
+    pairs, ranks = freq_input
+    ranks = ranks.unionByName(spark.createDataFrame([("fr", "gap", 900), ("fr", "42a", 901)], ranks.schema))     # ranks beyond the vocabulary
+    more = [(5, "en", "Alpha gamma zz", "beta"), (5, "en", "é", ""), (None, "en", "beta", "Alpha"), (400, "fr", "gap beta zz", "42a zz zz gap"),
+            (401, "en", "zz", "zz beta"), (402, "en", "gamma é zz", "é gamma")]
+    pairs = pairs.unionByName(spark.createDataFrame(more, pairs.schema))
+    rows = lambda df: sorted(map(tuple, df.select("pair_id", "lang", "source", "target", "freq_source", "freq_target").collect()), key=repr)
+    for some in (pairs, pairs.where("pair_id >= 6")):
+        want = rows(FE.frequency_stats(FE.by_pair(some), ranks))
+        for langs, words in ((None, 9), (None, 1 << 20), (["en"], 1), (["en"], 4), (["de", "fr", "none"], 1 << 20), ([], 0)):
+            head = RS.load_rank_head(ranks, langs, most_words=words)
+            assert rows(FE.headed_frequency_stats(some, FE.HeadedRanks(ranks, head))) == want, (langs, words)
+    assert RS.load_rank_head(ranks, most_bytes=10).whole == set() and RS.load_rank_head(ranks).whole == {"en", "de", "fr"}
+
+
+def test_head_that_decides_all_texts_needs_no_join(spark, freq_input):
+    pairs, ranks = freq_input
+    out = FE.feature_bundle(pairs.where("lang = 'en'"), ["frequency", "length"], ranks=FE.headed(ranks, ["en"]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange") == 1    # the fixture's own repartition
+
+
 def test_dictionary_bound(freq_input):
     _, ranks = freq_input
     with pytest.raises(ValueError):
@@ -327,6 +350,44 @@ def test_freq_row_joins_a_rank_table_beyond_the_dictionary(spark, tmpdir_path, m
     assert sorted(map(tuple, Q.q_freq_row(spark, tmpdir_path).collect())) == want and len(want) == 18
 
 
+def test_feature_match_joins_no_tokens_that_the_rank_head_decides(spark, tmpdir_path, monkeypatch):
+    from ctrltok.plans import queries as Q
+
+    text = ["Alpha beta gamma", "beta delta", "the !", "gamma Alpha beta beta", ""]
+    conv = [(c, t, "user", text[(c + t) % 5]) for c in range(6) for t in range(5)]
+    spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").write.parquet(f"{tmpdir_path}/conversations.parquet")
+    docs = [(i, text[i % 5] + " beta", "en", "web") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    ran = lambda: (sorted(map(tuple, Q.q_feature_match(spark, tmpdir_path).collect()), key=repr), list(map(tuple, Q.q_feature_match_totals(spark, tmpdir_path).collect())))
+    plan = Q.q_feature_match_totals(spark, tmpdir_path)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "percentile" not in plan
+    got = ran()
+    load, calls = RS.load_rank_head, []
+    for words in (0, 2):
+        monkeypatch.setattr(Q, "_TABLES", {})
+        monkeypatch.setattr(RS, "load_rank_head", lambda ranks, langs, words=words: calls.append(words) or load(ranks, langs, most_words=words))
+        assert ran() == got
+    assert calls == [0, 2] and got[1][0][:3] == (18, 14, 72)
+
+
+def test_edit_similarity_at_the_ends_of_words():
+    from ctrltok.functions import edit as E
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+        return row[-1]
+
+    rng = random.Random(3)
+    sizes = [1, 2, 61, 62, 63, 64, 65, 125, 126, 127, 128, 189, 190]
+    a = ["".join(rng.choice("abé😀"[:rng.randint(1, 4)]) for _ in range(n)) for n in sizes for _ in sizes]
+    b = ["".join(rng.choice("abé😀"[:rng.randint(1, 4)]) for _ in range(n)) for _ in sizes for n in sizes]
+    assert E.lcs_lengths(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def test_few_tokens_are_counted_together(monkeypatch):
     import tracemalloc
 
