@@ -3,13 +3,14 @@
 The rank table travels with the tasks as a dictionary, so a text's statistic needs no explode, no join and no
 aggregation: it works in a projection, also of a stream.  The dictionary's size is checked when it is loaded; beyond
 the bound :func:`ctrltok.operators.features.frequency_stats` with the rank table as a DataFrame is the way, or a
-:class:`RankHead`: the quantile lies between two order statistics of the ranks, and where both are ranks that the head holds, the
+a rank head: the quantile lies between two order statistics of the ranks, and where both are ranks that the head holds, the
 words that it lacks need not be looked up, since their ranks are larger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from ctrltok.udfs import bounded_ranges, by_value, shared
 MOST_WORDS = 1 << 22
 MOST_BYTES = 1 << 27
 #: Bounds of a rank head.
-HEAD_WORDS = 1 << 22
-HEAD_BYTES = 1 << 27
+HEAD_WORDS = 1 << 21
+HEAD_BYTES = 1 << 26
 #: Words that are hashed together, and tokens that are looked up together (a longer text alone).
 SLICE_WORDS = 1 << 16
 SLICE_TOKENS = 1 << 17
@@ -46,13 +47,15 @@ class RankDictionary:
         codes = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else None
         for k, lang in enumerate(codes.dictionary.to_pylist() if codes is not None else []):
             own = table.filter(pc.equal(codes.indices, k))
-            words = own.column("word").combine_chunks().cast(pa.string())
-            hashes = np.concatenate([_hashes(words.slice(lo, SLICE_WORDS)) for lo in range(0, len(words), SLICE_WORDS)])
-            order = np.argsort(hashes, kind="stable")
-            hashes, ranks = hashes[order], own.column("rank").to_numpy().astype(np.float64)[order]
-            self.langs[lang] = hashes, words.take(pa.array(order)), ranks
-            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-            self.equal_hashes[lang] = int(np.diff(np.r_[starts, len(hashes)]).max())
+            self._put(lang, own.column("word").combine_chunks().cast(pa.string()), own.column("rank").to_numpy())
+
+    def _put(self, lang: str, words: pa.Array, ranks: np.ndarray):
+        hashes = np.concatenate([_hashes(words.slice(lo, SLICE_WORDS)) for lo in range(0, len(words), SLICE_WORDS)])
+        order = np.argsort(hashes, kind="stable")
+        hashes, ranks = hashes[order], ranks.astype(np.float64)[order]
+        self.langs[lang] = hashes, words.take(pa.array(order)), ranks
+        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        self.equal_hashes[lang] = int(np.diff(np.r_[starts, len(hashes)]).max())
 
     def vocabulary(self, lang: str) -> int:
         return len(self.langs[lang][2])
@@ -76,18 +79,13 @@ class RankDictionary:
         return np.append(found, unknown)[codes.indices.fill_null(len(distinct)).to_numpy(zero_copy_only=False)]
 
 
-class RankHead(RankDictionary):
+class HeadWords(RankDictionary):
     """The most frequent words of some languages: all words up to some rank.  ``vocabularies`` has the number of words of every
     language, held here or not; of a language in ``whole`` no word is left out.  A word that is not held has a larger rank than
-    those held, or none, which counts as the vocabulary's size: ranks beyond that size are left out too."""
+    those held, or none, which counts as the vocabulary's size: ranks beyond that size must be left out too."""
 
-    def __init__(self, table: pa.Table, vocabularies: dict[str, int], whole: set[str]):
-        if table.num_rows:
-            codes = table.column("lang").combine_chunks().dictionary_encode()
-            most = np.array([np.inf if lang in whole else vocabularies[lang] for lang in codes.dictionary.to_pylist()])
-            table = table.filter(pa.array(table.column("rank").to_numpy() <= most[codes.indices.to_numpy()]))
-        super().__init__(table)
-        self.vocabularies, self.whole = vocabularies, whole
+    def __init__(self, vocabularies: dict[str, int], whole: set[str]):
+        self.langs, self.equal_hashes, self.vocabularies, self.whole = {}, {}, vocabularies, whole
 
     def vocabulary(self, lang: str) -> int:
         return self.vocabularies[lang]
@@ -98,6 +96,14 @@ class RankHead(RankDictionary):
         return self.find(words, lang, unknown) if lang in self.langs else np.full(len(words), unknown)
 
 
+class RankHead(NamedTuple):
+    """What the driver keeps of the head words: how a worker opens them, and whose words they are."""
+
+    opened: Callable[[], HeadWords]
+    vocabularies: dict[str, int]
+    whole: set[str]
+
+
 class TooManyRanks(ValueError):
     """The rank table exceeds the bounds of a dictionary."""
 
@@ -130,8 +136,17 @@ def load_rank_head(ranks: DataFrame, langs: Iterable[str] | None = None, most_wo
             break
         kept = b
     whole = {lang for lang in wanted if all((r["bits"] or 0) <= kept for r in sizes if r["lang"] == lang)}
-    held = ranks.where(F.col("lang").isin(sorted(wanted)) & F.col("word").isNotNull() & (F.length(F.bin("rank")) <= kept))
-    return RankHead(held.select("lang", "word", F.col("rank").cast("long").alias("rank")).toArrow(), vocabularies, whole)
+    words = HeadWords(vocabularies, whole)
+    for lang in sorted(wanted):
+        held = ranks.where((F.col("lang") == lang) & F.col("word").isNotNull() & (F.length(F.bin("rank")) <= kept))
+        table = (held if lang in whole else held.where(F.col("rank") <= vocabularies[lang])).select("word", F.col("rank").cast("long").alias("rank")).toArrow()
+        if table.num_rows:
+            words._put(lang, table.column("word").combine_chunks().cast(pa.string()), table.column("rank").to_numpy())
+        del table
+    head = RankHead(shared(words), vocabularies, whole)
+    del words                       # the broadcast has them
+    pa.default_memory_pool().release_unused()
+    return head
 
 
 def neighbours(values: np.ndarray, sizes: np.ndarray, q: float) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +201,11 @@ LOW, HIGH, LOW_WEIGHT, HIGH_WEIGHT, UNKNOWN = range(5)
 def rank_neighbours(head: RankHead, quantile: float = 0.75):
     """``(admitted tokens, lang) -> array`` of the ranks around the quantile (infinite: the head does not decide them) and what
     :func:`log_quantile` needs; NULL for a language without ranks."""
-    held = shared(head)
+    opened = head.opened
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def run(tokens: pa.Array, lang: pa.Array) -> pa.Array:
-        known, codes = held(), lang.dictionary_encode()
+        known, codes = opened(), lang.dictionary_encode()
         spot = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         out = np.full((len(tokens), 5), np.nan)
