@@ -75,7 +75,7 @@ def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headed_ranks(spark: SparkSession, sf_dir: str) -> FE.HeadedRanks:
-    """The same rank table with its head, for the feature bundles."""
+    """The same rank table with its head, for the feature match."""
     return _once(spark, sf_dir, "headed ranks", ["documents"], lambda: FE.headed(doc_ranks(spark, sf_dir), [TB.CONVERSATION_LANG]))
 
 
@@ -93,7 +93,7 @@ CONTROL_FEATURES = B.FEATURES
 
 @query("control_corpus")
 def q_control_corpus(spark, sf_dir):
-    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=parse_text)
+    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
     return cc.select("pair_id", "split", "feature_set",
                      *[r6(f"exact_{f}").alias(f"exact_{f}") for f in CONTROL_FEATURES],
                      "prefix", "source_line", "target_line")
@@ -103,7 +103,7 @@ def q_control_corpus(spark, sf_dir):
 def q_control_corpus_all(spark, sf_dir):
     """All four features with the parse supplied as a heads table (one sentence per line of a text)."""
     pairs = _pairs(spark, sf_dir)
-    cc = C.control_corpus(pairs, B.FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=heads_table(pairs))
+    cc = C.control_corpus(pairs, B.FEATURES, ranks=doc_ranks(spark, sf_dir), parse=heads_table(pairs))
     return cc.select("pair_id", "split", "feature_set", *[r6(f"exact_{f}").alias(f"exact_{f}") for f in B.FEATURES],
                      "prefix", "source_line", "target_line")
 
@@ -381,7 +381,7 @@ def q_depth_abs(spark, sf_dir):
 
 
 def _bundle(spark, sf_dir):
-    return FE.feature_bundle(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=parse_text)
+    return FE.feature_bundle(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
 
 
 @query("depth_from_heads")
@@ -436,7 +436,7 @@ def q_infer_prefix(spark, sf_dir):
 def _control_lines(spark, sf_dir):
     """The control corpus with glued tokens (``<A_1><B_2>``) on odd pairs, so the
     parser sees both spellings."""
-    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=_headed_ranks(spark, sf_dir), parse=parse_text)
+    cc = C.control_corpus(_pairs(spark, sf_dir), CONTROL_FEATURES, ranks=doc_ranks(spark, sf_dir), parse=parse_text)
     glued = F.regexp_replace("source_line", "> (?=<)", ">")
     return cc.withColumn("source_line", F.when(F.col("turn") % 2 == 1, glued).otherwise(F.col("source_line")))
 
